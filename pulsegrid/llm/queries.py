@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, sharding, simhash
+from . import chat, line_dedup, sharding, simhash, suffix_dedup, winnow
 
 MAX_RATIO, MIN_PAGES = 0.1, 3
 SHARDS, TABLE_SIZE = 16, 2039
@@ -29,7 +29,22 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_docs(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op7_simhash)}
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_docs(spark, sf_dir)).drop("kept")
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.format_chats(turns.unionByName(extra)))
+
+
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.fingerprint_with_edits(_docs(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op7_simhash, op8_suffix_dedup, op9_chat_format, op10_winnowing)}
 
 _TRIM = r"regexp_replace({}, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
 
@@ -62,4 +77,16 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(s.slot AS INTEGER) AS slot, CAST(s.shard AS INTEGER) AS shard
         FROM (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % {TABLE_SIZE} AS h FROM documents) d
         JOIN slots s ON s.slot = d.h""",
+    "op9_chat_format": """
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+        e AS (SELECT *, regexp_replace(regexp_replace(replace(x, chr(92), chr(92) || chr(92)), '<(/?s>)', '<' || chr(92) || chr(92) || chr(92) || '1', 'g'),
+                                       '[[](/?INST[]])', '[' || chr(92) || chr(92) || chr(92) || '1', 'g') AS esc
+              FROM (SELECT *, text AS x FROM c))
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(20 + length(role) + length(esc)) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
 }
