@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, sharding, simhash, suffix_dedup, winnow
+from . import chat, line_dedup, mixing, pii, quality, sentencepiece, sharding, simhash, suffix_dedup, winnow
 
 MAX_RATIO, MIN_PAGES = 0.1, 3
 SHARDS, TABLE_SIZE = 16, 2039
+MAX_LINE_RATIO, MIN_LINE_DOCS, MIN_LEFT = 0.4, 20, 0.2
+MAX_EPOCHS = 2.0
+
+
+def model_path() -> str:
+    """The SentencePiece model: $PIECE_MODEL, else the installed public one."""
+    if "PIECE_MODEL" in os.environ:
+        return os.environ["PIECE_MODEL"]
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +37,25 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_docs(spark, sf_dir).select("doc_id"), "doc_id", SHARDS, TABLE_SIZE)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_docs(spark, sf_dir), MAX_LINE_RATIO, MIN_LINE_DOCS, MIN_LEFT).drop("t1", "t2")
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    coded = sentencepiece.decode(sentencepiece.encode(docs, model_path()), model_path())
+    return coded.select("doc_id", "n_tokens", "tokens", F.sha2("decoded", 256).alias("decoded_sha256"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.extract(_docs(spark, sf_dir))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.plan(_docs(spark, sf_dir).select("doc_id", "source", "text"), max_epochs=MAX_EPOCHS)
+    return planned.select("doc_id", "source", "n_tokens", F.round("weight", 6).alias("weight"), F.round("epochs", 6).alias("epochs"), "copies")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_docs(spark, sf_dir))
 
@@ -44,8 +75,12 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprint_with_edits(_docs(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op7_simhash, op8_suffix_dedup, op9_chat_format, op10_winnowing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_line_dedup, op2_sharding, op3_quality_rules, op4_sentencepiece, op5_pii, op6_mixing, op7_simhash, op8_suffix_dedup, op9_chat_format, op10_winnowing)
+}
 
+_WORD = r"'[^\x20\x09-\x0D]+'"
 _TRIM = r"regexp_replace({}, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
 
 ORACLES: dict[str, str] = {
@@ -77,6 +112,39 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(s.slot AS INTEGER) AS slot, CAST(s.shard AS INTEGER) AS shard
         FROM (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % {TABLE_SIZE} AS h FROM documents) d
         JOIN slots s ON s.slot = d.h""",
+    "op3_quality_rules": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT r, doc_id, host, t, regexp_extract_all(t, {_WORD}) AS ws, string_split(t, chr(10)) AS ls FROM d),
+        g AS (SELECT r, unnest(list_transform(range(1, greatest(len(ws) - 1, 1)), lambda i: {{'i': i, 'g': ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]}})) AS x FROM w WHERE len(ws) >= 3),
+        gc AS (SELECT r, x.i AS i, count(*) OVER (PARTITION BY r, x.g) AS n FROM g),
+        rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM gc WHERE n > 1) GROUP BY r),
+        l AS (SELECT r, host, unnest(ls) AS line FROM w),
+        lw AS (SELECT r, host, line, array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORD}), ' ') AS norm,
+                      len(regexp_extract_all(line, {_WORD})) AS n FROM l),
+        dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lw WHERE n > 0 GROUP BY r),
+        hosts AS (SELECT host, count(DISTINCT t) AS docs FROM d GROUP BY host),
+        freq AS (SELECT lw.host, norm, count(DISTINCT d.t) AS n FROM lw JOIN d USING (r) WHERE n > 0 GROUP BY lw.host, norm),
+        common AS (SELECT freq.host, norm FROM freq JOIN hosts USING (host) WHERE n > {MIN_LINE_DOCS} AND n > {MAX_LINE_RATIO}::DOUBLE * docs),
+        hit AS (SELECT r, sum(n) AS n FROM lw JOIN common USING (host, norm) GROUP BY r),
+        m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+                     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                     CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+                     CAST(coalesce(hit.n, 0) AS BIGINT) AS n_common_words
+              FROM w LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN hit USING (r))
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_common_words >= {MIN_LEFT}::DOUBLE * n_words AS kept FROM m""",
+    "op6_mixing": f"""
+        WITH d AS (SELECT doc_id, source, coalesce(source, '') AS s, CAST(len(regexp_extract_all(coalesce(text, ''), {_WORD})) AS BIGINT) AS n_tokens,
+                          md5('0:' || coalesce(doc_id::VARCHAR, '')) AS o FROM documents),
+        t AS (SELECT s, sum(n_tokens)::DOUBLE AS total FROM d GROUP BY s),
+        p AS (SELECT s, total, total / sum(total) OVER () AS share FROM t),
+        a AS (SELECT CASE WHEN max(share) = min(share) THEN 0 ELSE greatest(0, 1 - ln({MAX_EPOCHS}) / ln(max(share) / min(share))) END AS alpha FROM p WHERE share > 0),
+        w AS (SELECT s, total, CASE WHEN share > 0 THEN pow(share, alpha) / (SELECT sum(pow(share, alpha)) FROM p, a WHERE share > 0) ELSE 0 END AS weight,
+                     CASE WHEN share > 0 THEN round(pow((SELECT max(share) FROM p) / share, 1 - alpha), 9) ELSE 1 END AS epochs FROM p, a),
+        c AS (SELECT d.*, weight, epochs, total, sum(n_tokens) OVER (PARTITION BY s ORDER BY o ROWS UNBOUNDED PRECEDING) AS cum FROM d JOIN w USING (s))
+        SELECT doc_id, source, n_tokens, round(weight, 6) AS weight, round(epochs, 6) AS epochs,
+               CAST(floor(epochs) + CASE WHEN epochs > floor(epochs) AND cum <= floor(round((epochs - floor(epochs)) * total, 6)) THEN 1 ELSE 0 END AS BIGINT) AS copies
+        FROM c""",
     "op9_chat_format": """
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL SELECT -7, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
