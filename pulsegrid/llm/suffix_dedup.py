@@ -123,15 +123,31 @@ def _scan(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("r1", "r2", "bytes").mapInArrow(run, "gram long, r1 long, r2 long, at int, first int, last int")
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """Texts as they travel to a shuffle: compressed, for they make up most of what is moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            yield b.set_column(b.schema.get_field_index("bytes"), "bytes", pa.array([press(x.as_py()) for x in b.column("bytes")], pa.binary()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _suffixes(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
     """`(suffix, before, r1, r2, at, first, last)`: the bytes from the anchor on and, reversed, those before it, as
     far as the run's strings reach."""
     lists = chosen.groupBy("r1", "r2").agg(F.collect_list(F.struct("at", "first", "last")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             for i in range(b.num_rows):
-                data, (r1, r2) = b.column(2)[i].as_py(), (b.column(k)[i].as_py() for k in (0, 1))
+                data, (r1, r2) = unpack(b.column(2)[i].as_py()), (b.column(k)[i].as_py() for k in (0, 1))
                 runs = b.column(3)[i].values.flatten()
                 at, first, last = (np.asarray(x).tolist() for x in runs)
                 yield pa.RecordBatch.from_arrays(
@@ -286,18 +302,21 @@ def remove_repeats(df: DataFrame, length: int = 400, doc_id: str = "doc_id", tex
     """
     spark = df.sparkSession
     docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).select("doc_id", F.col("t").cast("binary").alias("bytes"), *(k.alias(n) for k, n in zip(row_key("doc_id", "t"), ("r1", "r2"))))
-    runs = _scan(docs, length)
+    runs, packed = _scan(docs, length), _packed(docs)
     twice = cut(runs.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"))
     total = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     ranges = max(partitions(spark), -(-total // RANGE))
-    repeats = _repeats(_suffixes(docs, runs.join(twice, "gram", "left_semi").drop("gram"), length), length, ranges)
+    repeats = _repeats(_suffixes(packed, runs.join(twice, "gram", "left_semi").drop("gram"), length), length, ranges)
     spans = repeats.groupBy("r1", "r2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
             for data, got in zip(b.column(1), b.column(2)):
-                raw, merged = data.as_py(), []
+                raw, merged = unpack(data.as_py()), []
                 if got.is_valid:
                     start, end = (np.asarray(x) for x in got.values.flatten())
                     for s, e in zip(start[o := np.argsort(start)].tolist(), end[o].tolist()):
@@ -315,4 +334,4 @@ def remove_repeats(df: DataFrame, length: int = 400, doc_id: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))], names=["doc_id", *out])
 
     kind = df.schema[doc_id].dataType.simpleString()
-    return docs.join(spans, ["r1", "r2"], "left").select("doc_id", "bytes", "spans").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return packed.join(spans, ["r1", "r2"], "left").select("doc_id", "bytes", "spans").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
