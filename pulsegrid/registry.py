@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from .plans import metrics, rates
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = metrics.QUERIES | rates.QUERIES
+ORACLES: dict[str, str] = metrics.ORACLES | rates.ORACLES
