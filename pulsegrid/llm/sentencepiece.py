@@ -6,9 +6,11 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -16,7 +18,7 @@ from .suffix_dedup import multikey_order
 
 MARK = "▁"
 #: Code points that the longest piece may have, characters indexed at a time, and chunks a worker remembers.
-LONGEST, INDEXED, REMEMBERED = 16, 400_000, 300_000
+LONGEST, INDEXED, REMEMBERED = 16, 600_000, 200_000
 _CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
@@ -53,14 +55,10 @@ class Tokenizer:
             codes[r, : len(self.pieces[k])] = self.code[[ord(c) for c in self.pieces[k]]]
         high = np.where(np.arange(LONGEST) < self.length[self.whole][:, None], codes, np.uint16(0xFFFF))
         self.low, self.high = self._pack(codes), self._pack(high)
+        self.short = self.length[self.whole] <= 4
         self.known = np.zeros(0, np.int64)
         self.fits = np.zeros(0, bool)
         self.spines: dict[tuple[int, int], list] = {}
-        self.table = [b""] * model["size"]
-        for p, i in zip(self.pieces, self.ids.tolist()):
-            self.table[i] = p.replace(MARK, " ").encode()
-        for b, i in model["bytes"].items():
-            self.table[i] = bytes([b])
         self.forget()
 
     def forget(self) -> None:
@@ -146,17 +144,23 @@ class Tokenizer:
         index, words = where[order], words[order]
 
         def bound(q: np.ndarray, right: bool) -> np.ndarray:
-            lo, hi = np.zeros(len(q), np.int64), np.full(len(q), len(index))
-            while (open_ := lo < hi).any():
-                mid = np.minimum((lo + hi) >> 1, max(len(index) - 1, 0))
-                s = words[mid]
-                less = np.zeros(len(q), bool)
-                same = np.ones(len(q), bool)
-                for j in range(q.shape[1]):
-                    less |= same & (s[:, j] < q[:, j])
-                    same &= s[:, j] == q[:, j]
+            lo, hi = (np.searchsorted(words[:, 0], q[:, 0], side=s) for s in ("left", "right"))
+            if right:  # beyond the first word a short piece's bound is all ones or all zeros
+                lo = np.where(self.short, hi, lo)
+            else:
+                hi = np.where(self.short, lo, hi)
+            live = np.flatnonzero(lo < hi)
+            while len(live):
+                mid = (lo[live] + hi[live]) >> 1
+                s, t = words[mid], q[live]
+                less, same = np.zeros(len(live), bool), np.ones(len(live), bool)
+                for j in range(1, q.shape[1]):
+                    less |= same & (s[:, j] < t[:, j])
+                    same &= s[:, j] == t[:, j]
                 up = (less | same) if right else less
-                lo, hi = np.where(open_ & up, mid + 1, lo), np.where(open_ & ~up, mid, hi)
+                lo[live[up]] = mid[up] + 1
+                hi[live[~up]] = mid[~up]
+                live = live[lo[live] < hi[live]]
             return lo
 
         lo, hi = bound(self.low, False), bound(self.high, True)
@@ -244,20 +248,30 @@ class Tokenizer:
         parts = [_CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.memory) > REMEMBERED:
             self.forget()
-        new = {c for p in parts for c in p if c not in self.memory}
+        new = set().union(*parts).difference(self.memory)
         if new:
             self.learn(sorted(new))
-        get = self.memory.__getitem__
-        chunk = np.fromiter((get(c) for p in parts for c in p), np.int64)
+        chunk = np.fromiter(map(self.memory.__getitem__, chain.from_iterable(parts)), np.int64)
         offset, flat = np.array(self.offset, np.int64), np.array(self.flat, np.int32)
         start, count = offset[chunk], offset[chunk + 1] - offset[chunk]
         total = np.concatenate(([0], np.cumsum(count)))
         ids = flat[np.repeat(start - total[:-1], count) + np.arange(total[-1])] if total[-1] else np.zeros(0, np.int32)
         return ids, total[np.concatenate(([0], np.cumsum([len(p) for p in parts])))]
 
-    def decode(self, ids: list[int]) -> str:
-        raw = b"".join(map(self.table.__getitem__, ids))
-        return raw[raw[:1] == b" " :].decode("utf-8", "replace")
+
+def byte_table(model: dict) -> list[bytes]:
+    """What each id stands for; control and unknown ids for nothing."""
+    table = [b""] * model["size"]
+    for p, i in zip(model["pieces"], model["ids"]):
+        table[i] = p.replace(MARK, " ").encode()
+    for b, i in model["bytes"].items():
+        table[i] = bytes([b])
+    return table
+
+
+def text_of(ids: list[int], table: list[bytes]) -> str:
+    raw = b"".join(map(table.__getitem__, ids))
+    return raw[raw[:1] == b" " :].decode("utf-8", "replace")
 
 
 _ready: dict[int, Tokenizer] = {}
@@ -271,15 +285,15 @@ def _tokenizer(model: dict) -> Tokenizer:
     return _ready[key]
 
 
-def _slices(texts: list[str], size: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def _slices(sizes: list[int], size: int = 1_500_000) -> Iterator[tuple[int, int]]:
     a, held = 0, 0
-    for k, t in enumerate(texts):
-        held += len(t)
+    for k, n in enumerate(sizes):
+        held += n
         if held >= size:
             yield a, k + 1
             a, held = k + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
+    if a < len(sizes):
+        yield a, len(sizes)
 
 
 def _add(df: DataFrame, fields: list[T.StructField], column: str, run) -> DataFrame:
@@ -312,9 +326,8 @@ def encode(df: DataFrame, model_path: str, text: str = "text", tokens: str = "to
 
     def run(col: pa.Array) -> Iterator[tuple]:
         tok = _tokenizer(model)
-        texts = [t or "" for t in col.to_pylist()]
-        for a, z in _slices(texts):
-            ids, edge = tok.encode(texts[a:z])
+        for a, z in _slices(pc.fill_null(pc.utf8_length(col), 0).to_pylist()):
+            ids, edge = tok.encode([t or "" for t in col.slice(a, z - a).to_pylist()])
             yield (a, z - a), (pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(ids)), pa.array(np.diff(edge)))
 
     return _add(df, [T.StructField(tokens, T.ArrayType(T.IntegerType())), T.StructField(count, T.LongType())], text, run)
@@ -325,7 +338,8 @@ def decode(df: DataFrame, model_path: str, tokens: str = "tokens", text: str = "
     model = load(model_path)
 
     def run(col: pa.Array) -> Iterator[tuple]:
-        tok = _tokenizer(model)
-        yield (0, len(col)), (pa.array([tok.decode(ids) if ids else "" for ids in (x.as_py() for x in col)], pa.string()),)
+        table = byte_table(model)
+        for a, z in _slices(pc.fill_null(pc.list_value_length(col), 0).to_pylist()):
+            yield (a, z - a), (pa.array([text_of(x.values.to_numpy().tolist(), table) if x.is_valid else "" for x in col.slice(a, z - a)], pa.string()),)
 
     return _add(df, [T.StructField(text, T.StringType())], tokens, run)
