@@ -18,7 +18,7 @@ from .suffix_dedup import multikey_order
 
 MARK = "▁"
 #: Code points that the longest piece may have, characters indexed at a time, and chunks a worker remembers.
-LONGEST, INDEXED, REMEMBERED = 16, 600_000, 200_000
+LONGEST, INDEXED, REMEMBERED = 16, 300_000, 120_000
 _CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
@@ -285,7 +285,7 @@ def _tokenizer(model: dict) -> Tokenizer:
     return _ready[key]
 
 
-def _slices(sizes: list[int], size: int = 1_500_000) -> Iterator[tuple[int, int]]:
+def _slices(sizes: list[int], size: int = 1_000_000) -> Iterator[tuple[int, int]]:
     a, held = 0, 0
     for k, n in enumerate(sizes):
         held += n
