@@ -8,26 +8,27 @@ from pyspark.sql import functions as F
 from ..operators import counters, hosts, sinks
 from .recipes import COUNTERS, CPU_TIMES, PROCS, in_duck, in_spark
 
-_TS = F.unix_timestamp("ts").alias("ts")
+def _ts():
+    return F.unix_timestamp("ts").alias("ts")
 
 
 def cpu_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = counters.cpu_pct(in_spark(spark, sf_dir, CPU_TIMES))
-    return rows.select("host", _TS, *[F.round(c, 6).alias(c) for c in rows.columns[2:]])
+    return rows.select("host", _ts(), *[F.round(c, 6).alias(c) for c in rows.columns[2:]])
 
 
 def net_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = in_spark(spark, sf_dir, COUNTERS).withColumnsRenamed(dict(zip(["reads", "reads_merged", "sectors_read", "ms_reading", "writes", "writes_merged", "sectors_written", "ms_writing"], counters.NET)))
-    return counters.net_rates(c).select("host", "device", _TS, "counter", F.round("rate", 9).alias("rate"))
+    return counters.net_rates(c).select("host", "device", _ts(), "counter", F.round("rate", 9).alias("rate"))
 
 
 def disk_io(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counters.disk_io_rates(in_spark(spark, sf_dir, COUNTERS)).select("host", "device", _TS, "metric", F.round("value", 6).alias("value"))
+    return counters.disk_io_rates(in_spark(spark, sf_dir, COUNTERS)).select("host", "device", _ts(), "metric", F.round("value", 6).alias("value"))
 
 
 def disk_io_busy(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = in_spark(spark, sf_dir, COUNTERS).selectExpr("host", "device", "ts", "reads AS read_ops", "writes AS write_ops", "sectors_read AS read_bytes", "sectors_written AS write_bytes", "ms_io AS busy_s")
-    return counters.disk_io_rates(c, "busy").select("host", "device", _TS, "metric", F.round("value", 9).alias("value"))
+    return counters.disk_io_rates(c, "busy").select("host", "device", _ts(), "metric", F.round("value", 9).alias("value"))
 
 
 def proc_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
