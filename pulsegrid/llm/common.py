@@ -32,3 +32,15 @@ def row_key(*cols: str | Column) -> tuple[Column, Column]:
 def words_in(col: str | Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+#: Ways that the rows of one key are spread when a table with a row or so for each key is joined to them.
+SALTS = 64
+
+
+def join_per_key(rows: DataFrame, small: DataFrame, key: str, by: Column, how: str = "inner") -> DataFrame:
+    """Join `small`, one bounded row for each key, to `rows`, whose keys may be very hot: rows of a key are spread by
+    `by` over SALTS parts, and each part gets a copy of the key's row."""
+    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return spread.join(copies, [key, "_salt"], how).drop("_salt")

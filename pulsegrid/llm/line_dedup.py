@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import join_per_key
+
 
 def _key(line: Column) -> Column:
     """A line's identity: 128 bits of its text without outer ASCII white space, as one string-free struct."""
@@ -42,7 +44,7 @@ def dedup_lines(df: DataFrame, host: str = "source", text: str = "text", max_rat
     """
     bad = boilerplate_lines(df, host, text, max_ratio, min_pages)
     out = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
-    joined = df.withColumn("_host", F.coalesce(F.col(host), F.lit(""))).join(bad, "_host", "left")
+    joined = join_per_key(df.withColumn("_host", F.coalesce(F.col(host), F.lit(""))), bad, "_host", F.col(text), "left")
     lines = F.split(F.col(text), "\n", -1)
     kept = F.when(F.col("_bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_bad"), _key(x)), F.lit(False))))
     joined = joined.withColumn("_kept", kept).withColumn("_all", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
