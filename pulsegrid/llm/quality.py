@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_per_key
 
 _LINES = "array<struct<a: bigint, b: bigint, words: bigint>>"
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -97,7 +97,7 @@ def judge(df: DataFrame, max_ratio: float = 0.4, min_docs: int = 20, min_left: f
     hit = F.filter("lines", lambda x: F.array_contains("common", F.struct(x["a"].alias("a"), x["b"].alias("b"))))
     n_common = F.when(F.col("common").isNull(), F.lit(0)).otherwise(F.aggregate(hit, F.lit(0).cast("long"), lambda s, x: s + x["words"])).cast("long")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    judged = rows.join(common, "host", "left").withColumn("n_common_words", n_common).withColumn("base_failed", failed)
+    judged = join_per_key(rows, common, "host", F.col("t1"), "left").withColumn("n_common_words", n_common).withColumn("base_failed", failed)
     left = F.col("n_words") - F.col("n_common_words")
     return judged.select("doc_id", *NUMBERS, "n_common_words", "base_failed", (~F.col("base_failed") & (left >= F.lit(min_left) * F.col("n_words"))).alias("kept"), "t1", "t2")
 
