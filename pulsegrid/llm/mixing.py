@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, words_in
+from .common import cut, join_per_key, words_in
 
 #: Exponents tried at once in a round of the bisection, rounds, and rows that one block of a permutation holds.
 GRID, ROUNDS, BLOCK = 32, 8, 5000
@@ -83,9 +83,9 @@ def plan(df: DataFrame, max_epochs: float | None = 2.0, entropy: float | None =
         F.when(F.col("share") > 0, F.round(F.lit(scale) * F.pow("share", F.lit(alpha - 1.0)), 9)).otherwise(F.lit(1.0)).alias("epochs"),
         F.ceil(F.col("rows") / F.lit(BLOCK)).alias("blocks"),
     )
-    dealt = rows.select("_s", "_o", "_t", "n_tokens", *[c for c in cols if c != "n_tokens"]).join(weights, "_s")
+    dealt = join_per_key(rows.select("_s", "_o", "_t", "n_tokens", *cols), weights, "_s", F.col("_o"))
     dealt = dealt.withColumn("_b", F.floor(F.conv(F.substring("_o", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) * F.col("blocks")))
-    sums = rows.select("_s", "_o", "n_tokens").join(weights.select("_s", "blocks"), "_s").withColumn("_b", F.floor(F.conv(F.substring("_o", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) * F.col("blocks"))).groupBy("_s", "_b").agg(F.sum("n_tokens").alias("_sum"))
+    sums = join_per_key(rows.select("_s", "_o", "n_tokens"), weights.select("_s", "blocks"), "_s", F.col("_o")).withColumn("_b", F.floor(F.conv(F.substring("_o", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) * F.col("blocks"))).groupBy("_s", "_b").agg(F.sum("n_tokens").alias("_sum"))
     before = sums.select("_s", "_b", (F.sum("_sum").over(Window.partitionBy("_s").orderBy("_b")) - F.col("_sum")).alias("_before"))
     inside = F.sum("n_tokens").over(Window.partitionBy("_s", "_b").orderBy("_o", "n_tokens", "_t").rowsBetween(Window.unboundedPreceding, 0))
     full = F.floor("epochs")
