@@ -101,7 +101,7 @@ def journal_include(fields: Column, units: Iterable[str] = (), user_units: Itera
 def journal_body(fields: Column) -> Column:
     """JSON text of the fields but MESSAGE, keys sorted, and the message if there is one."""
     rest = F.map_from_entries(F.array_sort(F.map_entries(F.map_filter(fields, lambda k, _: k != "MESSAGE"))))
-    return F.to_json(F.struct(rest.alias("journal"), F.try_element_at(fields, F.lit("MESSAGE")).alias("message")))
+    return F.to_json(F.struct(rest.alias("journald"), F.try_element_at(fields, F.lit("MESSAGE")).alias("message")))
 
 
 def state_code(os: Column, state: Column) -> Column:

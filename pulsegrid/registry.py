@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import metrics, rates
+from .plans import logs, metrics, rates
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = metrics.QUERIES | rates.QUERIES
-ORACLES: dict[str, str] = metrics.ORACLES | rates.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = metrics.QUERIES | rates.QUERIES | logs.QUERIES
+ORACLES: dict[str, str] = metrics.ORACLES | rates.ORACLES | logs.ORACLES

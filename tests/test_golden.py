@@ -88,7 +88,7 @@ def test_journal(spark):
     e = parse_journal(lines(spark, '{"MESSAGE":[104,105],"__CURSOR":"c1","PRIORITY":"3","_COMM":"x"}', "bad")).collect()
     assert len(e) == 1 and e[0].fields["MESSAGE"] == "hi" and e[0].cursor == "c1"
     got = logs.process_journal(lines(spark, '{"MESSAGE":"m","PRIORITY":"3","_COMM":"x"}')).first()
-    assert (got.status, got.service, got.message) == ("error", "x", '{"journal":{"PRIORITY":"3","_COMM":"x"},"message":"m"}')
+    assert (got.status, got.service, got.message) == ("error", "x", '{"journald":{"PRIORITY":"3","_COMM":"x"},"message":"m"}')
 
 
 def test_resume_and_advance(spark):
