@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 NUMBER = r"^[+-]?((?i:inf|infinity)|(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)$|^(?i:nan)$"
 
 
+def utf8_text(b: Column) -> Column:
+    """Bytes as text; what isn't UTF-8, as where a cut splits a character, becomes the replacement character."""
+    return F.make_valid_utf8(b.cast("string"))
+
+
 def empty(c: Column, other: Column) -> Column:
     """`other` where c is null or ''."""
     return F.coalesce(F.nullif(c, F.lit("")), other)
@@ -196,7 +201,7 @@ def is_permanent(status: Column) -> Column:
 
 
 def truncate_text(s: Column) -> Column:
-    return F.when(F.octet_length(s) > 48, F.concat(F.decode(F.substring(F.encode(s, "UTF-8"), 1, 45), "UTF-8"), F.lit("..."))).otherwise(s)
+    return F.when(F.octet_length(s) > 48, F.concat(utf8_text(F.substring(F.encode(s, "UTF-8"), 1, 45)), F.lit("..."))).otherwise(s)
 
 
 def plausible(value: Column, low: float, high: float) -> Column:

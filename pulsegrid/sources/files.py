@@ -29,7 +29,7 @@ def read_log_lines(spark: SparkSession, path: str, keep_blank: bool = False) ->
 def cap_lines(df: DataFrame, cap: int = 262_144, col: str = "line") -> DataFrame:
     """A line over `cap` bytes becomes pieces of at most that many, numbered by `piece`; others pass untouched."""
     raw = F.encode(F.col(col), "UTF-8")
-    pieces = F.transform(F.sequence(F.lit(0), F.greatest((F.octet_length(col) - 1), F.lit(0)), F.lit(cap)), lambda at: F.decode(F.substring(raw, at + 1, F.lit(cap)), "UTF-8"))
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest((F.octet_length(col) - 1), F.lit(0)), F.lit(cap)), lambda at: F.substring(raw, at + 1, F.lit(cap)).cast("string"))
     rest = [c for c in df.columns if c != col]
     return df.select(*rest, F.posexplode(F.when(F.octet_length(col) > cap, pieces).otherwise(F.array(col))).alias("piece", col))
 

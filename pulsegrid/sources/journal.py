@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import utf8_text
+
 
 def parse_journal(df: DataFrame, line: str = "line") -> DataFrame:
     """JSON lines to `(fields, cursor, realtime)`; bad JSON is skipped, byte arrays become text, `__` keys go."""
     m = df.withColumn("_m", F.from_json(line, "map<string,string>")).filter("_m is not null")
-    text = lambda v: F.when(v.rlike(r"^\[\s*\d+(\s*,\s*\d+)*\s*\]$"), F.decode(F.unhex(F.array_join(F.transform(F.from_json(v, "array<int>"), lambda b: F.lpad(F.hex(b), 2, "0")), "")), "UTF-8")).otherwise(v)
+    text = lambda v: F.when(v.rlike(r"^\[\s*\d+(\s*,\s*\d+)*\s*\]$"), utf8_text(F.unhex(F.array_join(F.transform(F.from_json(v, "array<int>"), lambda b: F.lpad(F.hex(b), 2, "0")), "")))).otherwise(v)
     fields = F.transform_values(F.map_filter("_m", lambda k, _: ~k.startswith("__")), lambda _, v: F.coalesce(text(v), F.lit("null")))
     return m.select(*[c for c in df.columns if c != line], fields.alias("fields"), F.try_element_at("_m", F.lit("__CURSOR")).alias("cursor"), F.try_element_at("_m", F.lit("__REALTIME_TIMESTAMP")).try_cast("long").alias("realtime"))

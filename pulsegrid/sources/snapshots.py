@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import to_double, unescape_octal, wrap32
+from ..functions.columns import to_double, unescape_octal, utf8_text, wrap32
 
 #: Fixed layouts of white-space separated lines: fewest columns, names of columns (from 0) and lines to skip.
 LAYOUTS = {
@@ -66,7 +66,7 @@ def token_snapshot(df: DataFrame, content: str = "content") -> DataFrame:
 def fixed_width_snapshot(df: DataFrame, line: str = "line") -> DataFrame:
     """Process status of fixed widths: name 28 bytes, user 28, state 12, then numbers (memory is the 7th)."""
     raw = F.encode(F.col(line), "UTF-8")
-    part = lambda a, n: F.trim(F.decode(F.substring(raw, a, n), "UTF-8"))
+    part = lambda a, n: F.trim(utf8_text(F.substring(raw, a, n)))
     numbers = F.transform(F.split(part(69, 1 << 30), r"\s+"), lambda x: x.try_cast("long"))
     return df.select(*[c for c in df.columns if c != line], part(1, 28).alias("name"), part(29, 28).alias("user"), part(57, 12).alias("state"), numbers.alias("numbers")).filter(F.size("numbers") >= 9).withColumn("memory_kb", F.get("numbers", F.lit(6)))
 

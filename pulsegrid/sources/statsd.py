@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import to_double
+from ..functions.columns import to_double, utf8_text
 
 _NONE = "array<string>"
 
@@ -77,8 +77,8 @@ def parse_event(line: Column) -> Column:
     body = F.substring(F.encode(line, "UTF-8"), size + 1, F.lit(1 << 30))
     title, bar = F.substring(body, F.lit(1), tl), F.substring(body, tl + 1, F.lit(1))
     text = F.substring(body, tl + 2, el)
-    opts = F.split(F.decode(F.substring(body, tl + el + 2, F.lit(1 << 30)), "UTF-8"), r"\|", -1)
-    plain = lambda b: F.replace(F.decode(b, "UTF-8"), F.lit("\\n"), F.lit("\n"))
+    opts = F.split(utf8_text(F.substring(body, tl + el + 2, F.lit(1 << 30))), r"\|", -1)
+    plain = lambda b: F.replace(utf8_text(b), F.lit("\\n"), F.lit("\n"))
     ok = (size > 0) & (tl > 0) & (el >= 0) & (F.octet_length(title) == tl) & (bar == F.encode(F.lit("|"), "UTF-8")) & (F.octet_length(text) == el)
     get = lambda p: F.coalesce(_last(opts, p), F.lit(""))
     return F.when(ok, F.struct(plain(title).alias("msg_title"), plain(text).alias("msg_text"), F.coalesce(_last(opts, "d:").try_cast("long"), F.lit(0)).alias("timestamp"), get("p:").alias("priority"), get("t:").alias("alert_type"), get("h:").alias("host"), _tags(opts).alias("tags"), get("k:").alias("aggregation_key"), get("s:").alias("source_type_name")))

@@ -142,3 +142,11 @@ def test_stream_equals_batch(spark, tmp_path):
     key = lambda d: {(r.metric, r.ts): round(r.value, 9) for r in d.collect()}
     got = key(spark.table("flushed").withColumn("ts", F.col("window_end")).filter("metric <> 'end'"))
     assert got == key(flush.flush_metrics(spark.createDataFrame(rows, schema)))
+
+
+def test_cuts_inside_a_character(spark):
+    """Byte lengths and cuts that split a character, and byte arrays that aren't text, never fail a job."""
+    e = lines(spark, "_e{1,3}:\u00e9|a", "_e{1,1}:t|\u00e9", "_e{2,2}:\u00e9|\u00e9").select(statsd.parse_event(F.col("line")).alias("e")).select("e.*").collect()
+    assert [(r.msg_title, r.msg_text) for r in e] == [(None, None), ("t", "\ufffd"), ("\u00e9", "\u00e9")]
+    assert lines(spark, "x" * 44 + "\u00e9" * 5).select(C.truncate_text(F.col("line"))).first()[0] == "x" * 44 + "\ufffd..."
+    assert parse_journal(lines(spark, '{"MESSAGE":[255,104]}')).first().fields["MESSAGE"] == "\ufffdh"
