@@ -122,6 +122,15 @@ def state_code(os: Column, state: Column) -> Column:
     return F.when(os == "linux", linux).when(os == "words", words).otherwise(ps).cast("int")
 
 
+#: Scheduler words of each state bucket; any other word is `sleeping`.
+STATE_BUCKETS = {"running": ["Running", "Scheding"], "ready": ["Ready", "New"], "sleeping": [], "blocked": ["Queueing", "QueueingR", "QueueingW"], "stopped": ["Stopped"], "zombie": ["Moribund", "Dead"], "broken": ["Broken"]}
+
+
+def state_bucket(state: Column) -> Column:
+    """the bucket of a scheduler word; null counts as an unknown word."""
+    return F.coalesce(*[F.when(state.isin(*words), F.lit(b)) for b, words in STATE_BUCKETS.items() if words], F.lit("sleeping"))
+
+
 def metric_suffix(label: Column, reserved: Iterable[str] = ("total", "used", "free")) -> Column:
     s = F.regexp_replace(F.regexp_replace(F.lower(label), "[^a-z0-9]+", "_"), "^_+|_+$", "")
     s = F.when(s == "", F.lit("unknown")).otherwise(s)

@@ -10,6 +10,7 @@ from ..operators import counters, hosts
 from ..sources import snapshots
 from .recipes import PROCS, in_duck, in_spark, table
 
+WORDS = ["Running", "New", "QueueingR", "Stopped", "Dead", "Broken", "Pageout", "Fault", "Scheding"]
 STATES = ["F", "O", "P", "X"]
 MOUNTS = """
   SELECT concat('h', p_partkey % 5) AS host, cast('2024-01-01' AS timestamp) AS ts, p_partkey AS pos, concat('d', p_partkey % 37) AS device,
@@ -50,6 +51,13 @@ def state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.count_by_state(o, ["host"], "state", STATES)
 
 
+def state_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Processes by scheduler bucket, zeros included; the words go round with the event ids."""
+    word = F.get(F.array(*map(F.lit, WORDS)), (F.col("event_id") % 10).cast("int"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("host"), columns.state_bucket(word).alias("state"))
+    return hosts.count_by_state(e, ["host"], "state", list(columns.STATE_BUCKETS))
+
+
 def fs_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = counters.first_per_device(in_spark(spark, sf_dir, MOUNTS), ["proc", "tmpfs"])
     return hosts.fs_gauges(m).select("host", "device", "metric", F.round("value", 9).alias("value"))
@@ -185,7 +193,7 @@ def storage_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.storage_gauges(s.filter("host % 4 > 0"), s.select("host", "ts")).select("host", "metric", F.round("value", 9).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (state_counts, fs_gauges, mem_gauges, load_gauges, inventory, host_uuid, network_summary, share, shared_bytes, threads, cpu_topology, cpu_states, cpu_kernel_user, bins, sum_over_cpus, row_counts, snapshots_cols, snapshots_tokens, snapshots_ps, pid_stats, label_names, users_and_labels, storage_gauges)}
+QUERIES = {f.__name__: f for f in (state_counts, state_buckets, fs_gauges, mem_gauges, load_gauges, inventory, host_uuid, network_summary, share, shared_bytes, threads, cpu_topology, cpu_states, cpu_kernel_user, bins, sum_over_cpus, row_counts, snapshots_cols, snapshots_tokens, snapshots_ps, pid_stats, label_names, users_and_labels, storage_gauges)}
 
 
 def _long(keys: str, items: dict[str, str], rows: str) -> str:
@@ -199,6 +207,8 @@ _BACK = "SELECT host, ts, {} FROM (" + in_duck(STATE_TIMES) + ") WINDOW w AS (PA
 _SECONDS = "CAST(floor(epoch(ts)) AS BIGINT) AS ts"
 ORACLES = {
     "state_counts": f"SELECT host, state, count(*) FILTER (o_orderstatus = state) AS n FROM (SELECT o_custkey % 9 AS host, o_orderstatus, unnest({STATES!r}) AS state FROM orders) GROUP BY ALL",
+    "state_buckets": """SELECT host, state, count(*) FILTER (b = state) AS n FROM (SELECT user_id AS host, ['running', 'ready', 'blocked', 'stopped', 'zombie', 'broken', 'sleeping', 'sleeping', 'running', 'sleeping'][event_id % 10 + 1] AS b,
+        unnest(['running', 'ready', 'sleeping', 'blocked', 'stopped', 'zombie', 'broken']) AS state FROM events) GROUP BY ALL""",
     "fs_gauges": _long("host, device", {"total": "blocks * 4", "used": "(blocks - bfree) * 4", "free": "bavail * 4", "in_use": "(blocks - bfree)::DOUBLE / (blocks - bfree + bavail)", "inodes.total": "CASE WHEN files > 0 THEN files END", "inodes.free": "CASE WHEN files > 0 THEN ffree END", "inodes.used": "CASE WHEN files > 0 THEN files - ffree END", "inodes.in_use": "CASE WHEN files > 0 THEN (files - ffree)::DOUBLE / files END"}, f"(SELECT * FROM ({in_duck(MOUNTS)}) WHERE fstype <> 'proc' AND blocks > 0 QUALIFY row_number() OVER (PARTITION BY host, device ORDER BY pos) = 1)"),
     "mem_gauges": _long("host", {"total": "t / 1024", "free": "k / 4", "used": "t / 1024 - k / 4", "usable": "k / 2", "cached": "(k + 64) / 1024", "buffered": "0", "shared": "0", "slab": "0", "swap_total": "s * 2", "swap_free": "s / 2", "swap_used": "s * 1.5", "pct_usable": "k * 512 / t", "swap_pct_free": "CASE WHEN s > 0 THEN 0.25 END"}, "(SELECT c_custkey AS host, c_custkey::DOUBLE AS k, c_custkey::DOUBLE * 1024 + 9000 AS t, (c_custkey % 2)::DOUBLE AS s FROM customer)"),
     "load_gauges": _long("host", {"load.1": "host + 0.25", "load.5": "host + 1.5", "load.15": "host + 2.75", "load.norm.1": "(host + 0.25)::DOUBLE / n", "load.norm.5": "(host + 1.5)::DOUBLE / n", "load.norm.15": "(host + 2.75)::DOUBLE / n"}, "(SELECT c_custkey AS host, greatest(c_custkey % 5, 1) AS n FROM customer)"),
