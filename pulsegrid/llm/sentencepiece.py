@@ -17,8 +17,10 @@ from pyspark.sql import types as T
 from .suffix_dedup import multikey_order
 
 MARK = "▁"
-#: Code points that the longest piece may have, characters indexed at a time, and chunks a worker remembers.
-LONGEST, INDEXED, REMEMBERED = 16, 300_000, 120_000
+#: Code points that the longest piece may have, characters indexed at a time, chunks that a worker remembers, and
+#: pairs of pieces (a power of two) whose fit it remembers, each in the place its hash names.
+LONGEST, INDEXED, REMEMBERED, KNOWN = 16, 300_000, 120_000, 1 << 21
+_ODD = np.int64(0x9E3779B97F4A7C15 - (1 << 64))
 _CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
@@ -56,8 +58,7 @@ class Tokenizer:
         high = np.where(np.arange(LONGEST) < self.length[self.whole][:, None], codes, np.uint16(0xFFFF))
         self.low, self.high = self._pack(codes), self._pack(high)
         self.short = self.length[self.whole] <= 4
-        self.known = np.zeros(0, np.int64)
-        self.fits = np.zeros(0, bool)
+        self.known, self.fits = np.full(KNOWN, -1, np.int64), np.zeros(KNOWN, bool)
         self.spines: dict[tuple[int, int], list] = {}
         self.forget()
 
@@ -123,16 +124,17 @@ class Tokenizer:
 
     def _fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * len(self.pieces) + b
-        spot = np.searchsorted(self.known, key)
-        miss = (spot >= len(self.known)) | (self.known[np.minimum(spot, len(self.known) - 1)] != key) if len(self.known) else np.ones(len(key), bool)
+        spot = (key * _ODD >> np.int64(40)) & (KNOWN - 1)
+        miss = self.known[spot] != key
+        fits = self.fits[spot]
         if miss.any():
-            new = np.unique(key[miss])
-            fits = np.array([self._fit(*divmod(k, len(self.pieces))) for k in new.tolist()], bool)
-            keys = np.concatenate((self.known, new))
-            order = np.argsort(keys, kind="stable")
-            self.known, self.fits = keys[order], np.concatenate((self.fits, fits))[order]
-            spot = np.searchsorted(self.known, key)
-        return self.fits[spot]
+            new, back = np.unique(key[miss], return_inverse=True)
+            got = np.array([self._fit(*divmod(k, len(self.pieces))) for k in new.tolist()], bool)
+            fits[miss] = got[back]
+            spot = (new * _ODD >> np.int64(40)) & (KNOWN - 1)
+            spot, one = np.unique(spot, return_index=True)
+            self.known[spot], self.fits[spot] = new[one], got[one]
+        return fits
 
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Every occurrence of a piece in the indexed text: (position, piece)."""
@@ -140,7 +142,7 @@ class Tokenizer:
         four = (padded[:-3] << np.uint64(48)) | (padded[1:-2] << np.uint64(32)) | (padded[2:-1] << np.uint64(16)) | padded[3:]
         where = np.flatnonzero(codes)
         words = np.stack([four[where + 4 * j] for j in range(LONGEST // 4)], axis=1)
-        order = multikey_order(words) if len(where) else where
+        order = multikey_order(words, "quicksort") if len(where) else where
         index, words = where[order], words[order]
 
         def bound(q: np.ndarray, right: bool) -> np.ndarray:
@@ -171,19 +173,16 @@ class Tokenizer:
 
     def learn(self, chunks: list[str]) -> None:
         """Encode chunks that are not remembered yet."""
-        plain = []
-        for c in chunks:
-            if c.startswith(2 * MARK) or len(c) > 2000:
-                self._keep(c, self.merge(c))
-            else:
-                plain.append(c)
-        while plain:
-            take, size = 0, 0
-            while take < len(plain) and size < INDEXED:
-                size += len(plain[take]) + 1
-                take += 1
-            self._learn(plain[:take])
-            plain = plain[take:]
+        long = [c for c in chunks if len(c) > 2000 or c.startswith(2 * MARK)]
+        for c in long:
+            self._keep(c, self.merge(c))
+        plain = list(set(chunks).difference(long)) if long else chunks
+        ends = np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)) + 1)
+        a = 0
+        while a < len(plain):
+            z = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + INDEXED)) + 1
+            self._learn(plain[a:z])
+            a = z
 
     def _keep(self, chunk: str, symbols: list[int]) -> None:
         self.memory[chunk] = len(self.offset) - 1
@@ -208,7 +207,7 @@ class Tokenizer:
         pos, piece = np.concatenate((pos, odd)), np.concatenate((piece, np.full(len(odd), -1)))
         stop = pos + np.where(piece < 0, 1, self.length[piece])
         level = stop - np.repeat(begin, size + 1)[pos]
-        by = np.argsort(level, kind="stable")
+        by = np.argsort(level.astype(np.uint16), kind="stable")
         pos, piece, stop, level = pos[by], piece[by], stop[by], level[by]
         last = np.full(len(codes) + 1, -2)
         last[begin] = -1

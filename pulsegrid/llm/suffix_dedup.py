@@ -162,10 +162,10 @@ def _suffixes(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
     return docs.join(lists, ["r1", "r2"]).select("r1", "r2", "bytes", "runs").mapInArrow(run, "suffix binary, before binary, r1 long, r2 long, at int, first int, last int")
 
 
-def multikey_order(words: np.ndarray) -> np.ndarray:
+def multikey_order(words: np.ndarray, kind: str = "stable") -> np.ndarray:
     """The order of the rows of `words` (unsigned 64-bit characters), by multikey quicksort: sort by one character,
-    then only what is still equal by the next."""
-    order = np.argsort(words[:, 0], kind="stable")
+    then only what is still equal by the next. Equal rows keep their order if `kind` is stable."""
+    order = np.argsort(words[:, 0], kind=kind)
     lead = words[order, 0]
     group = np.cumsum(np.concatenate(([0], (lead[1:] != lead[:-1]).astype(np.int64))))
     for j in range(1, words.shape[1]):
