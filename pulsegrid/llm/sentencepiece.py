@@ -60,12 +60,21 @@ class Tokenizer:
         self.short = self.length[self.whole] <= 4
         self.known, self.fits = np.full(KNOWN, -1, np.int64), np.zeros(KNOWN, bool)
         self.spines: dict[tuple[int, int], list] = {}
-        self.forget()
-
-    def forget(self) -> None:
         self.memory: dict[str, int] = {}
+        self.hot: set[str] = set()
         self.flat, self.offset = array("i"), array("q", [0])
 
+    def forget(self) -> None:
+        """Forget the chunks that no batch has asked for again since the last time."""
+        names = list(self.hot)
+        offset, flat = np.array(self.offset, np.int64), np.array(self.flat, np.int32)
+        at = np.fromiter(map(self.memory.__getitem__, names), np.int64, len(names))
+        count = offset[at + 1] - offset[at]
+        total = np.concatenate(([0], np.cumsum(count)))
+        kept = flat[np.repeat(offset[at] - total[:-1], count) + np.arange(total[-1])]
+        self.memory, self.hot = dict(zip(names, range(len(names)))), set()
+        self.flat, self.offset = array("i", kept.tobytes()), array("q", total.astype(np.int64).tobytes())
+
     @staticmethod
     def _pack(codes: np.ndarray) -> np.ndarray:
         x = codes.reshape(len(codes), -1, 4).astype(np.uint64)
@@ -247,9 +256,11 @@ class Tokenizer:
         parts = [_CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.memory) > REMEMBERED:
             self.forget()
-        new = set().union(*parts).difference(self.memory)
+        asked = set().union(*parts)
+        new = asked.difference(self.memory)
+        self.hot.update(asked.difference(new))
         if new:
-            self.learn(sorted(new))
+            self.learn(list(new))
         chunk = np.fromiter(map(self.memory.__getitem__, chain.from_iterable(parts)), np.int64)
         offset, flat = np.array(self.offset, np.int64), np.array(self.flat, np.int32)
         start, count = offset[chunk], offset[chunk + 1] - offset[chunk]
