@@ -176,3 +176,11 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in mixed.collect()} == set(groups.values())
     coded = cp.STAGES[4][1](spark, mixed, SF).collect()
     assert len(coded) == mixed.count() and all(r.round_trip for r in coded)
+
+
+def test_copies_of_a_page_keep_their_lines(spark):
+    import corpus_pipeline as cp
+
+    rows = [(i, f"first line of {min(i, 20)}\nsecond line of {min(i, 20)}\nmenu", "en", "a", 0) for i in range(30)]
+    got = cp.drop_boilerplate(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF).collect()
+    assert {r.doc_id: r.text for r in got} == {i: f"first line of {min(i, 20)}\nsecond line of {min(i, 20)}" for i in range(30)}
