@@ -29,6 +29,11 @@ def row_key(*cols: str | Column) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(17), *cols), F.xxhash64(F.lit(71), *cols)
 
 
+def full_key(cols: list[str]) -> tuple[Column, Column]:
+    """`row_key` of `cols` in which a null is a value of its own, wherever it stands."""
+    return row_key(*[x for c in cols for x in (F.col(c).isNull(), F.col(c))])
+
+
 def words_in(col: str | Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")

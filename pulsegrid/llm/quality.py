@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_per_key
+from .common import cut, full_key, join_per_key, row_key
 
 _LINES = "array<struct<a: bigint, b: bigint, words: bigint>>"
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -44,7 +44,8 @@ def measure(text: str) -> tuple[int, int, int, int, int, dict[bytes, int]]:
 
 
 def features(df: DataFrame, doc_id: str, host: str, text: str) -> DataFrame:
-    """A row for each row: the counts of `measure`, the text's 128-bit digest and those of its distinct lines."""
+    """A row for each row: the counts of `measure`, the row's key (k1, k2), the text's 128-bit digest (t1, t2) and those
+    of its distinct lines."""
     kind = df.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,25 +57,27 @@ def features(df: DataFrame, doc_id: str, host: str, text: str) -> DataFrame:
 
         line = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("words", pa.int64())]))
         for b in batches:
-            counts, keys, lines = [], [], []
+            counts, lines = [], []
             for t in b.column(2):
                 text = t.as_py() or ""
                 *numbers, found = measure(text)
                 counts.append(numbers)
-                keys.append(key(text.encode("utf-8", "surrogatepass")))
                 lines.append([{"a": k[0], "b": k[1], "words": n} for x, n in found.items() for k in (key(x),)])
-            cols = [pa.array(c, pa.int64()) for c in (*zip(*counts), *zip(*keys))] if counts else [pa.array([], pa.int64())] * 7
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, pa.array(lines, line)], names=["doc_id", "host", *NUMBERS, "t1", "t2", "lines"])
+            cols = [pa.array(c, pa.int64()) for c in zip(*counts)] if counts else [pa.array([], pa.int64())] * 5
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in (0, 1, 3, 4, 5, 6)), *cols, pa.array(lines, line)], names=["doc_id", "host", *KEYS, *NUMBERS, "lines"])
 
-    return df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.col(text).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, host string, {', '.join(f'{n} long' for n in NUMBERS)}, t1 long, t2 long, lines {_LINES}")
+    keys = [k.alias(n) for n, k in zip(KEYS, (*full_key([doc_id, host, text]), *row_key(F.coalesce(F.col(text), F.lit("")))))]
+    return df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.col(text).alias("text"), *keys).mapInArrow(
+        run, f"doc_id {kind}, host string, {', '.join(f'{n} long' for n in [*KEYS, *NUMBERS])}, lines {_LINES}")
 
 
 NUMBERS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+KEYS = ["k1", "k2", "t1", "t2"]
 
 
 def judge(df: DataFrame, max_ratio: float = 0.4, min_docs: int = 20, min_left: float = 0.2, doc_id: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
-    """Judge every document; returns doc_id, the counts, n_common_words, base_failed and kept, a row for each row.
+    """Judge every document; returns doc_id, the counts, n_common_words, base_failed and kept, a row for each row, with
+    the row's key (k1, k2), `full_key` of doc_id, host and text.
 
     base_failed: fewer than 50 words, or over half of the words in 3-word windows that occur twice or more.
     Lines are normalised (lower case A-Z, one space between words) and hashed; for each host the distinct documents
@@ -99,10 +102,12 @@ def judge(df: DataFrame, max_ratio: float = 0.4, min_docs: int = 20, min_left: f
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = join_per_key(rows, common, "host", F.col("t1"), "left").withColumn("n_common_words", n_common).withColumn("base_failed", failed)
     left = F.col("n_words") - F.col("n_common_words")
-    return judged.select("doc_id", *NUMBERS, "n_common_words", "base_failed", (~F.col("base_failed") & (left >= F.lit(min_left) * F.col("n_words"))).alias("kept"), "t1", "t2")
+    return judged.select("doc_id", *NUMBERS, "n_common_words", "base_failed", (~F.col("base_failed") & (left >= F.lit(min_left) * F.col("n_words"))).alias("kept"), "k1", "k2")
 
 
-def keep_good(df: DataFrame, **options) -> DataFrame:
-    """The rows of `df`, whole, that `judge` keeps."""
-    good = judge(df, **options).filter("kept").select("doc_id").distinct()
-    return df.join(good, "doc_id", "left_semi")
+def keep_good(df: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text", **options) -> DataFrame:
+    """The rows of `df`, whole, that `judge` keeps. Rows are told apart by doc_id, host and text, so that rows without
+    a doc_id, or with another row's, go by their own verdict."""
+    good = judge(df, doc_id=doc_id, host=host, text=text, **options).filter("kept").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
+    k1, k2 = full_key([doc_id, host, text])
+    return df.withColumns({"_k1": k1, "_k2": k2}).join(good, ["_k1", "_k2"], "left_semi").drop("_k1", "_k2")

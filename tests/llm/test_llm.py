@@ -184,3 +184,10 @@ def test_copies_of_a_page_keep_their_lines(spark):
     rows = [(i, f"first line of {min(i, 20)}\nsecond line of {min(i, 20)}\nmenu", "en", "a", 0) for i in range(30)]
     got = cp.drop_boilerplate(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF).collect()
     assert {r.doc_id: r.text for r in got} == {i: f"first line of {min(i, 20)}\nsecond line of {min(i, 20)}" for i in range(30)}
+
+
+def test_rows_without_an_id_of_their_own_are_judged_by_row(spark):
+    good = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(4)]
+    rows = [(None, good[0], "a"), (None, "short", "a"), (1, good[1], "a"), (1, "short", "a"), (2, good[2], None), (2, None, "a"), (3, good[3], "b")]
+    kept = quality.keep_good(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert Counter(map(tuple, kept)) == Counter(r for r in rows if r[1] in good)
