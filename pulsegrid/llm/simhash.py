@@ -10,32 +10,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, full_key
 from .components import components
 
 #: Distinct fingerprints that one task compares at a time; larger buckets are cut into a grid of such blocks.
 BLOCK = 2000
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """Bit i is 1 if it is set in over half of the text's shingle hashes; 0 for a text without words."""
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """Hashes of the text's shingles in their order; a shorter text is one shingle, one without words has none."""
     import xxhash
 
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(words, len(parts))
     h = xxhash.xxh64_intdigest
-    hashes = np.fromiter((h(joined[s:e], 42) for s, e in zip(starts[: len(parts) - k + 1].tolist(), ends[k - 1 :].tolist())), np.uint64, len(parts) - k + 1)
+    return np.fromiter((h(joined[s:e], 42) for s, e in zip(starts[: len(parts) - k + 1].tolist(), ends[k - 1 :].tolist())), np.uint64, len(parts) - k + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is 1 if it is set in over half of the hashes; 0 where there are none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         ones += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """Bit i is 1 if it is set in over half of the text's shingle hashes; 0 for a text without words."""
+    return majority(shingles(text, words))
+
+
 def fingerprints(df: DataFrame, words: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`(doc_id, fp)`, a row for each row; fp holds the 64 bits as a signed long."""
 
@@ -139,3 +148,167 @@ def near_duplicates(df: DataFrame, words: int = 4, bits: int = 4, doc_id: str =
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = member.join(least, "root").select("fp", "component_id")
     return docs.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: For `similar`: 64-bit words of a wide fingerprint, bits of an index key, deals of all bits into keys, differing bits of
+#: a candidate pair, candidates a list gives a node besides a spanning forest, and nodes in one block of a long list.
+WIDE, KEY_BITS, DEALS, WIDE_BITS, NEAREST, WIDE_BLOCK = 4, 16, 4, 64, 2, 1000
+
+
+def _again(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th independent hash of hashes (splitmix64); the 0-th is the hash itself."""
+    if not k:
+        return hashes
+    z = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+_W = [f"w{k}" for k in range(WIDE)]
+
+
+def _nodes(df: DataFrame, words: int) -> DataFrame:
+    """`(k1, k2, id, node, n, w0..)` for `(k1, k2, id, text)`: the digest and size of the set of shingles, and its fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            out = np.zeros((b.num_rows, 2 + WIDE), np.uint64)
+            for i, t in enumerate(b.column(3)):
+                found = np.unique(shingles(t.as_py(), words))
+                out[i] = [xxhash.xxh64_intdigest(found.tobytes()), len(found), *(majority(_again(found, k)) for k in range(WIDE))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(c.copy()) for c in out.view(np.int64).T)], names=["k1", "k2", "id", "node", "n", *_W])
+
+    return df.mapInArrow(run, "k1 long, k2 long, id long, node long, n long, " + ", ".join(f"{w} long" for w in _W))
+
+
+def _cells(nodes: DataFrame, whole: bool) -> DataFrame:
+    """The index lists of every node: all bits of the fingerprint are dealt into keys, DEALS times in another order."""
+    bits = 64 * WIDE
+    orders = [np.random.RandomState(k).permutation(bits) for k in range(DEALS)]
+    keys = bits // KEY_BITS * DEALS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                cols = [np.asarray(c) for c in part.columns]
+                on = np.unpackbits(np.ascontiguousarray(np.stack(cols[2:], axis=1)).view(np.uint8), axis=1)
+                dealt = np.ascontiguousarray(np.concatenate([np.packbits(on[:, o], axis=1) for o in orders], axis=1)).view(np.uint16)
+                cell = (dealt.astype(np.int64) + (np.arange(keys, dtype=np.int64) << KEY_BITS)).ravel()
+                rest = [pa.array(np.repeat(c, keys)) for c in cols] if whole else []
+                yield pa.RecordBatch.from_arrays([pa.array(cell), *rest], names=["cell", *(["node", "n", *_W] if whole else [])])
+
+    cols = ["node", "n", *_W]
+    return nodes.select(*cols).mapInArrow(run, ", ".join(f"{c} long" for c in ["cell", *(cols if whole else [])]))
+
+
+def _chosen(cell: np.ndarray, n: np.ndarray, fps: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates among rows sorted by cell: pairs of a cell whose sizes allow `similarity` and that differ in at most
+    WIDE_BITS bits; of them each row's NEAREST nearest and a minimum spanning forest."""
+    left, right, far = [], [], []
+    at, d = np.arange(len(cell)), 0
+    while True:
+        d += 1
+        at = at[at + d < len(cell)]
+        at = at[cell[at] == cell[at + d]]
+        if not len(at):
+            break
+        m = at[np.minimum(n[at], n[at + d]) >= similarity * np.maximum(n[at], n[at + d]) - 1e-9]
+        apart = np.bitwise_count(fps[m] ^ fps[m + d]).sum(axis=1, dtype=np.int64)
+        near = apart <= WIDE_BITS
+        left.append(m[near])
+        right.append(m[near] + d)
+        far.append(apart[near])
+    if not left:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    a, b, far = map(np.concatenate, (left, right, far))
+    order = np.lexsort((b, a, far))
+    a, b = a[order], b[order]
+    ends, pair = np.concatenate((a, b)), np.tile(np.arange(len(a)), 2)
+    by = np.lexsort((pair, ends))
+    first = np.searchsorted(ends[by], ends[by])
+    take = [pair[by][np.arange(len(by)) - first < NEAREST]]
+    label, left = np.arange(len(cell)), np.arange(len(a))
+    while len(left := left[label[a[left]] != label[b[left]]]):  # the nearest pair out of every part, until none is left
+        x, y = label[a[left]], label[b[left]]
+        least = np.full(len(cell), len(a))
+        np.minimum.at(least, x, left)
+        np.minimum.at(least, y, left)
+        best = np.unique(least[least < len(a)])
+        take.append(best)
+        x, y, to = label[a[best]], label[b[best]], np.arange(len(cell))
+        while (to[x] != to[y]).any():
+            low = np.minimum(to[x], to[y])
+            np.minimum.at(to, x, low)
+            np.minimum.at(to, y, low)
+            to = to[to]
+        while (to != to[to]).any():
+            to = to[to]
+        label = to[label]
+    take = np.unique(np.concatenate(take))
+    return a[take], b[take]
+
+
+def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
+    """`(a, b)`, a < b: pairs of nodes that share an index list and are near by their fingerprints. A list too long for
+    one task is cut into blocks, and every pair of blocks is a task of its own."""
+    long = _cells(nodes, False).groupBy("cell").agg(F.count("*").alias("c")).filter(F.col("c") > WIDE_BLOCK).select("cell", F.ceil(F.col("c") / WIDE_BLOCK).cast("int").alias("g"))
+    grid = _cells(nodes, True).join(F.broadcast(long), "cell", "left").withColumn("g", F.coalesce("g", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+    dealt = grid.withColumn("c", F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda x: F.struct(F.least(x, F.col("b")).alias("lo"), F.greatest(x, F.col("b")).alias("hi")))))
+    dealt = dealt.select("cell", F.col("c.lo").cast("long").alias("lo"), F.col("c.hi").cast("long").alias("hi"), "node", "n", *_W)
+    dealt = dealt.repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(cols: list[np.ndarray]) -> pa.RecordBatch:
+            new = np.concatenate(([True], (np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)))
+            a, b = _chosen(np.cumsum(new), cols[4], np.stack(cols[5:], axis=1).view(np.uint64), similarity)
+            return pa.RecordBatch.from_arrays([pa.array(cols[3][a]), pa.array(cols[3][b])], names=["a", "b"])
+
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            cols = [np.asarray(c) for c in batch.columns]
+            held = cols if held is None else [np.concatenate(p) for p in zip(held, cols)]
+            same = np.flatnonzero(np.logical_and.reduce([c == c[-1] for c in held[:3]]))[0]
+            if same:
+                yield found([c[:same] for c in held])
+                held = [c[same:] for c in held]
+        if held is not None:
+            yield found(held)
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def similar(df: DataFrame, cols: list[str], words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`(k1, k2, root)`: for each row of `df`, by its `full_key` of `cols`, the group that it is in.
+
+    Texts are sets of shingles of `words` words. Two texts link if the Jaccard similarity of their sets, counted in
+    full, is at least `similarity`; groups are what links join. Pairs to be counted come from SimHash fingerprints
+    of WIDE * 64 bits, indexed under keys of KEY_BITS bits: so some links may be missed, but none is wrong. In a list
+    that holds many near copies each text gives its nearest ones and a spanning forest, not all pairs. Texts with
+    one set (all without words, too) are one node. Null doc_ids and repeated rows are rows like others.
+    Also returns `id`, the doc_id. An empty table gives an empty table.
+    """
+    k1, k2 = full_key(cols)
+    keyed = df.select(k1.alias("k1"), k2.alias("k2"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = cut(_nodes(keyed, words))
+    nodes = rows.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first("n").alias("n"), *[F.first(w).alias(w) for w in _W])
+    pairs = cut(candidates(nodes.filter("n > 0"), similarity))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "k.k1", "k.k2"), "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                part = b.slice(at, 200)
+                sets = [np.unique(shingles(t.as_py(), words)).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
+
+    texts = keyed.join(wanted, ["k1", "k2"]).dropDuplicates(["node"]).select("node", "text")
+    sets = cut(texts.mapInArrow(run, "node long, s array<long>"))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    linked = both.select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb")).alias("t")).filter(F.col("i") >= F.lit(similarity) * (F.col("t") - F.col("i")) - F.lit(1e-9))
+    reach = components(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return rows.select("k1", "k2", "id", "node").join(reach, "node", "left").select("k1", "k2", "id", F.coalesce("root", "node").alias("root"))

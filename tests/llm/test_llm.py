@@ -191,3 +191,52 @@ def test_rows_without_an_id_of_their_own_are_judged_by_row(spark):
     rows = [(None, good[0], "a"), (None, "short", "a"), (1, good[1], "a"), (1, "short", "a"), (2, good[2], None), (2, None, "a"), (3, good[3], "b")]
     kept = quality.keep_good(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert Counter(map(tuple, kept)) == Counter(r for r in rows if r[1] in good)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import sentencepiece as lib
+
+    import corpus_pipeline as cp
+
+    rng = random.Random(3)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = [(i, text(90 + i)) for i in range(60)]
+    for i in range(60):  # up to five words apart, so similarities lie on both sides of 0.8
+        near = list(rows[i][1])
+        for k in rng.sample(range(len(near)), i % 6):
+            near[k] = f"x{rng.randrange(10**6)}"
+        rows.append((100 + i, near))
+    rows += [(200 + i, rows[0][1][:k] + [f"y{i}"] + rows[0][1][k + 1 :]) for i, k in enumerate(range(0, 80, 2))]
+    rows += [(None, text(70)), (None, rows[5][1]), (7, text(75)), (300, ["short"])]
+    rows = [(d, " ".join(t) + "\nthe same menu", "en", "a", 0) for d, t in rows]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+
+    left = [(d, t.split("\n")[0]) for d, t, *_ in rows if len(t.split()) >= 50]
+
+    def grams(t):
+        p = t.split()
+        return {tuple(p[i : i + 5]) for i in range(len(p) - 4)}
+
+    sets, root = [grams(t) for _, t in left], list(range(len(left)))
+    alike = [(i, j) for i in range(len(left)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in left:
+        for i, j in alike:
+            root[i] = root[j] = min(root[i], root[j])
+    groups = defaultdict(list)
+    for r, x in zip(root, left):
+        groups[r].append(x)
+    kept = [min(g, key=lambda x: (x[0] is None, x[0] or 0)) for g in groups.values()]
+    assert len(left) > len(kept) > 60
+    sp = lib.SentencePieceProcessor(model_file=model_path())
+    got = cp.run(spark, str(tmp_path)).collect()
+    assert all(r.round_trip for r in got)
+    assert Counter((r.doc_id, tuple(r.tokens)) for r in got) == Counter((d, tuple(sp.encode(t))) for d, t in kept)
+
+
+def test_near_dedup_tells_rows_apart_without_ids(spark):
+    import corpus_pipeline as cp
+
+    texts = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(4)]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (5, texts[1]), (6, texts[2]), (6, texts[3])]
+    df = spark.createDataFrame([(d, t, "en", "a", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert Counter((r.doc_id, r.text) for r in cp.drop_near_copies(spark, df, SF).collect()) == Counter([(None, texts[0]), (5, texts[1]), (6, texts[2]), (6, texts[3])])
