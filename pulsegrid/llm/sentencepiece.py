@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
-from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,21 +18,42 @@ from pyspark.sql import types as T
 from .suffix_dedup import multikey_order
 
 MARK = "▁"
-#: Code points that the longest piece may have, characters indexed at a time, chunks that a worker remembers, and
-#: pairs of pieces (a power of two) whose fit it remembers, each in the place its hash names.
-LONGEST, INDEXED, REMEMBERED, KNOWN = 16, 300_000, 120_000, 1 << 21
+#: Characters indexed at a time, chunks that a worker remembers, and pairs of pieces (a power of two) whose fit it
+#: remembers, each in the place its hash names. They bound memory; no result depends on them.
+INDEXED, REMEMBERED, KNOWN = 200_000, 300_000, 1 << 21
 _ODD = np.int64(0x9E3779B97F4A7C15 - (1 << 64))
 _CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+#: Stands before a chunk that has no space in front.
+_BARE = "\x01"
 
 
 def load(path: str) -> dict:
-    """What encoding needs of a model file, read on the driver: pieces, ranks, byte pieces."""
+    """What encoding needs of a model file, read on the driver: pieces, ranks, byte pieces, and the file's digest."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     n = sp.get_piece_size()
     plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-    return {"pieces": [sp.id_to_piece(i) for i in plain], "ids": plain, "ranks": [-sp.get_score(i) for i in plain], "bytes": {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}, "size": n}
+    return {"pieces": [sp.id_to_piece(i) for i in plain], "ids": plain, "ranks": [-sp.get_score(i) for i in plain], "bytes": {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}, "size": n, "digest": hashlib.sha256(Path(path).read_bytes()).hexdigest()}
+
+
+class Places(dict):
+    """Chunk to its place; one that is asked for the first time gets the next place and is listed as new."""
+
+    def __init__(self, chunks: list[str]):
+        super().__init__(zip(chunks, range(len(chunks))))
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self.new.append(chunk)
+        place = self[chunk] = len(self)
+        return place
+
+
+def _ragged(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows that have `count` items each: the row of every item, and its number within the row."""
+    row = np.repeat(np.arange(len(count)), count)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
 
 
 class Tokenizer:
@@ -40,8 +62,8 @@ class Tokenizer:
     def __init__(self, model: dict):
         self.pieces, self.ids, self.ranks = model["pieces"], np.array(model["ids"]), model["ranks"]
         self.at = {p: k for k, p in enumerate(self.pieces)}
-        if any("\n" in p or (MARK in p.lstrip(MARK)) or (p.startswith(2 * MARK) and p.strip(MARK)) or len(p) > LONGEST for p in self.pieces):
-            raise ValueError("pieces across words or lines, or longer than 16 characters")
+        if any("\n" in p or (MARK in p.lstrip(MARK)) or (p.startswith(2 * MARK) and p.strip(MARK)) for p in self.pieces):
+            raise ValueError("pieces across words or lines")
         self.byte = [model["bytes"][b] for b in range(256)]
         chars = sorted({c for p in self.pieces for c in p})
         if any(c not in self.at for c in chars) or len(chars) > 65_000:
@@ -49,31 +71,34 @@ class Tokenizer:
         self.code = np.zeros(0x110000, np.uint16)
         self.code[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
         self.split: dict[int, tuple[int, int]] = {}
-        whole = [k for k, p in enumerate(self.pieces) if not p.startswith(2 * MARK) and self.merge(p, k) == [k]]
+        whole = [k for k, p in enumerate(self.pieces) if self.merge(p, k) == [k]]
         self.whole = np.array(whole)
         self.length = np.array([len(p) for p in self.pieces])
-        codes = np.zeros((len(whole), LONGEST), np.uint16)
+        self.longest = -(-int(self.length.max()) // 4) * 4
+        codes = np.zeros((len(whole), self.longest), np.uint16)
         for r, k in enumerate(whole):
             codes[r, : len(self.pieces[k])] = self.code[[ord(c) for c in self.pieces[k]]]
-        high = np.where(np.arange(LONGEST) < self.length[self.whole][:, None], codes, np.uint16(0xFFFF))
+        high = np.where(np.arange(self.longest) < self.length[self.whole][:, None], codes, np.uint16(0xFFFF))
         self.low, self.high = self._pack(codes), self._pack(high)
         self.short = self.length[self.whole] <= 4
         self.known, self.fits = np.full(KNOWN, -1, np.int64), np.zeros(KNOWN, bool)
-        self.spines: dict[tuple[int, int], list] = {}
-        self.memory: dict[str, int] = {}
-        self.hot: set[str] = set()
-        self.flat, self.offset = array("i"), array("q", [0])
+        cuts = ((self.at.get(p[:i]), self.at.get(p[i:]), self.ranks[k]) for k, p in enumerate(self.pieces) for i in range(1, len(p)))
+        joins = {x * len(self.pieces) + y: rank for x, y, rank in cuts if x is not None and y is not None}
+        self.joins = np.array(sorted(joins) or [-1], np.int64)
+        self.join_ranks = np.array([joins.get(k, 0.0) for k in self.joins.tolist()])
+        self.spines = [self._spines(side) for side in (0, 1)]
+        self.keep([], np.zeros(0, np.int32), np.zeros(1, np.int64))
+
+    def keep(self, chunks: list[str], flat: np.ndarray, offset: np.ndarray) -> None:
+        """Remember these chunks and their ids, and nothing else."""
+        self.places, self.flat, self.offset, self.again = Places(chunks), flat, offset, np.zeros(len(chunks), bool)
 
     def forget(self) -> None:
         """Forget the chunks that no batch has asked for again since the last time."""
-        names = list(self.hot)
-        offset, flat = np.array(self.offset, np.int64), np.array(self.flat, np.int32)
-        at = np.fromiter(map(self.memory.__getitem__, names), np.int64, len(names))
-        count = offset[at + 1] - offset[at]
-        total = np.concatenate(([0], np.cumsum(count)))
-        kept = flat[np.repeat(offset[at] - total[:-1], count) + np.arange(total[-1])]
-        self.memory, self.hot = dict(zip(names, range(len(names)))), set()
-        self.flat, self.offset = array("i", kept.tobytes()), array("q", total.astype(np.int64).tobytes())
+        at = np.flatnonzero(self.again)
+        count = self.offset[at + 1] - self.offset[at]
+        row, step = _ragged(count)
+        self.keep(list(compress(self.places, self.again.tolist())), self.flat[self.offset[at][row] + step], np.concatenate(([0], np.cumsum(count))))
 
     @staticmethod
     def _pack(codes: np.ndarray) -> np.ndarray:
@@ -111,25 +136,34 @@ class Tokenizer:
                 push(prv[i])
         return [s for s, p in zip(sym, part) if p]
 
-    def _spine(self, k: int, side: int) -> list[tuple[str, float]]:
-        """The symbols that stand at one end of a piece while it is made, each with the rank that uses it up."""
-        if (got := self.spines.get((k, side))) is None:
-            out, end, x = [], float("inf"), k
+    def _spines(self, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each piece the symbols that stand at one end of it while it is made, each with the rank that uses it up:
+        where a piece's begin, how many they are, symbols, ranks."""
+        symbols, ranks, count = [], [], []
+        for k in range(len(self.pieces)):
+            end, x, n = float("inf"), k, len(symbols)
             while True:
-                out.append((self.pieces[x], end))
+                symbols.append(x)
+                ranks.append(end)
                 if x not in self.split:
                     break
                 end, x = self.ranks[x], self.split[x][side]
-            got = self.spines[k, side] = out
-        return got
+            count.append(len(symbols) - n)
+        return np.cumsum(count) - count, np.array(count), np.array(symbols), np.array(ranks)
 
-    def _fit(self, a: int, b: int) -> bool:
+    def _fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """May piece b follow piece a: no join across the border comes before one that uses up its parts."""
-        for x, used_x in self._spine(a, 1):
-            for y, used_y in self._spine(b, 0):
-                if (z := self.at.get(x + y)) is not None and self.ranks[z] < used_x and self.ranks[z] <= used_y:
-                    return False
-        return True
+        (begin_a, count_a, symbols_a, ranks_a), (begin_b, count_b, symbols_b, ranks_b) = self.spines[1], self.spines[0]
+        row, step = _ragged(count_a[a] * count_b[b])
+        i, j = np.divmod(step, count_b[b][row])
+        i, j = i + begin_a[a][row], j + begin_b[b][row]
+        key = symbols_a[i] * len(self.pieces) + symbols_b[j]
+        spot = np.minimum(np.searchsorted(self.joins, key), len(self.joins) - 1)
+        hit = np.flatnonzero(self.joins[spot] == key)
+        rank = self.join_ranks[spot[hit]]
+        out = np.ones(len(a), bool)
+        out[row[hit[(rank < ranks_a[i[hit]]) & (rank <= ranks_b[j[hit]])]]] = False
+        return out
 
     def _fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * len(self.pieces) + b
@@ -138,7 +172,7 @@ class Tokenizer:
         fits = self.fits[spot]
         if miss.any():
             new, back = np.unique(key[miss], return_inverse=True)
-            got = np.array([self._fit(*divmod(k, len(self.pieces))) for k in new.tolist()], bool)
+            got = self._fit(*np.divmod(new, len(self.pieces)))
             fits[miss] = got[back]
             spot = (new * _ODD >> np.int64(40)) & (KNOWN - 1)
             spot, one = np.unique(spot, return_index=True)
@@ -147,10 +181,10 @@ class Tokenizer:
 
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Every occurrence of a piece in the indexed text: (position, piece)."""
-        padded = np.concatenate((codes, np.zeros(LONGEST + 4, np.uint16))).astype(np.uint64)
+        padded = np.concatenate((codes, np.zeros(self.longest + 4, np.uint16))).astype(np.uint64)
         four = (padded[:-3] << np.uint64(48)) | (padded[1:-2] << np.uint64(32)) | (padded[2:-1] << np.uint64(16)) | padded[3:]
         where = np.flatnonzero(codes)
-        words = np.stack([four[where + 4 * j] for j in range(LONGEST // 4)], axis=1)
+        words = np.stack([four[where + 4 * j] for j in range(self.longest // 4)], axis=1)
         order = multikey_order(words, "quicksort") if len(where) else where
         index, words = where[order], words[order]
 
@@ -176,33 +210,22 @@ class Tokenizer:
 
         lo, hi = bound(self.low, False), bound(self.high, True)
         count = hi - lo
-        piece = np.repeat(self.whole, count)
-        step = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
-        return index[np.repeat(lo, count) + step], piece
-
-    def learn(self, chunks: list[str]) -> None:
-        """Encode chunks that are not remembered yet."""
-        long = [c for c in chunks if len(c) > 2000 or c.startswith(2 * MARK)]
-        for c in long:
-            self._keep(c, self.merge(c))
-        plain = list(set(chunks).difference(long)) if long else chunks
-        ends = np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)) + 1)
-        a = 0
-        while a < len(plain):
+        row, step = _ragged(count)
+        return index[lo[row] + step], self.whole[row]
+
+    def learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all `chunks`, and where each one's end; the spaces in front are part of a chunk."""
+        ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1)
+        ids, counts, a = [], [], 0
+        while a < len(chunks):
             z = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + INDEXED)) + 1
-            self._learn(plain[a:z])
+            got, count = self._learn(chunks[a:z])
+            ids.append(got)
+            counts.append(count)
             a = z
+        return np.concatenate(ids), np.cumsum(np.concatenate(counts))
 
-    def _keep(self, chunk: str, symbols: list[int]) -> None:
-        self.memory[chunk] = len(self.offset) - 1
-        for x in symbols:
-            if x >= 0:
-                self.flat.append(int(self.ids[x]))
-            else:
-                self.flat.extend(self.byte[b] for b in chr(-x - 1).encode("utf-8", "surrogatepass"))
-        self.offset.append(len(self.flat))
-
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         text = "\0".join(chunks) + "\0"
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         size = np.array([len(c) for c in chunks])
@@ -216,7 +239,7 @@ class Tokenizer:
         pos, piece = np.concatenate((pos, odd)), np.concatenate((piece, np.full(len(odd), -1)))
         stop = pos + np.where(piece < 0, 1, self.length[piece])
         level = stop - np.repeat(begin, size + 1)[pos]
-        by = np.argsort(level.astype(np.uint16), kind="stable")
+        by = np.argsort(level.astype(np.uint16) if int(size.max()) < 1 << 16 else level, kind="stable")
         pos, piece, stop, level = pos[by], piece[by], stop[by], level[by]
         last = np.full(len(codes) + 1, -2)
         last[begin] = -1
@@ -228,7 +251,8 @@ class Tokenizer:
                 ok[ask] = self._fits(before[ask], p[ask])
             last[stop[a:z][ok]] = p[ok]
         # walk every chunk back from its end; then the tokens of all chunks in order
-        now, rows, steps = begin + size, np.arange(len(chunks)), []
+        rows, steps = np.flatnonzero(size), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        now = (begin + size)[rows]
         while len(rows):
             p = last[now]
             now = now - np.where(p < 0, 1, self.length[p])
@@ -246,27 +270,35 @@ class Tokenizer:
             ids = np.repeat(ids, count)
             ids[ids < 0] = [b for r in raw for b in r]
             spot = np.repeat(spot, count)
-        ends = np.searchsorted(spot, begin + size) + len(self.flat)
-        self.memory.update(zip(chunks, range(len(self.offset) - 1, len(self.offset) - 1 + len(chunks))))
-        self.flat.extend(ids.tolist())
-        self.offset.extend(ends.tolist())
+        ends = np.searchsorted(spot, begin + size)
+        return ids.astype(np.int32), np.diff(ends, prepend=0)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All token ids, and where each text's begin and end."""
-        parts = [_CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.memory) > REMEMBERED:
+        if len(self.places) > REMEMBERED:
             self.forget()
-        asked = set().union(*parts)
-        new = asked.difference(self.memory)
-        self.hot.update(asked.difference(new))
-        if new:
-            self.learn(list(new))
-        chunk = np.fromiter(map(self.memory.__getitem__, chain.from_iterable(parts)), np.int64)
-        offset, flat = np.array(self.offset, np.int64), np.array(self.flat, np.int32)
-        start, count = offset[chunk], offset[chunk + 1] - offset[chunk]
+        parts, was = list(map(_chunks, texts)), len(self.places)
+        chunk = np.fromiter(map(self.places.__getitem__, chain.from_iterable(parts)), np.int64)
+        if new := self.places.new:
+            ids, ends = self.learn([c[1:] if c[:1] == _BARE else MARK + c if c[:1] != MARK else c for c in new])
+            self.flat, self.offset = np.concatenate((self.flat, ids)), np.concatenate((self.offset, ends + len(self.flat)))
+            self.again = np.concatenate((self.again, np.zeros(len(new), bool)))
+            self.places.new = []
+        self.again[chunk[chunk < was]] = True
+        count = self.offset[chunk + 1] - self.offset[chunk]
         total = np.concatenate(([0], np.cumsum(count)))
-        ids = flat[np.repeat(start - total[:-1], count) + np.arange(total[-1])] if total[-1] else np.zeros(0, np.int32)
-        return ids, total[np.concatenate(([0], np.cumsum([len(p) for p in parts])))]
+        ids = self.flat[np.repeat(self.offset[chunk] - total[:-1], count) + np.arange(total[-1])]
+        return ids, total[np.concatenate(([0], np.cumsum(list(map(len, parts)), dtype=np.int64)))]
+
+
+def _chunks(text: str) -> list[str]:
+    """The chunks that no piece crosses: a word without the mark of the space in front of it, _BARE and a word where
+    none is, a newline as _BARE and itself; where several spaces meet, marks and what follows them."""
+    if not text:
+        return []
+    if "  " in text or text[0] == " " or MARK in text or _BARE in text:
+        return [c if c[0] == MARK else _BARE + c for c in _CHUNK.findall(MARK + text.replace(" ", MARK))]
+    return text.replace("\n", f" {_BARE}\n {_BARE}").split(" ") if "\n" in text else text.split(" ")
 
 
 def byte_table(model: dict) -> list[bytes]:
@@ -284,15 +316,14 @@ def text_of(ids: list[int], table: list[bytes]) -> str:
     return raw[raw[:1] == b" " :].decode("utf-8", "replace")
 
 
-_ready: dict[int, Tokenizer] = {}
+_ready: dict[str, Tokenizer] = {}
 
 
 def _tokenizer(model: dict) -> Tokenizer:
     """One tokenizer for each worker process and model."""
-    key = hash((tuple(model["pieces"][:2000:7]), model["size"]))
-    if key not in _ready:
-        _ready[key] = Tokenizer(model)
-    return _ready[key]
+    if model["digest"] not in _ready:
+        _ready[model["digest"]] = Tokenizer(model)
+    return _ready[model["digest"]]
 
 
 def _slices(sizes: list[int], size: int = 1_000_000) -> Iterator[tuple[int, int]]:
@@ -326,8 +357,8 @@ def encode(df: DataFrame, model_path: str, text: str = "text", tokens: str = "to
     Texts are cut at spaces and newlines, which no piece crosses. For each batch the distinct pieces of text that
     the worker has not met are joined, a suffix array over them is sorted, every vocabulary piece is looked up in
     it by binary search, and the occurrences, as edges sorted by where they end, are relaxed from left to right:
-    an edge holds if its piece may follow the one that holds at its start. That gives BPE's result. Runs of
-    spaces and words of over 2,000 characters are merged pair by pair. Unknown characters become bytes.
+    an edge holds if its piece may follow the one that holds at its start. That gives BPE's result. Unknown
+    characters become bytes.
 
     Null and empty texts have no tokens. Repeated rows are encoded alike. Columns of the two output names are
     replaced. An empty table gives an empty table. The model (a file of fixed size) is read on the driver.
