@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,13 +14,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the folder the cluster names in `spark.checkpoint.dir`; a fresh one only where that is unset."""
+    """Materialise `df` in the folder the cluster names in `spark.checkpoint.dir`. Only a local session, as in tests, gets
+    a folder of its own where that is unset; on a cluster such a folder would be lost with its machine."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with its columns called c0, c1, ..., which no helper column is called, and the new name of each."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -39,13 +49,23 @@ def words_in(col: str | Column) -> Column:
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-#: Ways that the rows of one key are spread when a table with a row or so for each key is joined to them.
-SALTS = 64
+#: A key with over 1 / HOT of all rows is hot. So there are at most HOT hot keys, whatever the data.
+HOT = 1000
+
+
+def hot_keys(sizes: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """`(key, ways)`, at most HOT rows: the hot keys of a table with the number of rows of each key, and the parts that a
+    hot key's rows are to be spread over."""
+    total = max(sizes.agg(F.sum(n)).first()[0] or 0, 1)
+    return sizes.filter(F.col(n) * HOT > total).select(key, F.ceil(F.col(n) * HOT / total).cast("int").alias("ways"))
 
 
-def join_per_key(rows: DataFrame, small: DataFrame, key: str, by: Column, how: str = "inner") -> DataFrame:
-    """Join `small`, one bounded row for each key, to `rows`, whose keys may be very hot: rows of a key are spread by
-    `by` over SALTS parts, and each part gets a copy of the key's row."""
-    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return spread.join(copies, [key, "_salt"], how).drop("_salt")
+def join_per_key(rows: DataFrame, small: DataFrame, key: str, by: Column, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """Join `small`, a few bounded rows for each key, to `rows`, whose keys may be very hot. Keys are counted (or given as
+    `hot`); the rows of hot ones are spread by `by` over parts, and each part gets a copy of the key's rows in `small`.
+    `rows` must be cheap to count by key."""
+    hot = hot_keys(cut(rows.groupBy(key).agg(F.count("*").alias("n"))), key) if hot is None else hot
+    ways = F.coalesce(F.col("ways"), F.lit(1))
+    spread = rows.join(F.broadcast(hot), key, "left").withColumn("salt", F.pmod(F.xxhash64(by), ways).cast("int")).drop("ways")
+    copies = small.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), ways - 1))).drop("ways")
+    return spread.join(copies, [key, "salt"], how).drop("salt")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_per_key, row_key
+from .common import cut, join_per_key, numbered, row_key
 
 
 def _key(line: Column) -> Column:
@@ -25,10 +25,11 @@ def boilerplate_lines(df: DataFrame, host: str, text: str, max_ratio: float, min
     each = pages.select(*[c for c in pages.columns if c != "_keys"], F.explode(keys).alias("_k"))
     # the null key, once a page, counts the host's pages in the same shuffle
     counts = (each.distinct() if distinct else each).groupBy("_host", "_k").agg(F.count("*").alias("_n"))
+    counts = cut(counts.filter(F.col("_k").isNull() | (F.col("_n") >= min_pages)))
     hosts = counts.filter(F.col("_k").isNull()).select("_host", F.col("_n").alias("_pages"))
     lines = counts.filter(F.col("_k").isNotNull() & (F.col("_n") >= min_pages))
     return (
-        lines.join(hosts, "_host").filter(F.col("_n") > F.lit(max_ratio) * F.col("_pages"))
+        join_per_key(lines, hosts, "_host", F.col("_k")).filter(F.col("_n") > F.lit(max_ratio) * F.col("_pages"))
         .groupBy("_host").agg(F.collect_list("_k").alias("_bad"))
     )
 
@@ -46,8 +47,9 @@ def dedup_lines(df: DataFrame, host: str = "source", text: str = "text", max_rat
     Ties don't matter: the rule is a threshold. All other columns pass through, whatever their names, but for
     `n_lines` and `n_dropped`, which are replaced. An empty table gives an empty table.
     """
+    (df, names), out = numbered(df), [c for c in df.columns if c not in ("n_lines", "n_dropped")]
+    host, text = names[host], names[text]
     bad = boilerplate_lines(df, host, text, max_ratio, min_pages, distinct)
-    out = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
     joined = join_per_key(df.withColumn("_host", F.coalesce(F.col(host), F.lit(""))), bad, "_host", F.col(text), "left")
     lines = F.split(F.col(text), "\n", -1)
     kept = F.when(F.col("_bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_bad"), _key(x)), F.lit(False))))
@@ -55,4 +57,4 @@ def dedup_lines(df: DataFrame, host: str = "source", text: str = "text", max_rat
     text_out = F.when(F.col(text).isNotNull(), F.array_join("_kept", "\n"))
     all_lines = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.col("_all")).cast("long")
     kept_lines = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size("_kept")).cast("long")
-    return joined.select(*[text_out.alias(text) if c == text else F.col(c) for c in out], all_lines.alias("n_lines"), (all_lines - kept_lines).alias("n_dropped"))
+    return joined.select(*[(text_out if names[c] == text else F.col(names[c])).alias(c) for c in out], all_lines.alias("n_lines"), (all_lines - kept_lines).alias("n_dropped"))

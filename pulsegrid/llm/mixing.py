@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, join_per_key, words_in
+from .common import cut, hot_keys, join_per_key, numbered, words_in
 
 #: Exponents tried at once in a round of the bisection, rounds, and rows that one block of a permutation holds.
 GRID, ROUNDS, BLOCK = 32, 8, 5000
@@ -59,43 +59,48 @@ def plan(df: DataFrame, max_epochs: float | None = 2.0, entropy: float | None =
     default it is the least that leaves no source under one epoch, so that no document is lost. Each source
     gets `epochs` = budget * weight / share (rounded to 9 places): whole permutations of its documents, then the
     first documents of one more permutation, as long as their tokens fit what is left. `copies` counts a row's
-    places in them.
+    places in them, and `place`, from 1, is its place in its source's permutation.
 
     A null source is a source of its own (''). Null and empty texts have no tokens and take no budget; a source
     without tokens has weight 0 and one copy of each row. Repeated rows are rows. Ties in the permutation go by
-    tokens, then text. Input columns n_tokens, weight, epochs, copies are replaced, all others pass. An empty table
+    tokens, then text. Input columns n_tokens, weight, epochs, copies, place are replaced, all others pass, whatever their names. An empty table
     gives an empty table. Hot sources are cut into blocks of the permutation, summed before any order is taken.
     """
-    new = ["n_tokens", "weight", "epochs", "copies"]
-    cols = [c for c in df.columns if c not in new]
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
-    rows = df.select(*cols, words_in(text).alias("n_tokens"), F.coalesce(F.col(source), F.lit("")).alias("_s"), order.alias("_o"), F.xxhash64(text).alias("_t"))
-    totals = rows.groupBy("_s").agg(F.sum("n_tokens").alias("total"), F.count("*").alias("rows"))
-    totals = cut(totals)
+    out = [c for c in df.columns if c not in ("n_tokens", "weight", "epochs", "copies", "place")]
+    df, names = numbered(df)
+    cols = [names[c] for c in out]
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(names[doc_id]).cast("string"), F.lit(""))))
+    rows = df.select(*cols, words_in(names[text]).alias("n_tokens"), F.coalesce(F.col(names[source]), F.lit("")).alias("s"), order.alias("o"), F.xxhash64(names[text]).alias("t"))
+    totals = cut(rows.groupBy("s").agg(F.sum("n_tokens").alias("total"), F.count("*").alias("rows")))
     whole = totals.agg(F.sum("total")).first()[0] or 0
+    hot = hot_keys(totals, "s", "rows")
     totals = totals.withColumn("share", F.col("total") / F.lit(float(max(whole, 1))))
     alpha = exponent(totals, max_epochs, entropy, budget)
     z, least = totals.filter("share > 0").agg(F.sum(F.pow("share", F.lit(alpha))), F.max(F.pow("share", F.lit(1 - alpha)))).first()
     scale = (budget / z if budget else least) if z else 1.0
     weights = totals.select(
-        "_s", "total",
+        "s", "total",
         F.when(F.col("share") > 0, F.pow("share", F.lit(alpha)) / F.lit(z or 1.0)).otherwise(F.lit(0.0)).alias("weight"),
         F.when(F.col("share") > 0, F.round(F.lit(scale) * F.pow("share", F.lit(alpha - 1.0)), 9)).otherwise(F.lit(1.0)).alias("epochs"),
         F.ceil(F.col("rows") / F.lit(BLOCK)).alias("blocks"),
     )
-    dealt = join_per_key(rows.select("_s", "_o", "_t", "n_tokens", *cols), weights, "_s", F.col("_o"))
-    dealt = dealt.withColumn("_b", F.floor(F.conv(F.substring("_o", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) * F.col("blocks")))
-    sums = join_per_key(rows.select("_s", "_o", "n_tokens"), weights.select("_s", "blocks"), "_s", F.col("_o")).withColumn("_b", F.floor(F.conv(F.substring("_o", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) * F.col("blocks"))).groupBy("_s", "_b").agg(F.sum("n_tokens").alias("_sum"))
-    before = sums.select("_s", "_b", (F.sum("_sum").over(Window.partitionBy("_s").orderBy("_b")) - F.col("_sum")).alias("_before"))
-    inside = F.sum("n_tokens").over(Window.partitionBy("_s", "_b").orderBy("_o", "n_tokens", "_t").rowsBetween(Window.unboundedPreceding, 0))
+    part = F.floor(F.conv(F.substring("o", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) * F.col("blocks")).alias("b")
+    dealt = join_per_key(rows, weights, "s", F.col("o"), hot=hot).select("*", part)
+    sums = join_per_key(rows.select("s", "o", "n_tokens"), weights.select("s", "blocks"), "s", F.col("o"), hot=hot).select("s", "n_tokens", part).groupBy("s", "b").agg(F.sum("n_tokens").alias("sum"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("s").orderBy("b")
+    before = sums.select("s", "b", (F.sum("sum").over(earlier) - F.col("sum")).alias("tokens_before"), (F.sum("n").over(earlier) - F.col("n")).alias("rows_before"))
+    inside = Window.partitionBy("s", "b").orderBy("o", "n_tokens", "t")
+    ranked = dealt.withColumns({"upto": F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "rank": F.row_number().over(inside)})
     full = F.floor("epochs")
     rest = F.floor(F.round((F.col("epochs") - full) * F.col("total"), 6))
-    return (
-        dealt.withColumn("_cum", inside).join(before, ["_s", "_b"])
-        .select(*cols, "n_tokens", "weight", "epochs", (full + F.when((F.col("epochs") > full) & (F.col("_before") + F.col("_cum") <= rest), 1).otherwise(0)).cast("long").alias("copies"))
-    )
+    one_more = (F.col("epochs") > full) & (F.col("tokens_before") + F.col("upto") <= rest)
+    return ranked.join(before, ["s", "b"]).select(
+        *(F.col(names[c]).alias(c) for c in out), "n_tokens", "weight", "epochs",
+        (full + F.when(one_more, 1).otherwise(0)).cast("long").alias("copies"), (F.col("rows_before") + F.col("rank")).alias("place"))
 
 
 def realise(planned: DataFrame) -> DataFrame:
-    """Each row as often as `copies` says, with `block`, the permutation that this copy stands in (from 1)."""
+    """Each row of `plan` as often as its `copies` says, with `block`, the permutation that this copy stands in (from 1);
+    `place` is its place in there. Rows without copies go, a column `block` is replaced, all others pass; an empty
+    table gives an empty table."""
     return planned.filter("copies > 0").withColumn("block", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
