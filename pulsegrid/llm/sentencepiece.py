@@ -20,7 +20,7 @@ from .suffix_dedup import multikey_order
 MARK = "▁"
 #: Characters indexed at a time, chunks that a worker remembers, and pairs of pieces (a power of two) whose fit it
 #: remembers, each in the place its hash names. They bound memory; no result depends on them.
-INDEXED, REMEMBERED, KNOWN = 200_000, 300_000, 1 << 21
+INDEXED, REMEMBERED, KNOWN = 200_000, 200_000, 1 << 21
 _ODD = np.int64(0x9E3779B97F4A7C15 - (1 << 64))
 _CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 #: Stands before a chunk that has no space in front.
