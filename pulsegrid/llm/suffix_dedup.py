@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, partitions, row_key
 
-#: Leading bytes of a suffix that choose it (a multiple of 8), starts of strings that one task scans at a time,
-#: and suffixes that one range of the sorted order holds.
-LEAD, SCAN, RANGE = 104, 1 << 19, 40_000
+#: Leading bytes of a suffix that choose it (a multiple of 8), bytes after them by which ranges are split, starts of
+#: strings that one task scans at a time, and suffixes that one range of the sorted order holds.
+LEAD, MORE, SCAN, RANGE = 104, 16, 1 << 19, 40_000
 _M64 = (1 << 64) - 1
 _ODD = 0x9E3779B97F4A7C15
 
@@ -139,7 +139,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 def _suffixes(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
     """`(suffix, before, r1, r2, at, first, last)`: the bytes from the anchor on and, reversed, those before it, as
     far as the run's strings reach."""
-    lists = chosen.groupBy("r1", "r2").agg(F.collect_list(F.struct("at", "first", "last")).alias("runs"))
+    lists = chosen.groupBy("r1", "r2").agg(F.collect_set(F.struct("at", "first", "last")).alias("runs"))  # rows that are equal have one list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -200,35 +200,57 @@ def _lcp(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
 
 
+def _same_bytes(full: np.ndarray, length: int, a: np.ndarray, b: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Are the strings of `length` bytes at column `col` of rows a and b of `full` equal, byte by byte?"""
+    key, back = np.unique(a.astype(np.int64) * len(full) + b, return_inverse=True)
+    out, by = np.zeros(len(a), bool), np.argsort(back, kind="stable")
+    ends = np.searchsorted(back[by], np.arange(0, len(key) + 2000, 2000))
+    for k, (s, e) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+        i, j = np.divmod(key[2000 * k : 2000 * (k + 1)], len(full))
+        wrong = np.zeros((len(i), full.shape[1] + 1), np.int16)
+        np.cumsum(full[i] != full[j], axis=1, out=wrong[:, 1:])
+        rows = by[s:e]
+        out[rows] = (wrong[:, length:] == wrong[:, :-length])[back[rows] - 2000 * k, col[rows]]
+    return out
+
+
 def _repeats(suffixes: DataFrame, length: int, ranges: int) -> DataFrame:
     """`(r1, r2, start, end, bucket, edge)`: repeated stretches, and what must be compared across ranges.
 
-    Sampled splitters deal the suffixes to ranges by their leading bytes, then by what comes before and by row, so
-    that a passage with very many copies fills several ranges. A range is sorted by multikey quicksort; suffixes
-    that share LEAD bytes then stand together, and two strings can only be equal in there and at the same offset.
-    Strings of the first and last such group may have equals in another range: their digests are sent on, in one
-    packed row for each bucket. A string whose part after the anchor is longer than what its suffix shares with
-    the range's outermost one can't have an equal beyond, and stays.
+    Sampled splitters deal the suffixes to ranges by their leading bytes: the first eight, a hash of the first LEAD, the
+    MORE after them, then by row, so that a passage with very many copies fills several ranges; a splitter is 40 bytes.
+    A range is sorted by multikey quicksort; suffixes that share LEAD bytes then stand together, and two strings can
+    only be equal in there and at the same offset. Equal ones are found by digests and compared byte by byte.
+    Strings of the range's outermost groups may have equals in another range: 128 bits of their SHA-256 are sent on, in
+    one packed row for each bucket. A string whose part after the anchor is longer than what its suffix shares with the
+    range's outermost one can't have an equal beyond, and stays.
     """
-    dealt = suffixes.repartitionByRange(ranges, "suffix", "before", "r1", "r2", "at")
+    keyed = suffixes.withColumns({"lead": F.xxhash64(F.substring("suffix", 1, LEAD)), "row": F.xxhash64("before", "r1", "r2", "at")})
+    dealt = keyed.repartitionByRange(ranges, F.substring("suffix", 1, 8), "lead", F.substring("suffix", LEAD + 1, MORE), "row")
     left, width = length - LEAD, length - LEAD + length
-    refs = np.dtype([("digest", "<u8"), ("r1", "<i8"), ("r2", "<i8"), ("start", "<i4"), ("dup", "<i4")])
+    refs = np.dtype([("digest", "S16"), ("r1", "<i8"), ("r2", "<i8"), ("start", "<i4"), ("dup", "<i4")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).combine_chunks() if (batches := list(batches)) else None
+        table = pa.Table.from_batches(batches).combine_chunks() if (batches := list(batches)) else None
         if table is None or not table.num_rows:
             return
         hasher, n = Hasher(width + 1), table.num_rows
         suffix, before = (_matrix(table.column(k).chunk(0), w) for k, w in ((0, length), (1, left)))
         order = multikey_order(np.hstack((suffix, before)).view(">u8").astype(np.uint64))
-        suffix, before = suffix[order], before[order]
-        r1, r2, at, first, last = (np.asarray(table.column(k))[order] for k in range(2, 7))
+        suffix = suffix[order]
+        full = np.hstack((before[order, ::-1], suffix))
+        r1, r2, at, first, last, lead, own = (np.asarray(table.column(k))[order] for k in range(2, 9))
+        del table, before
         same = (suffix[1:, :LEAD] == suffix[:-1, :LEAD]).all(axis=1)
         group = np.cumsum(np.concatenate(([0], ~same)))
+        more = suffix[:, LEAD : LEAD + MORE]
+        words = np.ascontiguousarray(np.hstack((suffix[:, :8], more))).view(">u8")
+        dealt_by = np.lexsort((own, words[:, 2], words[:, 1], lead, words[:, 0]))
         reach = np.zeros(n, np.int64)
-        for g, end in ((group[0], 0), (group[-1], -1)):
-            rows = np.flatnonzero(group == g)
-            reach[rows] = np.maximum(reach[rows], _lcp(suffix[rows], suffix[[end]]))
+        for end in (dealt_by[0], dealt_by[-1]):
+            rows = np.flatnonzero(group == group[end])
+            shared = _lcp(more[rows], more[[end]])
+            reach[rows] = np.maximum(reach[rows], np.where(shared < MORE, LEAD + shared, length))
         cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], ~same))), [n]))
         low = 0
         while low < n:
@@ -237,7 +259,7 @@ def _repeats(suffixes: DataFrame, length: int, ranges: int) -> DataFrame:
             digests, rows, cols = [], [], []
             for s in range(low, high, 1000):
                 e = min(s + 1000, high)
-                p = hasher.prefixes(np.hstack((before[s:e, ::-1], suffix[s:e])))
+                p = hasher.prefixes(full[s:e])
                 head = _mix(p[:, left + LEAD] - p[:, left])
                 col = np.arange(left + 1)
                 hashed = _mix((p[:, length:] - p[:, :-length]) + head[:, None] * np.uint64(_ODD) + col.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
@@ -248,11 +270,18 @@ def _repeats(suffixes: DataFrame, length: int, ranges: int) -> DataFrame:
                 cols.append(c.astype(np.int16))
             digest, row, col = map(np.concatenate, (digests, rows, cols))
             by = np.argsort(digest, kind="stable")
-            eq = digest[by][1:] == digest[by][:-1]
+            eq = np.flatnonzero(digest[by][1:] == digest[by][:-1])
+            a, z = by[eq], by[eq + 1]
+            true = (col[a] == col[z]) & _same_bytes(full, length, row[a], row[z], col[a].astype(np.int64))
             dup, later = np.zeros(len(digest), bool), np.zeros(len(digest), bool)
-            dup[by[1:]] |= eq
-            dup[by[:-1]] |= eq
-            later[by[1:]] = eq
+            dup[a[true]] = dup[z[true]] = later[z[true]] = True
+            for d in np.unique(digest[a[~true]]).tolist():  # different strings with one digest: told apart by their bytes
+                seen: dict[bytes, int] = {}
+                dup[digest == d] = later[digest == d] = False
+                for i in np.flatnonzero(digest == d).tolist():
+                    mate = seen.setdefault(full[row[i], col[i] : col[i] + length].tobytes(), i)
+                    if mate != i:
+                        dup[mate] = dup[i] = later[i] = True
             start = at[row].astype(np.int64) - left + col
             d = np.flatnonzero(dup)
             if len(d):
@@ -265,9 +294,10 @@ def _repeats(suffixes: DataFrame, length: int, ranges: int) -> DataFrame:
             far = np.flatnonzero(~later & (col + length - left <= reach[row]))
             if len(far):
                 packed = np.zeros(len(far), refs)
-                for k, v in (("digest", digest[far]), ("r1", r1[row[far]]), ("r2", r2[row[far]]), ("start", start[far]), ("dup", dup[far])):
+                named = [hashlib.sha256(full[i, c : c + length]).digest()[:16] for i, c in zip(row[far].tolist(), col[far].tolist())]
+                for k, v in (("digest", named), ("r1", r1[row[far]]), ("r2", r2[row[far]]), ("start", start[far]), ("dup", dup[far])):
                     packed[k] = v
-                bucket = (packed["digest"] % np.uint64(ranges)).astype(np.int32)
+                bucket = (np.frombuffer(b"".join(x[:8] for x in named), np.uint64) % np.uint64(ranges)).astype(np.int32)
                 packed, bucket = packed[o := np.argsort(bucket, kind="stable")], bucket[o]
                 edges = np.concatenate((np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), [len(bucket)]))
                 m = len(edges) - 1
@@ -307,7 +337,7 @@ def remove_repeats(df: DataFrame, length: int = 400, doc_id: str = "doc_id", tex
     total = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     ranges = max(partitions(spark), -(-total // RANGE))
     repeats = _repeats(_suffixes(packed, runs.join(twice, "gram", "left_semi").drop("gram"), length), length, ranges)
-    spans = repeats.groupBy("r1", "r2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = repeats.groupBy("r1", "r2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
