@@ -109,9 +109,9 @@ def with_next(df: DataFrame, doc_id: str, text: str, add) -> DataFrame:
     firsts = sorted(tuple(r) for r in keyed.groupBy("_bucket").agg(F.max("_key").alias("k")).select("_bucket", "k.has", "k.id", "k.tie").collect())
     steps = [(to, *first) for (_, *first), (to, *_) in zip(firsts, firsts[1:] + firsts[:1])]  # the lowest bucket is followed by the highest
     steps = df.sparkSession.createDataFrame(steps, f"_bucket int, has boolean, id {kind}, tie long").select("_bucket", F.struct("has", "id", "tie").alias("_key"))
-    guests = add(keyed.drop("_bucket").join(F.broadcast(steps), "_key")).withColumn("_guest", F.lit(True))
+    guests = keyed.drop("_bucket").join(F.broadcast(steps), "_key").withColumn("_guest", F.lit(True))
     order = Window.partitionBy("_bucket").orderBy("_guest", F.col("_key").desc())
-    both = add(keyed).withColumn("_guest", F.lit(False)).unionByName(guests)
+    both = add(keyed.withColumn("_guest", F.lit(False)).unionByName(guests).repartition("_bucket"))  # what `add` makes is not shuffled
     cols = [c for c in both.columns if c[0] != "_"]
     return both.withColumn("next", F.lead(F.struct(*cols)).over(order)).filter("not _guest").drop("_bucket", "_guest", "_key")
 
