@@ -4,21 +4,23 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_per_key
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
 _LOCAL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-".decode())
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_HEX = re.compile(r"[0-9a-f]{32,64}")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = ".,;:!?()[]{}<>\"'"
 
@@ -63,26 +65,57 @@ def as_text(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns around a span: the two words before, the two after, and one on each side."""
-    before = [w.lower() for w in text[max(0, start - 200) : start].split()[-2:]]
-    after = [w.lower().strip(_EDGE) for w in text[end : end + 200].split()[:2]]
-    out = []
-    if len(before) == 2:
-        out.append("L " + " ".join(before))
-    if len(after) == 2:
-        out.append("R " + " ".join(after))
-    if before and after:
-        out.append(f"B {before[-1]} {after[0]}")
-    return out
+def seeds(text: str) -> list[tuple[int, int, int]]:
+    """`base_spans` and, as seeds of a kind of their own, secrets: words of 32, 40 or 64 hexadecimal digits of both sorts."""
+    spans = base_spans(text)
+    for m in _HEX.finditer(text):
+        s, e = m.span()
+        alone = not (text[s - 1 : s].isalnum() or text[e : e + 1].isalnum())
+        if alone and e - s in (32, 40, 64) and not m[0].isdigit() and not m[0].isalpha():
+            spans.append((s, 4, e))
+    return sorted(spans)
+
+
+class Context:
+    """The lexical patterns around spans of one text: the two whole words before the words that the span touches, the two
+    after, and one on each side. Words count whole, however long; one of over 100 characters is named by its digest."""
+
+    def __init__(self, text: str):
+        self.text, self.words = text, [m.span() for m in _TOKEN.finditer(text)]
+        self.begins = [s for s, _ in self.words]
+        self.names: dict[int, str] = {}
+
+    def name(self, k: int) -> str:
+        if k not in self.names:
+            word = self.text[slice(*self.words[k])].lower()
+            self.names[k] = word if len(word) <= 100 else hashlib.sha256(word.encode("utf-8", "surrogatepass")).hexdigest()
+        return self.names[k]
+
+    def patterns(self, start: int, end: int) -> list[str]:
+        first, last = bisect_right(self.begins, start) - 1, bisect_right(self.begins, end - 1) - 1
+        before = [self.name(k) for k in range(max(first - 2, 0), first)]
+        after = [self.name(k).strip(_EDGE) for k in range(last + 1, min(last + 3, len(self.words)))]
+        out = []
+        if len(before) == 2:
+            out.append("L " + " ".join(before))
+        if len(after) == 2:
+            out.append("R " + " ".join(after))
+        if before and after:
+            out.append(f"B {before[-1]} {after[0]}")
+        return out
 
 
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Tokens that look like identifiers (four or more digits, or an @) outside all base spans."""
+    """Tokens that look like identifiers (four or more digits, or an @) outside all spans."""
     if "@" not in text and not _DIGIT.search(text):
         return []
+    taken: list[list[int]] = []
+    for s, _, e in sorted(spans):
+        if taken and s < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
     out, k = [], 0
-    taken = sorted((s, e) for s, _, e in spans)
     for m in _TOKEN.finditer(text):
         token = m[0]
         if "@" in token or len(_DIGIT.findall(token)) >= 4:
@@ -91,7 +124,7 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
             e = s + len(core)
             while k < len(taken) and taken[k][1] <= s:
                 k += 1
-            if core and not any(a < e and s < b for a, b in taken[k : k + 8]):
+            if core and not (k < len(taken) and taken[k][0] < e):
                 out.append((s, e))
     return out
 
@@ -106,26 +139,28 @@ def _found(df: DataFrame, doc_id: str, text: str) -> DataFrame:
             counts, sha, base, spots = [], [], [], []
             for t in b.column(1):
                 text = t.as_py() or ""
-                spans = base_spans(text)
-                counts.append([sum(k == i for _, k, _ in spans) for i in range(4)])
+                spans = seeds(text)
+                counts.append([sum(k == i for _, k, _ in spans) for i in range(len(KINDS))])
                 base.append(as_text(spans))
-                sha.append(hashlib.sha256(base[-1].encode()).hexdigest())
+                sha.append(hashlib.sha256(as_text([x for x in spans if x[1] < 4]).encode()).hexdigest())
                 both = [(s, e, k) for s, k, e in spans] + [(s, e, -1) for s, e in candidates(text, spans)]
-                spots.append([{"start": s, "end": e, "kind": k, "instance": text[s:e].lower(), "patterns": contexts(text, s, e)} for s, e, k in both])
-            numbers = [pa.array(c, pa.int64()) for c in zip(*counts)] if counts else [pa.array([], pa.int64())] * 4
+                around = Context(text) if both else None
+                spots.append([{"start": s, "end": e, "kind": k, "instance": text[s:e].lower(), "patterns": around.patterns(s, e)} for s, e, k in both])
+            numbers = [pa.array(c, pa.int64()) for c in zip(*counts)] if counts else [pa.array([], pa.int64())] * len(KINDS)
             yield pa.RecordBatch.from_arrays([b.column(0), *numbers, pa.array(sha, pa.string()), pa.array(base, pa.string()), pa.array(spots, item)], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "spots"])
 
     return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, base string, spots {seen}")
 
 
 def extract(df: DataFrame, rounds: int = 3, min_seeds: int = 3, min_confidence: float = 0.75, min_score: float = 0.75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Personal data of every text: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found.
+    """Personal data of every text: doc_id, n_email, n_ip, n_card, n_phone, n_secret, base_sha256, spans, n_found, n_spans.
 
-    The fixed patterns' matches are kept as they are and seed the method. Their contexts are lexical patterns; in
+    The fixed patterns' matches are kept as they are and seed the method, as do secrets (words of 32, 40 or 64
+    hexadecimal digits), which are spans too but not part of base_sha256. Their contexts are lexical patterns; in
     each round Spark scores every (pattern, kind) by the share of its distinct instances that are known to be of that
     kind, seeds / (instances + 1), with at least `min_seeds` of them, and every instance by 1 - product(1 - score)
     over its patterns of at least `min_confidence`; instances of at least `min_score` become known. The tokens of
-    known instances are added to `spans` under the kind of their best score (n_found counts them).
+    known instances are added to `spans` under the kind of their best score (n_found counts them, n_spans all).
 
     Positions are code points, ends exclusive. Null text is empty; repeated rows give equal rows, and copies of a
     passage are one instance; ties between kinds go to the first listed. Null doc_ids are carried, other columns are
@@ -138,18 +173,19 @@ def extract(df: DataFrame, rounds: int = 3, min_seeds: int = 3, min_confidence:
     size = edges.groupBy("pattern").agg(F.countDistinct("instance").alias("instances"))
     unknown = edges.filter("kind < 0").select("instance", "pattern")
     won = None
+    pairs = edges.select("instance", "pattern").distinct()
     for _ in range(rounds):
         scored = (
-            edges.select("instance", "pattern").distinct().join(known, "instance").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= min_seeds)
+            join_per_key(pairs, known, "instance", F.col("pattern")).groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= min_seeds)
             .join(size, "pattern").withColumn("confidence", F.col("seeds") / (F.col("instances") + 1)).filter(F.col("confidence") >= min_confidence)
         )
-        by_kind = unknown.join(scored, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
+        by_kind = join_per_key(unknown, scored, "pattern", F.col("instance")).groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
         best = by_kind.groupBy("instance").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("b")).filter(F.col("b.score") >= min_score)
         won = cut(best.select("instance", (-F.col("b.k")).cast("int").alias("kind")))
         known = edges.filter("kind >= 0").select("instance", "kind").distinct().unionByName(won)
     names = F.array(*map(F.lit, KINDS))
     added = (
-        spots.filter("kind < 0").select("row", "start", "end", "instance").join(won, "instance")
+        join_per_key(spots.filter("kind < 0").select("row", "start", "end", "instance"), won, "instance", F.col("row"))
         .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("added"))
     )
 
@@ -161,4 +197,5 @@ def extract(df: DataFrame, rounds: int = 3, min_seeds: int = 3, min_confidence:
     return rows.join(added, "row", "left").select(
         "doc_id", *(f"n_{k}" for k in KINDS), "base_sha256",
         F.when(F.col("added").isNull(), F.col("base")).otherwise(joined).alias("spans"), F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_found"),
+        (sum(F.col(f"n_{k}") for k in KINDS) + F.coalesce(F.size("added"), F.lit(0))).cast("long").alias("n_spans"),
     )

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, full_key
+from .common import cut, full_key, join_per_key
 from .components import components
 
 #: Distinct fingerprints that one task compares at a time; larger buckets are cut into a grid of such blocks.
@@ -53,7 +53,8 @@ def fingerprints(df: DataFrame, words: int = 4, doc_id: str = "doc_id", text: st
             fps = np.fromiter((fingerprint(t.as_py(), words) for t in b.column(1)), np.uint64, b.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    kind = df.schema[doc_id].dataType.simpleString()
+    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def _covering(shared: int) -> list[int]:
@@ -137,17 +138,17 @@ def near_duplicates(df: DataFrame, words: int = 4, bits: int = 4, doc_id: str =
 
     Fingerprints link at `bits` or fewer differing bits; `component_id` is the smallest doc_id that can be reached
     over links. Copies share a fingerprint and are one node. A text without words (null, empty, white space) has
-    fingerprint zero and is linked like any other. Null doc_ids take part in linking but are nobody's smallest id;
-    a component of nothing else has a null id. Repeated rows stay; other columns are not read. An empty table gives
+    fingerprint zero and is linked like any other. Ids are of any type that has an order. Null doc_ids take part in
+    linking but are nobody's smallest id; a component of nothing else has a null id. Repeated rows stay; other columns are not read. An empty table gives
     an empty table.
     """
     docs = cut(fingerprints(df, words, doc_id, text))
     nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
     reach = components(links(nodes.select("fp"), bits))
-    member = nodes.join(reach.withColumnsRenamed({"node": "fp"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    member = cut(nodes.join(reach.withColumnsRenamed({"node": "fp"}), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = member.join(least, "root").select("fp", "component_id")
-    return docs.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = join_per_key(member, least, "root", F.col("fp")).select("fp", "component_id")
+    return join_per_key(docs, by_fp, "fp", F.col("doc_id")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: For `similar`: 64-bit words of a wide fingerprint, bits of an index key, deals of all bits into keys, differing bits of
