@@ -7,8 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What a number may look like on a metric line.
-NUMBER = r"^[+-]?((?i:inf|infinity)|(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)$|^(?i:nan)$"
+#: The characters of plain numbers, and the other forms that a number on a metric line may have.
+PLAIN, ODD_NUMBER = "0123456789+-.eE", r"^([+-]?(?i:inf|infinity)|(?i:nan))$"
 
 
 def utf8_text(b: Column) -> Column:
@@ -23,8 +23,9 @@ def empty(c: Column, other: Column) -> Column:
 
 def to_double(s: Column) -> Column:
     """A strict number: null for anything but plain, exponent, inf and nan forms, and for numbers out of range."""
-    v = F.when(s.rlike(NUMBER), s.try_cast("double"))
-    return F.when(~(F.abs(v) == float("inf")) | s.rlike("(?i)inf"), v)
+    v = s.try_cast("double")
+    plain = (F.translate(s, PLAIN, "") == "") & (s != "")
+    return F.when(plain, F.when(F.abs(v) < float("inf"), v)).when(s.rlike(ODD_NUMBER), v)
 
 
 def effective_value(type_: Column, value: Column, rate: Column) -> Column:
@@ -69,8 +70,9 @@ def journal_service(fields: Column, override: str = "") -> Column:
     return F.coalesce(*[F.nullif(F.try_element_at(fields, F.lit(k)), F.lit("")) for k in ("SYSLOG_IDENTIFIER", "_SYSTEMD_USER_UNIT", "_SYSTEMD_UNIT", "_COMM")], F.lit(""))
 
 
-def _field(fields: Column, key: str) -> Column:
-    return F.coalesce(F.try_element_at(fields, F.lit(key)), F.lit(""))
+def _is(fields: Column, key: str, values: Iterable[str]) -> Column:
+    """Is the field there with one of the values?"""
+    return F.coalesce(F.try_element_at(fields, F.lit(key)).isin(*values), F.lit(False))
 
 
 def _pairs(matches: Iterable[str]) -> list[tuple[str, str]]:
@@ -78,29 +80,30 @@ def _pairs(matches: Iterable[str]) -> list[tuple[str, str]]:
 
 
 def journal_drop(fields: Column, units: Iterable[str] = (), user_units: Iterable[str] = (), matches: Iterable[str] = ()) -> Column:
-    """True for entries that are excluded; '*' excludes all entries of its level."""
+    """True for entries that are excluded. An entry with a user unit is of the user's level, else one with a unit is of the
+    system's; '*' excludes all of its level. An entry without either is excluded by matches alone, for which a field
+    that isn't there is empty."""
     out = F.lit(False)
     for k, v in _pairs(matches):
-        out = out | (_field(fields, k) == v)
-    user, unit = _field(fields, "_SYSTEMD_USER_UNIT"), _field(fields, "_SYSTEMD_UNIT")
-    hit = lambda c, names: F.lit(True) if "*" in names else c.isin(*names) if names else F.lit(False)
-    return out | F.when(user != "", hit(user, list(user_units))).otherwise(hit(unit, list(units)))
+        out = out | (F.coalesce(F.try_element_at(fields, F.lit(k)), F.lit("")) == v)
+
+    def hit(key: str, names: list[str]) -> Column:
+        return F.lit("*" in names) | _is(fields, key, names)
+
+    level = F.when(F.map_contains_key(fields, "_SYSTEMD_USER_UNIT"), hit("_SYSTEMD_USER_UNIT", list(user_units))).when(F.map_contains_key(fields, "_SYSTEMD_UNIT"), hit("_SYSTEMD_UNIT", list(units)))
+    return out | F.coalesce(level, F.lit(False))
 
 
 def journal_include(fields: Column, units: Iterable[str] = (), user_units: Iterable[str] = (), matches: Iterable[str] = ()) -> Column:
-    """OR inside a field, AND across fields; system units with the matches, or user units."""
+    """OR inside a field, AND across fields. Matches and units make one term; user units are a second one beside it where
+    there are units, else they belong to the first."""
     by: dict[str, list[str]] = {}
-    for k, v in _pairs(matches):
+    for k, v in [*_pairs(matches), *(("_SYSTEMD_UNIT", u) for u in units), *(("_SYSTEMD_USER_UNIT", u) for u in user_units if not units)]:
         by.setdefault(k, []).append(v)
-    if units:
-        by.setdefault("_SYSTEMD_UNIT", []).extend(units)
     system = F.lit(True)
     for k, vs in by.items():
-        system = system & _field(fields, k).isin(*vs)
-    if not user_units:
-        return system
-    user = _field(fields, "_SYSTEMD_USER_UNIT").isin(*user_units)
-    return (system | user) if units else (system & user)
+        system = system & _is(fields, k, vs)
+    return system | _is(fields, "_SYSTEMD_USER_UNIT", list(user_units)) if units and user_units else system
 
 
 def journal_body(fields: Column) -> Column:

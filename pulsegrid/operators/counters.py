@@ -9,16 +9,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def with_previous(df: DataFrame, host: str, entity: Sequence[str], ts: str, cols: Sequence[str]) -> DataFrame:
-    """Add `prev`, the entity's row in the host's immediately previous snapshot, and `dt`, seconds since then.
+def look_back(df: DataFrame, host: str, entity: Sequence[str], ts: str, cols: Sequence[str]) -> DataFrame:
+    """Add `prev`, the entity's `cols` in the host's immediately previous snapshot, and `dt`, seconds since then, fractions
+    included; both null where it wasn't there.
 
-    Rows without one (first seen, or missing last time) and those whose time didn't advance are dropped. One sort by
-    host numbers the snapshots, one by entity looks back; no join.
+    The rows are dealt by entity for the look back. Which snapshot comes before which is found on the distinct (host,
+    ts) pairs, a far smaller table, that Spark broadcasts if it is small.
     """
-    snap = df.withColumn("_snap", F.dense_rank().over(Window.partitionBy(host).orderBy(ts)))
     back = Window.partitionBy(host, *entity).orderBy(ts)
-    seen = snap.withColumn("prev", F.lag(F.struct("_snap", F.col(ts).alias("_ts"), *cols)).over(back)).filter(F.col("prev._snap") == F.col("_snap") - 1)
-    return seen.withColumn("dt", F.unix_timestamp(ts).cast("double") - F.unix_timestamp("prev._ts")).filter("dt > 0").drop("_snap")
+    seen = df.withColumn("prev", F.lag(F.struct(F.col(ts).alias("_ts"), *cols)).over(back))
+    order = df.select(host, ts).distinct().withColumn("_before", F.lag(ts).over(Window.partitionBy(host).orderBy(ts)))
+    near = seen.join(order, [host, ts], "left").withColumn("prev", F.when(F.col("prev._ts") == F.col("_before"), F.col("prev"))).drop("_before")
+    return near.withColumn("dt", (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("prev._ts").cast("timestamp"))) / 1e6)
+
+
+def with_previous(df: DataFrame, host: str, entity: Sequence[str], ts: str, cols: Sequence[str]) -> DataFrame:
+    """`look_back` without the rows that have no previous one: first seen, or missing last time."""
+    return look_back(df, host, entity, ts, cols).filter("dt > 0")
 
 
 def counter_rate(df: DataFrame, host: str, entity: Sequence[str], ts: str, cols: Sequence[str], policy: str = "skip") -> DataFrame:
@@ -43,6 +50,13 @@ def cpu_pct(df: DataFrame, host: str = "host", ts: str = "ts") -> DataFrame:
     return seen.withColumn("_t", total).filter("_t > 0").select(host, ts, *[pct(x).alias(n) for n, x in {"user_pct": d["user"] + d["nice"], "system_pct": d["system"] + d["irq"] + d["softirq"], "iowait_pct": d["iowait"], "idle_pct": d["idle"], "stolen_pct": d["steal"], "guest_pct": d["guest"]}.items()])
 
 
+def cpu_gauges(df: DataFrame, cores: str = "cores", host: str = "host", ts: str = "ts") -> DataFrame:
+    """W3, long form (metric, value): the number of cores of every snapshot, and the shares where there is a previous one."""
+    shares = cpu_pct(df, host, ts)
+    count = df.select(host, ts, F.lit("num_cores").alias("metric"), F.col(cores).cast("double").alias("value"))
+    return count.unionByName(shares.unpivot([host, ts], shares.columns[2:], "metric", "value"))
+
+
 def cpu_pct_states(df: DataFrame, states: str, host: str = "host", ts: str = "ts") -> DataFrame:
     """The same from an array of states: user, nice, system ..., idle."""
     seen = with_previous(df, host, [], ts, [states])
@@ -70,7 +84,8 @@ def disk_io_rates(df: DataFrame, mode: str = "jiffies", host: str = "host", devi
     """Block device rates, long form (metric, value).
 
     Modes: jiffies (kernel counters in sectors and ms), durations (bytes and seconds), busy (rates and utilisation),
-    basic (throughput). A device whose reads or writes went back is skipped; times never count below 0.
+    basic (throughput). A device whose reads or writes went back is skipped; times, merges and bytes never count below
+    0, sectors of the kernel's counters are taken as they are.
     """
     ms = mode == "jiffies"
     cols = ["reads", "reads_merged", "sectors_read", "ms_reading", "writes", "writes_merged", "sectors_written", "ms_writing", "ms_io", "weighted_ms_io"] if ms else ["read_ops", "write_ops", "read_bytes", "write_bytes", *(["read_dur_s", "write_dur_s"] if mode == "durations" else []), *(["busy_s"] if mode != "basic" else [])]
@@ -79,7 +94,7 @@ def disk_io_rates(df: DataFrame, mode: str = "jiffies", host: str = "host", devi
     d = {c: F.greatest(x, F.lit(0.0)) for c, x in raw.items()}
     dt, sec = F.col("dt"), F.lit(1000.0) if ms else F.lit(1.0)
     r, w = ("reads", "writes") if ms else ("read_ops", "write_ops")
-    rk, wk = (d["sectors_read"] / 2, d["sectors_written"] / 2) if ms else (d["read_bytes"] / 1024, d["write_bytes"] / 1024)
+    rk, wk = (raw["sectors_read"] / 2, raw["sectors_written"] / 2) if ms else (d["read_bytes"] / 1024, d["write_bytes"] / 1024)
     ops = d[r] + d[w]
     out: dict[str, Column] = {"r_s": d[r] / dt, "w_s": d[w] / dt, "rkb_s": rk / dt, "wkb_s": wk / dt}
     if mode != "basic":
@@ -88,8 +103,9 @@ def disk_io_rates(df: DataFrame, mode: str = "jiffies", host: str = "host", devi
         out |= {"rrqm_s": d["reads_merged"] / dt, "wrqm_s": d["writes_merged"] / dt, "avg_q_sz": d["weighted_ms_io"] / (dt * 1000)}
     if mode in ("jiffies", "durations"):
         tr, tw = (d["ms_reading"], d["ms_writing"]) if ms else (1000 * d["read_dur_s"], 1000 * d["write_dur_s"])
-        size = (d["sectors_read"] + d["sectors_written"]) if ms else (d["read_bytes"] + d["write_bytes"]) / 512
-        out |= {"await": F.when(ops > 0, F.try_divide(tr + tw, ops)), "r_await": F.when(d[r] > 0, F.try_divide(tr, d[r])), "w_await": F.when(d[w] > 0, F.try_divide(tw, d[w])), "avg_rq_sz": F.when(ops > 0, F.try_divide(size, ops))}
+        out |= {"await": F.when(ops > 0, F.try_divide(tr + tw, ops)), "r_await": F.when(d[r] > 0, F.try_divide(tr, d[r])), "w_await": F.when(d[w] > 0, F.try_divide(tw, d[w]))}
+    if ms:
+        out["avg_rq_sz"] = F.when(ops > 0, F.try_divide(raw["sectors_read"] + raw["sectors_written"], ops))
     rows = F.filter(F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in out.items()]), lambda x: x["value"].isNotNull())
     return seen.filter((raw[r] >= 0) & (raw[w] >= 0)).select(host, device, ts, F.inline(rows))
 
@@ -97,30 +113,27 @@ def disk_io_rates(df: DataFrame, mode: str = "jiffies", host: str = "host", devi
 def pin_create_time(procs: DataFrame, slack_ms: int = 2000, host: str = "host", ts: str = "snap_ts") -> DataFrame:
     """Add `pinned`, the create time a process keeps while readings stay within the slack of it.
 
-    A fold over the readings of a (host, pid), for the pinned value is carried and not the last reading; pids whose
-    reading never changes need none.
+    A fold over the readings of a (host, pid), for the pinned value is carried and not the last reading; it holds one
+    entry for each new identity, and pids whose reading never changes need none.
     """
     key = [host, "pid"]
-    lists = procs.groupBy(*key).agg(F.min("create_time").alias("lo"), F.max("create_time").alias("hi"), F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col("create_time").alias("c")))).alias("all"))
-    fold = F.aggregate("all", F.array().cast("array<struct<t: timestamp, p: bigint>>"), lambda acc, x: F.concat(acc, F.array(F.struct(x["t"].cast("timestamp").alias("t"), F.when(F.abs(F.get(acc, F.size(acc) - 1)["p"] - x["c"]) < slack_ms, F.get(acc, F.size(acc) - 1)["p"]).otherwise(x["c"]).alias("p")))))
-    moved = lists.filter("lo <> hi").select(*key, F.explode(F.array_distinct(fold)).alias("x")).select(*key, F.col("x.t").alias(ts), F.col("x.p").alias("pinned"))
-    typed = procs.withColumn(ts, F.col(ts).cast("timestamp"))
-    return typed.join(moved, [*key, ts], "left").withColumn("pinned", F.coalesce("pinned", "create_time"))
+    lists = procs.groupBy(*key).agg(F.min("create_time").alias("lo"), F.max("create_time").alias("hi"), F.array_sort(F.collect_list(F.struct(F.col(ts).cast("timestamp").alias("t"), F.col("create_time").cast("long").alias("c")))).alias("all"))
+    fold = F.aggregate("all", F.array().cast("array<struct<t: timestamp, c: bigint>>"), lambda acc, x: F.when(F.coalesce(F.abs(F.get(acc, F.size(acc) - 1)["c"] - x["c"]) < slack_ms, F.lit(False)), acc).otherwise(F.concat(acc, F.array(x))))
+    moved = lists.filter("lo <> hi").select(*key, fold.alias("ids"))
+    typed = procs.withColumn(ts, F.col(ts).cast("timestamp")).join(moved, key, "left")
+    own = F.filter("ids", lambda x: x["t"] <= F.col(ts))
+    return typed.withColumn("pinned", F.when(F.col("ids").isNull(), F.col("create_time")).otherwise(F.element_at(own, -1)["c"])).drop("ids")
 
 
 def proc_rates(procs: DataFrame, slack_ms: int = 2000, host: str = "host", ts: str = "snap_ts", counters: Sequence[str] = ("read_count", "write_count", "read_bytes", "write_bytes")) -> DataFrame:
     """CPU percentages and I/O rates of every process, 0 where it is new or a counter went back."""
-    pinned = pin_create_time(procs, slack_ms, host, ts)
     cols = ["user_time", "system_time", *counters]
-    back = Window.partitionBy(host, "pid").orderBy(ts)
-    snap = pinned.withColumn("_snap", F.dense_rank().over(Window.partitionBy(host).orderBy(ts)))
-    seen = snap.withColumn("prev", F.lag(F.struct("_snap", "pinned", F.col(ts).alias("_ts"), *cols)).over(back))
-    same = (F.col("prev._snap") == F.col("_snap") - 1) & (F.col("prev.pinned") == F.col("pinned"))
-    dt = F.unix_timestamp(ts).cast("double") - F.unix_timestamp("prev._ts")
+    seen = look_back(pin_create_time(procs, slack_ms, host, ts), host, ["pid"], ts, ["pinned", *cols])
+    same = F.col("prev.pinned") == F.col("pinned")
 
     def rate(c: str, scale: float = 1.0) -> Column:
         delta = F.col(c) - F.col(f"prev.{c}")
-        return F.coalesce(F.when(same & (dt > 0) & (delta > 0), scale * F.try_divide(delta.cast("double"), dt)), F.lit(0.0))
+        return F.coalesce(F.when(same & (F.col("dt") > 0) & (delta > 0), scale * F.try_divide(delta.cast("double"), F.col("dt"))), F.lit(0.0))
 
     out = seen.select(host, "pid", ts, "pinned", rate("user_time", 100).alias("user_pct"), rate("system_time", 100).alias("system_pct"), *[rate(c).alias(f"{c}_s") for c in counters])
     return out.withColumn("total_pct", F.col("user_pct") + F.col("system_pct"))

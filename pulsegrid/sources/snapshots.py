@@ -9,7 +9,7 @@ from ..functions.columns import to_double, unescape_octal, utf8_text, wrap32
 
 #: Fixed layouts of white-space separated lines: fewest columns, names of columns (from 0) and lines to skip.
 LAYOUTS = {
-    "cpu": (8, {"user": 1, "nice": 2, "system": 3, "idle": 4, "iowait": 5, "irq": 6, "softirq": 7, "steal": 8, "guest": 9}, r"^(?!cpu[0-9 ])"),
+    "cpu": (9, {"user": 1, "nice": 2, "system": 3, "idle": 4, "iowait": 5, "irq": 6, "softirq": 7, "steal": 8, "guest": 9}, r"^(?!cpu[0-9 ])"),
     "netdev": (17, {"rx_bytes": 1, "rx_packets": 2, "rx_errs": 3, "rx_drop": 4, "tx_bytes": 9, "tx_packets": 10, "tx_errs": 11, "tx_drop": 12}, r"^\s*lo\b|\|"),
     "diskstats": (14, {"reads": 3, "reads_merged": 4, "sectors_read": 5, "ms_reading": 6, "writes": 7, "writes_merged": 8, "sectors_written": 9, "ms_writing": 10, "ms_io": 12, "weighted_ms_io": 13}, r"^\s*\d+\s+\d+\s+(loop|ram)"),
     "loadavg": (3, {"load1": 0, "load5": 1, "load15": 2}, r"^$"),

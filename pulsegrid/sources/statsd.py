@@ -13,7 +13,7 @@ _NONE = "array<string>"
 def split_datagrams(df: DataFrame) -> DataFrame:
     """Payloads to lines, with `sub`, the line's place; carriage returns at the end and empty lines go."""
     lines = df.select(*[c for c in df.columns if c != "payload"], F.posexplode(F.split("payload", "\n", -1)).alias("sub", "raw"))
-    return lines.withColumn("line", F.regexp_replace("raw", r"\r+\z", "")).drop("raw").filter("line <> ''")
+    return lines.withColumn("line", F.rtrim("raw", F.lit("\r"))).drop("raw").filter("line <> ''")
 
 
 def route(line: Column) -> Column:
@@ -31,29 +31,40 @@ def _tags(fields: Column) -> Column:
     return F.when(t.isNull() | (t == ""), F.array().cast(_NONE)).otherwise(F.split(t, ","))
 
 
-def with_samples(df: DataFrame, line: str = "line") -> DataFrame:
-    """Add `samples`, an array of the line's samples; null for a malformed metric line."""
-    f = F.split(F.col(line), r"\|", -1)
-    head = F.get(f, F.lit(0))
-    at = F.locate(":", head)
-    kinds = {"g": "gauge", "c": "counter", "h": "histogram", "ms": "timing", "d": "distribution", "s": "set"}  # fixed values
-    code = F.get(f, F.lit(1))
-    opts = F.slice(f, F.lit(3), F.greatest(F.size(f) - 2, F.lit(0)))
-    rates = F.filter(F.transform(F.filter(opts, lambda x: x.startswith("@")), lambda x: to_double(F.substring(x, 2, 1 << 30))), lambda r: r.isNotNull() & ~F.isnan(r) & (r > 0))
-    df = df.withColumns({"_name": F.substring(head, F.lit(1), at - 1), "_value": F.substring(head, at + 1, F.lit(1 << 30)), "_type": F.coalesce(*[F.when(code == k, F.lit(v)) for k, v in kinds.items()]), "_rate": F.coalesce(F.get(rates, F.size(rates) - 1), F.lit(1.0)), "_tags": _tags(opts), "_ok": (F.size(f) > 1) & (at > 1)})
-    numbers = F.transform(F.split("_value", ":", -1), to_double)
+#: Type codes of metric lines.
+KINDS = {"g": "gauge", "c": "counter", "h": "histogram", "ms": "timing", "d": "distribution", "s": "set"}
 
-    def sample(value: Column, member: Column) -> Column:
-        return F.struct(F.col("_name").alias("name"), F.col("_type").alias("type"), value.cast("double").alias("value"), member.cast("string").alias("member"), F.col("_tags").alias("tags"), F.col("_rate").alias("sample_rate"))
 
-    made = F.when(F.col("_type") == "set", F.array(sample(F.lit(None), F.col("_value")))).when(F.forall(numbers, lambda v: v.isNotNull()), F.transform(numbers, lambda v: sample(v, F.lit(None))))
-    return df.withColumn("samples", F.when(F.col("_ok") & F.col("_type").isNotNull(), made)).drop("_name", "_value", "_type", "_rate", "_tags", "_ok")
+def with_fields(df: DataFrame, line: str = "line") -> DataFrame:
+    """Add the parts of metric lines: _name, _type, _values (one for each sample; null for a malformed line; of a set a
+    null), _member, _tags, _rate.
+
+    Each stage is a projection over the one before and is evaluated once; the forms that most lines don't have (options,
+    several values) are behind conditions, and plain ones stay in generated code.
+    """
+    text = F.col(line)
+    df = df.withColumn("_f", F.split(text, r"\|", -1))
+    df = df.withColumns({"_head": F.get("_f", F.lit(0)), "_code": F.get("_f", F.lit(1)), "_opts": F.when(F.size("_f") > 2, F.slice("_f", F.lit(3), F.greatest(F.size("_f") - 2, F.lit(0))))})
+    at = F.locate(":", F.col("_head"))
+    rates = F.filter(F.transform(F.filter("_opts", lambda x: x.startswith("@")), lambda x: to_double(F.substring(x, 2, 1 << 30))), lambda r: r.isNotNull() & ~F.isnan(r) & (r > 0))
+    df = df.withColumns({
+        "_name": F.substring("_head", F.lit(1), at - 1), "_value": F.when(at > 1, F.substring("_head", at + 1, F.lit(1 << 30))), "_type": F.coalesce(*[F.when(F.col("_code") == k, F.lit(v)) for k, v in KINDS.items()]),
+        "_rates": F.when(F.contains(text, F.lit("|@")), rates), "_tags": F.when(F.contains(text, F.lit("|#")), _tags(F.col("_opts"))).otherwise(F.array().cast(_NONE))})
+    one = to_double(F.col("_value"))
+    numbers = F.when(F.contains("_value", F.lit(":")), F.transform(F.split("_value", ":", -1), to_double)).when(one.isNotNull(), F.array(one))
+    df = df.withColumns({"_rate": F.coalesce(F.get("_rates", F.size("_rates") - 1), F.lit(1.0)), "_numbers": F.when(F.col("_type") != "set", numbers)})
+    none = F.when(F.size("_numbers") > 1, F.size(F.array_compact("_numbers")) < F.size("_numbers")).otherwise(F.lit(False))
+    values = F.when((F.col("_type") == "set") & F.col("_value").isNotNull(), F.array(F.lit(None).cast("double"))).when(~none, F.col("_numbers"))
+    return df.withColumns({"_values": values, "_member": F.when(F.col("_type") == "set", F.col("_value"))}).drop("_f", "_head", "_code", "_opts", "_value", "_rates", "_numbers")
 
 
 def parse_samples(df: DataFrame, line: str = "line") -> DataFrame:
     """S3: metric lines to samples; a malformed line gives none."""
-    parsed = with_samples(df, line)
-    return parsed.select(*[c for c in df.columns if c != line], F.inline("samples"))
+    made = {"name": "_name", "type": "_type", "value": "value", "member": "_member", "tags": "_tags", "sample_rate": "_rate"}
+    kept = [c for c in df.columns if c != line]
+    # an outer explode, whose condition can't be inferred and so isn't evaluated twice
+    each = with_fields(df, line).select(*kept, *[c for c in made.values() if c[0] == "_"], F.posexplode_outer("_values").alias("_pos", "value")).filter("_pos is not null")
+    return each.select(*kept, *[F.col(c).alias(n) for n, c in made.items()])
 
 
 def parse_check(line: Column) -> Column:
@@ -87,6 +98,6 @@ def parse_event(line: Column) -> Column:
 def quarantine(df: DataFrame, line: str = "line") -> DataFrame:
     """Malformed lines with their kind; they never fail a job."""
     kind = route(F.col(line))
-    parsed = with_samples(df, line).withColumn("kind", kind)
-    bad = F.when(kind == "check", parse_check(F.col(line)).isNull()).when(kind == "event", parse_event(F.col(line)).isNull()).otherwise(F.col("samples").isNull())
-    return parsed.withColumn("malformed", bad).drop("samples")
+    parsed = with_fields(df, line).withColumn("kind", kind)
+    bad = F.when(kind == "check", parse_check(F.col(line)).isNull()).when(kind == "event", parse_event(F.col(line)).isNull()).otherwise(F.col("_values").isNull())
+    return parsed.withColumn("malformed", bad).select(*df.columns, "kind", "malformed")
