@@ -97,6 +97,9 @@ def union_sources(*series: DataFrame) -> DataFrame:
 
 
 def run_total(series: DataFrame, ignore: str = "") -> DataFrame:
-    """For each metric key the total of value * interval (rates, counts) or the last value (gauges)."""
+    """`(key, is_sum, total)`: for each metric key the total of value * interval of its rates and counts, and the
+    last value of its gauges, a key that is both having both rows."""
     key = metric_key(F.col("metric"), F.col("tags"), F.col("device"), ignore)
-    return series.groupBy(key.alias("key")).agg(F.max(F.col("type").isin("rate", "count")).alias("is_sum"), F.sum(F.col("value") * F.greatest("interval", F.lit(1))).alias("sum"), F.max_by("value", "ts").alias("last")).select("key", F.when(F.col("is_sum"), F.col("sum")).otherwise(F.col("last")).alias("total"), F.col("is_sum"))
+    is_sum = F.coalesce(F.col("type").isin("rate", "count"), F.lit(False))
+    both = series.groupBy(key.alias("key"), is_sum.alias("is_sum")).agg(F.sum(F.col("value") * F.greatest("interval", F.lit(1))).alias("sum"), F.max_by("value", "ts").alias("last"))
+    return both.select("key", "is_sum", F.when(F.col("is_sum"), F.col("sum")).otherwise(F.col("last")).alias("total"))
