@@ -216,5 +216,20 @@ def truncate_text(s: Column) -> Column:
     return F.when(F.octet_length(s) > 48, F.concat(utf8_text(F.substring(F.encode(s, "UTF-8"), 1, 45)), F.lit("..."))).otherwise(s)
 
 
-def plausible(value: Column, low: float, high: float) -> Column:
-    return F.when((value >= low) & (value <= high), value)
+def plausible_range(text: Column, low: float, high: float) -> Column:
+    """the number that a line begins with, null out of range: a sensor's reading."""
+    v = to_double(F.get(F.split(F.trim(text), r"\s+"), F.lit(0)))
+    return F.when((v >= low) & (v <= high), v)
+
+
+def battery_percent(text: Column) -> Column:
+    """the first number on the first line; a negative one means unknown, null."""
+    found = F.filter(F.transform(F.split(F.trim(F.substring_index(text, "\n", 1)), r"\s+"), to_double), lambda v: v.isNotNull())
+    v = F.get(found, F.lit(0))
+    return F.when(v >= 0, v)
+
+
+def signal_level(text: Column) -> Column:
+    """the number behind `Signal: ` where the first line begins so."""
+    line = F.substring_index(text, "\n", 1)
+    return F.when(line.startswith("Signal: "), to_double(F.trim(F.substring(line, 9, 1 << 30))))

@@ -113,16 +113,18 @@ def disk_io_rates(df: DataFrame, mode: str = "jiffies", host: str = "host", devi
 def pin_create_time(procs: DataFrame, slack_ms: int = 2000, host: str = "host", ts: str = "snap_ts") -> DataFrame:
     """Add `pinned`, the create time a process keeps while readings stay within the slack of it.
 
-    A fold over the readings of a (host, pid), for the pinned value is carried and not the last reading; it holds one
-    entry for each new identity, and pids whose reading never changes need none.
+    Only the snapshot before counts: a process that was missing in it begins anew. The value is carried, so that each run
+    of adjacent readings is folded; the fold holds one entry for each new identity, and runs whose reading never changes
+    need none.
     """
-    key = [host, "pid"]
-    lists = procs.groupBy(*key).agg(F.min("create_time").alias("lo"), F.max("create_time").alias("hi"), F.array_sort(F.collect_list(F.struct(F.col(ts).cast("timestamp").alias("t"), F.col("create_time").cast("long").alias("c")))).alias("all"))
+    key = [host, "pid", "_run"]
+    new = F.col("prev").isNull().cast("long")
+    runs = look_back(procs.withColumn(ts, F.col(ts).cast("timestamp")), host, ["pid"], ts, []).withColumn("_run", F.sum(new).over(Window.partitionBy(host, "pid").orderBy(ts))).drop("prev", "dt")
+    lists = runs.groupBy(*key).agg(F.min("create_time").alias("lo"), F.max("create_time").alias("hi"), F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col("create_time").cast("long").alias("c")))).alias("all"))
     fold = F.aggregate("all", F.array().cast("array<struct<t: timestamp, c: bigint>>"), lambda acc, x: F.when(F.coalesce(F.abs(F.get(acc, F.size(acc) - 1)["c"] - x["c"]) < slack_ms, F.lit(False)), acc).otherwise(F.concat(acc, F.array(x))))
     moved = lists.filter("lo <> hi").select(*key, fold.alias("ids"))
-    typed = procs.withColumn(ts, F.col(ts).cast("timestamp")).join(moved, key, "left")
     own = F.filter("ids", lambda x: x["t"] <= F.col(ts))
-    return typed.withColumn("pinned", F.when(F.col("ids").isNull(), F.col("create_time")).otherwise(F.element_at(own, -1)["c"])).drop("ids")
+    return runs.join(moved, key, "left").withColumn("pinned", F.when(F.col("ids").isNull(), F.col("create_time")).otherwise(F.element_at(own, -1)["c"])).drop("ids", "_run")
 
 
 def proc_rates(procs: DataFrame, slack_ms: int = 2000, host: str = "host", ts: str = "snap_ts", counters: Sequence[str] = ("read_count", "write_count", "read_bytes", "write_bytes")) -> DataFrame:

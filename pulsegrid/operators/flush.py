@@ -82,9 +82,26 @@ def finish(series: DataFrame, interval: int = 15, host: str = "", global_tags: S
 
 
 def flush_metrics(samples: DataFrame, interval: int = 15, host: str = "", global_tags: Sequence[str] = (), approx_sets: bool = False) -> DataFrame:
-    """A5: all families of a tumbling flush as series rows; idle contexts give none. ts is the window's end."""
-    p = prepare(samples, interval)
-    parts = flush_simple(p, interval).unionByName(flush_histogram(p, interval)).unionByName(flush_set(p, approx_sets))
+    """A5: all families of a tumbling flush as series rows; idle contexts give none. ts is the window's end.
+
+    The samples are read once. They are pre-aggregated by context and by value (histograms) or member (sets), then one
+    deal by context does the running weights and the last aggregation.
+    """
+    p, step = prepare(samples, interval), max(int(interval), 1)
+    if approx_sets:
+        return finish(flush_simple(p, interval).unionByName(flush_histogram(p, interval)).unionByName(flush_set(p, True)), interval, host, global_tags)
+    cell = F.when(F.col("type").isin("histogram", "timing"), F.col("v"))
+    one = p.groupBy(*KEY, cell.alias("cell"), F.when(F.col("type") == "set", F.col("member")).alias("item")).agg(F.sum("w").alias("w"), F.sum("v").alias("sum"), F.max(F.struct("ts", "seq", "v")).alias("last"), F.min(F.struct("ts", "seq", "tags")).alias("first"))
+    by = Window.partitionBy(*KEY)
+    run = one.withColumns({"c": F.sum("w").over(by.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("w").over(by)})
+    rank = lambda target: F.coalesce(F.min(F.when(F.col("c") > target, F.col("cell"))), F.max("cell"))
+    two = run.groupBy(*KEY).agg(
+        F.sum("sum").alias("sum"), F.max("last").alias("last"), F.min("first").alias("first"), F.count("item").alias("members"), F.max("total").alias("total"), F.sum(F.col("cell") * F.col("w")).alias("weighted"),
+        rank((F.col("total") - 1) / 2).alias("median"), rank((95 * F.col("total") - 1) / 100).alias("p95"), F.max("cell").alias("top"))
+    item = lambda suffix, kind, v: F.struct(F.lit(suffix).alias("suffix"), F.lit(kind).alias("kind"), v.cast("double").alias("value"))
+    hist = F.array(item(".count", "rate", F.col("total") / step), item(".avg", "gauge", F.try_divide(F.col("weighted"), F.col("total"))), item(".median", "gauge", F.col("median")), item(".max", "gauge", F.col("top")), item(".95percentile", "gauge", F.col("p95")))
+    rows = F.when(F.col("type") == "gauge", F.array(item("", "gauge", F.col("last.v")))).when(F.col("type") == "counter", F.array(item("", "rate", F.col("sum") / step))).when(F.col("type") == "set", F.array(item("", "gauge", F.col("members")))).when(F.col("type").isin("histogram", "timing"), hist)
+    parts = two.select("host", "window_end", "name", F.col("first.tags").alias("tags"), F.inline(rows)).select("host", "window_end", F.concat("name", "suffix").alias("metric"), F.col("kind").alias("type"), "tags", "value")
     return finish(parts, interval, host, global_tags)
 
 

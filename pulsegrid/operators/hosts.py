@@ -26,12 +26,17 @@ def mem_gauges(counters: DataFrame, keys: Sequence[str] = ("host", "ts")) -> Dat
 
 
 def mem_gauges_pages(df: DataFrame, keys: Sequence[str] = ("host", "ts"), page: int = 4096) -> DataFrame:
-    """From `memory` bytes and used and free pages; `swap_capacity` pages come separately."""
+    """From `memory` bytes, used and total pages, `swap_used` pages and the bytes of swap there are (`swap_capacity`,
+    which comes separately); kernel pools (`malloc_*`, `draw_*`, bytes) only where they have a size. Values in MB."""
     mb = 1024.0 * 1024.0
-    total = F.col("memory") / mb
-    used = F.least(F.col("pages_used") * page / mb, total)
-    free = F.least((F.col("pages_total") - F.col("pages_used")) * page / mb, total)
-    return _long(df, keys, {"total": total, "used": used, "free": free, "swap_total": F.col("swap_capacity") * page / mb, "swap_used": F.col("swap_used") * page / mb, "swap_free": nonneg((F.col("swap_capacity") - F.col("swap_used")) * page / mb)})
+    free = F.least(nonneg((F.col("pages_total") - F.col("pages_used")) * page), F.col("memory"))
+    capacity, used = F.col("swap_capacity"), F.least(F.col("swap_used") * page, F.col("swap_capacity"))
+    out = {"total": F.col("memory") / mb, "free": free / mb, "used": (F.col("memory") - free) / mb, "pct_usable": F.try_divide(free, F.col("memory")), "swap_total": capacity / mb, "swap_used": used / mb, "swap_free": (capacity - used) / mb, "swap_pct_free": F.when(capacity > 0, F.try_divide(capacity - used, capacity))}
+    for pool in ("malloc", "draw"):
+        if f"{pool}_total" in df.columns:
+            some = F.col(f"{pool}_total") > 0
+            out |= {f"kernel_{pool}": F.when(some, F.col(f"{pool}_used") / mb), f"kernel_{pool}_max": F.when(some, F.col(f"{pool}_total") / mb)}
+    return _long(df, keys, out)
 
 
 def mem_gauges_simple(df: DataFrame, keys: Sequence[str] = ("host", "ts")) -> DataFrame:
@@ -58,22 +63,37 @@ def fs_gauges(mounts: DataFrame, keys: Sequence[str] = ("host", "ts"), in_use: s
 
 
 def link_gauges(df: DataFrame, keys: Sequence[str] = ("host", "device", "ts"), errors: Sequence[str] = ()) -> DataFrame:
-    """Link state gauges and the sum of the error counters."""
-    return _long(df, keys, {"link": F.col("link"), "speed": F.col("speed"), "mtu": F.col("mtu"), "signal": F.col("signal"), "errors": sum((F.coalesce(F.col(c), F.lit(0)) for c in errors), F.lit(0))})
-
-
-def storage_gauges(storage: DataFrame, expected: DataFrame) -> DataFrame:
-    """Storage server gauges; `up` tells for every expected (host, ts) whether it was seen."""
-    free = nonneg(F.col("total") - F.col("used"))
-    mark = storage.select("host", "ts", "total", "used", F.lit(True).alias("seen"))
-    rows = expected.join(mark, ["host", "ts"], "left")
-    return _long(rows, ["host", "ts"], {"total": F.col("total"), "used": F.col("used"), "free": F.when(F.col("seen"), free), "in_use": F.when(F.col("seen"), ratio(F.col("used"), F.col("total"))), "up": F.when(F.col("seen"), 1.0).otherwise(0.0)})
+    """Link state gauges where there is one (a maximum size only if positive) and the sum of the error counters."""
+    return _long(df, keys, {"link": F.col("link"), "speed": F.col("speed"), "mtu": F.when(F.col("mtu") > 0, F.col("mtu")), "signal": F.col("signal"), "errors": sum((F.coalesce(F.col(c), F.lit(0)) for c in errors), F.lit(0))})
+
+
+def storage_gauges(storage: DataFrame, expected: DataFrame, device: str = "store") -> DataFrame:
+    """`(host, ts, metric, value, tags)` of storage servers. Disk gauges (kB, tagged with the device) and counts of
+    arenas, clumps and data bytes where a size is known, a compression ratio where there is compressed data; `up` tells
+    for every expected (host, ts) whether it was seen."""
+    counts = ["arenas_total", "arenas_active", "clumps_total", "clumps_compressed", "uncompressed_bytes", "compressed_bytes"]
+    cols = ["total", "used", *(c for c in counts if c in storage.columns)]
+    rows = expected.join(storage.select("host", "ts", *cols, F.lit(True).alias("seen")), ["host", "ts"], "left")
+    some = F.col("total") > 0
+    disk = {"total": F.col("total") / 1024, "used": F.col("used") / 1024, "free": nonneg(F.col("total") - F.col("used")) / 1024, "in_use": F.try_divide(F.col("used"), F.col("total"))}
+    rest = {c: F.when(some, F.col(c)) for c in cols[2:]}
+    if "compressed_bytes" in cols:
+        rest["compression_ratio"] = F.when(some & (F.col("compressed_bytes") > 0), F.try_divide(F.col("uncompressed_bytes"), F.col("compressed_bytes")))
+    tagged = _long(rows, ["host", "ts"], {k: F.when(some, v) for k, v in disk.items()}).withColumn("tags", F.array(F.lit(f"device:{device}")))
+    plain = _long(rows, ["host", "ts"], {"up": F.when(F.col("seen"), 1.0).otherwise(0.0)} | rest).withColumn("tags", F.array().cast("array<string>"))
+    return tagged.unionByName(plain)
 
 
 def host_inventory(facts: DataFrame) -> DataFrame:
-    """The latest facts of each host as a flat row."""
+    """The latest facts of each host as a flat row; memory comes in bytes, swap in kB."""
     latest = facts.groupBy("host").agg(F.max_by(F.struct(*[c for c in facts.columns if c != "host"]), "ts").alias("f"))
-    return latest.select("host", host_uuid(F.col("f.machine_id"), F.col("host")).alias("uuid"), F.col("f.cpu.cores").alias("cpu_cores"), (F.col("f.memory.total") / 1024).cast("long").alias("memory_kb"), (F.col("f.memory.swap_total") / 1024).cast("long").alias("swap_kb"), os_version(F.col("f.platform.nix"), F.col("f.platform.mac"), F.col("f.platform.win")).alias("os_version"))
+    return latest.select("host", host_uuid(F.col("f.machine_id"), F.col("host")).alias("uuid"), F.col("f.cpu.cores").alias("cpu_cores"), (F.col("f.memory.total") / 1024).cast("long").alias("memory_kb"), F.col("f.memory.swap_total").cast("long").alias("swap_kb"), os_version(F.col("f.platform.nix"), F.col("f.platform.mac"), F.col("f.platform.win")).alias("os_version"))
+
+
+def agent_inventory(facts: DataFrame, version: str, flavor: str, mode: str = "full") -> DataFrame:
+    """One agent row for each host."""
+    latest = facts.groupBy("host").agg(F.max_by("machine_id", "ts").alias("machine_id"))
+    return latest.select("host", host_uuid(F.col("machine_id"), F.col("host")).alias("uuid"), F.lit(version).alias("agent_version"), F.lit(flavor).alias("flavor"), F.lit(mode).alias("infrastructure_mode"))
 
 
 def count_by_state(df: DataFrame, keys: Sequence[str], state: str, buckets: Sequence[str]) -> DataFrame:
@@ -107,21 +127,36 @@ def threads_per_pid(lines: DataFrame) -> DataFrame:
 
 
 def cpu_topology(rows: DataFrame) -> DataFrame:
-    """Cores (distinct physical and core ids, else processors), processors, first known vendor, model and MHz."""
+    """Cores (distinct physical and core ids, else processors), processors, first known vendor, model, family and MHz."""
     known = F.when(F.col("core_id").isNotNull(), F.struct("physical_id", "core_id"))
     first = lambda c, ok: F.min_by(c, F.when(ok, F.col("pos")))
-    out = rows.groupBy("host").agg(F.count_distinct(known).alias("c"), F.count("*").alias("logical"), *[first(c, F.col(c) != "").alias(c) for c in ("vendor", "model")], first("mhz", F.col("mhz") > 0).alias("mhz"))
+    out = rows.groupBy("host").agg(F.count_distinct(known).alias("c"), F.count("*").alias("logical"), *[first(c, F.col(c) != "").alias(c) for c in ("vendor", "model", "family")], first("mhz", F.col("mhz") > 0).alias("mhz"))
     return out.withColumn("cores", F.when(F.col("c") > 0, F.col("c")).otherwise(F.col("logical"))).drop("c")
 
 
+#: Addresses that only hold on a link: IPv4 and IPv6, unicast, then multicast.
+LINK_LOCAL = r"^(169\.254\.|(?i:fe[89ab][0-9a-f]:)|224\.0\.0\.|(?i:ff[0-9a-f]2:))"
+
+
+def _usable(interfaces: DataFrame) -> DataFrame:
+    return interfaces.filter(~F.col("loopback")).withColumn("addr", F.when(~F.col("addr").rlike(LINK_LOCAL), F.col("addr")))
+
+
 def network_summary(interfaces: DataFrame) -> DataFrame:
     """First IPv4 address with its MAC and first IPv6 address of each host, loopback and link-local left out."""
-    ok = interfaces.filter(~F.col("loopback") & ~F.col("addr").rlike(r"^(169\.254\.|fe80:)"))
     v6 = F.col("addr").contains(":")
     at = F.struct("pos", "addr")
+    ok = _usable(interfaces).filter("addr is not null")
     return ok.groupBy("host").agg(F.min_by("addr", F.when(~v6, at)).alias("ipv4"), F.min_by("mac", F.when(~v6, at)).alias("mac"), F.min_by("addr", F.when(v6, at)).alias("ipv6"), F.array_sort(F.collect_set("addr")).alias("addrs"))
 
 
+def network_interfaces(interfaces: DataFrame) -> DataFrame:
+    """Each interface but loopback with its MAC and its IPv4 and IPv6 addresses in their order."""
+    v6 = F.col("addr").contains(":")
+    listed = lambda ok: F.transform(F.array_sort(F.collect_list(F.when(ok, F.struct("pos", "addr")))), lambda x: x["addr"])
+    return _usable(interfaces).groupBy("host", "name").agg(F.min_by("mac", "pos").alias("mac"), listed(~v6).alias("ipv4"), listed(v6).alias("ipv6"))
+
+
 def row_counts(df: DataFrame, content: str = "content") -> DataFrame:
     """Non-blank lines of each snapshot."""
     return df.select(*[c for c in df.columns if c != content], F.size(F.filter(F.split(content, "\n"), lambda x: F.trim(x) != "")).cast("long").alias("n"))

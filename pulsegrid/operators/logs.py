@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,19 +60,47 @@ def line_groups(lines: DataFrame, pattern: str, timeout: float | None = 1.0) ->
 def assemble_multiline(lines: DataFrame, pattern: str, timeout: float | None = 1.0, cap: int = CAP) -> DataFrame:
     """L1: `(source_id, offset, ts, message)`; offset and ts are the last line's.
 
-    A group whose lines with their newlines pass `cap` bytes closes right after the line that does so. Groups within
-    the cap are joined in one aggregation; the others are cut by a running sum first.
+    A group whose lines with their newlines pass `cap` bytes closes right after the line that does so, and a new one goes
+    on. That depends on what came before, so the sorted lines of a group are run through once, holding at most `cap`
+    bytes and a line; groups, not sources, are dealt to tasks.
     """
-    grouped = line_groups(lines, pattern, timeout)
-    parts = grouped.groupBy("source_id", "gid").agg(F.sum(F.octet_length("line") + 1).alias("total"), F.array_sort(F.collect_list(F.struct("offset", "ts", "line"))).alias("ls"))
-    cut = F.aggregate(
-        "ls", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("part"), F.array().cast("array<bigint>").alias("parts")),
-        lambda a, x: F.struct(F.when(a["n"] + F.octet_length(x["line"]) + 1 > cap, F.lit(0).cast("long")).otherwise(a["n"] + F.octet_length(x["line"]) + 1).alias("n"), F.when(a["n"] + F.octet_length(x["line"]) + 1 > cap, a["part"] + 1).otherwise(a["part"]).alias("part"), F.concat(a["parts"], F.array(a["part"])).alias("parts")),
-        lambda a: a["parts"],
-    )
-    marked = parts.withColumn("ps", F.when(F.col("total") > cap, cut).otherwise(F.array_repeat(F.lit(0).cast("long"), F.size("ls").cast("int"))))
-    split = marked.select("source_id", F.explode(F.transform(F.array_distinct("ps"), lambda p: F.transform(F.filter(F.arrays_zip("ls", "ps"), lambda z: z["ps"] == p), lambda z: z["ls"]))).alias("g"))
-    return split.select("source_id", F.element_at("g", -1)["offset"].alias("offset"), F.element_at("g", -1)["ts"].alias("ts"), F.array_join(F.transform("g", lambda x: x["line"]), "\n").alias("message"))
+    grouped = line_groups(lines, pattern, timeout).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    dealt = grouped.select("source_id", "gid", "offset", "us", "line").repartition("source_id", "gid").sortWithinPartitions("source_id", "gid", "offset")
+    kinds = {c: lines.schema[c].dataType.simpleString() for c in ("source_id", "offset")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, size, last, done = None, [], 0, (), []
+
+        def close() -> None:
+            nonlocal held, size
+            if held:
+                done.append((*last, "\n".join(held)))
+            held, size = [], 0
+
+        def made(types: list) -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names=["source_id", "offset", "us", "message"])
+            done.clear()
+            return out
+
+        types: list = []
+        for b in batches:
+            types = [b.schema.field(n).type for n in ("source_id", "offset", "us", "line")]
+            for source, gid, offset, us, line in zip(*(c.to_pylist() for c in b.columns)):
+                if (source, gid) != group:
+                    close()
+                    group = (source, gid)
+                held.append(line or "")
+                size += len(held[-1].encode()) + 1
+                last = (source, offset, us)
+                if size > cap:
+                    close()
+            if done:
+                yield made(types)
+        close()
+        if done:
+            yield made(types)
+
+    return dealt.mapInArrow(run, f"source_id {kinds['source_id']}, offset {kinds['offset']}, us long, message string").select("source_id", "offset", F.timestamp_micros("us").alias("ts"), "message")
 
 
 def process_logs(lines: DataFrame, rules: Sequence[Rule] = (), service: str = "", source: str = "", tags: Sequence[str] = (), host: str = "") -> DataFrame:
@@ -111,6 +140,13 @@ def advance(registry: DataFrame, delivered: DataFrame) -> DataFrame:
     return r.join(far, "source_id", "full_outer").select("source_id", best["generation"].alias("generation"), best["offset"].alias("offset"))
 
 
+def advance_cursors(registry: DataFrame, delivered: DataFrame) -> DataFrame:
+    """L5 for journals: the cursor delivered last (by `seq`) of each source replaces the registered one; cursors can't be
+    compared, and empty ones move nothing."""
+    last = delivered.filter("cursor <> ''").groupBy("source_id").agg(F.max_by("cursor", "seq").alias("_new"))
+    return registry.join(last, "source_id", "full_outer").select("source_id", F.coalesce("_new", "cursor").alias("cursor"))
+
+
 def with_defaults(logs: DataFrame, host: str, global_tags: Sequence[str] = ()) -> DataFrame:
     """F5, F6 for log rows."""
     tags = F.array_join(append_global_tags(F.filter(F.split(F.coalesce("ddtags", F.lit("")), ","), lambda t: t != ""), global_tags), ",")

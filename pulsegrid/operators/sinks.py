@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.columns import finite, is_permanent
@@ -22,48 +24,58 @@ def pack_series(series: DataFrame, max_rows: int = 1000, keys: Sequence[str] = (
 def greedy_batches(df: DataFrame, keys: Sequence[str], order: str, size: str, max_rows: int, max_bytes: int) -> DataFrame:
     """Add `batch`: a batch closes before it would pass `max_bytes`, and at `max_rows`; one oversize row stands alone.
 
-    The greedy rule is a fold over a group's sizes; only `(order, size)` is gathered for it, and `keys` should name
-    groups of the size of a write partition.
+    Where a batch closes depends on all before it in its group, so the sorted rows of a group are run through once,
+    holding two counters. A group is one task's: `keys` should name groups of the size of a write partition.
     """
-    fresh = lambda b, n: F.struct(b.alias("b"), F.lit(1).cast("long").alias("n"), n.alias("s"))
-
-    def step(a, x):
-        full = (a["cur"]["n"] >= max_rows) | ((a["cur"]["n"] > 0) & (a["cur"]["s"] + x["size"] > max_bytes))
-        cur = F.when(full, fresh(a["cur"]["b"] + 1, x["size"])).otherwise(F.struct(a["cur"]["b"].alias("b"), (a["cur"]["n"] + 1).alias("n"), (a["cur"]["s"] + x["size"]).alias("s")))
-        return F.struct(cur.alias("cur"), F.concat(a["out"], F.array(F.struct(x["o"].alias("o"), cur["b"].alias("b")))).alias("out"))
-
-    kind = df.schema[order].dataType.simpleString()
-    zero = F.lit(0).cast("long")
-    start = F.struct(F.struct(zero.alias("b"), zero.alias("n"), zero.alias("s")).alias("cur"), F.array().cast(f"array<struct<o: {kind}, b: bigint>>").alias("out"))
-    lists = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("size")))).alias("xs"))
-    ids = lists.select(*keys, F.inline(F.aggregate("xs", start, step, lambda a: a["out"])))
-    return df.join(ids.select(*keys, F.col("o").alias(order), F.col("b").alias("batch")), [*keys, order])
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys, order)
+    spots, at = [df.columns.index(k) for k in keys], df.columns.index(size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, batch, rows, held = None, 0, 0, 0
+        for b in batches:
+            out = []
+            for *key, n in zip(*(b.column(k).to_pylist() for k in spots), b.column(at).to_pylist()):
+                n = n or 0
+                if key != group:
+                    group, batch, rows, held = key, 0, 0, 0
+                elif rows >= max_rows or held + n > max_bytes:
+                    batch, rows, held = batch + 1, 0, 0
+                rows, held = rows + 1, held + n
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, "batch"])
+
+    return dealt.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())]))
 
 
 def pack_logs(logs: DataFrame, keys: Sequence[str] = ("source_id",), order: str = "offset", max_rows: int = 1000, max_bytes: int = 5_000_000) -> DataFrame:
     """K2: log rows in JSON arrays, bounded by count and bytes."""
-    sized = logs.withColumn("_size", F.octet_length("message"))
-    rows = greedy_batches(sized, keys, order, "_size", max_rows, max_bytes)
+    rows = greedy_batches(logs.withColumn("_size", F.octet_length("message")), keys, order, "_size", max_rows, max_bytes)
     item = F.struct("message", "status", "timestamp", "hostname", "service", "ddsource", "ddtags")
     return rows.groupBy(*keys, "batch").agg(F.count("*").alias("rows"), F.sum("_size").alias("bytes"), F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(order, item.alias("x")))), lambda z: z["x"])).alias("body"))
 
 
-def pack_checks(checks: DataFrame, keys: Sequence[str] = ("host_name",)) -> DataFrame:
-    """K3"""
-    return checks.groupBy(*keys).agg(F.count("*").alias("rows"), F.to_json(F.array_sort(F.collect_list(F.struct("check", "host_name", "timestamp", "status", "message", "tags")))).alias("body"))
+def pack_checks(checks: DataFrame, keys: Sequence[str] = ("host_name",), max_rows: int = 1000) -> DataFrame:
+    """K3: a host's checks in JSON arrays of at most `max_rows`, by name and time."""
+    w = Window.partitionBy(*keys).orderBy("check", "timestamp", "status", "message")
+    rows = checks.withColumn("payload", F.floor((F.row_number().over(w) - 1) / max_rows))
+    return rows.groupBy(*keys, "payload").agg(F.count("*").alias("rows"), F.to_json(F.array_sort(F.collect_list(F.struct("check", "host_name", "timestamp", "status", "message", "tags")))).alias("body"))
 
 
-def events_by_source(events: DataFrame) -> DataFrame:
+def events_by_source(events: DataFrame, keys: Sequence[str] = ("host",)) -> DataFrame:
     """Events by source type; without one they are `api`'s."""
     name = F.when(F.coalesce("source_type_name", F.lit("")) == "", "api").otherwise(F.col("source_type_name"))
-    return events.groupBy("host", name.alias("source")).agg(F.array_sort(F.collect_list(F.struct("timestamp", "msg_title", "msg_text", "priority", "alert_type", "aggregation_key", "tags"))).alias("events"))
+    return events.groupBy(*keys, name.alias("source")).agg(F.array_sort(F.collect_list(F.struct("timestamp", "msg_title", "msg_text", "priority", "alert_type", "aggregation_key", "tags"))).alias("events"))
 
 
-def pack_events(events: DataFrame, destinations: DataFrame) -> DataFrame:
-    """K4: an envelope of events by source for each host, stamped with each destination's key."""
-    by_host = events_by_source(events).groupBy("host").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "events")))).alias("events"))
+def pack_events(events: DataFrame, destinations: DataFrame, max_rows: int = 1000) -> DataFrame:
+    """K4: envelopes of at most `max_rows` events of a host, in order of time, by source, stamped with each destination's
+    key and the host's name."""
+    w = Window.partitionBy("host").orderBy("timestamp", "msg_title", "msg_text")
+    rows = events.withColumn("payload", F.floor((F.row_number().over(w) - 1) / max_rows))
+    by_host = events_by_source(rows, ["host", "payload"]).groupBy("host", "payload").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "events")))).alias("events"))
     keys = destinations.select("url", "key").agg(F.collect_list(F.struct("url", "key")).alias("ds"))
-    return by_host.join(F.broadcast(keys), F.lit(True)).select("host", F.explode("ds").alias("d"), "events").select("host", "d.url", F.to_json(F.struct(F.col("d.key").alias("apiKey"), "events")).alias("body"))
+    body = F.to_json(F.struct(F.col("d.key").alias("apiKey"), "events", F.col("host").cast("string").alias("internalHostname")))
+    return by_host.join(F.broadcast(keys), F.lit(True)).select("host", "payload", F.explode("ds").alias("d"), "events").select("host", "payload", "d.url", body.alias("body"))
 
 
 def chunk_procs(procs: DataFrame, n: int = 100, keys: Sequence[str] = ("host", "snap_ts")) -> DataFrame:
@@ -110,23 +122,24 @@ def dead_letter(batches: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, Dat
     return j.filter(ok), j.filter(~ok & is_permanent(F.col("http_status"))), j.filter(~ok & ~is_permanent(F.col("http_status")))
 
 
-_SOURCES: dict[str, Callable] = {}
+class Sources:
+    """Named functions of the session that return series rows."""
 
+    def __init__(self) -> None:
+        self.named: dict[str, Callable] = {}
 
-def register_source(name: str, fn: Callable) -> None:
-    """A named function of the session that returns series rows."""
-    _SOURCES[name] = fn
+    def register(self, name: str, fn: Callable) -> None:
+        self.named[name] = fn
 
-
-def collect_sources(spark, required: Sequence[str] = ("metric", "value")) -> tuple[DataFrame | None, dict[str, str]]:
-    """The union of all registered sources that can be planned, and why others can't."""
-    out, failed = None, {}
-    for name, fn in _SOURCES.items():
-        try:
-            df = fn(spark)
-            if missing := [c for c in required if c not in df.columns]:
-                raise ValueError(f"missing columns {missing}")
-            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-        except Exception as e:  # noqa: BLE001 - sources fail alone
-            failed[name] = str(e)
-    return out, failed
+    def collect(self, spark, required: Sequence[str] = ("metric", "value")) -> tuple[DataFrame | None, dict[str, str]]:
+        """The union of all sources that can be planned, columns that one lacks being null, and why others can't."""
+        out, failed = None, {}
+        for name, fn in self.named.items():
+            try:
+                df = fn(spark)
+                if missing := [c for c in required if c not in df.columns]:
+                    raise ValueError(f"missing columns {missing}")
+                out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+            except Exception as e:  # noqa: BLE001 - sources fail alone
+                failed[name] = str(e)
+        return out, failed

@@ -32,7 +32,7 @@ NICS = """
   FROM {supplier}"""
 PACKAGES = """
   SELECT concat('h', l_suppkey % 9) AS host, l_orderkey * 10 + l_linenumber AS pos, CASE WHEN l_suppkey % 9 > 2 THEN l_linenumber % 2 END AS physical_id, CASE WHEN l_suppkey % 9 > 2 THEN cast(l_quantity AS int) % 6 END AS core_id,
-         CASE WHEN l_linenumber = 1 THEN '' ELSE concat('v', l_partkey) END AS vendor, CASE WHEN l_linenumber = 2 THEN '' ELSE concat('m', l_partkey) END AS model, cast(CASE WHEN l_linenumber < 4 THEN 0 ELSE l_partkey END AS double) AS mhz
+         CASE WHEN l_linenumber = 1 THEN '' ELSE concat('v', l_partkey) END AS vendor, CASE WHEN l_linenumber = 2 THEN '' ELSE concat('m', l_partkey) END AS model, CASE WHEN l_linenumber < 3 THEN '' ELSE concat('f', l_partkey) END AS family, cast(CASE WHEN l_linenumber < 4 THEN 0 ELSE l_partkey END AS double) AS mhz
   FROM {lineitem}"""
 STATE_TIMES = """
   SELECT host, day AS ts, sum(q) OVER w AS a, sum(n) OVER w AS b, sum(p) OVER w AS c, sum(2 * n) OVER w AS d, sum(90 * n) OVER w AS e
@@ -189,11 +189,86 @@ def users_and_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def storage_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("host"), F.lit(1).alias("ts"), (F.col("s_suppkey") * 10).cast("double").alias("total"), (F.col("s_nationkey") * 20).cast("double").alias("used"))
-    return hosts.storage_gauges(s.filter("host % 4 > 0"), s.select("host", "ts")).select("host", "metric", F.round("value", 9).alias("value"))
+    k = F.col("s_suppkey")
+    n = lambda c: c.cast("double")
+    s = table(spark, sf_dir, "supplier").select(F.concat(F.when(k % 4 == 0, "other").otherwise("s"), k).alias("host"), k.alias("k"), F.lit(1).alias("ts"), n((k % 5 > 0).cast("int") * k * 10240).alias("total"), n(F.col("s_nationkey") * 20480).alias("used"), n(k).alias("arenas_total"), n(k % 3).alias("arenas_active"), n(k * 7).alias("uncompressed_bytes"), n(k % 6).alias("compressed_bytes"))
+    out = hosts.storage_gauges(s, s.select(F.concat(F.lit("s"), "k").alias("host"), "ts"))
+    return out.select("host", "metric", F.round("value", 9).alias("value"), F.array_join("tags", ",").alias("tags"))
+
+
+def network_interfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = in_spark(spark, sf_dir, NICS).withColumn("name", F.concat(F.lit("e"), F.col("pos") % 3))
+    return hosts.network_interfaces(n).select("host", "name", "mac", F.array_join("ipv4", ",").alias("ipv4"), F.array_join("ipv6", ",").alias("ipv6"))
+
+
+def agent_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.agent_inventory(in_spark(spark, sf_dir, FACTS), "7.1", "small")
+
+
+def mem_gauges_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey").cast("double")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("host"), (k * 4096 * 10).alias("memory"), (k * 3).alias("pages_used"), (k * (F.col("c_custkey") % 20)).alias("pages_total"), (k * 2).alias("swap_used"), (k * 4096 * (F.col("c_custkey") % 4)).alias("swap_capacity"), k.alias("malloc_used"), (k * (F.col("c_custkey") % 2)).alias("malloc_total"))
+    return hosts.mem_gauges_pages(c, ["host"]).select("host", "metric", F.round("value", 9).alias("value"))
+
+
+def mem_gauges_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey").cast("double")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("host"), (k * 1048576 * (F.col("c_custkey") % 5)).alias("total"), (k * 262144).alias("free"), (k * 524288).alias("usable"))
+    return hosts.mem_gauges_simple(c, ["host"]).select("host", "metric", F.round("value", 9).alias("value"))
+
+
+def link_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of parts: text of a radio's signal, a state and a speed for some, two error counters."""
+    k = F.col("p_partkey")
+    text = F.when(k % 3 == 0, F.concat(F.lit("Signal: -"), k % 90, F.lit("\nnoise 1"))).when(k % 3 == 1, F.lit("Signal: x")).otherwise("\nSignal: -1")
+    p = table(spark, sf_dir, "part").select(k.alias("device"), F.when(k % 4 > 0, k % 2).alias("link"), F.when(k % 5 > 0, k).alias("speed"), (k % 3 * 500).alias("mtu"), columns.signal_level(text).alias("signal"), F.col("p_size").alias("crc"), F.when(k % 2 == 0, k).alias("overflow"))
+    return hosts.link_gauges(p, ["device"], ["crc", "overflow"])
+
+
+def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of temperature and battery text."""
+    k = F.col("p_partkey")
+    heat = F.when(k % 7 == 0, F.lit("")).when(k % 7 == 1, F.lit("hot 20")).otherwise(F.concat(F.lit("  "), k % 200 - 20, F.lit(".5 degrees")))
+    charge = F.when(k % 5 == 0, F.lit("high -1 -1")).when(k % 5 == 1, F.lit("unknown\n50")).when(k % 5 == 2, (k % 101).cast("string")).otherwise(F.concat(F.lit("charging "), k % 101, F.lit(" 73")))
+    return table(spark, sf_dir, "part").select(k, columns.plausible_range(heat, 0, 150).alias("heat"), columns.battery_percent(charge).alias("charge"))
+
+
+def graph_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters out of bins text: the largest max of sampled bins, 32-bit values unwrapped."""
+    e = table(spark, sf_dir, "events")
+    k = F.col("event_id")
+    line = F.concat(k, F.lit(": nsamp="), k % 3, F.lit(" min=0 max="), F.when(k % 50 == 1, -k).otherwise(k * 3), F.lit(" avg=1"))
+    text = e.groupBy(F.col("user_id").alias("host")).agg(F.concat(F.lit("stats\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("content"))
+    return counters.max_of_sampled(snapshots.graph_bins(text), ["host"])
+
+
+def clock_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last complete clock sample of each host's log."""
+    e = table(spark, sf_dir, "events")
+    k = F.col("event_id")
+    line = F.when(k % 4 == 0, F.concat(k + 10_000_000, F.lit(" no sample"))).otherwise(F.concat(k + 10_000_000, F.lit(" sys δ "), k % 1000, F.lit(" avgδ -"), k % 77, F.when(k % 4 == 1, F.lit(" hz")).otherwise(F.concat(F.lit(" hz "), k, F.lit(".5")))))
+    text = e.groupBy(F.col("user_id").alias("host")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("content"))
+    return counters.latest_sample(snapshots.clock_samples(text), ["host"], ["pos"], ["offset", "avg_offset", "freq"])
+
+
+def cpu_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CPU time text: the total line with and without guest time, a line that is too short, and the cores."""
+    k = F.col("c_custkey")
+    numbers = F.concat_ws(" ", *[k + n for n in range(7)])
+    text = F.concat(F.lit("cpu  "), numbers, F.when(k % 3 > 0, F.concat(F.lit(" "), k + 7)).otherwise(""), F.when(k % 3 == 2, " 9").otherwise(""), F.lit("\n"), F.array_join(F.transform(F.sequence(F.lit(0), (k % 4).cast("int")), lambda i: F.concat(F.lit("cpu"), i, F.lit(" 1 2"))), "\n"), F.lit("\nctxt 5"))
+    c = table(spark, sf_dir, "customer").select(k.alias("host"), text.alias("content"))
+    rows = snapshots.column_snapshot(c, "cpu").filter("entity = 'cpu'").select("host", "user", "steal", "guest")
+    return snapshots.cpu_cores(c).join(rows, "host", "left")
+
+
+def fixed_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Process status of fixed widths, in bytes; rows with few numbers are left out."""
+    k = F.col("s_suppkey")
+    line = F.concat(F.rpad(F.concat(F.lit("prog"), k), 28, " "), F.rpad(F.lit("u"), 28, " "), F.rpad(F.lit("Ready"), 12, " "), F.concat_ws(" ", *[k + n for n in range(8)], F.when(k % 4 > 0, "9")))
+    return snapshots.fixed_width_snapshot(table(spark, sf_dir, "supplier").select(k.alias("host"), line.alias("line"))).drop("numbers")
 
 
-QUERIES = {f.__name__: f for f in (state_counts, state_buckets, fs_gauges, mem_gauges, load_gauges, inventory, host_uuid, network_summary, share, shared_bytes, threads, cpu_topology, cpu_states, cpu_kernel_user, bins, sum_over_cpus, row_counts, snapshots_cols, snapshots_tokens, snapshots_ps, pid_stats, label_names, users_and_labels, storage_gauges)}
+QUERIES = {f.__name__: f for f in (state_counts, state_buckets, fs_gauges, mem_gauges, load_gauges, inventory, host_uuid, network_summary, share, shared_bytes, threads, cpu_topology, cpu_states, cpu_kernel_user, bins, sum_over_cpus, row_counts, snapshots_cols, snapshots_tokens, snapshots_ps, pid_stats, label_names, users_and_labels, storage_gauges, network_interfaces, agent_inventory, mem_gauges_pages, mem_gauges_simple, link_gauges, sensors, graph_bins, clock_samples, cpu_text, fixed_width)}
 
 
 def _long(keys: str, items: dict[str, str], rows: str) -> str:
@@ -212,7 +287,7 @@ ORACLES = {
     "fs_gauges": _long("host, device", {"total": "blocks * 4", "used": "(blocks - bfree) * 4", "free": "bavail * 4", "in_use": "(blocks - bfree)::DOUBLE / (blocks - bfree + bavail)", "inodes.total": "CASE WHEN files > 0 THEN files END", "inodes.free": "CASE WHEN files > 0 THEN ffree END", "inodes.used": "CASE WHEN files > 0 THEN files - ffree END", "inodes.in_use": "CASE WHEN files > 0 THEN (files - ffree)::DOUBLE / files END"}, f"(SELECT * FROM ({in_duck(MOUNTS)}) WHERE fstype <> 'proc' AND blocks > 0 QUALIFY row_number() OVER (PARTITION BY host, device ORDER BY pos) = 1)"),
     "mem_gauges": _long("host", {"total": "t / 1024", "free": "k / 4", "used": "t / 1024 - k / 4", "usable": "k / 2", "cached": "(k + 64) / 1024", "buffered": "0", "shared": "0", "slab": "0", "swap_total": "s * 2", "swap_free": "s / 2", "swap_used": "s * 1.5", "pct_usable": "k * 512 / t", "swap_pct_free": "CASE WHEN s > 0 THEN 0.25 END"}, "(SELECT c_custkey AS host, c_custkey::DOUBLE AS k, c_custkey::DOUBLE * 1024 + 9000 AS t, (c_custkey % 2)::DOUBLE AS s FROM customer)"),
     "load_gauges": _long("host", {"load.1": "host + 0.25", "load.5": "host + 1.5", "load.15": "host + 2.75", "load.norm.1": "(host + 0.25)::DOUBLE / n", "load.norm.5": "(host + 1.5)::DOUBLE / n", "load.norm.15": "(host + 2.75)::DOUBLE / n"}, "(SELECT c_custkey AS host, greatest(c_custkey % 5, 1) AS n FROM customer)"),
-    "inventory": f"""SELECT host, {_UUID} AS uuid, cores AS cpu_cores, total // 1024 AS memory_kb, swap_total // 1024 AS swap_kb, CASE WHEN ts % 2 = 0 THEN version ELSE '10' END AS os_version
+    "inventory": f"""SELECT host, {_UUID} AS uuid, cores AS cpu_cores, total // 1024 AS memory_kb, swap_total AS swap_kb, CASE WHEN ts % 2 = 0 THEN version ELSE '10' END AS os_version
         FROM (SELECT *, {_HASH} AS h FROM ({in_duck(FACTS)}) QUALIFY row_number() OVER (PARTITION BY host ORDER BY ts DESC) = 1)""",
     "host_uuid": f"""SELECT ts, CASE WHEN ts % 5 = 0 THEN host WHEN ts % 3 = 1 THEN 'os' || ts WHEN ts % 2 = 0 THEN 'i-1' WHEN ts % 3 = 0 THEN 'ip-10-0-0-1' ELSE 'unknown' END AS name, {_UUID} AS uuid FROM (SELECT *, {_HASH} AS h FROM ({in_duck(FACTS)}))""",
     "network_summary": f"""SELECT host, arg_min(addr, pos) FILTER (NOT six) AS ipv4, arg_min(mac, pos) FILTER (NOT six) AS mac, arg_min(addr, pos) FILTER (six) AS ipv6, string_agg(DISTINCT addr, ',' ORDER BY addr) AS addrs
@@ -222,7 +297,7 @@ ORACLES = {
     "shared_bytes": f"SELECT host, {_SECONDS}, pid, CAST(coalesce(sum(high - low) FILTER (ref > 1), 0) AS BIGINT) AS shared FROM ({in_duck(SEGMENTS)}) GROUP BY host, ts, pid",
     "threads": """SELECT host, owner, count(*) AS threads FROM (SELECT user_id % 10 AS host, ts::DATE AS d, max(CASE WHEN event_id % 6 = 0 THEN event_id END) OVER (PARTITION BY user_id % 10, ts::DATE ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS owner FROM events)
         WHERE owner IS NOT NULL GROUP BY host, d, owner""",
-    "cpu_topology": f"""SELECT host, count(*) AS logical, arg_min(vendor, pos) FILTER (vendor <> '') AS vendor, arg_min(model, pos) FILTER (model <> '') AS model, arg_min(mhz, pos) FILTER (mhz > 0) AS mhz,
+    "cpu_topology": f"""SELECT host, count(*) AS logical, arg_min(vendor, pos) FILTER (vendor <> '') AS vendor, arg_min(model, pos) FILTER (model <> '') AS model, arg_min(family, pos) FILTER (family <> '') AS family, arg_min(mhz, pos) FILTER (mhz > 0) AS mhz,
         CASE WHEN count(core_id) > 0 THEN count(DISTINCT (physical_id, core_id)) FILTER (core_id IS NOT NULL) ELSE count(*) END AS cores FROM ({in_duck(PACKAGES)}) GROUP BY host""",
     "cpu_states": f"SELECT host, {_SECONDS}, round(100 * (a + b) / t, 6) AS user_pct, round(100 * (c + d) / t, 6) AS system_pct, round(100 * e / t, 6) AS idle_pct FROM (SELECT *, a + b + c + d + e AS t FROM ({_BACK.format(', '.join(f'{x} - lag({x}) OVER w AS {x}' for x in 'abcde'))})) WHERE t > 0",
     "cpu_kernel_user": f"SELECT host, {_SECONDS}, round(100 * a / t, 6) AS user_pct, round(100 * d / t, 6) AS system_pct, round(100 * e / t, 6) AS idle_pct FROM (SELECT *, a + d + e AS t FROM ({_BACK.format(', '.join(f'{x} - lag({x}) OVER w AS {x}' for x in 'ade'))})) WHERE t > 0",
@@ -231,11 +306,27 @@ ORACLES = {
     "row_counts": "SELECT doc_id, 1 + len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '')) AS n FROM documents",
     "snapshots_cols": "SELECT l_suppkey AS host, 'sd' || l_linenumber AS device, sum(l_linenumber)::DOUBLE AS reads, sum(l_linenumber * 4)::DOUBLE AS ms_reading, sum(l_linenumber * 5)::DOUBLE AS writes, sum(l_linenumber * 10)::DOUBLE AS ms_io, sum(l_linenumber * 11)::DOUBLE AS weighted_ms_io FROM lineitem WHERE l_linenumber <> 3 GROUP BY l_suppkey, l_linenumber",
     "snapshots_tokens": "SELECT s_suppkey AS host, x.k AS key, x.v AS value FROM (SELECT s_suppkey, unnest([{'k': 'total', 'v': (1073741000 + s_suppkey % 1000)::DOUBLE}, {'k': 'used', 'v': s_suppkey::DOUBLE}, {'k': 'clumps', 'v': 7.0::DOUBLE}, {'k': 'compressed_clumps', 'v': (s_suppkey * 2)::DOUBLE}, {'k': 'wrapped', 'v': (4294967295 - s_suppkey)::DOUBLE}]) AS x FROM supplier)",
-    "snapshots_ps": f"SELECT CAST(epoch(snap_ts) AS BIGINT) AS ts, CAST(pid AS BIGINT) AS pid, memory * 1024 AS rss, (pid % 50) * 60 + 7.5::DOUBLE AS user_time, CAST((epoch(snap_ts) - 176405) * 1000 AS BIGINT) AS create_time, '/bin/x -a  b' AS command FROM ({in_duck(PROCS)})",
+    "snapshots_ps": f"SELECT CAST(floor(epoch(snap_ts)) AS BIGINT) AS ts, CAST(pid AS BIGINT) AS pid, memory * 1024 AS rss, (pid % 50) * 60 + 7.5::DOUBLE AS user_time, CAST((floor(epoch(snap_ts)) - 176405) * 1000 AS BIGINT) AS create_time, '/bin/x -a  b' AS command FROM ({in_duck(PROCS)})",
     "pid_stats": "SELECT CAST(event_id AS INTEGER) AS pid, 'a) (b ' || (event_id % 7) AS name, 'R' AS state, event_id + 4 AS ppid, event_id + 14 AS utime, event_id + 15 AS stime, event_id + 20 AS threads, event_id + 22 AS start, 2 AS code FROM events",
     "label_names": r"""SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN 'free_stat' WHEN 1 THEN 'unknown' ELSE trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '_') END AS suffix, CASE WHEN p_partkey % 3 = 0 THEN 'unknown' ELSE 'd' || p_partkey END AS base,
         '/m ' || p_partkey || '\040\04' AS path, p_size || ':x' AS size, CASE WHEN p_size > 24 THEN repeat('é', 22) || chr(65533) || '...' ELSE repeat('é', p_size) END AS short, CASE WHEN p_partkey > 5 THEN 4294967301 - p_partkey ELSE 5 - p_partkey END AS wrapped FROM part""",
     "users_and_labels": """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'orders.done' ELSE 'orders.open' END AS metric, CASE o_orderstatus WHEN 'F' THEN 'counter' ELSE 'gauge' END AS kind, coalesce(c_name, o_custkey::VARCHAR) AS user,
         'a:b' || coalesce(',nation:' || n_name, '') AS tags FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 3 > 0 LEFT JOIN nation ON n_nationkey = o_custkey % 25 AND n_nationkey % 2 = 0 WHERE o_orderstatus IN ('F', 'O')""",
-    "storage_gauges": _long("host", {"total": "CASE WHEN s THEN t END", "used": "CASE WHEN s THEN u END", "free": "CASE WHEN s THEN greatest(t - u, 0) END", "in_use": "CASE WHEN s THEN u / t END", "up": "CASE WHEN s THEN 1 ELSE 0 END"}, "(SELECT s_suppkey AS host, s_suppkey % 4 > 0 AS s, s_suppkey * 10::DOUBLE AS t, s_nationkey * 20::DOUBLE AS u FROM supplier)"),
+    "storage_gauges": """WITH s AS (SELECT 's' || s_suppkey AS host, s_suppkey % 4 > 0 AS seen, CASE WHEN s_suppkey % 5 > 0 THEN s_suppkey * 10240::DOUBLE ELSE 0 END AS t, s_nationkey * 20480::DOUBLE AS u, s_suppkey AS k FROM supplier)
+        SELECT host, x.m AS metric, round(x.v, 9) AS value, x.t AS tags FROM (SELECT host, unnest([{'m': 'total', 'v': t / 1024, 't': 'device:store'}, {'m': 'used', 'v': u / 1024, 't': 'device:store'}, {'m': 'free', 'v': greatest(t - u, 0) / 1024, 't': 'device:store'}, {'m': 'in_use', 'v': u / t, 't': 'device:store'},
+          {'m': 'arenas_total', 'v': k::DOUBLE, 't': ''}, {'m': 'arenas_active', 'v': (k % 3)::DOUBLE, 't': ''}, {'m': 'uncompressed_bytes', 'v': k * 7::DOUBLE, 't': ''}, {'m': 'compressed_bytes', 'v': (k % 6)::DOUBLE, 't': ''}, {'m': 'compression_ratio', 'v': CASE WHEN k % 6 > 0 THEN k * 7::DOUBLE / (k % 6) END, 't': ''}]) AS x FROM s WHERE seen AND t > 0) WHERE x.v IS NOT NULL
+        UNION ALL SELECT host, 'up', CASE WHEN seen THEN 1.0::DOUBLE ELSE 0 END, '' FROM s""",
+    "network_interfaces": f"""SELECT host, 'e' || (pos % 3) AS name, arg_min(mac, pos) AS mac, coalesce(string_agg(addr, ',' ORDER BY pos) FILTER (ok AND NOT contains(addr, ':')), '') AS ipv4, coalesce(string_agg(addr, ',' ORDER BY pos) FILTER (ok AND contains(addr, ':')), '') AS ipv6
+        FROM (SELECT *, NOT starts_with(addr, '169.254.') AND NOT starts_with(addr, 'fe80:') AS ok FROM ({in_duck(NICS)}) WHERE NOT loopback) GROUP BY host, pos % 3""",
+    "agent_inventory": f"SELECT host, {_UUID} AS uuid, '7.1' AS agent_version, 'small' AS flavor, 'full' AS infrastructure_mode FROM (SELECT *, {_HASH} AS h FROM ({in_duck(FACTS)}) QUALIFY row_number() OVER (PARTITION BY host ORDER BY ts DESC) = 1)",
+    "mem_gauges_pages": _long("host", {"total": "m / 1048576", "free": "f / 1048576", "used": "(m - f) / 1048576", "pct_usable": "f / nullif(m, 0)", "swap_total": "c / 1048576", "swap_used": "least(s, c) / 1048576", "swap_free": "(c - least(s, c)) / 1048576", "swap_pct_free": "CASE WHEN c > 0 THEN (c - least(s, c)) / c END", "kernel_malloc": "CASE WHEN host % 2 > 0 THEN k / 1048576 END", "kernel_malloc_max": "CASE WHEN host % 2 > 0 THEN k / 1048576 END"},
+        "(SELECT *, least(greatest((k * (host % 20) - k * 3) * 4096, 0), m) AS f FROM (SELECT c_custkey AS host, c_custkey::DOUBLE AS k, c_custkey * 40960::DOUBLE AS m, c_custkey * 4096::DOUBLE * (c_custkey % 4) AS c, c_custkey * 8192::DOUBLE AS s FROM customer))"),
+    "mem_gauges_simple": _long("host", {"total": "k * (host % 5)", "free": "k / 4", "used": "k * (host % 5) - k / 4", "usable": "k / 2", "pct_usable": "CASE WHEN host % 5 = 0 THEN 0 ELSE 0.5 / (host % 5) END"}, "(SELECT c_custkey AS host, c_custkey::DOUBLE AS k FROM customer)"),
+    "link_gauges": """SELECT device, x.m AS metric, x.v AS value FROM (SELECT p_partkey AS device, unnest([{'m': 'link', 'v': CASE WHEN p_partkey % 4 > 0 THEN (p_partkey % 2)::DOUBLE END}, {'m': 'speed', 'v': CASE WHEN p_partkey % 5 > 0 THEN p_partkey::DOUBLE END}, {'m': 'mtu', 'v': CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 3 * 500::DOUBLE END},
+        {'m': 'signal', 'v': CASE WHEN p_partkey % 3 = 0 THEN -(p_partkey % 90)::DOUBLE END}, {'m': 'errors', 'v': (p_size + CASE WHEN p_partkey % 2 = 0 THEN p_partkey ELSE 0 END)::DOUBLE}]) AS x FROM part) WHERE x.v IS NOT NULL""",
+    "sensors": """SELECT p_partkey, CASE WHEN p_partkey % 7 > 1 AND p_partkey % 200 >= 20 AND p_partkey % 200 - 20 < 150 THEN p_partkey % 200 - 20 + 0.5::DOUBLE END AS heat, CASE WHEN p_partkey % 5 > 1 THEN (p_partkey % 101)::DOUBLE END AS charge FROM part""",
+    "graph_bins": "SELECT user_id AS host, max(CASE WHEN event_id % 50 = 1 THEN 4294967296 - event_id ELSE event_id * 3 END)::DOUBLE AS value FROM events WHERE event_id % 3 > 0 GROUP BY user_id",
+    "clock_samples": "SELECT user_id AS host, (arg_max(event_id, event_id) % 1000)::DOUBLE AS \"offset\", -(max(event_id) % 77)::DOUBLE AS avg_offset, max(event_id) + 0.5::DOUBLE AS freq FROM events WHERE event_id % 4 > 1 GROUP BY user_id",
+    "cpu_text": "SELECT c_custkey AS host, CAST(c_custkey % 4 + 1 AS INTEGER) AS cores, CASE WHEN c_custkey % 3 > 0 THEN c_custkey::DOUBLE END AS user, CASE WHEN c_custkey % 3 > 0 THEN c_custkey + 7::DOUBLE END AS steal, CASE WHEN c_custkey % 3 = 2 THEN 9::DOUBLE END AS guest FROM customer",
+    "fixed_width": "SELECT s_suppkey AS host, 'prog' || s_suppkey AS name, 'u' AS user, 'Ready' AS state, s_suppkey + 6 AS memory_kb FROM supplier WHERE s_suppkey % 4 > 0",
 }

@@ -51,7 +51,7 @@ def service_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = F.replace("text", F.lit("\n"), F.lit("\\n"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.substring(flat, 1, 20).alias("a"), F.substring(flat, 21, 60).alias("b"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.substring(flat, 1, 20).alias("a"), F.substring(flat, 21, 1 << 30).alias("b"))
     line = F.concat(F.lit("_e{"), F.octet_length("a").cast("string"), F.lit(","), F.octet_length("b").cast("string"), F.lit("}:"), "a", F.lit("|"), "b", F.lit("|p:low|#lang:"), "lang")
     return d.select("doc_id", statsd.parse_event(line).alias("e")).select("doc_id", "e.msg_title", "e.msg_text", "e.priority", F.array_join("e.tags", ",").alias("tags"))
 
@@ -73,6 +73,13 @@ def flush_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("metric", "type", "interval", F.array_join("tags", ",").alias("tags"), "host", "device", "ts", F.round("value", 9).alias("value"))
 
 
+def flush_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All families of a flush without the fields that are added last."""
+    rows = flush.flush_metrics(in_spark(spark, sf_dir, SAMPLES), DAY)
+    tags = F.when(F.col("device") == "", F.col("tags")).otherwise(F.array_append("tags", F.concat(F.lit("device:"), "device")))
+    return rows.select("host", "ts", "metric", "type", F.round("value", 9).alias("value"), F.array_join(F.array_sort(tags), ",").alias("tags"))
+
+
 def non_finite(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = in_spark(spark, sf_dir, SAMPLES)
     odd = F.when(F.col("seq") % 5 == 0, F.lit(float("nan"))).when(F.col("seq") % 5 == 1, F.lit(float("inf"))).otherwise(F.col("value"))
@@ -84,7 +91,7 @@ def run_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flush.run_total(in_spark(spark, sf_dir, SERIES)).select("key", F.round("total", 6).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (flush_gauge_counter, statsd_packed, statsd_routing, service_checks, event_bytes, hist_expand, set_distinct, flush_all, non_finite, run_total)}
+QUERIES = {f.__name__: f for f in (flush_gauge_counter, statsd_packed, statsd_routing, service_checks, event_bytes, hist_expand, set_distinct, flush_all, flush_series, non_finite, run_total)}
 
 _S = in_duck(SAMPLES)
 _P = f"SELECT *, CAST((floor(epoch(ts) / {DAY}) + 1) * {DAY} AS BIGINT) AS we, array_to_string(list_sort(tags), ',') AS tk FROM ({_S})"
@@ -109,10 +116,16 @@ ORACLES = {
         SELECT o_orderpriority AS "check", 'h' || (o_custkey % 9) AS host_name, CAST(CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS INTEGER) AS status, 'a|b' AS message,
                count(*) AS n, CAST(max(epoch(o_orderdate)) AS BIGINT) AS latest FROM orders GROUP BY ALL""",
     "event_bytes": """
-        SELECT doc_id, replace(substr(t, 1, 20), '\\n', chr(10)) AS msg_title, replace(substr(t, 21, 60), '\\n', chr(10)) AS msg_text, 'low' AS priority, 'lang:' || lang AS tags
+        SELECT doc_id, replace(substr(t, 1, 20), '\\n', chr(10)) AS msg_title, replace(substr(t, 21), '\\n', chr(10)) AS msg_text, 'low' AS priority, 'lang:' || lang AS tags
         FROM (SELECT *, replace(text, chr(10), '\\n') AS t FROM documents)""",
     "hist_expand": "WITH p AS (SELECT * REPLACE ('histogram' AS type) FROM (" + _P + "))" + _HIST.format(p="", day=DAY) + " SELECT host, we AS ts, metric, type, round(value, 9) AS value, tk AS tags FROM h",
     "set_distinct": f"SELECT host, we AS ts, name AS metric, 'gauge' AS type, round(count(DISTINCT member)::DOUBLE, 6) AS value FROM ({_P}) GROUP BY host, we, name, tk",
+    "flush_series": "WITH a AS (" + _P + "), p AS (SELECT * FROM a WHERE type = 'histogram')" + _HIST.format(p="", day=DAY) + f""",
+        u AS (SELECT host, we, tk, metric, type, value FROM h
+          UNION ALL SELECT host, we, tk, name, 'gauge', arg_max(value, row(ts, seq)) FROM a WHERE type = 'gauge' GROUP BY ALL
+          UNION ALL SELECT host, we, tk, name, 'rate', sum(value / sample_rate) / {DAY} FROM a WHERE type = 'counter' GROUP BY ALL
+          UNION ALL SELECT host, we, tk, name, 'gauge', count(DISTINCT member)::DOUBLE FROM a WHERE type = 'set' GROUP BY ALL)
+        SELECT host, we AS ts, metric, type, round(value, 9) AS value, tk AS tags FROM u""",
     "flush_all": "WITH a AS (" + _P + "), p AS (SELECT * FROM a WHERE type = 'histogram')" + _HIST.format(p="", day=DAY) + f""",
         u AS (SELECT host, we, tk, metric, type, value FROM h
           UNION ALL SELECT host, we, tk, name, 'gauge', arg_max(value, row(ts, seq)) FROM a WHERE type = 'gauge' GROUP BY ALL
@@ -123,4 +136,3 @@ ORACLES = {
     "non_finite": "SELECT type, count(*) AS n FROM (" + _S + ") WHERE type = 'set' OR seq % 5 > 1 GROUP BY type",
     "run_total": "WITH s AS (" + in_duck(SERIES) + """) SELECT metric || '{' || tags[1] || '}' AS key, round(CASE WHEN bool_or(type = 'rate') THEN sum(value * "interval") ELSE arg_max(value, ts) END, 6) AS total FROM s GROUP BY metric, tags""",
 }
-ORACLES = {k: v.replace("))\n  , v AS", "))\n , v AS") for k, v in ORACLES.items()}

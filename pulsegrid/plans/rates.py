@@ -54,8 +54,17 @@ def clamped_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counters.counter_rate(c, "host", ["device"], "ts", ["reads", "odd"], "clamp").select("host", "device", _ts(), "counter", F.round("rate", 9).alias("rate"))
 
 
+def reads_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counters.counter_rate(in_spark(spark, sf_dir, COUNTERS), "host", ["device"], "ts", ["reads", "writes"]).select("host", "device", _ts(), "counter", F.round("rate", 9).alias("rate"))
+
+
+def running_totals(procs: DataFrame) -> DataFrame:
+    """Processes with cumulative counters out of each snapshot's own."""
+    return procs.withColumns({c: F.sum(c).over(_running()) for c in ("user_time", "system_time", "read_count", "write_count", "read_bytes", "write_bytes")})
+
+
 def proc_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = counters.proc_rates(in_spark(spark, sf_dir, PROCS).withColumns({c: F.sum(c).over(_running()) for c in ("user_time", "system_time", "read_count", "write_count", "read_bytes", "write_bytes")}))
+    rows = counters.proc_rates(running_totals(in_spark(spark, sf_dir, PROCS)))
     return rows.select("host", "pid", _ts("snap_ts"), "pinned", *[F.round(c, 9).alias(c) for c in ("user_pct", "system_pct", "total_pct", "read_count_s", "write_bytes_s")])
 
 
@@ -77,7 +86,7 @@ def chunk_procs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.chunk_procs(in_spark(spark, sf_dir, PROCS), 50).groupBy("host", _ts("snap_ts"), "chunk", "group_size").agg(F.count("*").alias("n"), F.min("pid").alias("first_pid"))
 
 
-QUERIES = {f.__name__: f for f in (cpu_pct, cpu_gauges, net_rates, clamped_rates, disk_io, disk_io_durations, disk_io_busy, disk_io_basic, proc_rates, pin_create_time, top_n, chunk_procs)}
+QUERIES = {f.__name__: f for f in (cpu_pct, cpu_gauges, net_rates, reads_writes, clamped_rates, disk_io, disk_io_durations, disk_io_busy, disk_io_basic, proc_rates, pin_create_time, top_n, chunk_procs)}
 
 
 def _back(sql: str, entity: str, cols: list[str]) -> str:
@@ -96,9 +105,9 @@ def _items(d: dict[str, str]) -> str:
 
 
 _PINNED = f"""
-    WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY snap_ts) AS n FROM ({in_duck(PROCS)})),
+    WITH RECURSIVE p AS (SELECT *, dense_rank() OVER (PARTITION BY host ORDER BY snap_ts) AS snap, row_number() OVER (PARTITION BY host, pid ORDER BY snap_ts) AS n FROM ({in_duck(PROCS)})),
     f AS (SELECT *, create_time AS pinned FROM p WHERE n = 1
-          UNION ALL SELECT p.*, CASE WHEN abs(f.pinned - p.create_time) < 2000 THEN f.pinned ELSE p.create_time END FROM f JOIN p ON p.pid = f.pid AND p.n = f.n + 1)"""
+          UNION ALL SELECT p.*, CASE WHEN p.snap = f.snap + 1 AND abs(f.pinned - p.create_time) < 2000 THEN f.pinned ELSE p.create_time END FROM f JOIN p ON p.host = f.host AND p.pid = f.pid AND p.n = f.n + 1)"""
 _BYTES = f"SELECT {_AS_BYTES} FROM ({COUNTERS})"
 _OPS = ["read_ops", "write_ops", "read_bytes", "write_bytes", "read_dur_s", "write_dur_s", "busy_s"]
 _LONG_OPS = _LONG.replace("d_reads", "d_read_ops").replace("d_writes", "d_write_ops")
@@ -112,6 +121,7 @@ ORACLES = {
         "util": "least(100.0, 100 * greatest(d_busy_s, 0) / dt)", "await": "CASE WHEN d_read_ops + d_write_ops > 0 THEN 1000 * (greatest(d_read_dur_s, 0) + greatest(d_write_dur_s, 0)) / (d_read_ops + d_write_ops) END",
         "r_await": "CASE WHEN d_read_ops > 0 THEN 1000 * greatest(d_read_dur_s, 0) / d_read_ops END", "w_await": "CASE WHEN d_write_ops > 0 THEN 1000 * greatest(d_write_dur_s, 0) / d_write_ops END"})),
     "disk_io_basic": "WITH b AS (" + _back(_BYTES, "device", _OPS) + ") " + _LONG_OPS.format(r=9, items=_items(_PLAIN)),
+    "reads_writes": "WITH b AS (" + _back(COUNTERS, "device", _DISK) + ") SELECT host, device, epoch_us(ts) AS ts, x.c AS counter, round(x.d / dt, 9) AS rate FROM (SELECT *, unnest([{'c': 'reads', 'd': d_reads}, {'c': 'writes', 'd': d_writes}]) AS x FROM b) WHERE x.d >= 0",
     "clamped_rates": "WITH b AS (" + _back(f"SELECT host, device, ts, reads, reads_merged * 30 - writes AS odd FROM ({COUNTERS})", "device", ["reads", "odd"]) + ") SELECT host, device, epoch_us(ts) AS ts, x.c AS counter, round(greatest(x.d, 0) / dt, 9) AS rate FROM (SELECT *, unnest([{'c': 'reads', 'd': d_reads}, {'c': 'odd', 'd': d_odd}]) AS x FROM b)",
     "cpu_pct": "WITH b AS (" + _back(CPU_TIMES, "", counters.CPU) + """), t AS (SELECT *, d_user + d_nice + d_system + d_idle + d_iowait + d_irq + d_softirq + d_steal AS t FROM b)
         SELECT host, epoch_us(ts) AS ts, round(100 * (d_user + d_nice) / t, 6) AS user_pct, round(100 * (d_system + d_irq + d_softirq) / t, 6) AS system_pct, round(100 * d_iowait / t, 6) AS iowait_pct,
@@ -124,8 +134,7 @@ ORACLES = {
         "w_await": "CASE WHEN d_writes > 0 THEN greatest(d_ms_writing, 0) / d_writes END", "avg_rq_sz": "CASE WHEN d_reads + d_writes > 0 THEN (d_sectors_read + d_sectors_written) / (d_reads + d_writes) END"})),
     "disk_io_busy": "WITH b AS (" + _back(COUNTERS, "device", _DISK) + ") " + _LONG.format(r=9, items=_items({"r_s": "d_reads / dt", "w_s": "d_writes / dt", "rkb_s": "greatest(d_sectors_read, 0) / 1024 / dt", "wkb_s": "greatest(d_sectors_written, 0) / 1024 / dt", "util": "least(100.0, 100 * greatest(d_ms_io, 0) / dt)"})),
     "pin_create_time": _PINNED + " SELECT host, pid, epoch_us(snap_ts) AS ts, create_time, pinned FROM f",
-    "proc_rates": _PINNED + """, r AS (SELECT host, pid, snap_ts, pinned, sum(user_time) OVER w AS u, sum(system_time) OVER w AS s, sum(read_count) OVER w AS rc, sum(write_bytes) OVER w AS wb,
-                                dense_rank() OVER (PARTITION BY host ORDER BY snap_ts) AS snap FROM f WINDOW w AS (PARTITION BY pid ORDER BY snap_ts ROWS UNBOUNDED PRECEDING)),
+    "proc_rates": _PINNED + """, r AS (SELECT host, pid, snap_ts, pinned, sum(user_time) OVER w AS u, sum(system_time) OVER w AS s, sum(read_count) OVER w AS rc, sum(write_bytes) OVER w AS wb, snap FROM f WINDOW w AS (PARTITION BY pid ORDER BY snap_ts ROWS UNBOUNDED PRECEDING)),
         l AS (SELECT *, CASE WHEN snap - lag(snap) OVER w = 1 AND pinned = lag(pinned) OVER w THEN (epoch_us(snap_ts) - epoch_us(lag(snap_ts) OVER w)) / 1e6 END AS dt,
                      u - lag(u) OVER w AS du, s - lag(s) OVER w AS ds, rc - lag(rc) OVER w AS dr, wb - lag(wb) OVER w AS dw FROM r WINDOW w AS (PARTITION BY pid ORDER BY snap_ts))
         SELECT host, pid, epoch_us(snap_ts) AS ts, pinned, round(coalesce(100 * du / dt, 0), 9) AS user_pct, round(coalesce(100 * ds / dt, 0), 9) AS system_pct,

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,3 +71,13 @@ def in_duck(sql: str) -> str:
     for t in TABLES:
         sql = sql.replace("{" + t + "}", t)
     return sql
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the one that the cluster names in `spark.checkpoint.dir`; a temporary one only in a local session."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        return tempfile.mkdtemp(prefix="scratch-")
+    return f"{top.rstrip('/')}/scratch-{uuid.uuid4().hex}"

@@ -158,16 +158,16 @@ def pack_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pack_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("check"), (F.col("o_custkey") % 50).cast("string").alias("host_name"), F.col("o_orderkey").alias("timestamp"), F.lit(0).alias("status"), F.lit("m").alias("message"), F.array().cast("array<string>").alias("tags"))
-    return sinks.pack_checks(c).select("host_name", "rows", F.get_json_object("body", "$[0].check").alias("first"))
+    return sinks.pack_checks(c, max_rows=200).select("host_name", "payload", "rows", F.get_json_object("body", "$[0].check").alias("first"))
 
 
 def pack_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 9).alias("host"), F.when(F.col("event_id") % 4 > 0, F.col("event_type")).alias("source_type_name"), F.col("event_id").alias("timestamp"), F.col("event_type").alias("msg_title"), *[F.lit("x").alias(c) for c in ("msg_text", "priority", "alert_type", "aggregation_key")], F.array(F.lit("a:b")).alias("tags"))
     where = table(spark, sf_dir, "region").select(F.concat(F.lit("https://"), F.col("r_regionkey") % 3).alias("url"), F.when(F.col("r_regionkey") == 4, " ").otherwise(F.concat(F.lit("k"), F.col("r_regionkey") % 2)).alias("key"))
     to = sinks.destinations(where.filter("url = 'https://1' and key = 'k1'"), where)
-    out = sinks.pack_events(e, to.select("url", "key", "pos"))
+    out = sinks.pack_events(e, to.select("url", "key", "pos"), 300)
     n = F.json_array_length(F.get_json_object("body", "$.events.api"))
-    return out.select("host", "url", F.get_json_object("body", "$.apiKey").alias("key"), n.cast("long").alias("n_api"))
+    return out.select("host", "payload", "url", F.get_json_object("body", "$.apiKey").alias("key"), F.coalesce(n, F.lit(0)).cast("long").alias("n_api"), F.get_json_object("body", "$.internalHostname").alias("name"))
 
 
 def destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,9 +254,9 @@ ORACLES = {
           UNION ALL SELECT d.source_id, d.k, CASE WHEN n >= {MAX_ROWS} OR s + d.size > {MAX_BYTES} THEN batch + 1 ELSE batch END, CASE WHEN n >= {MAX_ROWS} OR s + d.size > {MAX_BYTES} THEN 1 ELSE n + 1 END, CASE WHEN n >= {MAX_ROWS} OR s + d.size > {MAX_BYTES} THEN d.size ELSE s + d.size END, d.size
           FROM f JOIN d ON d.source_id = f.source_id AND d.k = f.k + 1)
         SELECT source_id, batch, count(*) AS rows, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS items FROM f GROUP BY source_id, batch""",
-    "pack_checks": "SELECT (o_custkey % 50)::VARCHAR AS host_name, count(*) AS rows, min(o_orderpriority) AS first FROM orders GROUP BY 1",
+    "pack_checks": "SELECT host_name, CAST((k - 1) // 200 AS BIGINT) AS payload, count(*) AS rows, min(o_orderpriority) AS first FROM (SELECT (o_custkey % 50)::VARCHAR AS host_name, o_orderpriority, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderpriority, o_orderkey) AS k FROM orders) GROUP BY ALL",
     "pack_events": """WITH r AS (SELECT DISTINCT 'https://' || (r_regionkey % 3) AS url, 'k' || (r_regionkey % 2) AS key FROM region WHERE r_regionkey <> 4)
-        SELECT user_id % 9 AS host, url, key, count(*) FILTER (event_id % 4 = 0) AS n_api FROM events, r GROUP BY ALL""",
+        SELECT host, CAST((k - 1) // 300 AS BIGINT) AS payload, url, key, count(*) FILTER (event_id % 4 = 0) AS n_api, host::VARCHAR AS name FROM (SELECT *, user_id % 9 AS host, row_number() OVER (PARTITION BY user_id % 9 ORDER BY event_id) AS k FROM events), r GROUP BY ALL""",
     "destinations": """SELECT url, key, CAST(rank AS INTEGER) AS rank, CAST(row_number() OVER (ORDER BY rank, url, key) AS INTEGER) AS pos FROM (SELECT DISTINCT 'u' || n_regionkey AS url, 'k' || (n_nationkey % 2) AS key, CASE WHEN n_regionkey = 3 AND n_nationkey % 2 = 1 THEN 0 ELSE 1 END AS rank FROM nation WHERE n_nationkey % 5 > 0)""",
     "dead_letter": "SELECT CAST(c AS INTEGER) AS http_status, count(*) AS n, CASE WHEN c < 300 THEN 'delivered' WHEN c IN (400, 403, 413) THEN 'dead' ELSE 'retry' END AS fate FROM (SELECT [200, 202, 400, 403, 413, 429, 500][o_orderkey % 7 + 1] AS c FROM orders) GROUP BY c",
 }

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 RECORD = (
     "kind string, api_key string, metric string, type string, value double, `interval` bigint, tags array<string>, host string, device string, "
-    "message string, service string, source string, status string, ddtags string, check string, check_status int, title string, attrs map<string,string>, nums map<string,double>"
+    "message string, service string, source string, status string, ddtags string, check string, check_status int, title string, attrs map<string,string>, nums map<string,double>, "
+    "proc_encoding int, proc_count int, proc_names array<string>, prof_family string, prof_version string, prof_attach array<string>, prof_tags string, prof_via string, prof_add_tags string, prof_api_key boolean, pos bigint"
 )
 
 
@@ -27,34 +28,62 @@ def read_log_lines(spark: SparkSession, path: str, keep_blank: bool = False) ->
 
 
 def cap_lines(df: DataFrame, cap: int = 262_144, col: str = "line") -> DataFrame:
-    """A line over `cap` bytes becomes pieces of at most that many, numbered by `piece`; others pass untouched."""
-    raw = F.encode(F.col(col), "UTF-8")
-    pieces = F.transform(F.sequence(F.lit(0), F.greatest((F.octet_length(col) - 1), F.lit(0)), F.lit(cap)), lambda at: F.substring(raw, at + 1, F.lit(cap)).cast("string"))
+    """A line over `cap` bytes becomes pieces of at most that many, numbered by `piece`; others pass untouched.
+
+    Cuts are three bytes closer than `cap` and move back to where a character begins, so that every piece is text of its
+    own and none depends on another.
+    """
+    raw, step = F.encode(F.col(col), "UTF-8"), cap - 3
+    begins = F.sequence(F.lit(0), F.greatest((F.octet_length(col) - 1), F.lit(0)), F.lit(step))
+
+    def back(at: Column) -> Column:
+        inner = lambda x: F.conv(F.hex(F.substring(raw, x + 1, F.lit(1))), 16, 10).cast("int").between(0x80, 0xBF)
+        return F.when(~inner(at), at).when(~inner(at - 1), at - 1).when(~inner(at - 2), at - 2).otherwise(at - 3)
+
+    cuts = F.transform(begins, lambda at: F.when(at == 0, at).otherwise(back(at)))
+    pieces = F.transform(cuts, lambda at, k: F.substring(raw, at + 1, F.coalesce(F.get(cuts, k + 1), F.octet_length(col)) - at).cast("string"))
     rest = [c for c in df.columns if c != col]
     return df.select(*rest, F.posexplode(F.when(F.octet_length(col) > cap, pieces).otherwise(F.array(col))).alias("piece", col))
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON-lines recording."""
-    return spark.read.schema(RECORD).json(path)
+    """A JSON-lines recording; `pos`, if it isn't there, is the place of the line."""
+    return spark.read.schema(RECORD).json(path).withColumn("pos", F.coalesce("pos", F.monotonically_increasing_id()))
 
 
 def normalize_payloads(df: DataFrame) -> DataFrame:
-    """Payload rows `(path, api_key, body)` to record rows; a body that can't be read gives none."""
-    series = df.filter(F.col("path").contains("/series")).select("api_key", F.explode(F.from_json("body", "series array<struct<metric string, type string, `interval` bigint, tags array<string>, host string, device string, points array<array<double>>>>")["series"]).alias("s"))
-    a = series.select(F.lit("series").alias("kind"), "api_key", "s.metric", "s.type", "s.interval", "s.tags", "s.host", "s.device", F.get(F.get("s.points", F.size("s.points") - 1), F.lit(1)).alias("value"))
-    logs = df.filter(F.col("path").contains("/logs")).select("api_key", F.explode(F.from_json("body", "array<struct<message string, status string, hostname string, service string, ddsource string, ddtags string>>")).alias("l"))
+    """Payload rows `(path, api_key, body)` to record rows; a body that can't be read gives none.
+
+    Series have their last point's value (0 without one). An intake body is an envelope of events if it has any, else
+    host facts if it names a platform or hardware; its own key goes before the request's. Inventory bodies give a row
+    for the host's and one for the agent's part.
+    """
+    to = lambda name: df.filter(F.col("path").contains(name))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    series = to("/series").select("api_key", F.explode(F.from_json("body", "series array<struct<metric string, type string, `interval` bigint, tags array<string>, host string, device string, points array<array<double>>>>")["series"]).alias("s"))
+    last = F.get("s.points", F.size("s.points") - 1)
+    a = series.select(F.lit("series").alias("kind"), "api_key", "s.metric", "s.type", "s.interval", "s.tags", "s.host", "s.device", F.when(F.size(last) == 2, F.get(last, F.lit(1))).otherwise(0.0).alias("value"))
+    logs = to("/logs").select("api_key", F.explode(F.from_json("body", "array<struct<message string, status string, hostname string, service string, ddsource string, ddtags string>>")).alias("l"))
     b = logs.select(F.lit("log").alias("kind"), "api_key", "l.message", "l.status", F.col("l.hostname").alias("host"), "l.service", F.col("l.ddsource").alias("source"), "l.ddtags")
-    checks = df.filter(F.col("path").contains("/check_run")).select("api_key", F.explode(F.from_json("body", "array<struct<check string, host_name string, status int, message string, tags array<string>>>")).alias("c"))
-    c = checks.select(F.lit("check").alias("kind"), "api_key", "c.check", F.col("c.host_name").alias("host"), F.col("c.status").alias("check_status"), "c.message", "c.tags")
-    intake = df.filter(F.col("path").contains("/intake")).select("api_key", F.from_json("body", "apiKey string, events map<string, array<struct<msg_title string, msg_text string, host string, tags array<string>>>>, internalHostname string, os string").alias("e"))
-    key = F.coalesce("e.apiKey", "api_key").alias("api_key")
-    d = intake.filter("e.events is not null").select(key, F.explode(F.flatten(F.map_values("e.events"))).alias("x")).select(F.lit("event").alias("kind"), "api_key", F.col("x.msg_title").alias("title"), F.col("x.msg_text").alias("message"), "x.host", "x.tags")
-    e = intake.filter("e.internalHostname is not null").select(F.lit("host").alias("kind"), key, F.col("e.internalHostname").alias("host"), F.create_map(F.lit("os"), F.coalesce("e.os", F.lit(""))).alias("attrs"))
-    inventory = df.filter(F.col("path").contains("/metadata")).select("api_key", F.from_json("body", "hostname string, host_metadata map<string,string>, agent_metadata map<string,string>").alias("m"))
-    f = inventory.filter("m.hostname is not null").select(F.when(F.col("m.host_metadata").isNotNull(), "inventory_host").otherwise("inventory_agent").alias("kind"), "api_key", F.col("m.hostname").alias("host"), F.coalesce("m.host_metadata", "m.agent_metadata").alias("attrs"))
+    checks = to("/check_run").select("api_key", F.explode(F.from_json("body", "array<struct<check string, host_name string, status int>>")).alias("c"))
+    c = checks.select(F.lit("check").alias("kind"), "api_key", "c.check", F.col("c.host_name").alias("host"), F.col("c.status").alias("check_status"))
+    body = "apiKey string, events map<string, array<struct<msg_title string>>>, os string, systemStats struct<platform string, cpuCores int>, meta struct<hostname string>, `host-tags` struct<system array<string>>, gohai string"
+    intake = to("/intake").select(F.from_json("body", body).alias("e"), "api_key").withColumn("api_key", F.coalesce(F.nullif("e.apiKey", F.lit("")), "api_key"))
+    d = intake.filter("e.events is not null").select("api_key", F.explode(F.flatten(F.map_values("e.events"))).alias("x")).select(F.lit("event").alias("kind"), "api_key", F.col("x.msg_title").alias("title"))
+    facts = intake.filter("e.events is null").filter((text(F.col("e.systemStats.platform")) != "") | (text(F.col("e.gohai")) != "")).withColumn("g", F.from_json("e.gohai", "cpu struct<cpu_cores bigint>, memory struct<total bigint>, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
+    read = F.col("g").isNotNull() & F.col("g._corrupt").isNull()
+    cores = F.when(read & (F.col("g.cpu.cpu_cores") > 0), F.col("g.cpu.cpu_cores")).otherwise(F.coalesce(F.col("e.systemStats.cpuCores"), F.lit(0))).cast("double")
+    nums = F.when(read, F.create_map(F.lit("cpu_cores"), cores, F.lit("mem_total"), F.coalesce(F.col("g.memory.total"), F.lit(0)).cast("double"))).otherwise(F.create_map(F.lit("cpu_cores"), cores))
+    e = facts.select(F.lit("meta").alias("kind"), "api_key", F.create_map(F.lit("os"), text(F.col("e.os")), F.lit("platform"), text(F.col("e.systemStats.platform")), F.lit("hostname"), text(F.col("e.meta.hostname"))).alias("attrs"), nums.alias("nums"), F.col("e.host-tags.system").alias("tags"))
+    inventory = to("/metadata").select("api_key", F.from_json("body", "host_metadata struct<os string, kernel_name string, cpu_architecture string, cpu_cores bigint, cpu_logical_processors bigint, memory_total_kb bigint, agent_version string>, agent_metadata map<string,string>").alias("m"))
+    h = lambda n: F.col(f"m.host_metadata.{n}")
+    number = lambda n: F.coalesce(h(n), F.lit(0)).cast("double")
+    attrs = F.create_map(*[x for n in ("os", "kernel_name", "cpu_architecture", "agent_version") for x in (F.lit(n), text(h(n)))])
+    f = inventory.filter("m.host_metadata is not null").select(F.lit("inv_host").alias("kind"), "api_key", attrs.alias("attrs"), F.create_map(F.lit("cpu_cores"), number("cpu_cores"), F.lit("cpu_logical"), number("cpu_logical_processors"), F.lit("memory_total_kb"), number("memory_total_kb")).alias("nums"))
+    agent = F.create_map(*[x for n in ("agent_version", "flavor") for x in (F.lit(n), text(F.try_element_at("m.agent_metadata", F.lit(n))))])
+    g = inventory.filter("m.agent_metadata is not null").select(F.lit("inv_agent").alias("kind"), "api_key", agent.alias("attrs"))
     out = a
-    for x in (b, c, d, e, f):
+    for x in (b, c, d, e, f, g):
         out = out.unionByName(x, allowMissingColumns=True)
     return out
 

@@ -63,6 +63,33 @@ def token_snapshot(df: DataFrame, content: str = "content") -> DataFrame:
     return rows.groupBy(*keys, "key").agg(F.max_by("value", "pos").alias("value"))
 
 
+def graph_bins(df: DataFrame, content: str = "content") -> DataFrame:
+    """Lines of `nsamp=.. max=..` tokens to `(pos, nsamp, max)`, 32-bit values unwrapped; lines without a max go. A13
+    takes a counter's present value from them."""
+    keys = [c for c in df.columns if c != content]
+    get = lambda k: F.regexp_extract("text", rf"(?:^|\s){k}=([+-]?[0-9]+)(?=\s|\z)", 1).try_cast("long")
+    return _lines(df, content).select(*keys, "pos", F.coalesce(get("nsamp"), F.lit(-1)).alias("nsamp"), wrap32(get("max")).cast("double").alias("max")).filter("max is not null")
+
+
+def clock_samples(df: DataFrame, content: str = "content") -> DataFrame:
+    """Lines with a number behind each of the tokens δ, avgδ and hz to `(pos, offset, avg_offset, freq)`, null where a
+    line lacks one. W14 takes the last complete sample from them."""
+    keys = [c for c in df.columns if c != content]
+    words = _lines(df, content).withColumn("f", F.split(F.trim("text"), r"\s+"))
+
+    def after(token: str) -> Column:
+        found = F.filter(F.transform("f", lambda x, i: F.when(x == token, to_double(F.get("f", i + 1)))), lambda v: v.isNotNull())
+        return F.get(found, F.size(found) - 1)
+
+    return words.select(*keys, "pos", after("δ").alias("offset"), after("avgδ").alias("avg_offset"), after("hz").alias("freq"))
+
+
+def cpu_cores(df: DataFrame, content: str = "content") -> DataFrame:
+    """S14, for W3: the number of single CPUs' lines of each snapshot."""
+    keys = [c for c in df.columns if c != content]
+    return df.select(*keys, F.size(F.filter(F.split(content, "\n"), lambda x: x.rlike(r"^cpu\S"))).alias("cores"))
+
+
 def fixed_width_snapshot(df: DataFrame, line: str = "line") -> DataFrame:
     """Process status of fixed widths: name 28 bytes, user 28, state 12, then numbers (memory is the 7th)."""
     raw = F.encode(F.col(line), "UTF-8")

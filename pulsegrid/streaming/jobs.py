@@ -39,67 +39,156 @@ def stream_metrics(samples: DataFrame, interval: int = 15, watermark: str = "1 m
     return two.select("host", F.unix_timestamp("w2.end").alias("window_end"), "name", F.col("first.tags").alias("tags"), F.inline(rows)).select("host", "window_end", F.concat("name", "suffix").alias("metric"), F.col("kind").alias("type"), "tags", "value")
 
 
+def _by_order(frames: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
+    return pd.concat(list(frames)).sort_values(order, kind="stable")
+
+
 def stream_multiline(lines: DataFrame, pattern: str, timeout_ms: int = 1000, cap: int = CAP) -> DataFrame:
-    """ST4: multi-line assembly with state by source: open lines, their size and last place.
+    """ST4: multi-line assembly with state by source: open lines, their size, and the last one's place and time.
 
-    A start line, the size cap or an idle time without lines closes a group; the idle time runs on the clock.
+    A start line, the size cap or an idle time without lines closes a group; the idle time runs on the clock. Which lines
+    are starts is told in SQL, by the same pattern as in the batch form.
     """
-    import re
-
-    start = re.compile("(?:" + (to_java(pattern) or "(?!)").removeprefix("(?d)").replace(r"\z", r"\Z") + ")")
-    out = "source_id string, offset long, message string"
+    marked = lines.select("source_id", "offset", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "line", F.col("line").rlike(r"\A(?:" + (to_java(pattern) or "") + ")").alias("start"))
+    kinds = {c: lines.schema[c].dataType.simpleString() for c in ("source_id", "offset")}
+    out = f"source_id {kinds['source_id']}, offset {kinds['offset']}, us long, message string"
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, size, offset = state.get if state.exists else ([], 0, 0)
+        held, size, offset, us = state.get if state.exists else ([], 0, 0, None)
         held, done = list(held), []
-        if state.hasTimedOut:
+
+        def close() -> None:
+            nonlocal held, size
             if held:
-                done.append((key[0], offset, "\n".join(held)))
+                done.append((key[0], offset, us, "\n".join(held)))
+            held, size = [], 0
+
+        if state.hasTimedOut:
+            close()
             state.remove()
         else:
-            rows = pd.concat(list(frames)).sort_values("offset")
-            for at, line in zip(rows["offset"], rows["line"]):
-                if held and start.match(line):
-                    done.append((key[0], offset, "\n".join(held)))
-                    held, size = [], 0
+            rows = _by_order(frames, "offset")
+            for at, when, line, start in zip(rows["offset"].tolist(), rows["us"].tolist(), rows["line"].tolist(), rows["start"].tolist()):
+                if start:
+                    close()
                 held.append(line)
                 size += len(line.encode()) + 1
-                offset = int(at)
+                offset, us = int(at), None if when is None or when != when else int(when)
                 if size > cap:
-                    done.append((key[0], offset, "\n".join(held)))
-                    held, size = [], 0
-            state.update((held, size, offset))
+                    close()
+            state.update((held, size, offset, us))
             state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame(done, columns=["source_id", "offset", "message"])
+        if done:
+            yield pd.DataFrame(done, columns=["source_id", "offset", "us", "message"]).astype({"us": "Int64"})
+
+    kept = f"held array<string>, size long, offset {kinds['offset']}, us long"
+    return marked.groupBy("source_id").applyInPandasWithState(run, out, kept, "append", GroupStateTimeout.ProcessingTimeTimeout).select("source_id", "offset", F.timestamp_micros("us").alias("ts"), "message")
+
+
+class _Snapshots:
+    """The last two snapshots of a host, so that rows of the last one that come in a later batch still find the one before."""
 
-    return lines.groupBy("source_id").applyInPandasWithState(run, out, "held array<string>, size long, offset long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    def __init__(self, state: GroupState, width: int):
+        self.width = width
+        self.times, *rest = state.get if state.exists else ([], [], [], [], [])
+        self.times = list(self.times)
+        split = lambda names, values: {n: list(values[k * width : (k + 1) * width]) for k, n in enumerate(names)}
+        self.before, self.now = split(*rest[:2]), split(*rest[2:])
+
+    def take(self, us: int) -> bool:
+        """Turn to the snapshot of this time; False for one that is older than the last."""
+        if self.times and us < self.times[-1]:
+            return False
+        if not self.times or us > self.times[-1]:
+            self.times = [*self.times[-1:], us]
+            self.before, self.now = self.now, {}
+        return True
+
+    @property
+    def seconds(self) -> float:
+        return (self.times[1] - self.times[0]) / 1e6 if len(self.times) == 2 else 0.0
+
+    def save(self, state: GroupState) -> None:
+        flat = lambda d: (list(d), [v for n in d for v in d[n]])
+        state.update((self.times, *flat(self.before), *flat(self.now)))
+
+
+_SNAPSHOTS = "times array<long>, names1 array<string>, vals1 array<double>, names2 array<string>, vals2 array<double>"
+
+
+def _by_snapshot(frames: Iterator[pd.DataFrame], cols: Sequence[str]) -> Iterator[tuple[int, str, list[float]]]:
+    rows = _by_order(frames, "us")
+    return zip(rows["us"].tolist(), rows["entity"].tolist(), rows[list(cols)].to_numpy(float).tolist())
 
 
 def stream_counter_rate(snapshots: DataFrame, entity: str, ts: str, cols: Sequence[str], policy: str = "skip") -> DataFrame:
-    """ST5: rates of a stream of counter snapshots; the state of a host is its last whole snapshot."""
-    out = f"host string, {entity} string, ts timestamp, counter string, rate double"
+    """ST5: rates of a stream of counter snapshots; the state of a host is its last two snapshots, so a snapshot may come in
+    parts. Rows of a snapshot older than the last one are late and give nothing."""
+    rows = snapshots.select("host", F.col(entity).cast("string").alias("entity"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), *[F.col(c).cast("double").alias(c) for c in cols])
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, names, values = state.get if state.exists else (None, [], [])
-        prev = {n: values[k * len(cols) : (k + 1) * len(cols)] for k, n in enumerate(names)}
-        done = []
-        for when, snap in pd.concat(list(frames)).sort_values(ts).groupby(ts):
-            now = {str(r[entity]): [float(r[c]) for c in cols] for _, r in snap.iterrows()}
-            dt = when.timestamp() - at if at is not None else 0
-            if at is not None and dt <= 0:
-                continue
-            for name, row in now.items():
-                for c, new, old in zip(cols, row, prev.get(name, [])):
+        held, done = _Snapshots(state, len(cols)), []
+        for us, name, values in _by_snapshot(frames, cols):
+            if held.take(us):
+                for c, new, old in zip(cols, values, held.before.get(name, [])):
                     if new >= old or policy == "clamp":
-                        done.append((key[0], name, when, c, max(new - old, 0.0) / dt))
-            prev, at = now, when.timestamp()
-        state.update((at, list(prev), [v for n in prev for v in prev[n]]))
-        yield pd.DataFrame(done, columns=["host", entity, "ts", "counter", "rate"])
+                        done.append((key[0], name, us, c, max(new - old, 0.0) / held.seconds))
+                held.now[name] = values
+        held.save(state)
+        if done:
+            yield pd.DataFrame(done, columns=["host", "entity", "us", "counter", "rate"])
+
+    made = rows.groupBy("host").applyInPandasWithState(run, "host string, entity string, us long, counter string, rate double", _SNAPSHOTS, "append", GroupStateTimeout.NoTimeout)
+    return made.select("host", F.col("entity").alias(entity), F.timestamp_micros("us").alias("ts"), "counter", "rate")
 
-    return snapshots.groupBy("host").applyInPandasWithState(run, out, "at double, names array<string>, vals array<double>", "append", GroupStateTimeout.NoTimeout)
 
+def stream_proc_rates(procs: DataFrame, ts: str = "snap_ts", slack_ms: int = 2000, counters: Sequence[str] = ("read_count", "write_count", "read_bytes", "write_bytes")) -> DataFrame:
+    """ST5, W11, W12 on a stream: the create time that each process keeps, CPU percentages and I/O rates, 0 where it is new
+    or a counter went back. A host's state is its last two snapshots."""
+    cols = ["create_time", "user_time", "system_time", *counters]
+    names = ["user_pct", "system_pct", *(f"{c}_s" for c in counters)]
+    rows = procs.select("host", F.col("pid").cast("string").alias("entity"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), *[F.col(c).cast("double").alias(c) for c in cols])
 
-def stream_logs(lines: DataFrame, rules: Sequence[Rule], service: str = "", source: str = "") -> DataFrame:
-    """ST6: rule processing of a line stream; the query's checkpoint is the registry of read positions."""
-    rows = apply_rules(lines.withColumnRenamed("line", "message"), [r for r in rules if r.type != "multi_line"])
-    return rows.select("message", F.lit("info").alias("status"), F.lit(service).alias("service"), F.lit(source).alias("ddsource"), "source_id", "offset")
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, done = _Snapshots(state, len(cols)), []
+        for us, pid, (created, *values) in _by_snapshot(frames, cols):
+            if held.take(us):
+                old = held.before.get(pid)
+                if old and abs(old[0] - created) < slack_ms:
+                    created = old[0]
+                same = old is not None and old[0] == created
+                deltas = [max(n - o, 0.0) / held.seconds if same else 0.0 for n, o in zip(values, old[1:] if old else values)]
+                done.append((key[0], int(pid), us, int(created), 100 * deltas[0], 100 * deltas[1], *deltas[2:]))
+                held.now[pid] = [created, *values]
+        held.save(state)
+        if done:
+            yield pd.DataFrame(done, columns=["host", "pid", "us", "pinned", *names])
+
+    made = rows.groupBy("host").applyInPandasWithState(run, "host string, pid long, us long, pinned long, " + ", ".join(f"{n} double" for n in names), _SNAPSHOTS, "append", GroupStateTimeout.NoTimeout)
+    return made.withColumn("total_pct", F.col("user_pct") + F.col("system_pct")).withColumn(ts, F.timestamp_micros("us")).drop("us")
+
+
+def stream_logs(lines: DataFrame, rules: Sequence[Rule], service: str = "", source: str = "", timeout_ms: int = 1000) -> DataFrame:
+    """ST6: L2 on a line stream: the last multi_line rule assembles, the others apply in order. The query's checkpoint is the
+    registry of read positions."""
+    multi = [r for r in rules if r.type == "multi_line" and to_java(r.pattern)]
+    rows = stream_multiline(lines, multi[-1].pattern, timeout_ms) if multi else lines.select("source_id", "offset", "ts", F.col("line").alias("message"))
+    kept = apply_rules(rows, [r for r in rules if r.type != "multi_line"])
+    return kept.select("message", F.lit("info").alias("status"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), F.lit(service).alias("service"), F.lit(source).alias("ddsource"), "source_id", "offset")
+
+
+def drain(stream: DataFrame, folder: str) -> DataFrame:
+    """ST3: run a stream over all that is there now, with its checkpoint in `folder`, and return what it has written.
+
+    Batches without data, which a state with a clock asks for without end, are switched off for it; windows that only a
+    later sample closes stay open.
+    """
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    was = conf.get(name)
+    conf.set(name, "false")
+    try:
+        query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    finally:
+        conf.set(name, was)
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
