@@ -6,10 +6,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, full_key, join_per_key, row_key
+from .common import WORD, cut, full_key, join_per_key, numbered, row_key
 
 _LINES = "array<struct<a: bigint, b: bigint, words: bigint>>"
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -51,9 +51,10 @@ def features(df: DataFrame, doc_id: str, host: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        def key(x: bytes) -> tuple[int, int]:
-            d = xxhash.xxh3_128_digest(x)
-            return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+        seeds = [xxhash.xxh64_intdigest(k.to_bytes(4, "little"), 42) for k in (17, 71)]  # as row_key has them
+
+        def key(x: bytes) -> list[int]:
+            return [(d := xxhash.xxh64_intdigest(x, seed)) - (d >> 63 << 64) for seed in seeds]
 
         line = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("words", pa.int64())]))
         for b in batches:
@@ -77,7 +78,7 @@ KEYS = ["k1", "k2", "t1", "t2"]
 
 def judge(df: DataFrame, max_ratio: float = 0.4, min_docs: int = 20, min_left: float = 0.2, doc_id: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
     """Judge every document; returns doc_id, the counts, n_common_words, base_failed and kept, a row for each row, with
-    the row's key (k1, k2), `full_key` of doc_id, host and text.
+    the row's key (k1, k2), `full_key` of doc_id, host and text, and the keys of its common lines (hit).
 
     base_failed: fewer than 50 words, or over half of the words in 3-word windows that occur twice or more.
     Lines are normalised (lower case A-Z, one space between words) and hashed; for each host the distinct documents
@@ -101,13 +102,31 @@ def judge(df: DataFrame, max_ratio: float = 0.4, min_docs: int = 20, min_left: f
     n_common = F.when(F.col("common").isNull(), F.lit(0)).otherwise(F.aggregate(hit, F.lit(0).cast("long"), lambda s, x: s + x["words"])).cast("long")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = join_per_key(rows, common, "host", F.col("t1"), "left").withColumn("n_common_words", n_common).withColumn("base_failed", failed)
+    judged = judged.withColumn("hit", F.when(F.col("common").isNull(), F.array().cast("array<struct<a: bigint, b: bigint>>")).otherwise(F.transform(hit, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))))
     left = F.col("n_words") - F.col("n_common_words")
-    return judged.select("doc_id", *NUMBERS, "n_common_words", "base_failed", (~F.col("base_failed") & (left >= F.lit(min_left) * F.col("n_words"))).alias("kept"), "k1", "k2")
+    return judged.select("doc_id", *NUMBERS, "n_common_words", "base_failed", (~F.col("base_failed") & (left >= F.lit(min_left) * F.col("n_words"))).alias("kept"), "k1", "k2", "hit")
+
+
+def line_key(line: Column) -> Column:
+    """The key of a line as `features` has it: the digest of its words in lower case A-Z, joined by a space; null for a line
+    without a word."""
+    words = F.regexp_extract_all(F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(WORD), F.lit(0))
+    a, b = row_key(F.array_join(words, " "))
+    return F.when(F.size(words) > 0, F.struct(a.alias("a"), b.alias("b")))
 
 
 def keep_good(df: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text", **options) -> DataFrame:
-    """The rows of `df`, whole, that `judge` keeps. Rows are told apart by doc_id, host and text, so that rows without
-    a doc_id, or with another row's, go by their own verdict."""
-    good = judge(df, doc_id=doc_id, host=host, text=text, **options).filter("kept").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
-    k1, k2 = full_key([doc_id, host, text])
-    return df.withColumns({"_k1": k1, "_k2": k2}).join(good, ["_k1", "_k2"], "left_semi").drop("_k1", "_k2")
+    """The rows of `df` that `judge` keeps, with all columns, whatever their names, and their texts without the lines that
+    are common on their host. Rows are told apart by doc_id, host and text, so that rows without a doc_id, or with
+    another row's, go by their own verdict; repeated rows stay or go together. Null texts go; an empty table gives an
+    empty table."""
+    out = df.columns
+    plain, names = numbered(df)
+    d, h, t = names[doc_id], names[host], names[text]
+    good = judge(plain, doc_id=d, host=h, text=t, **options).filter("kept").select("k1", "k2", "hit").dropDuplicates(["k1", "k2"])
+    k1, k2 = full_key([d, h, t])
+    lines = F.split(F.col(t), "\n", -1)
+    rest = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("hit", line_key(x)), F.lit(False)))
+    kept = plain.withColumns({"k1": k1, "k2": k2}).join(good, ["k1", "k2"])
+    less = F.when(F.size("hit") > 0, F.array_join(rest, "\n")).otherwise(F.col(t))
+    return kept.select(*[(less if names[c] == t else F.col(names[c])).alias(c) for c in out])

@@ -38,7 +38,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(_docs(spark, sf_dir), MAX_LINE_RATIO, MIN_LINE_DOCS, MIN_LEFT).drop("k1", "k2")
+    return quality.judge(_docs(spark, sf_dir), MAX_LINE_RATIO, MIN_LINE_DOCS, MIN_LEFT).drop("k1", "k2", "hit")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
