@@ -14,7 +14,7 @@ from .common import cut, partitions, row_key
 
 #: Leading bytes of a suffix that choose it (a multiple of 8), bytes after them by which ranges are split, starts of
 #: strings that one task scans at a time, and suffixes that one range of the sorted order holds.
-LEAD, MORE, SCAN, RANGE = 104, 16, 1 << 19, 40_000
+LEAD, MORE, SCAN, RANGE = 104, 16, 1 << 19, 20_000
 _M64 = (1 << 64) - 1
 _ODD = 0x9E3779B97F4A7C15
 
@@ -225,12 +225,14 @@ def _repeats(suffixes: DataFrame, length: int, ranges: int) -> DataFrame:
     one packed row for each bucket. A string whose part after the anchor is longer than what its suffix shares with the
     range's outermost one can't have an equal beyond, and stays.
     """
-    keyed = suffixes.withColumns({"lead": F.xxhash64(F.substring("suffix", 1, LEAD)), "row": F.xxhash64("before", "r1", "r2", "at")})
-    dealt = keyed.repartitionByRange(ranges, F.substring("suffix", 1, 8), "lead", F.substring("suffix", LEAD + 1, MORE), "row")
+    lead = F.xxhash64(F.substring("suffix", 1, LEAD))
+    dealt = suffixes.repartitionByRange(ranges, F.substring("suffix", 1, 8), lead, F.substring("suffix", LEAD + 1, MORE), F.xxhash64("before", "r1", "r2", "at"))
     left, width = length - LEAD, length - LEAD + length
     refs = np.dtype([("digest", "S16"), ("r1", "<i8"), ("r2", "<i8"), ("start", "<i4"), ("dup", "<i4")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         table = pa.Table.from_batches(batches).combine_chunks() if (batches := list(batches)) else None
         if table is None or not table.num_rows:
             return
@@ -239,22 +241,23 @@ def _repeats(suffixes: DataFrame, length: int, ranges: int) -> DataFrame:
         order = multikey_order(np.hstack((suffix, before)).view(">u8").astype(np.uint64))
         suffix = suffix[order]
         full = np.hstack((before[order, ::-1], suffix))
-        r1, r2, at, first, last, lead, own = (np.asarray(table.column(k))[order] for k in range(2, 9))
+        r1, r2, at, first, last = (np.asarray(table.column(k))[order] for k in range(2, 7))
         del table, before
         same = (suffix[1:, :LEAD] == suffix[:-1, :LEAD]).all(axis=1)
         group = np.cumsum(np.concatenate(([0], ~same)))
         more = suffix[:, LEAD : LEAD + MORE]
-        words = np.ascontiguousarray(np.hstack((suffix[:, :8], more))).view(">u8")
-        dealt_by = np.lexsort((own, words[:, 2], words[:, 1], lead, words[:, 0]))
+        begins = np.flatnonzero(np.concatenate(([True], ~same)))
         reach = np.zeros(n, np.int64)
-        for end in (dealt_by[0], dealt_by[-1]):
-            rows = np.flatnonzero(group == group[end])
-            shared = _lcp(more[rows], more[[end]])
+        for end, pick in ((begins[0], min), (begins[-1], max)):  # the range's outermost groups, as the splitters have it
+            tied = begins[(suffix[begins, :8] == suffix[end, :8]).all(axis=1)]
+            g = group[pick(tied.tolist(), key=lambda i: (d := xxhash.xxh64_intdigest(suffix[i, :LEAD].tobytes(), 42)) - (d >> 63 << 64))]
+            rows = np.flatnonzero(group == g)
+            shared = _lcp(more[rows], more[[pick(rows.tolist(), key=lambda i: more[i].tobytes())]])
             reach[rows] = np.maximum(reach[rows], np.where(shared < MORE, LEAD + shared, length))
         cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], ~same))), [n]))
         low = 0
         while low < n:
-            high = int(cuts[min(np.searchsorted(cuts, low + 4000), len(cuts) - 1)])
+            high = int(cuts[min(np.searchsorted(cuts, low + 2000), len(cuts) - 1)])
             high = max(high, int(cuts[np.searchsorted(cuts, low, side="right")]))
             digests, rows, cols = [], [], []
             for s in range(low, high, 1000):

@@ -81,7 +81,7 @@ def test_simhash_hot_buckets_are_cut_into_blocks(spark, monkeypatch):
                 assert find(a) == find(b)
 
 
-@pytest.mark.parametrize("length,rows", [(400, 40_000), (200, 60)])
+@pytest.mark.parametrize("length,rows", [(400, 20_000), (200, 60)])
 def test_repeats_against_brute_force(spark, monkeypatch, length, rows):
     monkeypatch.setattr(suffix_dedup, "RANGE", rows)
     rng = random.Random(1)
