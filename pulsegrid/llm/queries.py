@@ -25,6 +25,11 @@ def model_path() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python `rows` at a time; with Spark's 10,000 a batch of long texts takes hundreds of MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -42,9 +47,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir).select("doc_id", "text")
-    coded = sentencepiece.decode(sentencepiece.encode(docs, model_path()), model_path())
-    return coded.select("doc_id", "n_tokens", "tokens", F.sha2("decoded", 256).alias("decoded_sha256"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+    small_batches(spark)
+    docs = _docs(spark, sf_dir).select("doc_id", "text", F.sha2("text", 256).alias("sha256"))
+    coded = sentencepiece.decode(sentencepiece.encode(docs, model_path(), keep_text=False), model_path())
+    digest = F.sha2("decoded", 256)
+    return coded.select("doc_id", "n_tokens", "tokens", digest.alias("decoded_sha256"), F.col("sha256").eqNullSafe(digest).alias("round_trip"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

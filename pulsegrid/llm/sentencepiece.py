@@ -20,7 +20,7 @@ from .suffix_dedup import multikey_order
 MARK = "▁"
 #: Characters indexed at a time, chunks that a worker remembers, and pairs of pieces (a power of two) whose fit it
 #: remembers, each in the place its hash names. They bound memory; no result depends on them.
-INDEXED, REMEMBERED, KNOWN = 200_000, 200_000, 1 << 21
+INDEXED, REMEMBERED, KNOWN = 150_000, 200_000, 1 << 20
 _ODD = np.int64(0x9E3779B97F4A7C15 - (1 << 64))
 _CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 #: Stands before a chunk that has no space in front.
@@ -326,7 +326,7 @@ def _tokenizer(model: dict) -> Tokenizer:
     return _ready[model["digest"]]
 
 
-def _slices(sizes: list[int], size: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def _slices(sizes: list[int], size: int = 600_000) -> Iterator[tuple[int, int]]:
     a, held = 0, 0
     for k, n in enumerate(sizes):
         held += n
@@ -337,22 +337,25 @@ def _slices(sizes: list[int], size: int = 1_000_000) -> Iterator[tuple[int, int]
         yield a, len(sizes)
 
 
-def _add(df: DataFrame, fields: list[T.StructField], column: str, run) -> DataFrame:
-    kept = [f for f in df.schema.fields if f.name not in {x.name for x in fields}]
-    spot = [f.name for f in df.schema.fields].index(column)
-    keep = [k for k, f in enumerate(df.schema.fields) if f in kept]
-    names = [f.name for f in [*kept, *fields]]
+def _add(df: DataFrame, fields: list[T.StructField], column: str, run, keep_column: bool = True) -> DataFrame:
+    names = {x.name for x in fields}
+    keep = [k for k, f in enumerate(df.schema.fields) if f.name not in names and (keep_column or f.name != column)]
+    kept = [df.schema.fields[k] for k in keep]
+    spot = df.columns.index(column)
+    out = [f.name for f in [*kept, *fields]]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for rows, cols in run(b.column(spot)):
-                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(*rows) for k in keep), *cols], names=names)
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(*rows) for k in keep), *cols], names=out)
+            del b
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(each, T.StructType([*kept, *fields]))
 
 
-def encode(df: DataFrame, model_path: str, text: str = "text", tokens: str = "tokens", count: str = "n_tokens") -> DataFrame:
-    """All rows and columns of `df` with `tokens` (ids as the model's own library gives them) and their `count`.
+def encode(df: DataFrame, model_path: str, text: str = "text", tokens: str = "tokens", count: str = "n_tokens", keep_text: bool = True) -> DataFrame:
+    """All rows and columns of `df` (without the text itself, if it isn't to be kept) with `tokens` (ids as the model's own library gives them) and their `count`.
 
     Texts are cut at spaces and newlines, which no piece crosses. For each batch the distinct pieces of text that
     the worker has not met are joined, a suffix array over them is sorted, every vocabulary piece is looked up in
@@ -371,7 +374,7 @@ def encode(df: DataFrame, model_path: str, text: str = "text", tokens: str = "to
             ids, edge = tok.encode([t or "" for t in col.slice(a, z - a).to_pylist()])
             yield (a, z - a), (pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(ids)), pa.array(np.diff(edge)))
 
-    return _add(df, [T.StructField(tokens, T.ArrayType(T.IntegerType())), T.StructField(count, T.LongType())], text, run)
+    return _add(df, [T.StructField(tokens, T.ArrayType(T.IntegerType())), T.StructField(count, T.LongType())], text, run, keep_text)
 
 
 def decode(df: DataFrame, model_path: str, tokens: str = "tokens", text: str = "decoded") -> DataFrame:
