@@ -182,8 +182,8 @@ def label_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def users_and_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order rows as counters: labels mapped to metrics, customers' names looked up, tags of their hosts added."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("uid"), F.concat(F.lit("n"), F.col("o_custkey") % 25).alias("host"), F.col("o_orderstatus").alias("label"), F.array(F.lit("a:b")).alias("tags"))
-    users = table(spark, sf_dir, "customer").filter("c_custkey % 3 > 0").select(F.col("c_custkey").alias("uid"), F.col("c_name").alias("name"))
-    nations = table(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").select(F.concat(F.lit("n"), "n_nationkey").alias("host"), F.array(F.concat(F.lit("nation:"), "n_name")).alias("global_tags"))
+    users = table(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 3 == 0, -1 - F.col("c_custkey")).otherwise(F.col("c_custkey")).alias("uid"), F.col("c_name").alias("name"))
+    nations = table(spark, sf_dir, "nation").select(F.concat(F.when(F.col("n_nationkey") % 2 == 0, "n").otherwise("x"), "n_nationkey").alias("host"), F.array(F.concat(F.lit("nation:"), "n_name")).alias("global_tags"))
     rows = hosts.label_map(o, {"F": ("orders.done", "counter"), "O": ("orders.open", "gauge")})
     return hosts.enrich_host(hosts.lookup_user(rows, users), nations).select("o_orderkey", "metric", "kind", "user", F.array_join("tags", ",").alias("tags"))
 

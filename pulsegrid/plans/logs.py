@@ -79,16 +79,25 @@ def _ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No registered place, one in the middle, one past the end, an older generation."""
-    known = table(spark, sf_dir, "documents").filter("doc_id % 4 > 0").select(F.col("doc_id").alias("source_id"), F.when(F.col("doc_id") % 4 == 3, 0).otherwise(1).alias("generation"), F.when(F.col("doc_id") % 4 == 2, 1_000_000).otherwise(20).cast("long").alias("offset"))
+    known = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 4 == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("source_id"), F.when(F.col("doc_id") % 4 == 3, 0).otherwise(1).alias("generation"), F.when(F.col("doc_id") % 4 == 2, 1_000_000).otherwise(20).cast("long").alias("offset"))
     return logs.resume(_ends(spark, sf_dir), known).select("source_id", "offset", "line")
 
 
 def advance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = table(spark, sf_dir, "documents").filter("doc_id % 3 > 0").select(F.col("doc_id").alias("source_id"), F.when(F.col("doc_id") % 3 == 1, 2).otherwise(1).alias("generation"), F.lit(15).cast("long").alias("offset"))
-    return logs.advance(old, _ends(spark, sf_dir).filter("source_id % 2 = 0"))
+    old = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 3 == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("source_id"), F.when(F.col("doc_id") % 3 == 1, 2).otherwise(1).alias("generation"), F.lit(15).cast("long").alias("offset"))
+    done = _ends(spark, sf_dir).withColumn("source_id", F.when(F.col("source_id") % 2 == 1, F.col("source_id") + 10**9).otherwise(F.col("source_id")))
+    return logs.advance(old, done)
 
 
-QUERIES = {f.__name__: f for f in (mask_emails, rules_order, include_exclude, multiline_docs, multiline_cap, multiline_turns, multiline_idle, process_logs, journal, resume, advance)}
+def advance_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journal cursors: sources known and not, cursors delivered and empty."""
+    e = table(spark, sf_dir, "events")
+    old = table(spark, sf_dir, "customer").select(F.concat(F.lit("s"), F.col("c_custkey") % 90).alias("source_id"), F.lit("old").alias("cursor")).distinct()
+    done = e.select(F.concat(F.lit("s"), F.col("user_id") % 70 + 40).alias("source_id"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("c"), "event_id")).otherwise("").alias("cursor"))
+    return logs.advance_cursors(old, done)
+
+
+QUERIES = {f.__name__: f for f in (mask_emails, rules_order, include_exclude, multiline_docs, multiline_cap, multiline_turns, multiline_idle, process_logs, journal, resume, advance, advance_cursors)}
 
 _L = "SELECT doc_id AS source_id, CAST(unnest(range(len(ls))) AS BIGINT) AS \"offset\", unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)"
 _M = f"SELECT source_id, \"offset\", line AS message FROM ({_L})"
@@ -126,7 +135,10 @@ ORACLES = {
     "resume": f"""SELECT source_id, ("offset" + 1) * 10 AS "offset", line FROM (SELECT *, max(("offset" + 1) * 10) OVER (PARTITION BY source_id) AS size FROM ({_L}))
         WHERE ("offset" + 1) * 10 > CASE source_id % 4 WHEN 0 THEN size WHEN 1 THEN CASE WHEN size < 20 THEN 0 ELSE 20 END WHEN 2 THEN 0 ELSE 0 END""",
     "advance": f"""
-        WITH d AS (SELECT source_id, {{'g': 1, 'o': max(("offset" + 1) * 10)}} AS d FROM ({_L}) WHERE source_id % 2 = 0 GROUP BY source_id),
-        r AS (SELECT doc_id AS source_id, {{'g': CASE WHEN doc_id % 3 = 1 THEN 2 ELSE 1 END, 'o': 15::BIGINT}} AS r FROM documents WHERE doc_id % 3 > 0)
-        SELECT source_id, CAST(x.g AS INTEGER) AS generation, x.o AS "offset" FROM (SELECT source_id, CASE WHEN d IS NULL OR r > d THEN r ELSE d END AS x FROM d FULL JOIN r USING (source_id))""",
+        WITH d AS (SELECT source_id, {{'g': 1, 'o': max(("offset" + 1) * 10)}} AS d FROM (SELECT CASE WHEN source_id % 2 = 1 THEN source_id + 1000000000 ELSE source_id END AS source_id, "offset" FROM ({_L})) GROUP BY source_id),
+        r AS (SELECT CASE WHEN doc_id % 3 = 0 THEN -1 - doc_id ELSE doc_id END AS source_id, {{'g': CASE WHEN doc_id % 3 = 1 THEN 2 ELSE 1 END, 'o': 15::BIGINT}} AS r FROM documents)
+        SELECT source_id, CAST(x.g AS INTEGER) AS generation, x.o AS "offset" FROM (SELECT source_id, CASE WHEN r IS NULL OR d > r THEN d ELSE r END AS x FROM d FULL JOIN r USING (source_id))""",
+    "advance_cursors": """
+        WITH d AS (SELECT 's' || (user_id % 70 + 40) AS source_id, 'c' || max(event_id) AS c FROM events WHERE event_id % 3 > 0 GROUP BY 1), r AS (SELECT DISTINCT 's' || (c_custkey % 90) AS source_id FROM customer)
+        SELECT source_id, coalesce(c, 'old') AS "cursor" FROM d FULL JOIN r USING (source_id)""",
 }
