@@ -163,6 +163,26 @@ def nonneg(c: Column) -> Column:
     return F.greatest(c, F.lit(0.0))
 
 
+def kb_to_mb(c: Column) -> Column:
+    return c / 1024
+
+
+def bytes_to_kb(c: Column) -> Column:
+    return c / 1024
+
+
+def bytes_to_mb(c: Column) -> Column:
+    return c / 1048576
+
+
+def pages_to_mb(c: Column, page: int = 4096) -> Column:
+    return c * page / 1048576
+
+
+def ticks_to_s(c: Column, hz: int = 100) -> Column:
+    return c / hz
+
+
 def host_uuid(machine_id: Column, hostname: Column) -> Column:
     seed = F.when(F.trim(F.coalesce(machine_id, F.lit(""))) != "", F.concat(F.trim(machine_id), F.lit("/"), hostname)).otherwise(hostname)
     h = F.sha2(seed, 256)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import host_uuid, nonneg, os_version, ratio
+from ..functions.columns import bytes_to_kb, bytes_to_mb, host_uuid, kb_to_mb, nonneg, os_version, ratio
 
 
 def _long(df: DataFrame, keys: Sequence[str], values: dict[str, Column], tags: Sequence[str] = ()) -> DataFrame:
@@ -20,7 +20,7 @@ def mem_gauges(counters: DataFrame, keys: Sequence[str] = ("host", "ts")) -> Dat
     """G1: memory gauges in MB from `(label, value)` counters in kB."""
     labels = ["MemTotal", "MemFree", "MemAvailable", "Cached", "SReclaimable", "Buffers", "Shmem", "Slab", "SwapTotal", "SwapFree"]  # fixed values
     w = counters.groupBy(*keys).pivot("label", labels).agg(F.first("value"))
-    m = {k: F.coalesce(F.col(k), F.lit(0.0)) / 1024 for k in labels}
+    m = {k: kb_to_mb(F.coalesce(F.col(k), F.lit(0.0))) for k in labels}
     out = {"total": m["MemTotal"], "free": m["MemFree"], "used": m["MemTotal"] - m["MemFree"], "usable": m["MemAvailable"], "cached": m["Cached"] + m["SReclaimable"], "buffered": m["Buffers"], "shared": m["Shmem"], "slab": m["Slab"], "swap_total": m["SwapTotal"], "swap_free": m["SwapFree"], "swap_used": m["SwapTotal"] - m["SwapFree"], "pct_usable": ratio(m["MemAvailable"], m["MemTotal"]), "swap_pct_free": F.when(m["SwapTotal"] > 0, ratio(m["SwapFree"], m["SwapTotal"]))}
     return _long(w, keys, out)
 
@@ -41,8 +41,8 @@ def mem_gauges_pages(df: DataFrame, keys: Sequence[str] = ("host", "ts"), page:
 
 def mem_gauges_simple(df: DataFrame, keys: Sequence[str] = ("host", "ts")) -> DataFrame:
     """From decoded `total`, `free` and `usable` bytes."""
-    mb = 1024.0 * 1024.0
-    return _long(df, keys, {"total": F.col("total") / mb, "free": F.col("free") / mb, "used": (F.col("total") - F.col("free")) / mb, "usable": F.col("usable") / mb, "pct_usable": ratio(F.col("usable"), F.col("total"))})
+    mb = bytes_to_mb
+    return _long(df, keys, {"total": mb(F.col("total")), "free": mb(F.col("free")), "used": mb(F.col("total") - F.col("free")), "usable": mb(F.col("usable")), "pct_usable": ratio(F.col("usable"), F.col("total"))})
 
 
 def load_gauges(load: DataFrame, keys: Sequence[str] = ("host", "ts")) -> DataFrame:
@@ -75,7 +75,7 @@ def storage_gauges(storage: DataFrame, expected: DataFrame, device: str = "store
     cols = ["total", "used", *(c for c in counts if c in storage.columns)]
     rows = expected.join(storage.select("host", "ts", *cols, F.lit(True).alias("seen")), ["host", "ts"], "left")
     some = F.col("total") > 0
-    disk = {"total": F.col("total") / 1024, "used": F.col("used") / 1024, "free": nonneg(F.col("total") - F.col("used")) / 1024, "in_use": F.try_divide(F.col("used"), F.col("total"))}
+    disk = {"total": bytes_to_kb(F.col("total")), "used": bytes_to_kb(F.col("used")), "free": bytes_to_kb(nonneg(F.col("total") - F.col("used"))), "in_use": F.try_divide(F.col("used"), F.col("total"))}
     rest = {c: F.when(some, F.col(c)) for c in cols[2:]}
     if "compressed_bytes" in cols:
         rest["compression_ratio"] = F.when(some & (F.col("compressed_bytes") > 0), F.try_divide(F.col("uncompressed_bytes"), F.col("compressed_bytes")))

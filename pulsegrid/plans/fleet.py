@@ -261,6 +261,41 @@ def cpu_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.cpu_cores(c).join(rows, "host", "left")
 
 
+def unit_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey").cast("double")
+    made = {"kb_to_mb": columns.kb_to_mb(k), "bytes_to_kb": columns.bytes_to_kb(k), "bytes_to_mb": columns.bytes_to_mb(k), "pages_to_mb": columns.pages_to_mb(k), "ticks_to_s": columns.ticks_to_s(k), "ratio": columns.ratio(k, k % 3), "nonneg": columns.nonneg(50 - k)}
+    return table(spark, sf_dir, "part").select("p_partkey", *[F.round(c, 9).alias(n) for n, c in made.items()])
+
+
+def netdev_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interface counters of suppliers' hosts, with and without a blank behind the colon; headings, loopback and short lines go."""
+    k = F.col("s_suppkey")
+    numbers = F.concat_ws(" ", *[k + n for n in range(16)])
+    text = F.concat(F.lit("Inter-|   Receive  | Transmit\n face |bytes packets|bytes\n    lo: "), numbers, F.lit("\n  eth"), k % 3, F.when(k % 2 == 0, ":").otherwise(": "), numbers, F.lit("\nwlan0: 1 2 3"))
+    rows = snapshots.column_snapshot(table(spark, sf_dir, "supplier").select(k.alias("host"), text.alias("content")), "netdev")
+    return rows.select("host", F.col("entity").alias("device"), *counters.NET)
+
+
+def sysstat_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten numbers for each CPU; lines with fewer go."""
+    k = F.col("s_suppkey")
+    text = F.concat(F.concat_ws("   ", *[k + n for n in range(10)]), F.lit("\n  "), F.concat_ws(" ", *[k * n for n in range(10)]), F.lit("\n1 2 3\n"))
+    rows = snapshots.column_snapshot(table(spark, sf_dir, "supplier").select(k.alias("host"), text.alias("content")), "sysstat")
+    return rows.select("host", "pos", "c0", "c1", "c9")
+
+
+def uptime_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return snapshots.column_snapshot(table(spark, sf_dir, "supplier").select(k.alias("host"), F.concat(k, F.lit(".25 1.5\n")).alias("content")), "uptime").select("host", "uptime")
+
+
+def mounts_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mount tables with escapes; short lines go."""
+    k = F.col("s_suppkey")
+    text = F.concat(F.lit("/dev/d"), k, F.lit(" /mnt/my\\040disk"), k, F.lit(" ext4 rw 0 0\nproc /proc proc rw\nbad line\n"))
+    return snapshots.mount_snapshot(table(spark, sf_dir, "supplier").select(k.alias("host"), text.alias("content"))).select("host", "pos", "device", "mount", "fstype")
+
+
 def fixed_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Process status of fixed widths, in bytes; rows with few numbers are left out."""
     k = F.col("s_suppkey")
@@ -268,7 +303,7 @@ def fixed_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.fixed_width_snapshot(table(spark, sf_dir, "supplier").select(k.alias("host"), line.alias("line"))).drop("numbers")
 
 
-QUERIES = {f.__name__: f for f in (state_counts, state_buckets, fs_gauges, mem_gauges, load_gauges, inventory, host_uuid, network_summary, share, shared_bytes, threads, cpu_topology, cpu_states, cpu_kernel_user, bins, sum_over_cpus, row_counts, snapshots_cols, snapshots_tokens, snapshots_ps, pid_stats, label_names, users_and_labels, storage_gauges, network_interfaces, agent_inventory, mem_gauges_pages, mem_gauges_simple, link_gauges, sensors, graph_bins, clock_samples, cpu_text, fixed_width)}
+QUERIES = {f.__name__: f for f in (state_counts, state_buckets, fs_gauges, mem_gauges, load_gauges, inventory, host_uuid, network_summary, share, shared_bytes, threads, cpu_topology, cpu_states, cpu_kernel_user, bins, sum_over_cpus, row_counts, snapshots_cols, snapshots_tokens, snapshots_ps, pid_stats, label_names, users_and_labels, storage_gauges, network_interfaces, agent_inventory, mem_gauges_pages, mem_gauges_simple, link_gauges, sensors, graph_bins, clock_samples, cpu_text, fixed_width, unit_helpers, netdev_text, sysstat_text, uptime_text, mounts_text)}
 
 
 def _long(keys: str, items: dict[str, str], rows: str) -> str:
@@ -329,4 +364,9 @@ ORACLES = {
     "clock_samples": "SELECT user_id AS host, (arg_max(event_id, event_id) % 1000)::DOUBLE AS \"offset\", -(max(event_id) % 77)::DOUBLE AS avg_offset, max(event_id) + 0.5::DOUBLE AS freq FROM events WHERE event_id % 4 > 1 GROUP BY user_id",
     "cpu_text": "SELECT c_custkey AS host, CAST(c_custkey % 4 + 1 AS INTEGER) AS cores, CASE WHEN c_custkey % 3 > 0 THEN c_custkey::DOUBLE END AS user, CASE WHEN c_custkey % 3 > 0 THEN c_custkey + 7::DOUBLE END AS steal, CASE WHEN c_custkey % 3 = 2 THEN 9::DOUBLE END AS guest FROM customer",
     "fixed_width": "SELECT s_suppkey AS host, 'prog' || s_suppkey AS name, 'u' AS user, 'Ready' AS state, s_suppkey + 6 AS memory_kb FROM supplier WHERE s_suppkey % 4 > 0",
+    "unit_helpers": "SELECT p_partkey, round(k / 1024, 9) AS kb_to_mb, round(k / 1024, 9) AS bytes_to_kb, round(k / 1048576, 9) AS bytes_to_mb, round(k / 256, 9) AS pages_to_mb, round(k / 100, 9) AS ticks_to_s, round(CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE k / (p_partkey % 3) END, 9) AS ratio, greatest(50 - k, 0) AS nonneg FROM (SELECT *, p_partkey::DOUBLE AS k FROM part)",
+    "netdev_text": "SELECT s_suppkey AS host, 'eth' || (s_suppkey % 3) AS device, " + ", ".join(f"(s_suppkey + {n})::DOUBLE AS {c}" for c, n in zip(counters.NET, (0, 1, 2, 3, 8, 9, 10, 11))) + " FROM supplier",
+    "sysstat_text": "SELECT s_suppkey AS host, CAST(pos AS INTEGER) AS pos, CASE pos WHEN 0 THEN s_suppkey ELSE 0 END::DOUBLE AS c0, CASE pos WHEN 0 THEN s_suppkey + 1 ELSE s_suppkey END::DOUBLE AS c1, CASE pos WHEN 0 THEN s_suppkey + 9 ELSE s_suppkey * 9 END::DOUBLE AS c9 FROM supplier, range(2) t(pos)",
+    "uptime_text": "SELECT s_suppkey AS host, s_suppkey + 0.25::DOUBLE AS uptime FROM supplier",
+    "mounts_text": "SELECT s_suppkey AS host, CAST(0 AS INTEGER) AS pos, '/dev/d' || s_suppkey AS device, '/mnt/my disk' || s_suppkey AS mount, 'ext4' AS fstype FROM supplier UNION ALL SELECT s_suppkey, 1, 'proc', '/proc', 'proc' FROM supplier",
 }
