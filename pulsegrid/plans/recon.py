@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import recon, sinks
 from .recipes import SERIES, in_duck, in_spark, table
@@ -148,12 +149,15 @@ def first_of_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pack_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = in_spark(spark, sf_dir, SERIES).withColumns({"source_type_name": F.lit(""), "ts": F.col("ts") % 20})
     p = sinks.pack_series(s.withColumn("value", F.when(F.col("n") == 2, F.lit(float("nan"))).otherwise(F.col("value"))), 100)
-    return p.select("ts", "payload", "rows", F.json_array_length(F.get_json_object("body", "$.series")).alias("series"))
+    back = F.from_json("body", "series array<struct<metric string, points array<array<double>>, tags array<string>, host string, type string, `interval` bigint, device string>>")["series"]
+    total = F.aggregate(back, F.lit(0.0), lambda a, x: a + F.get(F.get(x["points"], F.lit(0)), F.lit(1)))
+    first = F.get(back, F.lit(0))
+    return p.select("ts", "payload", "rows", F.size(back).alias("series"), F.round(F.sum(total).over(Window.partitionBy("ts")), 6).alias("total"), F.concat_ws("|", first["metric"], first["type"], first["host"], F.array_join(first["tags"], ","), F.coalesce(first["device"], F.lit("none"))).alias("first"))
 
 
 def pack_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").filter("text is not null").select((F.col("doc_id") % 50).alias("source_id"), F.col("doc_id").alias("offset"), F.col("text").alias("message"), *[F.lit(c).alias(c) for c in ("status", "timestamp", "hostname", "service", "ddsource", "ddtags")])
-    return sinks.pack_logs(d, max_rows=MAX_ROWS, max_bytes=MAX_BYTES).select("source_id", "batch", "rows", "bytes", F.json_array_length("body").cast("long").alias("items"))
+    return sinks.pack_logs(d, max_rows=MAX_ROWS, max_bytes=MAX_BYTES).select("source_id", "batch", "rows", "bytes", F.json_array_length("body").cast("long").alias("items"), F.md5(F.get_json_object("body", "$[0].message")).alias("first"))
 
 
 def pack_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,13 +251,13 @@ ORACLES = {
           UNION ALL SELECT 'key', {{'k': 'api key', 'v': true}} UNION ALL SELECT 'none', {{'k': 'assertions', 'v': false}})""",
     "presence": """SELECT x.k AS key, x.v AS there FROM (SELECT unnest([{'k': 'has F', 'v': bool_or(o_orderstatus = 'F')}, {'k': 'has X', 'v': bool_or(o_orderstatus = 'X')}, {'k': 'dear', 'v': bool_or(o_totalprice > 1000)}, {'k': 'urgent', 'v': bool_or(o_orderpriority LIKE '%URGENT%')}, {'k': 'before 1970', 'v': bool_or(o_orderdate < '1970-01-01')}]) AS x FROM orders)""",
     "first_of_kind": "SELECT o_orderstatus AS kind, o_orderkey AS pos, o_custkey FROM orders WHERE o_orderstatus IN ('F', 'O') QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) = 1",
-    "pack_series": f"SELECT ts, CAST(floor((k - 1) / 100) AS BIGINT) AS payload, count(*) AS rows, CAST(count(*) AS INTEGER) AS series FROM (SELECT ts % 20 AS ts, row_number() OVER (PARTITION BY ts % 20 ORDER BY metric, tags, n) AS k FROM ({_A}) WHERE n <> 2) GROUP BY ALL",
+    "pack_series": f"SELECT ts, CAST(floor((k - 1) / 100) AS BIGINT) AS payload, count(*) AS rows, CAST(count(*) AS INTEGER) AS series, round(sum(sum(value)) OVER (PARTITION BY ts), 6) AS total, arg_min(metric || '|' || type || '|h|' || tags[1] || '|none', k) AS first FROM (SELECT ts % 20 AS ts, metric, type, tags, value, row_number() OVER (PARTITION BY ts % 20 ORDER BY metric, tags, n) AS k FROM ({_A}) WHERE n <> 2) GROUP BY ALL",
     "pack_logs": f"""
-        WITH RECURSIVE d AS (SELECT doc_id % 50 AS source_id, strlen(text) AS size, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) AS k FROM documents WHERE text IS NOT NULL),
-        f AS (SELECT source_id, k, 0::BIGINT AS batch, 1 AS n, size AS s, size FROM d WHERE k = 1
-          UNION ALL SELECT d.source_id, d.k, CASE WHEN n >= {MAX_ROWS} OR s + d.size > {MAX_BYTES} THEN batch + 1 ELSE batch END, CASE WHEN n >= {MAX_ROWS} OR s + d.size > {MAX_BYTES} THEN 1 ELSE n + 1 END, CASE WHEN n >= {MAX_ROWS} OR s + d.size > {MAX_BYTES} THEN d.size ELSE s + d.size END, d.size
+        WITH RECURSIVE d AS (SELECT doc_id % 50 AS source_id, md5(text) AS h, strlen(text) AS size, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) AS k FROM documents WHERE text IS NOT NULL),
+        f AS (SELECT source_id, k, 0::BIGINT AS batch, 1 AS n, size AS s, size, h FROM d WHERE k = 1
+          UNION ALL SELECT d.source_id, d.k, CASE WHEN n >= {MAX_ROWS} OR s + d.size > {MAX_BYTES} THEN batch + 1 ELSE batch END, CASE WHEN n >= {MAX_ROWS} OR s + d.size > {MAX_BYTES} THEN 1 ELSE n + 1 END, CASE WHEN n >= {MAX_ROWS} OR s + d.size > {MAX_BYTES} THEN d.size ELSE s + d.size END, d.size, d.h
           FROM f JOIN d ON d.source_id = f.source_id AND d.k = f.k + 1)
-        SELECT source_id, batch, count(*) AS rows, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS items FROM f GROUP BY source_id, batch""",
+        SELECT source_id, batch, count(*) AS rows, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS items, arg_min(h, k) AS first FROM f GROUP BY source_id, batch""",
     "pack_checks": "SELECT host_name, CAST((k - 1) // 200 AS BIGINT) AS payload, count(*) AS rows, min(o_orderpriority) AS first FROM (SELECT (o_custkey % 50)::VARCHAR AS host_name, o_orderpriority, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderpriority, o_orderkey) AS k FROM orders) GROUP BY ALL",
     "pack_events": """WITH r AS (SELECT DISTINCT 'https://' || (r_regionkey % 3) AS url, 'k' || (r_regionkey % 2) AS key FROM region WHERE r_regionkey <> 4)
         SELECT host, CAST((k - 1) // 300 AS BIGINT) AS payload, url, key, count(*) FILTER (event_id % 4 = 0) AS n_api, host::VARCHAR AS name FROM (SELECT *, user_id % 9 AS host, row_number() OVER (PARTITION BY user_id % 9 ORDER BY event_id) AS k FROM events), r GROUP BY ALL""",
