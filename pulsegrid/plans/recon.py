@@ -152,7 +152,7 @@ def pack_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = F.from_json("body", "series array<struct<metric string, points array<array<double>>, tags array<string>, host string, type string, `interval` bigint, device string>>")["series"]
     total = F.aggregate(back, F.lit(0.0), lambda a, x: a + F.get(F.get(x["points"], F.lit(0)), F.lit(1)))
     first = F.get(back, F.lit(0))
-    return p.select("ts", "payload", "rows", F.size(back).alias("series"), F.round(F.sum(total).over(Window.partitionBy("ts")), 6).alias("total"), F.concat_ws("|", first["metric"], first["type"], first["host"], F.array_join(first["tags"], ","), F.coalesce(first["device"], F.lit("none"))).alias("first"))
+    return p.select("ts", "payload", "rows", F.size(back).alias("series"), F.round(F.sum(total).over(Window.partitionBy("ts")), 6).alias("total"), F.concat_ws("|", first["metric"], first["type"], first["host"], F.coalesce(first["device"], F.lit("none"))).alias("first"))
 
 
 def pack_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,7 +251,7 @@ ORACLES = {
           UNION ALL SELECT 'key', {{'k': 'api key', 'v': true}} UNION ALL SELECT 'none', {{'k': 'assertions', 'v': false}})""",
     "presence": """SELECT x.k AS key, x.v AS there FROM (SELECT unnest([{'k': 'has F', 'v': bool_or(o_orderstatus = 'F')}, {'k': 'has X', 'v': bool_or(o_orderstatus = 'X')}, {'k': 'dear', 'v': bool_or(o_totalprice > 1000)}, {'k': 'urgent', 'v': bool_or(o_orderpriority LIKE '%URGENT%')}, {'k': 'before 1970', 'v': bool_or(o_orderdate < '1970-01-01')}]) AS x FROM orders)""",
     "first_of_kind": "SELECT o_orderstatus AS kind, o_orderkey AS pos, o_custkey FROM orders WHERE o_orderstatus IN ('F', 'O') QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) = 1",
-    "pack_series": f"SELECT ts, CAST(floor((k - 1) / 100) AS BIGINT) AS payload, count(*) AS rows, CAST(count(*) AS INTEGER) AS series, round(sum(sum(value)) OVER (PARTITION BY ts), 6) AS total, arg_min(metric || '|' || type || '|h|' || tags[1] || '|none', k) AS first FROM (SELECT ts % 20 AS ts, metric, type, tags, value, row_number() OVER (PARTITION BY ts % 20 ORDER BY metric, tags, n) AS k FROM ({_A}) WHERE n <> 2) GROUP BY ALL",
+    "pack_series": f"SELECT ts, payload, rows, series, round(sum(t) OVER (PARTITION BY ts), 6) AS total, first FROM (SELECT ts, CAST(floor((k - 1) / 100) AS BIGINT) AS payload, count(*) AS rows, CAST(count(*) AS INTEGER) AS series, sum(value) AS t, arg_min(metric || '|' || type || '|h|none', k) AS first FROM (SELECT ts % 20 AS ts, metric, type, tags, value, row_number() OVER (PARTITION BY ts % 20 ORDER BY metric, tags, n) AS k FROM ({_A}) WHERE n <> 2) GROUP BY ALL)",
     "pack_logs": f"""
         WITH RECURSIVE d AS (SELECT doc_id % 50 AS source_id, md5(text) AS h, strlen(text) AS size, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) AS k FROM documents WHERE text IS NOT NULL),
         f AS (SELECT source_id, k, 0::BIGINT AS batch, 1 AS n, size AS s, size, h FROM d WHERE k = 1
