@@ -136,10 +136,9 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def _suffixes(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
+def _suffixes(held: DataFrame, length: int) -> DataFrame:
     """`(suffix, before, r1, r2, at, first, last)`: the bytes from the anchor on and, reversed, those before it, as
     far as the run's strings reach."""
-    lists = chosen.groupBy("r1", "r2").agg(F.collect_set(F.struct("at", "first", "last")).alias("runs"))  # rows that are equal have one list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -159,7 +158,7 @@ def _suffixes(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
                     names=["suffix", "before", "r1", "r2", "at", "first", "last"],
                 )
 
-    return docs.join(lists, ["r1", "r2"]).select("r1", "r2", "bytes", "runs").mapInArrow(run, "suffix binary, before binary, r1 long, r2 long, at int, first int, last int")
+    return held.select("r1", "r2", "bytes", "runs").mapInArrow(run, "suffix binary, before binary, r1 long, r2 long, at int, first int, last int")
 
 
 def multikey_order(words: np.ndarray, kind: str = "stable") -> np.ndarray:
@@ -323,23 +322,131 @@ def _repeats(suffixes: DataFrame, length: int, ranges: int) -> DataFrame:
     return found.filter("bucket < 0").select("r1", "r2", "start", "end").union(beyond)
 
 
-def remove_repeats(df: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+class Passages:
+    """Runs of `gram` words that stand for every passage of over `words` words: in each such passage one is chosen, the one
+    whose hash is the least, so that two texts that share the passage choose the same."""
+
+    def __init__(self, words: int, gram: int):
+        self.gram, self.window = gram, words + 2 - gram
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
+        self.hasher, self.turns = Hasher(4 * SCAN), Hasher(1 << 16)
+
+    def words(self, text: bytes) -> np.ndarray:
+        """The hash of every word."""
+        out, at = [], 0
+        while at < len(text):
+            part = text[at : at + SCAN]
+            if at + SCAN < len(text) and (cut := max(part.rfind(c) for c in (b" ", b"\n", b"\t"))) > 0:
+                part = part[:cut]
+            elif at + SCAN < len(text):  # a word that is longer than a slice
+                end = next((i for i in range(at + SCAN, len(text)) if self.space[text[i]]), len(text))
+                part = text[at:end]
+            at += len(part)
+            if len(part) > 4 * SCAN:
+                out += [np.frombuffer(hashlib.sha256(w).digest()[:8], np.uint64) for w in part.split()]
+                continue
+            data = np.frombuffer(part, np.uint8)
+            gap = np.concatenate(([True], self.space[data], [True]))
+            begin, end = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+            p = self.hasher.prefixes(data)
+            out.append(_mix((p[end] - p[begin]) * self.hasher.back[begin]))
+        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+    def chosen(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, hash) of the runs chosen in each text, by text."""
+        row, all_words = np.repeat(np.arange(len(words)), [len(w) for w in words]), np.concatenate(words)
+        n, k, w = len(all_words), self.gram, self.window
+        if n < k + w - 1:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        if n + 1 > len(self.turns.power):
+            self.turns = Hasher(2 * n)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(all_words * self.turns.power[:n], out=total[1:])
+        low = _mix((total[k:] - total[:-k]) * self.turns.back[: n + 1 - k])
+        reach = 1
+        while 2 * reach <= w:
+            low = np.minimum(low[:-reach], low[reach:])
+            reach *= 2
+        if reach < w:
+            low = np.minimum(low[: reach - w], low[w - reach :])
+        row = np.where(row[: len(low)] == row[k + w - 2 :], row[: len(low)], -1)  # a window lies in one text
+        new = np.concatenate(([True], (low[1:] != low[:-1]) | (row[1:] != row[:-1]))) & (row >= 0)
+        return row[new], low[new]
+
+
+def shared_passages(docs: DataFrame, words: int, gram: int) -> DataFrame:
+    """`(r1, n_passages)` for `docs` (r1, bytes): how many of its chosen runs of `gram` words other rows have, too. A text
+    that shares over `words` words in a row has at least one. Rows are dealt by the run and sorted; one that many have is
+    run through, not gathered."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passages = Passages(words, gram)
+        for b in batches:
+            r1, held, rows, size = np.asarray(b.column(0)), [], [], 0
+            for i in range(b.num_rows + 1):
+                if i == b.num_rows or size >= SCAN:
+                    if held:
+                        row, run = passages.chosen(held)
+                        yield pa.RecordBatch.from_arrays([pa.array(run.view(np.int64)), pa.array(r1[np.array(rows)[row]])], names=["run", "r1"])
+                    held, rows, size = [], [], 0
+                if i < b.num_rows:
+                    text = b.column(1)[i].as_py()
+                    held.append(passages.words(text))
+                    rows.append(i)
+                    size += len(text)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, first, last, many = None, 0, 0, True  # the run that a batch before ended in
+        for b in batches:
+            runs, r1 = (np.asarray(c) for c in b.columns)
+            if not len(runs):
+                continue
+            goes_on = runs[0] == run
+            fresh = np.concatenate(([not (goes_on and r1[0] == last)], (runs[1:] != runs[:-1]) | (r1[1:] != r1[:-1])))
+            tail = (runs[-1], r1[-1])
+            runs, r1 = runs[fresh], r1[fresh]
+            out = []
+            if len(runs):
+                group = np.cumsum(np.concatenate(([0], runs[1:] != runs[:-1])))
+                several = np.bincount(group) > 1
+                if goes_on and runs[0] == run:
+                    several[0] = True
+                    if not many:
+                        out.append(first)
+                out = np.concatenate((np.array(out, np.int64), r1[several[group]]))
+                ends = bool(several[-1]) or (group[-1] == 0 and goes_on and many)
+                first, many = (first if goes_on and group[-1] == 0 else r1[np.searchsorted(group, group[-1])]), ends
+            run, last = tail
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(out, np.int64))], names=["r1"])
+
+    found = docs.select("r1", "bytes").mapInArrow(scan, "run long, r1 long")
+    both = found.repartition("run").sortWithinPartitions("run", "r1").mapInArrow(meet, "r1 long")
+    return both.groupBy("r1").agg(F.count("*").alias("n_passages"))
+
+
+def remove_repeats(df: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text", words: int = 50, gram: int = 35) -> DataFrame:
     """Remove every byte that a string of `length` bytes covers which also starts anywhere else in the table.
 
     Strings are of UTF-8 bytes and never cross rows; they are judged on the input. `length` must exceed 104.
-    Returns a row for each row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and
-    `kept`, the remaining bytes.
+    Returns a row for each row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, `kept`, the
+    remaining bytes, and n_passages. Passages of over `words` words may be shorter than `length` bytes and so stay; where
+    other rows have them, too, n_passages is over 0. It counts runs of `gram` words (`shared_passages`), so that it may
+    also tell of passages of `gram` to `words` words; rows equal in id and text are one row for it.
 
     Null text is empty. A text shorter than `length` stays. Repeated rows are repeats of each other and go
     whole. Null doc_ids are carried; other columns are not read. An empty table gives an empty table.
     """
     spark = df.sparkSession
     docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).select("doc_id", F.col("t").cast("binary").alias("bytes"), *(k.alias(n) for k, n in zip(row_key("doc_id", "t"), ("r1", "r2"))))
-    runs, packed = _scan(docs, length), _packed(docs)
+    runs = _scan(docs, length)
     twice = cut(runs.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"))
     total = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     ranges = max(partitions(spark), -(-total // RANGE))
-    repeats = _repeats(_suffixes(packed, runs.join(twice, "gram", "left_semi").drop("gram"), length), length, ranges)
+    # rows that are equal have one list of runs; only texts that have any are kept for what follows
+    lists = runs.join(twice, "gram", "left_semi").groupBy("r1", "r2").agg(F.collect_set(F.struct("at", "first", "last")).alias("runs"))
+    held = cut(_packed(docs).join(lists, ["r1", "r2"]))
+    repeats = _repeats(_suffixes(held, length), length, ranges)
     spans = repeats.groupBy("r1", "r2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +471,11 @@ def remove_repeats(df: DataFrame, length: int = 400, doc_id: str = "doc_id", tex
                 kept = b"".join([*kept, raw[at:]])
                 for k, v in zip(out, (len(raw), len(raw) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept)):
                     out[k].append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))], names=["doc_id", *out])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), *(pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))], names=["doc_id", "r1", *out])
 
     kind = df.schema[doc_id].dataType.simpleString()
-    return packed.join(spans, ["r1", "r2"], "left").select("doc_id", "bytes", "spans").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    some = held.join(spans, ["r1", "r2"], "left").select("doc_id", "bytes", "spans", "r1").mapInArrow(run, f"doc_id {kind}, r1 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    rest = docs.join(held.select("r1", "r2").distinct(), ["r1", "r2"], "left_anti")
+    whole = rest.select("doc_id", "r1", F.octet_length("bytes").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("bytes", 256).alias("kept_sha256"), F.col("bytes").alias("kept"))
+    done = some.unionByName(whole).join(shared_passages(docs, words, gram), "r1", "left")
+    return done.drop("r1").withColumn("n_passages", F.coalesce("n_passages", F.lit(0)).cast("long"))
