@@ -262,3 +262,41 @@ def test_registered_queries_return_their_whole_tables(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     for name in ("op1_line_dedup", "op2_sharding", "op3_quality_rules", "op4_sentencepiece", "op5_pii", "op6_mixing", "op7_simhash", "op8_suffix_dedup", "op10_winnowing"):
         assert QUERIES[name](spark, SF).count() == n
+
+
+def test_words_are_hashed_alike_wherever_they_stand(monkeypatch):
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choice("abcé") for _ in range(rng.randrange(1, 9))) for _ in range(4000)).encode() + b"\t" + b"y" * 9000 + b"\n tail"
+    whole = suffix_dedup.Passages(50, 35)
+    want = whole.words(text)
+    monkeypatch.setattr(suffix_dedup, "SCAN", 1000)
+    cut = suffix_dedup.Passages(50, 35)
+    cut.hasher = whole.hasher
+    assert len(want) == len(text.split()) == len(cut.words(text)) and (cut.words(text)[:4000] == want[:4000]).all() and cut.words(text)[-1] == want[-1]
+    assert len(cut.words(b"")) == 0 and len(cut.words(b" \n ")) == 0
+
+
+def test_shared_passages_against_all_runs(spark):
+    rng = random.Random(8)
+    word = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passages = [word(n) for n in (51, 60, 45, 34, 20)]
+    docs = []
+    for i in range(300):
+        parts = word(rng.randrange(60))
+        for p in rng.sample(range(5), rng.randrange(3)):
+            parts += passages[p] + word(rng.randrange(1, 40))
+        docs.append((i, " ".join(parts)))
+    docs += [(1000 + i, " ".join(word(10) + passages[0] + word(10))) for i in range(400)] + [(2000, ""), (2001, None), (2002, docs[0][1]), (2003, " ".join(["a"] * 200)), (2004, " ".join(["a"] * 90))]
+
+    def sharing(k):
+        seen = defaultdict(set)
+        for i, t in docs:
+            w = (t or "").split()
+            for j in range(len(w) - k + 1):
+                seen[tuple(w[j : j + k])].add(i)
+        return {i for v in seen.values() if len(v) > 1 for i in v}
+
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.n_passages for r in suffix_dedup.remove_repeats(df).collect()}
+    flagged = {i for i, n in got.items() if n > 0}
+    assert len(got) == len(docs) and sharing(51) <= flagged <= sharing(35)
