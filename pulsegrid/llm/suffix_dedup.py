@@ -475,7 +475,8 @@ def remove_repeats(df: DataFrame, length: int = 400, doc_id: str = "doc_id", tex
 
     kind = df.schema[doc_id].dataType.simpleString()
     some = held.join(spans, ["r1", "r2"], "left").select("doc_id", "bytes", "spans", "r1").mapInArrow(run, f"doc_id {kind}, r1 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    rest = docs.join(held.select("r1", "r2").distinct(), ["r1", "r2"], "left_anti")
-    whole = rest.select("doc_id", "r1", F.octet_length("bytes").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("bytes", 256).alias("kept_sha256"), F.col("bytes").alias("kept"))
+    none = F.lit(0).cast("long")
+    plain = docs.select("doc_id", "r1", "r2", F.octet_length("bytes").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("bytes", 256).alias("kept_sha256"), F.col("bytes").alias("kept"))
+    whole = plain.join(held.select("r1", "r2").distinct(), ["r1", "r2"], "left_anti").drop("r2")
     done = some.unionByName(whole).join(shared_passages(docs, words, gram), "r1", "left")
     return done.drop("r1").withColumn("n_passages", F.coalesce("n_passages", F.lit(0)).cast("long"))
