@@ -147,8 +147,8 @@ def _suffixes(held: DataFrame, length: int) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 data, (r1, r2) = unpack(b.column(2)[i].as_py()), (b.column(k)[i].as_py() for k in (0, 1))
-                runs = b.column(3)[i].values.flatten()
-                at, first, last = (np.asarray(x).tolist() for x in runs)
+                runs = [b.column(k)[i].values for k in (3, 4, 5)]
+                at, first, last = (x.to_pylist() for x in runs)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([data[a : e + length] for a, e in zip(at, last)], pa.binary()),
@@ -158,7 +158,7 @@ def _suffixes(held: DataFrame, length: int) -> DataFrame:
                     names=["suffix", "before", "r1", "r2", "at", "first", "last"],
                 )
 
-    return held.select("r1", "r2", "bytes", "runs").mapInArrow(run, "suffix binary, before binary, r1 long, r2 long, at int, first int, last int")
+    return held.select("r1", "r2", "bytes", "at", "first", "last").mapInArrow(run, "suffix binary, before binary, r1 long, r2 long, at int, first int, last int")
 
 
 def multikey_order(words: np.ndarray, kind: str = "stable") -> np.ndarray:
@@ -445,6 +445,7 @@ def remove_repeats(df: DataFrame, length: int = 400, doc_id: str = "doc_id", tex
     ranges = max(partitions(spark), -(-total // RANGE))
     # rows that are equal have one list of runs; only texts that have any are kept for what follows
     lists = runs.join(twice, "gram", "left_semi").groupBy("r1", "r2").agg(F.collect_set(F.struct("at", "first", "last")).alias("runs"))
+    lists = lists.select("r1", "r2", *[F.col("runs").getField(n).alias(n) for n in ("at", "first", "last")])
     held = cut(_packed(docs).join(lists, ["r1", "r2"]))
     repeats = _repeats(_suffixes(held, length), length, ranges)
     spans = repeats.groupBy("r1", "r2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
