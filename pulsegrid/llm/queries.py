@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, mixing, pii, quality, sentencepiece, sharding, simhash, suffix_dedup, winnow
+from . import bpe, chat, line_dedup, mixing, pii, quality, runs, sentencepiece, sharding, simhash, spelling, suffix_dedup, winnow
+from .common import WORD
 
 MAX_RATIO, MIN_PAGES = 0.1, 3
 SHARDS, TABLE_SIZE = 16, 2039
@@ -25,6 +26,15 @@ def model_path() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def vocabulary_path() -> str:
+    """The byte-level BPE vocabulary: $BPE_VOCABULARY, else the installed public one."""
+    if "BPE_VOCABULARY" in os.environ:
+        return os.environ["BPE_VOCABULARY"]
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Whole texts go to Python `rows` at a time; with Spark's 10,000 a batch of long texts takes hundreds of MB."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
@@ -82,9 +92,45 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprint_with_edits(_docs(spark, sf_dir))
 
 
+def with_runs(docs: DataFrame) -> DataFrame:
+    """`doc_id, text`: every tenth document by its id's checksum has words that repeat from some place on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    split = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("w"), F.floor(h / 10).alias("g"))
+    n, times = F.size("w"), (3 + F.col("g") % 8).cast("int")
+    placed = split.withColumn("a", F.when(n > 0, (F.col("g") % n).cast("int"))).withColumn("p", (1 + F.floor((n - F.col("a")) / times)).cast("int"))
+    again = F.concat(F.slice("w", 1, F.col("a")), F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), times)))
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(F.slice(again, 1, n), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    found = runs.find_runs(with_runs(_docs(spark, sf_dir)))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("_"), r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    digests = found.select("doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), longest.alias("r"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.floor(1000 * F.col("r.length") / F.col("r.period")).alias("exponent_milli")
+    return digests.select("doc_id", "n_words", "n_runs", "r.start", "r.length", "r.period", milli, "runs_sha256", "collapsed_sha256")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), "word"))
+    spot = (h % F.char_length("word")).cast("int")
+    slipped = F.when(h % 199 == 0, F.concat(F.col("word").substr(F.lit(1), spot), F.col("word").substr(spot + 2, F.char_length("word")))).otherwise(F.col("word"))
+    return spelling.group_variants(spelling.word_counts(_docs(spark, sf_dir).select("doc_id", "text"), slipped))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    coded = bpe.encode(_docs(spark, sf_dir).select("doc_id", "text"), vocabulary_path(), packed="packed", keep_text=False)
+    decoded = bpe.decode(coded.select("doc_id", "n_tokens", "tokens", F.sha2("packed", 256).alias("ids_sha256")), vocabulary_path())
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_sharding, op3_quality_rules, op4_sentencepiece, op5_pii, op6_mixing, op7_simhash, op8_suffix_dedup, op9_chat_format, op10_winnowing)
+    for f in (op1_line_dedup, op2_sharding, op3_quality_rules, op4_sentencepiece, op5_pii, op6_mixing, op7_simhash, op8_suffix_dedup, op9_chat_format, op10_winnowing, op11_periodic_runs, op12_spelling_variants, op13_bpe)
 }
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
