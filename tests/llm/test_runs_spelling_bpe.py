@@ -170,7 +170,7 @@ def test_spelling_of_odd_words(spark, monkeypatch, together, indexed):
 
 
 def test_word_counts_of_odd_rows(spark):
-    rows = [(1, None), (2, ""), (None, "Straße STRASSE straße"), (3, "abcdeF abcdef2abcdef ABCDEÀ abcdeà x" * 2), (3, "abcdef")]
+    rows = [(1, None), (2, ""), (None, "Straße STRASSE straße"), (3, "abcdeF abcdef2abcdef ABCDEÀ abcdeà x " * 2), (3, "abcdef")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("x"))
     assert {tuple(r) for r in spelling.word_counts(df, min_n=1).collect()} == {("straße", 2), ("strasse", 1), ("abcdef", 7), ("abcdeÀ", 2), ("abcdeà", 2)}
     assert spelling.word_counts(df.limit(0)).collect() == []
