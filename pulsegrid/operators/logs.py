@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import append_global_tags, empty, journal_body, journal_drop, journal_include, journal_service, journal_status
-from ..functions.patterns import replacement, to_java
+from ..functions.patterns import compiled, replacement, to_java
 from ..sources.journal import parse_journal
 
 CAP = 262_144
@@ -28,24 +28,33 @@ class Rule:
 
 
 def mask_sequences(content: Column, pattern: str, placeholder: str) -> Column:
-    """F8"""
-    return F.regexp_replace(content, to_java(pattern), replacement(placeholder, pattern))
+    """F8: every match replaced; `content` should be a column, as it may be looked at before it is searched."""
+    p = compiled(pattern)
+    masked = F.regexp_replace(content, p.replacing, replacement(placeholder, pattern))
+    return F.when(F.contains(content, F.lit(p.needs)), masked).otherwise(content) if p.needs else masked
 
 
 def apply_rules(df: DataFrame, rules: Sequence[Rule], col: str = "message") -> DataFrame:
-    """The rules in their order, as one projection and one filter; rules that can't be used are skipped."""
-    content, keep = F.col(col), F.lit(True)
+    """The rules in their order; ones the dialect doesn't compile, or of unknown types, are skipped. Null messages go
+    where a rule filters.
+
+    Each rule works on the column as the one before left it, so that no text is masked twice: an excluded message is null
+    from then on. The filter at the end stands behind an explode, through which it isn't pushed.
+    """
+    filters = False
     for r in rules:
         java = to_java(r.pattern)
         if java is None or r.type not in ("mask_sequences", "exclude_at_match", "include_at_match", "multi_line"):
             logging.getLogger(__name__).warning("skipped rule %s %r", r.type, r.pattern)
         elif r.type == "mask_sequences":
-            content = mask_sequences(content, r.pattern, r.placeholder)
-        elif r.type == "exclude_at_match":
-            keep = keep & ~content.rlike(java)
-        elif r.type == "include_at_match":
-            keep = keep & content.rlike(java)
-    return df.withColumns({col: content, "_keep": keep}).filter("_keep").drop("_keep")
+            df = df.withColumn(col, mask_sequences(F.col(col), r.pattern, r.placeholder))
+        elif r.type != "multi_line":
+            hit = F.col(col).rlike(java)
+            df, filters = df.withColumn(col, F.when(hit if r.type == "include_at_match" else ~hit, F.col(col))), True
+    if not filters:
+        return df
+    kept = df.select(*[c for c in df.columns if c != col], F.explode_outer(F.array(col)).alias(col)).filter(F.col(col).isNotNull())
+    return kept.select(*df.columns)
 
 
 def line_groups(lines: DataFrame, pattern: str, timeout: float | None = 1.0) -> DataFrame:

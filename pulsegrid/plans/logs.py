@@ -32,6 +32,18 @@ def rules_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.apply_rules(_messages(spark, sf_dir), rules)
 
 
+#: Patterns in forms that only the rules' dialect has, or that mean something else in Java.
+DIALECT = [
+    Rule("mask_sequences", r"[[:digit:]]+", "#"), Rule("mask_sequences", r"(?P<1x>\pL+)@\w+", "$1x <${1x}> $1[a$$]"), Rule("mask_sequences", r"[[:^ascii:]&&é]{2}", "~"),
+    Rule("mask_sequences", r"(?i)\bla\b|(?U)s+e*", "[$0]"), Rule("mask_sequences", r"\Q...\E|\x{2E}\z|\.$", "!"), Rule("mask_sequences", r"z*?", "_"), Rule("exclude_at_match", r"^[^[:upper:]\PL_]+$"),
+    Rule("mask_sequences", r"e|", "E"), Rule("mask_sequences", r"\p{^L}++", "never"), Rule("exclude_at_match", r"(?=x)"),
+]
+
+
+def rules_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.apply_rules(_messages(spark, sf_dir), DIALECT)
+
+
 def include_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.apply_rules(_messages(spark, sf_dir), [Rule("include_at_match", "[a-z]{9}"), Rule("exclude_at_match", "[0-9]$")])
 
@@ -97,7 +109,7 @@ def advance_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.advance_cursors(old, done)
 
 
-QUERIES = {f.__name__: f for f in (mask_emails, rules_order, include_exclude, multiline_docs, multiline_cap, multiline_turns, multiline_idle, process_logs, journal, resume, advance, advance_cursors)}
+QUERIES = {f.__name__: f for f in (mask_emails, rules_order, rules_dialect, include_exclude, multiline_docs, multiline_cap, multiline_turns, multiline_idle, process_logs, journal, resume, advance, advance_cursors)}
 
 _L = "SELECT doc_id AS source_id, CAST(unnest(range(len(ls))) AS BIGINT) AS \"offset\", unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)"
 _M = f"SELECT source_id, \"offset\", line AS message FROM ({_L})"
@@ -114,6 +126,14 @@ ORACLES = {
     "mask_emails": f"SELECT source_id, \"offset\", {_MASK} AS message FROM ({_M})",
     "rules_order": f"""SELECT source_id, "offset", regexp_replace(message, '[0-9]+', '#', 'g') AS message FROM (SELECT source_id, "offset", {_MASK} AS message FROM ({_M}))
         WHERE NOT regexp_matches(message, '@|^[A-M]') AND regexp_matches(message, '[0-9#.]')""",
+    "rules_dialect": f"""
+        WITH m1 AS (SELECT source_id, "offset", regexp_replace(message, '[[:digit:]]+', '#', 'g') AS m FROM ({_M})),
+        m2 AS (SELECT * REPLACE (regexp_replace(m, '(\\pL+)@\\w+', '\\1 <\\1> \\1[a$]', 'g') AS m) FROM m1),
+        m3 AS (SELECT * REPLACE (regexp_replace(m, '[[:^ascii:]&&é]{{2}}', '~', 'g') AS m) FROM m2),
+        m4 AS (SELECT * REPLACE (regexp_replace(m, '(?i)\\bla\\b|(?U)s+e*', '[\\0]', 'g') AS m) FROM m3),
+        m5 AS (SELECT * REPLACE (regexp_replace(m, '\\Q...\\E|\\x{{2E}}\\z|\\.$', '!', 'g') AS m) FROM m4),
+        m6 AS (SELECT * REPLACE (regexp_replace(m, 'z*?', '_', 'g') AS m) FROM m5 )
+        SELECT source_id, "offset", regexp_replace(m, 'e|', 'E', 'g') AS message FROM m6 WHERE NOT regexp_matches(m, '^[^[:upper:]\\PL_]+$')""",
     "include_exclude": f"SELECT * FROM ({_M}) WHERE regexp_matches(message, '[a-z]{{9}}') AND NOT regexp_matches(message, '[0-9]$')",
     "multiline_docs": _joined(_L, _START),
     "multiline_cap": f"""
