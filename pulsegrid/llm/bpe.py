@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from itertools import chain
 from pathlib import Path
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 from .sentencepiece import _add, _slices
 
 #: Chunks that a worker remembers, and the longest of them. They bound memory; no result depends on them.
-REMEMBERED, LONGEST = 200_000, 200
+REMEMBERED, LONGEST = 600_000, 200
 
 #: The pattern that cuts texts before the merges, with places for letters, numbers and neither.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?{other}+|\s+(?!\S)|\s+"
@@ -31,9 +32,26 @@ LATER = (
     r"\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff"
     r"\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
 )
-_CUT = regex.compile(PATTERN.format(letter=r"\p{L}", number=r"\p{N}", other=r"[^\s\p{L}\p{N}]"))
-_CUT_LATER = regex.compile("(?V1)" + PATTERN.format(letter=rf"[\p{{L}}--[{LATER}]]", number=rf"[\p{{N}}--[{LATER}]]", other=rf"[[^\s\p{{L}}\p{{N}}]||[{LATER}]]"))
-_LATER = regex.compile(f"[{LATER}]")
+
+
+def _listed(kind: str) -> str:
+    """The characters of a class up to U+FFFF as ranges, which the plain engine looks up faster than `regex` does properties."""
+    one = regex.compile(f"(?V1)[{kind}--[{LATER}]]")
+    inside = np.array([bool(one.match(chr(c))) for c in range(0x10000)])
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
+    return "".join(f"\\u{a:04x}-\\u{z - 1:04x}" for a, z in edge.reshape(-1, 2).tolist())
+
+
+class Cutter:
+    """Cuts texts into chunks; those with characters beyond U+FFFF by properties."""
+
+    def __init__(self):
+        letter, number, space = (_listed(k) for k in (r"\p{L}", r"\p{N}", r"\s"))
+        self.near = re.compile(PATTERN.format(letter=f"[{letter}]", number=f"[{number}]", other=f"[^{space}{letter}{number}]").replace(r"\s", f"[{space}]").replace(r"\S", f"[^{space}]"))
+        self.any = regex.compile("(?V1)" + PATTERN.format(letter=rf"[\p{{L}}--[{LATER}]]", number=rf"[\p{{N}}--[{LATER}]]", other=rf"[[^\s\p{{L}}\p{{N}}]||[{LATER}]]"))
+
+    def __call__(self, text: str) -> list[str]:
+        return (self.near if text.isascii() or max(text) <= "\uffff" else self.any).findall(text)
 
 
 def byte_chars() -> dict[str, int]:
@@ -57,7 +75,7 @@ def load(path: str) -> dict:
     merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
     added = {t["content"]: t["id"] for t in file["added_tokens"]}
     strings = {i: bytes(map(byte.__getitem__, s)) for s, i in vocab.items()} | {i: s.encode() for s, i in added.items()}
-    return {"bytes": [vocab[c] for c, _ in sorted(byte.items(), key=lambda x: x[1])], "merges": {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}, "added": added, "strings": [strings.get(i, b"") for i in range(max(strings) + 1)]}
+    return {"bytes": [vocab[c] for c, _ in sorted(byte.items(), key=lambda x: x[1])], "merges": [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], "added": added, "strings": [strings.get(i, b"") for i in range(max(strings) + 1)]}
 
 
 class Memory(dict):
@@ -65,9 +83,11 @@ class Memory(dict):
 
     def __init__(self, model: dict):
         super().__init__()
-        self.bytes, self.merges, self.older = model["bytes"], model["merges"], {}
+        self.bytes, self.older = model["bytes"], {}
+        self.ranks = {a << 32 | b: rank for rank, (a, b, _) in enumerate(model["merges"])}
+        self.joined = [x for _, _, x in model["merges"]]
 
-    def __missing__(self, chunk: str) -> list[int]:
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
         got = self.older.pop(chunk, None)
         if got is None:
             got = self.merge(chunk.encode())
@@ -78,39 +98,39 @@ class Memory(dict):
             self[chunk] = got
         return got
 
-    def merge(self, raw: bytes) -> list[int]:
+    def merge(self, raw: bytes) -> tuple[int, ...]:
         """Join the pair of the least rank, the leftmost of equals, until no pair has one. Queue entries whose symbols have
         been joined to others since are skipped."""
-        ids, merges = [self.bytes[b] for b in raw], self.merges
+        ids, rank_of = list(map(self.bytes.__getitem__, raw)), self.ranks.get
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(m[0], i) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
+        queue = [r << 32 | i for i in range(n - 1) if (r := rank_of(ids[i] << 32 | ids[i + 1])) is not None]
         heapq.heapify(queue)
         while queue:
-            rank, i = heapq.heappop(queue)
+            top = heapq.heappop(queue)
+            i = top & 0xFFFFFFFF
             j = after[i]
-            if ids[i] < 0 or j >= n or (m := merges.get((ids[i], ids[j]))) is None or m[0] != rank:
+            if j == n or ids[i] < 0 or rank_of(ids[i] << 32 | ids[j]) != top >> 32:
                 continue
-            ids[i], ids[j] = m[1], -1
-            after[i] = k = after[j]
+            x = ids[i] = self.joined[top >> 32]
+            ids[j] = -1
+            k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if m := merges.get((ids[i], ids[k])):
-                    heapq.heappush(queue, (m[0], i))
-            if (k := before[i]) >= 0 and (m := merges.get((ids[k], ids[i]))):
-                heapq.heappush(queue, (m[0], k))
-        return [x for x in ids if x >= 0]
+                if (r := rank_of(x << 32 | ids[k])) is not None:
+                    heapq.heappush(queue, r << 32 | i)
+            k = before[i]
+            if k >= 0 and (r := rank_of(ids[k] << 32 | x)) is not None:
+                heapq.heappush(queue, r << 32 | k)
+        return tuple(x for x in ids if x >= 0)
 
 
 class Coder:
     def __init__(self, model: dict):
-        self.memory, self.added = Memory(model), model["added"]
+        self.memory, self.added, self.chunks = Memory(model), model["added"], Cutter()
         longest_first = sorted(filter(None, self.added), key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
 
-    def chunks(self, text: str) -> list[str]:
-        return (_CUT if text.isascii() or not _LATER.search(text) else _CUT_LATER).findall(text)
-
     def encode(self, text: str) -> list[int]:
         if self.marks is None or not self.marks.search(text):
             return list(chain.from_iterable(map(self.memory.__getitem__, self.chunks(text))))
