@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import logging
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..functions.columns import append_global_tags, empty, journal_body, journal_drop, journal_include, journal_service, journal_status
@@ -16,6 +19,8 @@ from ..functions.patterns import compiled, replacement, to_java
 from ..sources.journal import parse_journal
 
 CAP = 262_144
+#: Offsets of a source that one task puts in order.
+SPAN = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -57,59 +62,136 @@ def apply_rules(df: DataFrame, rules: Sequence[Rule], col: str = "message") -> D
     return kept.select(*df.columns)
 
 
-def line_groups(lines: DataFrame, pattern: str, timeout: float | None = 1.0) -> DataFrame:
-    """Add `gid`: a line that matches at its start, or comes `timeout` seconds after the last one, opens a group."""
-    w = Window.partitionBy("source_id").orderBy("offset")
-    start = F.col("line").rlike(r"\A(?:" + (to_java(pattern) or "") + ")")
+def _blocks(lines: DataFrame, pattern: str, timeout: float | None, span: int) -> DataFrame:
+    """Add `_block`, the stretch of `span` offsets a line lies in, and `_r`, how many groups were opened in it so far. The first
+    line of a block isn't compared with the one before it."""
+    w = Window.partitionBy("source_id", "_block").orderBy("offset")
+    start = F.coalesce(F.col("line").rlike(r"\A(?:" + (to_java(pattern) or "") + ")"), F.lit(False))
+    dealt = lines.withColumns({"_block": F.floor(F.col("offset") / span), "_start": start})
     if timeout is not None:
-        start = start | F.coalesce(F.col("ts").cast("double") - F.lag("ts").over(w).cast("double") >= timeout, F.lit(False))
-    return lines.withColumn("_start", start).withColumn("gid", F.sum(F.col("_start").cast("long")).over(w)).drop("_start")
+        dealt = dealt.withColumn("_start", F.col("_start") | F.coalesce(F.col("ts").cast("double") - F.lag("ts").over(w).cast("double") >= timeout, F.lit(False)))
+    return dealt.withColumn("_r", F.sum(F.col("_start").cast("long")).over(w)).drop("_start")
 
 
-def assemble_multiline(lines: DataFrame, pattern: str, timeout: float | None = 1.0, cap: int = CAP) -> DataFrame:
+def _group_parts(lines: DataFrame, pattern: str, timeout: float | None, span: int) -> DataFrame:
+    """`(source_id, _block, _r, _before, gid, bytes)`: one row for each part of a group in a block, without its text, numbered
+    through its source. Blocks, not lines, of a source are put in order: _before groups were open when a block begins."""
+    part = _blocks(lines, pattern, timeout, span).groupBy("source_id", "_block", "_r").agg(F.sum(F.octet_length(F.coalesce("line", F.lit(""))) + 1).alias("bytes"), F.min_by("ts", "offset").alias("first"), F.max_by("ts", "offset").alias("last"))
+    # parts of a block stand in order; the first of them may be opened by the time since the block before
+    w = Window.partitionBy("source_id", "_block").orderBy("_r")
+    part = part.withColumns({"_n": F.row_number().over(w), "_top": F.max("_r").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "_end": F.last("last").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    block = part.filter("_n = 1")
+    source = Window.partitionBy("source_id").orderBy("_block")
+    idle = F.lit(0) if timeout is None else F.coalesce((F.col("first").cast("double") - F.lag("_end").over(source).cast("double") >= timeout) & (F.col("_r") == 0), F.lit(False)).cast("int")
+    block = block.withColumn("_idle", idle).withColumn("_before", F.sum(F.col("_top") + F.col("_idle")).over(source) - F.col("_top"))
+    return part.select("source_id", "_block", "_r", "bytes").join(block.select("source_id", "_block", "_before"), ["source_id", "_block"]).withColumn("gid", F.col("_before") + F.col("_r"))
+
+
+def line_groups(lines: DataFrame, pattern: str, timeout: float | None = 1.0, span: int = SPAN) -> DataFrame:
+    """Add `gid`: a line that matches at its start, or comes `timeout` seconds after the last one, opens a group.
+
+    A source is spread over tasks: its lines are numbered in blocks of `span` offsets each, the blocks' counts and last
+    times are carried from block to block, and go back to the lines. Offsets of a source must differ.
+    """
+    before = _group_parts(lines, pattern, timeout, span).select("source_id", "_block", "_before").distinct()
+    return _blocks(lines, pattern, timeout, span).join(before, ["source_id", "_block"]).withColumn("gid", F.col("_before") + F.col("_r")).select(*lines.columns, "gid")
+
+
+def assemble_multiline(lines: DataFrame, pattern: str, timeout: float | None = 1.0, cap: int = CAP, span: int = SPAN) -> DataFrame:
     """L1: `(source_id, offset, ts, message)`; offset and ts are the last line's.
 
     A group whose lines with their newlines pass `cap` bytes closes right after the line that does so, and a new one goes
-    on. That depends on what came before, so the sorted lines of a group are run through once, holding at most `cap`
-    bytes and a line; groups, not sources, are dealt to tasks.
+    on. Groups of up to `cap` bytes are gathered as they are. Longer ones are first cut in `_cut_long`, block by block,
+    so that neither a source nor a group is one task's.
     """
-    grouped = line_groups(lines, pattern, timeout).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    dealt = grouped.select("source_id", "gid", "offset", "us", "line").repartition("source_id", "gid").sortWithinPartitions("source_id", "gid", "offset")
-    kinds = {c: lines.schema[c].dataType.simpleString() for c in ("source_id", "offset")}
+    parts = _group_parts(lines, pattern, timeout, span).withColumn("all", F.sum("bytes").over(Window.partitionBy("source_id", "gid")))
+    # a block has few long parts: each but the first and last is longer than `cap`
+    known = parts.groupBy("source_id", "_block").agg(F.first("_before").alias("_before"), F.collect_list(F.when(F.col("all") > cap, F.col("_r"))).alias("_long"))
+    rows = _blocks(lines, pattern, timeout, span).select("source_id", "_block", "_r", "offset", "ts", "line")
+    long = F.array_contains("_long", F.col("_r"))
+    short = rows.join(known, ["source_id", "_block"]).filter(~long).select("source_id", (F.col("_before") + F.col("_r")).alias("piece"), "offset", "ts", "line")
+    over = rows.join(known.filter(F.size("_long") > 0), ["source_id", "_block"]).filter(long).select("source_id", (F.col("_before") + F.col("_r")).alias("gid"), "_block", "offset", "ts", "line")
+
+    def joined(x: DataFrame) -> DataFrame:
+        in_order = F.array_sort(F.collect_list(F.struct("offset", F.coalesce("line", F.lit("")).alias("line"))))
+        made = x.groupBy("source_id", "piece").agg(F.max("offset").alias("offset"), F.max_by("ts", "offset").alias("ts"), in_order.alias("lines"))
+        return made.select("source_id", "offset", "ts", F.array_join(F.transform("lines", lambda y: y["line"]), "\n").alias("message"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held, size, last, done = None, [], 0, (), []
+    return joined(short).unionByName(joined(_cut_long(over, cap)))
 
-        def close() -> None:
-            nonlocal held, size
-            if held:
-                done.append((*last, "\n".join(held)))
-            held, size = [], 0
 
-        def made(types: list) -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names=["source_id", "offset", "us", "message"])
-            done.clear()
-            return out
+def _cut_long(rows: DataFrame, cap: int) -> DataFrame:
+    """`(source_id, piece, offset, ts, line)`: lines of long groups with the offset at which their piece begins.
 
-        types: list = []
+    Where a block's first cut falls depends on the bytes that are open when it begins, all later ones on the first. So each
+    block lists its possible first cuts (those in its first `cap` bytes) with what is open at its end after each. That
+    list is all that is run through in order of blocks, to find what is open at the beginning of each; then every block
+    cuts its lines by itself. A task holds one block's sizes at a time.
+    """
+    size = F.octet_length(F.coalesce("line", F.lit(""))) + 1
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    group = f"source_id {kinds['source_id']}, gid long"
+    place = kinds["offset"]
+
+    def same(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, list]]:
+        """Rows of neighbouring equal keys, the first `width` columns."""
+        key, held = None, []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[:width] != key:
+                    if held:
+                        yield key, held
+                    key, held = row[:width], []
+                held.append(row[width:])
+        if held:
+            yield key, held
+
+    def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, held in same(batches, 3):
+            at, sizes = zip(*held)
+            sums = [0, *accumulate(sizes)]
+            n = len(sizes)
+            after: list[tuple[int, int | None]] = [(0, None)] * (n + 1)  # open at the end if a piece begins at line i
+            for i in range(n - 1, -1, -1):
+                j = bisect_right(sums, sums[i] + cap)
+                after[i] = after[j] if j <= n else (sums[n] - sums[i], at[i])
+            cuts = [j for j in range(1, n + 1) if sums[j - 1] <= cap]
+            cols = [[key[0]], [key[1]], [key[2]], [at[0]], [sums[n]], [[sums[j] for j in cuts]], [[after[j][0] for j in cuts]], [[after[j][1] for j in cuts]]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["source_id", "gid", "_block", "first", "bytes", "sums", "open", "begun"])
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, begun = None, 0, None
+        for b in batches:
+            out = []
+            for source, gid, block, first, size, sums, opened, begins in zip(*(c.to_pylist() for c in b.columns)):
+                if (source, gid) != key:
+                    key, held, begun = (source, gid), 0, None
+                out.append((source, gid, block, held, begun))
+                j = bisect_right(sums, cap - held)
+                begun = first if not held else begun
+                held, begun = (opened[j], begins[j]) if j < len(sums) else (held + size, begun)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [*types[:3], pa.int64(), types[3]])], names=["source_id", "gid", "_block", "open", "begun"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, piece = None, 0, None
         for b in batches:
-            types = [b.schema.field(n).type for n in ("source_id", "offset", "us", "line")]
-            for source, gid, offset, us, line in zip(*(c.to_pylist() for c in b.columns)):
-                if (source, gid) != group:
-                    close()
-                    group = (source, gid)
-                held.append(line or "")
-                size += len(held[-1].encode()) + 1
-                last = (source, offset, us)
-                if size > cap:
-                    close()
-            if done:
-                yield made(types)
-        close()
-        if done:
-            yield made(types)
-
-    return dealt.mapInArrow(run, f"source_id {kinds['source_id']}, offset {kinds['offset']}, us long, message string").select("source_id", "offset", F.timestamp_micros("us").alias("ts"), "message")
+            pieces = []
+            for *now, offset, size, opened, begun in zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 3, 4, 5, 6))):
+                if now != key:
+                    key, held, piece = now, opened, begun
+                piece = offset if not held else piece
+                held += size
+                pieces.append(piece)
+                held = 0 if held > cap else held
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pieces, b.schema.field(3).type), b.column(3), b.column(7), b.column(8)], names=["source_id", "piece", "offset", "ts", "line"])
+
+    types = [to_arrow_type(rows.schema["source_id"].dataType), pa.int64(), pa.int64(), to_arrow_type(rows.schema["offset"].dataType), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(to_arrow_type(rows.schema["offset"].dataType))]
+    order = ["source_id", "gid", "_block"]
+    sized = rows.select(*order, "offset", size.cast("long").alias("size")).repartition(*order).sortWithinPartitions(*order, "offset")
+    tables = sized.mapInArrow(table, f"{group}, _block long, first {place}, bytes long, sums array<long>, open array<long>, begun array<{place}>")
+    opened = tables.repartition("source_id", "gid").sortWithinPartitions(*order).mapInArrow(carry, f"{group}, _block long, open long, begun {place}")
+    full = rows.withColumn("size", size.cast("long")).join(opened, order).repartition(*order).sortWithinPartitions(*order, "offset")
+    return full.select(*order, "offset", "size", "open", "begun", "ts", "line").mapInArrow(cut, f"source_id {kinds['source_id']}, piece {place}, offset {place}, ts {kinds['ts']}, line string")
 
 
 def process_logs(lines: DataFrame, rules: Sequence[Rule] = (), service: str = "", source: str = "", tags: Sequence[str] = (), host: str = "") -> DataFrame:
