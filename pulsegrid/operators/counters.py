@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..lineage import cut
+
 
 def look_back(df: DataFrame, host: str, entity: Sequence[str], ts: str, cols: Sequence[str]) -> DataFrame:
     """Add `prev`, the entity's `cols` in the host's immediately previous snapshot, and `dt`, seconds since then, fractions
@@ -113,18 +115,62 @@ def disk_io_rates(df: DataFrame, mode: str = "jiffies", host: str = "host", devi
 def pin_create_time(procs: DataFrame, slack_ms: int = 2000, host: str = "host", ts: str = "snap_ts") -> DataFrame:
     """Add `pinned`, the create time a process keeps while readings stay within the slack of it.
 
-    Only the snapshot before counts: a process that was missing in it begins anew. The value is carried, so that each run
-    of adjacent readings is folded; the fold holds one entry for each new identity, and runs whose reading never changes
-    need none.
+    Only the snapshot before counts: a process that was missing in it begins anew. So does one whose reading moved by twice
+    the slack or more, as no value within the slack of the old reading is within that of the new one. Between such places most
+    processes vary by less than the slack and keep their first reading. Readings of the others each point to the first later
+    one that a value pinned there would not survive; from the first reading on, these pointers are followed by doubling
+    (`_identities`). Nothing is gathered, rows of a process only pass through windows.
+    """
+    c, old = F.col("create_time").cast("long"), F.col("prev.create_time").cast("long")
+    seen = look_back(procs.withColumn(ts, F.col(ts).cast("timestamp")), host, ["pid"], ts, ["create_time"])
+    anew = ~F.coalesce(F.abs(c - old) < 2 * slack_ms, F.lit(False))
+    runs = seen.withColumn("_run", F.sum(anew.cast("long")).over(Window.partitionBy(host, "pid").orderBy(ts))).drop("prev", "dt")
+    w = Window.partitionBy(host, "pid", "_run")
+    whole = w.orderBy(ts).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    marked = runs.withColumns({"_first": F.first("create_time").over(whole), "_drift": F.coalesce(F.max(c).over(whole) - F.min(c).over(whole) >= slack_ms, F.lit(False))})
+    steady = marked.filter(~F.col("_drift")).withColumn("pinned", F.col("_first"))
+    drifting = marked.filter("_drift")
+    begins = _identities(drifting.select(F.col(host).alias("h"), "pid", "_run", F.col(ts).alias("t"), c.alias("c")), slack_ms)
+    key = [host, "pid", "_run", ts]
+    new = drifting.join(begins.select(F.col("h").alias(host), "pid", "_run", F.col("t").alias(ts), F.lit(True).alias("_new")), key, "left")
+    moved = new.withColumn("pinned", F.last(F.when(F.col("_new"), F.col("create_time")), ignorenulls=True).over(w.orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)))
+    cols = [*procs.columns, "pinned"]
+    return steady.select(*cols).unionByName(moved.select(*cols))
+
+
+def _identities(rows: DataFrame, slack: int) -> DataFrame:
+    """Of `(h, pid, _run, t, c)` the rows at which a new value is pinned.
+
+    Only readings that differ from the one before matter. Each gets, level by level, the least and greatest of the next
+    2**k of them; by those the first later one outside its slack is found from the largest step down, then the pointers are
+    doubled from the first reading. Every level is a join by number; there are as many as the longest run of changes has bits.
     """
-    key = [host, "pid", "_run"]
-    new = F.col("prev").isNull().cast("long")
-    runs = look_back(procs.withColumn(ts, F.col(ts).cast("timestamp")), host, ["pid"], ts, []).withColumn("_run", F.sum(new).over(Window.partitionBy(host, "pid").orderBy(ts))).drop("prev", "dt")
-    lists = runs.groupBy(*key).agg(F.min("create_time").alias("lo"), F.max("create_time").alias("hi"), F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col("create_time").cast("long").alias("c")))).alias("all"))
-    fold = F.aggregate("all", F.array().cast("array<struct<t: timestamp, c: bigint>>"), lambda acc, x: F.when(F.coalesce(F.abs(F.get(acc, F.size(acc) - 1)["c"] - x["c"]) < slack_ms, F.lit(False)), acc).otherwise(F.concat(acc, F.array(x))))
-    moved = lists.filter("lo <> hi").select(*key, fold.alias("ids"))
-    own = F.filter("ids", lambda x: x["t"] <= F.col(ts))
-    return runs.join(moved, key, "left").withColumn("pinned", F.when(F.col("ids").isNull(), F.col("create_time")).otherwise(F.element_at(own, -1)["c"])).drop("ids", "_run")
+    key = ["h", "pid", "_run"]
+    w = Window.partitionBy(*key).orderBy("t")
+    changes = rows.withColumn("_was", F.lag("c").over(w)).filter("_was is null or _was <> c").drop("_was")
+    n = cut(changes.withColumn("i", F.row_number().over(w).cast("long")))
+    most = n.agg(F.max("i")).first()[0]
+    if most is None:
+        return rows.select(*key, "t").limit(0)
+    levels = [cut(n.select(*key, (F.col("i") - 1).alias("i"), F.col("c").alias("lo"), F.col("c").alias("hi")).filter("i > 0"))]
+    while 2 ** len(levels) < most:
+        last = levels[-1]
+        ahead = last.select(*key, (F.col("i") - 2 ** (len(levels) - 1)).alias("i"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+        levels.append(cut(last.join(ahead, [*key, "i"]).select(*key, "i", F.least("lo", "lo2").alias("lo"), F.greatest("hi", "hi2").alias("hi"))))
+    at = n.select(*key, F.col("i").alias("own"), "i", "c")
+    for k in range(len(levels) - 1, -1, -1):  # all of the next 2**k are within the slack: go past them
+        inside = F.coalesce((F.col("c") - F.col("lo") < slack) & (F.col("hi") - F.col("c") < slack), F.lit(False))
+        at = at.join(levels[k], [*key, "i"], "left").withColumn("i", F.when(inside, F.col("i") + 2**k).otherwise(F.col("i"))).drop("lo", "hi")
+    step = cut(at.select(*key, F.col("own").alias("i"), (F.col("i") + 1).alias("to")).join(n.select(*key, F.col("i").alias("to")), [*key, "to"], "left_semi"))
+    met = cut(n.filter("i = 1").select(*key, "i"))
+    reach = 1
+    while reach < most:
+        met = cut(met.unionByName(met.join(step, [*key, "i"]).select(*key, F.col("to").alias("i"))).distinct())
+        step = cut(step.join(step.select(*key, F.col("i").alias("to"), F.col("to").alias("on")), [*key, "to"]).select(*key, "i", F.col("on").alias("to")))
+        reach *= 2
+        if step.isEmpty():
+            break
+    return n.join(met, [*key, "i"], "left_semi").select(*key, "t")
 
 
 def proc_rates(procs: DataFrame, slack_ms: int = 2000, host: str = "host", ts: str = "snap_ts", counters: Sequence[str] = ("read_count", "write_count", "read_bytes", "write_bytes")) -> DataFrame:
