@@ -112,17 +112,25 @@ def journal_body(fields: Column) -> Column:
     return F.to_json(F.struct(rest.alias("journald"), F.try_element_at(fields, F.lit("MESSAGE")).alias("message")))
 
 
-def state_code(os: Column, state: Column) -> Column:
-    """Process state enum of the first letter (Linux, ps) or word (the third family).
+#: The enum's letters are U 0, D 1, R 2, S 3, T 4, W 5, X 6, Z 7; states of each family, and what others are.
+STATES = {
+    "linux": ({"R": "R", "S": "S", "I": "S", "D": "D", "T": "T", "t": "T", "Z": "Z", "X": "X", "x": "X", "W": "W"}, "U"),
+    "ps": ({"": "U", "R": "R", "S": "S", "I": "S", "T": "T", "U": "D", "Z": "Z"}, "S"),
+    "words": ({"Running": "R", "Ready": "R", "Scheding": "R", "New": "R", "Stopped": "T", "Moribund": "Z", "Dead": "Z", "Broken": "X"}, "S"),
+}
+
 
-    Fixed values: U 0, D 1, R 2, S 3, T 4, W 5, X 6, Z 7.
-    """
+def state_code(os: Column, state: Column) -> Column:
+    """Process state enum of the first letter (Linux, ps) or word (the third family). Letters count as they are written; an
+    empty state is unknown on Linux and in ps."""
     number = {c: k for k, c in enumerate("UDRSTWXZ")}
-    letter = F.upper(F.substring(state, 1, 1))
-    linux = F.coalesce(*[F.when(letter == c, F.lit(n)) for c, n in number.items()], F.lit(number["U"]))
-    ps = F.coalesce(*[F.when(letter == c, F.lit(number[v])) for c, v in {"R": "R", "S": "S", "I": "S", "U": "D", "D": "D", "T": "T", "Z": "Z", "W": "W"}.items()], F.lit(number["S"]))
-    words = F.when(state.isin("Running", "Ready", "Scheding"), number["R"]).when(state.isin("Stopped", "Stopwait"), number["T"]).when(state.isin("Broken", "Moribund"), number["Z"]).otherwise(number["S"])
-    return F.when(os == "linux", linux).when(os == "words", words).otherwise(ps).cast("int")
+    first = F.substring(F.coalesce(state, F.lit("")), 1, 1)
+
+    def code(known: dict[str, str], other: str, word: Column) -> Column:
+        return F.coalesce(*[F.when(word == k, F.lit(number[v])) for k, v in known.items()], F.lit(number[other]))
+
+    kinds = {k: code(known, other, state if k == "words" else first) for k, (known, other) in STATES.items()}
+    return F.when(os == "linux", kinds["linux"]).when(os == "words", kinds["words"]).otherwise(kinds["ps"]).cast("int")
 
 
 #: Scheduler words of each state bucket; any other word is `sleeping`.
@@ -145,10 +153,23 @@ def device_basename(path: Column) -> Column:
 
 
 def unescape_octal(path: Column) -> Column:
-    r"""The escapes \040 \011 \012 \134 of mount tables, in one pass from the left; others stay."""
-    parts = F.regexp_extract_all(path, F.lit(r"(\\(?:040|011|012|134)|\\|[^\\]+)"), F.lit(1))
-    back = {"\\040": " ", "\\011": "\t", "\\012": "\n", "\\134": "\\"}
-    return F.array_join(F.transform(parts, lambda p: F.coalesce(*[F.when(p == k, F.lit(v)) for k, v in back.items()], p)), "")
+    r"""Escapes of three octal digits, like \040 in mount tables, to the bytes they stand for (mod 256), in one pass from the
+    left; anything else stays."""
+    parts = F.regexp_extract_all(path, F.lit(r"(\\[0-7]{3}|\\|[^\\]+)"), F.lit(1))
+    byte = lambda p: F.lpad(F.hex(F.conv(F.substring(p, 2, 3), 8, 10).cast("int") % 256), 2, "0")
+    raw = F.transform(parts, lambda p: F.when(p.rlike(r"\A\\[0-7]{3}\z"), byte(p)).otherwise(F.hex(F.encode(p, "UTF-8"))))
+    return F.when(F.contains(path, F.lit("\\")), utf8_text(F.unhex(F.array_join(raw, "")))).otherwise(path)
+
+
+def base_name(path: Column) -> Column:
+    """The last element of a path, without slashes behind it; '.' for none, '/' for nothing but slashes."""
+    bare = F.regexp_replace(path, r"/+\z", "")
+    return F.when(path == "", ".").when(bare == "", "/").otherwise(F.regexp_extract(bare, r"([^/]*)\z", 1))
+
+
+def os_field(os: Column) -> Column:
+    """the name that an OS goes by where icons are chosen."""
+    return F.when(os == "windows", "win32").otherwise(os)
 
 
 def wrap32(value: Column) -> Column:

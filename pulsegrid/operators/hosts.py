@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import bytes_to_kb, bytes_to_mb, host_uuid, kb_to_mb, nonneg, os_version, ratio
+from ..functions.columns import base_name, bytes_to_kb, bytes_to_mb, host_uuid, kb_to_mb, nonneg, os_version, ratio
 
 
 def _long(df: DataFrame, keys: Sequence[str], values: dict[str, Column], tags: Sequence[str] = ()) -> DataFrame:
@@ -53,13 +53,14 @@ def load_gauges(load: DataFrame, keys: Sequence[str] = ("host", "ts")) -> DataFr
 
 
 def fs_gauges(mounts: DataFrame, keys: Sequence[str] = ("host", "ts"), in_use: str = "reserve_excluded") -> DataFrame:
-    """File system gauges in kB (W15 applied before); inodes only where there are any."""
+    """File system gauges in kB (W15 applied before), with the tags device and device_name, its last element; inodes only
+    where there are any."""
     kb = lambda blocks: blocks * F.col("bsize") / 1024
     total, free, used = kb(F.col("blocks")), kb(F.col("bavail")), kb(F.col("blocks") - F.col("bfree"))
     some = F.col("files") > 0
     out = {"total": total, "used": used, "free": free, "in_use": ratio(used, used + free) if in_use == "reserve_excluded" else ratio(used, total)}
     out |= {f"inodes.{k}": F.when(some, v) for k, v in {"total": F.col("files"), "free": F.col("ffree"), "used": F.col("files") - F.col("ffree"), "in_use": ratio(F.col("files") - F.col("ffree"), F.col("files"))}.items()}
-    return _long(mounts, keys, out, ["device"])
+    return _long(mounts.withColumn("device_name", base_name(F.col("device"))), keys, out, ["device", "device_name"])
 
 
 def link_gauges(df: DataFrame, keys: Sequence[str] = ("host", "device", "ts"), errors: Sequence[str] = ()) -> DataFrame:
@@ -84,10 +85,29 @@ def storage_gauges(storage: DataFrame, expected: DataFrame, device: str = "store
     return tagged.unionByName(plain)
 
 
-def host_inventory(facts: DataFrame) -> DataFrame:
-    """The latest facts of each host as a flat row; memory comes in bytes, swap in kB."""
+#: Facts of an inventory row, where they come from, and their types.
+INVENTORY = {
+    "cpu_cores": ("cpu.cores", "long"), "cpu_logical_processors": ("cpu.logical", "long"), "cpu_vendor": ("cpu.vendor", "string"), "cpu_model": ("cpu.model", "string"), "cpu_frequency": ("cpu.mhz", "double"),
+    "kernel_name": ("platform.kernel_name", "string"), "kernel_release": ("platform.kernel_release", "string"), "kernel_version": ("platform.kernel_version", "string"), "os": ("platform.os", "string"),
+    "cpu_architecture": ("platform.machine", "string"), "memory_total_kb": ("memory.total", "long"), "memory_swap_total_kb": ("memory.swap_total", "long"),
+    "ip_address": ("network.ipv4", "string"), "ipv6_address": ("network.ipv6", "string"), "mac_address": ("network.mac", "string"),
+}
+
+
+def host_inventory(facts: DataFrame, version: str = "") -> DataFrame:
+    """The latest facts of each host as a flat row; memory comes in bytes, swap in kB. Facts that are missing, or that the
+    table doesn't have, are empty or 0. Of equal times any row counts, as a whole."""
+    held = {f.name: {g.name for g in f.dataType.fields} if hasattr(f.dataType, "fields") else set() for f in facts.schema.fields}
     latest = facts.groupBy("host").agg(F.max_by(F.struct(*[c for c in facts.columns if c != "host"]), "ts").alias("f"))
-    return latest.select("host", host_uuid(F.col("f.machine_id"), F.col("host")).alias("uuid"), F.col("f.cpu.cores").alias("cpu_cores"), (F.col("f.memory.total") / 1024).cast("long").alias("memory_kb"), F.col("f.memory.swap_total").cast("long").alias("swap_kb"), os_version(F.col("f.platform.nix"), F.col("f.platform.mac"), F.col("f.platform.win")).alias("os_version"))
+
+    def fact(path: str, kind: str) -> Column:
+        top, name = path.split(".")
+        value = F.col(f"f.{path}") if name in held.get(top, set()) else F.lit(None)
+        value = F.floor(value / 1024) if path == "memory.total" else value
+        return F.coalesce(value.cast(kind), F.lit("" if kind == "string" else 0).cast(kind))
+
+    versions = [F.col(f"f.platform.{k}") for k in ("nix", "mac", "win")]
+    return latest.select("host", F.col("f.ts").alias("ts"), host_uuid(F.col("f.machine_id"), F.col("host")).alias("uuid"), *[fact(*x).alias(n) for n, x in INVENTORY.items()], F.lit(version).alias("agent_version"), os_version(*versions).alias("os_version"))
 
 
 def agent_inventory(facts: DataFrame, version: str, flavor: str, mode: str = "full") -> DataFrame:

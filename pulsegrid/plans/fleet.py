@@ -83,7 +83,59 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = in_spark(spark, sf_dir, FACTS)
     none = F.array().cast("array<string>")
     platform = F.struct(F.array(F.lit("linux"), F.when(F.col("ts") % 2 == 0, F.col("version")).otherwise("")).alias("nix"), none.alias("mac"), F.array(F.lit("w"), F.lit("10")).alias("win"))
-    return hosts.host_inventory(f.select("host", "ts", "machine_id", F.struct("cores").alias("cpu"), F.struct("total", "swap_total").alias("memory"), platform.alias("platform")))
+    rows = hosts.host_inventory(f.select("host", "ts", "machine_id", F.struct("cores").alias("cpu"), F.struct("total", "swap_total").alias("memory"), platform.alias("platform")))
+    return rows.select("host", "uuid", F.col("cpu_cores").cast("int").alias("cpu_cores"), F.col("memory_total_kb").alias("memory_kb"), F.col("memory_swap_total_kb").alias("swap_kb"), "os_version")
+
+
+def inventory_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fact of an inventory row; a third of the hosts have none of a network, and the OS by the name that icons have."""
+    f, k = in_spark(spark, sf_dir, FACTS), F.col("ts")
+    text = lambda x: F.concat(F.lit(x), k)
+    cpu = F.struct("cores", (F.col("cores") * 2).alias("logical"), text("v").alias("vendor"), F.when(k % 4 > 0, text("m")).alias("model"), (k * 10.5).alias("mhz"))
+    os = columns.os_field(F.when(k % 2 == 0, "windows").otherwise("linux"))
+    platform = F.struct(F.lit("kn").alias("kernel_name"), text("kr").alias("kernel_release"), text("kv").alias("kernel_version"), os.alias("os"), F.lit("amd64").alias("machine"), F.array(F.lit(""), F.lit("")).alias("nix"), F.array(F.when(k % 3 == 0, F.col("version")).otherwise("")).alias("mac"), F.array(F.lit("w"), F.lit("10")).alias("win"))
+    network = F.when(k % 3 > 0, F.struct(text("10.0.0.").alias("ipv4"), text("2001:db8::").alias("ipv6"), text("mac").alias("mac")))
+    return hosts.host_inventory(f.select("host", "ts", "machine_id", cpu.alias("cpu"), F.struct("total", "swap_total").alias("memory"), platform.alias("platform"), network.alias("network")), "7.2")
+
+
+def interface_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status lines of interfaces: keys in any order, twice, without a number, after the first line, and no device at all."""
+    k = F.col("s_suppkey")
+    text = F.concat(F.when(k % 5 > 0, F.concat(F.lit("device  /net/ether"), k)).otherwise("unbound"), F.lit(" maxtu 1500 sendra 0 pktin 7 pktin "), k, F.lit(" errin x\terrout "), k % 3, F.lit(" other device\npktout 99 maxtu 1"))
+    return snapshots.interface_status(table(spark, sf_dir, "supplier").select(k.alias("host"), text.alias("content")))
+
+
+def fs_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File system gauges with the device's last element: paths with slashes behind, with none, and of nothing else."""
+    n = F.col("pos") % 4
+    device = F.when(n == 0, F.concat(F.lit("/dev/disk/"), "device", F.lit("//"))).when(n == 1, F.col("device")).when(n == 2, "//").otherwise(F.concat(F.lit("//srv/"), "device"))
+    m = in_spark(spark, sf_dir, MOUNTS).withColumn("device", F.concat(device, F.when(n == 2, "").otherwise(F.col("pos").cast("string"))))
+    return hosts.fs_gauges(m.filter("blocks > 0")).select("host", "device", "device_name", "metric", F.round("value", 9).alias("value"))
+
+
+def mounts_octal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Escapes of all kinds, in devices too: a byte of two that make a letter, one beyond 255, cut ones, an escaped backslash."""
+    k = F.col("s_suppkey")
+    text = F.concat(F.lit("//srv\\057share"), k, F.lit(" /mnt/caf\\303\\251\\134040\\04\\8 ext4 rw\n\\501 /a\\ b\n/x\\011y /\\07 nfs 0\n"))
+    return snapshots.mount_snapshot(table(spark, sf_dir, "supplier").select(k.alias("host"), text.alias("content"))).select("host", "pos", "device", "mount", "fstype")
+
+
+def odd_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that are no numbers: 0 for CPUs and interfaces, and the end of a disk's line."""
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier")
+    rows = lambda layout, *text: snapshots.column_snapshot(s.select(k.alias("host"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in text]).alias("content")), layout)
+    cpu = rows("cpu", "cpu  1 x ", k, " 4 5 6 7 8").select("host", F.lit("cpu").alias("kind"), (F.col("nice") * 1000 + F.col("system")).alias("value"))
+    net = rows("netdev", "eth0: ", k, " 0x1 3 4 5 6 7 8 9 10 11 12 13 14 15 16").select("host", F.lit("net").alias("kind"), (F.col("rx_packets") * 1000 + F.col("rx_bytes")).alias("value"))
+    disk = rows("diskstats", "8 0 sda 1 2 3 4 5 6 7 8 - 10 ", F.when(k % 2 == 0, "x").otherwise("11"), "\n8 1 sdb ", k, " 2 3 4 5 6 7 8 x 10 11").select("host", F.col("entity").alias("kind"), F.col("reads").alias("value"))
+    return cpu.unionByName(net).unionByName(disk)
+
+
+def state_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every state of each of the three families of systems, and ones that none knows."""
+    states = ["R", "S", "I", "D", "T", "t", "Z", "X", "x", "W", "U", "r", "?", "", "Ss+", "Running", "Ready", "Scheding", "New", "Stopped", "Moribund", "Dead", "Broken", "Wakeme"]
+    e = table(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*map(F.lit, ["linux", "ps", "words"])), (F.col("event_id") % 3 + 1).cast("int")).alias("os"), F.element_at(F.array(*map(F.lit, states)), (F.floor(F.col("event_id") / 3) % len(states) + 1).cast("int")).alias("state"))
+    return e.withColumn("code", columns.state_code(F.col("os"), F.col("state")))
 
 
 def host_uuid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,7 +355,7 @@ def fixed_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.fixed_width_snapshot(table(spark, sf_dir, "supplier").select(k.alias("host"), line.alias("line"))).drop("numbers")
 
 
-QUERIES = {f.__name__: f for f in (state_counts, state_buckets, fs_gauges, mem_gauges, load_gauges, inventory, host_uuid, network_summary, share, shared_bytes, threads, cpu_topology, cpu_states, cpu_kernel_user, bins, sum_over_cpus, row_counts, snapshots_cols, snapshots_tokens, snapshots_ps, pid_stats, label_names, users_and_labels, storage_gauges, network_interfaces, agent_inventory, mem_gauges_pages, mem_gauges_simple, link_gauges, sensors, graph_bins, clock_samples, cpu_text, fixed_width, unit_helpers, netdev_text, sysstat_text, uptime_text, mounts_text)}
+QUERIES = {f.__name__: f for f in (state_counts, state_buckets, fs_gauges, mem_gauges, load_gauges, inventory, host_uuid, network_summary, share, shared_bytes, threads, cpu_topology, cpu_states, cpu_kernel_user, bins, sum_over_cpus, row_counts, snapshots_cols, snapshots_tokens, snapshots_ps, pid_stats, label_names, users_and_labels, storage_gauges, network_interfaces, agent_inventory, mem_gauges_pages, mem_gauges_simple, link_gauges, sensors, graph_bins, clock_samples, cpu_text, fixed_width, unit_helpers, netdev_text, sysstat_text, uptime_text, mounts_text, inventory_facts, interface_status, fs_tags, mounts_octal, odd_numbers, state_codes)}
 
 
 def _long(keys: str, items: dict[str, str], rows: str) -> str:
@@ -368,5 +420,20 @@ ORACLES = {
     "netdev_text": "SELECT s_suppkey AS host, 'eth' || (s_suppkey % 3) AS device, " + ", ".join(f"(s_suppkey + {n})::DOUBLE AS {c}" for c, n in zip(counters.NET, (0, 1, 2, 3, 8, 9, 10, 11))) + " FROM supplier",
     "sysstat_text": "SELECT s_suppkey AS host, CAST(pos AS INTEGER) AS pos, CASE pos WHEN 0 THEN s_suppkey ELSE 0 END::DOUBLE AS c0, CASE pos WHEN 0 THEN s_suppkey + 1 ELSE s_suppkey END::DOUBLE AS c1, CASE pos WHEN 0 THEN s_suppkey + 9 ELSE s_suppkey * 9 END::DOUBLE AS c9 FROM supplier, range(2) t(pos)",
     "uptime_text": "SELECT s_suppkey AS host, s_suppkey + 0.25::DOUBLE AS uptime FROM supplier",
+    "inventory_facts": f"""
+        SELECT host, ts, {_UUID} AS uuid, cores::BIGINT AS cpu_cores, (cores * 2)::BIGINT AS cpu_logical_processors, 'v' || ts AS cpu_vendor, CASE WHEN ts % 4 > 0 THEN 'm' || ts ELSE '' END AS cpu_model, (ts * 10.5)::DOUBLE AS cpu_frequency,
+               'kn' AS kernel_name, 'kr' || ts AS kernel_release, 'kv' || ts AS kernel_version, CASE WHEN ts % 2 = 0 THEN 'win32' ELSE 'linux' END AS os, 'amd64' AS cpu_architecture, total // 1024 AS memory_total_kb, swap_total AS memory_swap_total_kb,
+               CASE WHEN ts % 3 > 0 THEN '10.0.0.' || ts ELSE '' END AS ip_address, CASE WHEN ts % 3 > 0 THEN '2001:db8::' || ts ELSE '' END AS ipv6_address, CASE WHEN ts % 3 > 0 THEN 'mac' || ts ELSE '' END AS mac_address, '7.2' AS agent_version, CASE WHEN ts % 3 = 0 THEN version ELSE '10' END AS os_version
+        FROM (SELECT *, {_HASH} AS h FROM ({in_duck(FACTS)}) QUALIFY row_number() OVER (PARTITION BY host ORDER BY ts DESC) = 1)""",
+    "interface_status": "SELECT s_suppkey AS host, '/net/ether' || s_suppkey AS device, 1500.0::DOUBLE AS mtu, s_suppkey::DOUBLE AS pktin, 0.0::DOUBLE AS pktout, 0.0::DOUBLE AS errin, (s_suppkey % 3)::DOUBLE AS errout FROM supplier WHERE s_suppkey % 5 > 0",
+    "fs_tags": _long("host, device, device_name", {"total": "blocks * 4", "used": "(blocks - bfree) * 4", "free": "bavail * 4", "in_use": "(blocks - bfree)::DOUBLE / (blocks - bfree + bavail)", "inodes.total": "CASE WHEN files > 0 THEN files END", "inodes.free": "CASE WHEN files > 0 THEN ffree END", "inodes.used": "CASE WHEN files > 0 THEN files - ffree END", "inodes.in_use": "CASE WHEN files > 0 THEN (files - ffree)::DOUBLE / files END"}, f"(SELECT * REPLACE (CASE pos % 4 WHEN 0 THEN '/dev/disk/' || device || '//' || pos WHEN 1 THEN device || pos WHEN 2 THEN '//' ELSE '//srv/' || device || pos END AS device), CASE pos % 4 WHEN 0 THEN pos::VARCHAR WHEN 2 THEN '/' ELSE device || pos END AS device_name FROM ({in_duck(MOUNTS)}) WHERE blocks > 0)"),
+    "mounts_octal": """SELECT s_suppkey AS host, CAST(0 AS INTEGER) AS pos, '//srv/share' || s_suppkey AS device, '/mnt/café' || chr(92) || '040' || chr(92) || '04' || chr(92) || '8' AS mount, 'ext4' AS fstype FROM supplier
+        UNION ALL SELECT s_suppkey, 1, 'A', '/a' || chr(92), 'b' FROM supplier UNION ALL SELECT s_suppkey, 2, '/x' || chr(9) || 'y', '/' || chr(92) || '07', 'nfs' FROM supplier""",
+    "odd_numbers": """SELECT s_suppkey AS host, 'cpu' AS kind, s_suppkey::DOUBLE AS value FROM supplier UNION ALL SELECT s_suppkey, 'net', s_suppkey FROM supplier
+        UNION ALL SELECT s_suppkey, 'sdb', s_suppkey FROM supplier UNION ALL SELECT s_suppkey, 'sda', 1 FROM supplier WHERE s_suppkey % 2 > 0""",
+    "state_codes": """
+        WITH v(os, codes) AS (VALUES ('linux', [2, 3, 3, 1, 4, 4, 7, 6, 6, 5, 0, 0, 0, 0, 3, 2, 2, 3, 0, 3, 0, 1, 0, 5]), ('ps', [2, 3, 3, 3, 4, 3, 7, 3, 3, 3, 1, 3, 3, 0, 3, 2, 2, 3, 3, 3, 3, 3, 3, 3]), ('words', [3, 3, 3, 3, 3, 3, 3, 3, 3, 3, 3, 3, 3, 3, 3, 2, 2, 2, 2, 4, 7, 7, 6, 3])),
+        s AS (SELECT ['R', 'S', 'I', 'D', 'T', 't', 'Z', 'X', 'x', 'W', 'U', 'r', '?', '', 'Ss+', 'Running', 'Ready', 'Scheding', 'New', 'Stopped', 'Moribund', 'Dead', 'Broken', 'Wakeme'] AS names)
+        SELECT event_id, os, names[event_id // 3 % 24 + 1] AS state, CAST(codes[event_id // 3 % 24 + 1] AS INTEGER) AS code FROM events JOIN v ON os = ['linux', 'ps', 'words'][event_id % 3 + 1], s""",
     "mounts_text": "SELECT s_suppkey AS host, CAST(0 AS INTEGER) AS pos, '/dev/d' || s_suppkey AS device, '/mnt/my disk' || s_suppkey AS mount, 'ext4' AS fstype FROM supplier UNION ALL SELECT s_suppkey, 1, 'proc', '/proc', 'proc' FROM supplier",
 }

@@ -25,6 +25,14 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.regexp_extract("source_id", "source=([^/]*)/", 1).alias("source"), "offset", "line")
 
 
+def log_lines_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that end in the middle of a line: it is held back, but given for files that were rotated away."""
+    out = scratch(spark) + "/open"
+    table(spark, sf_dir, "documents").filter("text is not null").repartition("source").sortWithinPartitions("source", "doc_id").select("source", "text").write.partitionBy("source").option("lineSep", "|").text(out)
+    rows = lambda rotated: files.read_log_lines(spark, out + "/*/*", keep_blank=True, rotated=rotated).select(F.lit(rotated).alias("rotated"), F.regexp_extract("source_id", "source=([^/]*)/", 1).alias("source"), "offset", "line")
+    return rows(False).unionByName(rows(True))
+
+
 def capped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts cut to pieces: they join to the text, none is too long, and there are as many as the cuts."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("line"))
@@ -103,13 +111,18 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(told)
 
 
-QUERIES = {f.__name__: f for f in (log_lines, capped_lines, records, payloads, uploads_read, proc_stats, fan_out, sources)}
+QUERIES = {f.__name__: f for f in (log_lines, log_lines_open, capped_lines, records, payloads, uploads_read, proc_stats, fan_out, sources)}
 
 ORACLES = {
     "log_lines": r"""
         WITH l AS (SELECT source, doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM (SELECT *, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
         o AS (SELECT source, line, CAST(sum(strlen(line) + 1 + CASE WHEN pos % 3 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY doc_id, pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "offset" FROM l)
         SELECT source, "offset", regexp_replace(line, '\r+$', '') AS line FROM o WHERE regexp_replace(line, '\r+$', '') <> ''""",
+    "log_lines_open": r"""
+        WITH f AS (SELECT source, string_agg(text, '|' ORDER BY doc_id) || '|' AS t FROM documents WHERE text IS NOT NULL GROUP BY source),
+        l AS (SELECT source, strlen(t) AS whole, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM (SELECT *, string_split(t, chr(10)) AS ls FROM f)),
+        o AS (SELECT *, CAST(sum(strlen(line) + 1) OVER (PARTITION BY source ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM l)
+        SELECT rotated, source, CAST(least(e, whole) AS BIGINT) AS "offset", CASE WHEN e > whole THEN line ELSE regexp_replace(line, '\r+$', '') END AS line FROM o, (VALUES (false), (true)) r(rotated) WHERE rotated OR e <= whole OR strlen(line) > 262144""",
     "capped_lines": f"SELECT doc_id, true AS whole, true AS fits, CAST(CASE WHEN strlen(text) > {CAP} THEN ceil(strlen(text) / {CAP - 3}.0) ELSE 1 END AS BIGINT) AS n FROM documents WHERE text IS NOT NULL",
     "records": """SELECT CASE WHEN e THEN 'process' ELSE 'profile' END AS kind, o_orderkey AS pos, CASE WHEN e THEN CAST(o_custkey % 3 AS VARCHAR) END AS proc_encoding, CASE WHEN e THEN o_orderpriority || ',' || o_orderstatus END AS proc_names,
         CASE WHEN NOT e THEN o_orderstatus END AS prof_family, CASE WHEN NOT e THEN CASE WHEN o_custkey > 50 THEN 'true' ELSE 'false' END END AS prof_api_key FROM (SELECT *, o_orderkey % 2 = 0 AS e FROM orders)""",

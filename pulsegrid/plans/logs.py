@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import columns
 from ..operators import logs
 from ..operators.logs import Rule
+from ..sources.journal import parse_journal
 from .recipes import in_duck, in_spark, table
 
 MAIL = r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+"
@@ -85,6 +87,34 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("cursor", "message", "status", "timestamp", "service", "ddsource")
 
 
+#: JSON values of a field, and the texts they are.
+VALUES = [
+    ('"[104]"', "[104]"), ("[104, 105]", "hi"), ("[1,300]", "[1,300]"), ('"[1,2]"', "[1,2]"), ('{"a":[1,2],"b":"x"}', '{"a":[1,2],"b":"x"}'), ("[]", ""), ("null", "null"), ('["a"]', '["a"]'), ("[195,169]", "é"), ("[72,null,-1]", "[72,null,-1]"),
+    ("[65,1.0]", "[65,1.0]"), ("12.5", "12.5"), ("true", "true"), ('"a\\u0041\\"b"', 'aA"b'), ('""', ""), ('"null"', "null"), ("[[104]]", "[[104]]"), ("[66 , 67]", "BC"),
+]
+
+
+def journal_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of every JSON type, strings that look like other types among them."""
+    k = F.col("event_id")
+    raw = F.element_at(F.array(*[F.lit(v) for v, _ in VALUES]), (k % len(VALUES) + 1).cast("int"))
+    line = F.when(k % 7 == 0, F.lit("[1]")).otherwise(F.concat(F.lit('{"__CURSOR":"c'), k, F.lit('","__REALTIME_TIMESTAMP":"'), k, F.lit('","D": '), raw, F.lit(',"N":'), k, F.lit("}")))
+    return parse_journal(table(spark, sf_dir, "events").select(line.alias("line"))).select("cursor", "realtime", F.try_element_at("fields", F.lit("D")).alias("d"), F.try_element_at("fields", F.lit("N")).alias("n"), F.size("fields").alias("fields"))
+
+
+def journal_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of user and system units under all ways to include and exclude them, one after the other."""
+    k = F.col("event_id")
+    pair = lambda key, value, ok: F.when(ok, F.struct(F.lit(key).alias("key"), value.alias("value")))
+    user, unit = F.concat(F.lit("u"), k % 3), F.concat(F.lit("s"), k % 4)
+    fields = F.map_from_entries(F.array_compact(F.array(pair("_SYSTEMD_USER_UNIT", user, k % 2 == 0), pair("_SYSTEMD_UNIT", unit, k % 5 > 0), pair("P", (k % 6).cast("string"), k % 7 > 0))))
+    e = table(spark, sf_dir, "events").select("event_id", fields.alias("f"))
+    f = F.col("f")
+    drops = {"d_all_users": {"user_units": ["*"]}, "d_all_units": {"units": ["*"]}, "d_both": {"units": ["s1"], "user_units": ["u1", "u2"]}, "d_match": {"matches": ["P=3", "Q=", "=x", "none"]}, "d_empty": {"matches": ["P="]}}
+    keeps = {"i_units": {"units": ["s1", "s2"]}, "i_users": {"user_units": ["u0"]}, "i_both": {"units": ["s1"], "user_units": ["u1"], "matches": ["P=1", "P=2"]}, "i_fields": {"matches": ["P=1", "P=4", "_SYSTEMD_UNIT=s0"]}, "i_all": {}}
+    return e.select("event_id", *[columns.journal_drop(f, **x).alias(n) for n, x in drops.items()], *[columns.journal_include(f, **x).alias(n) for n, x in keeps.items()])
+
+
 def _ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select("source_id", F.lit(1).alias("generation"), ((F.col("offset") + 1) * 10).alias("offset"), "line")
 
@@ -109,7 +139,7 @@ def advance_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.advance_cursors(old, done)
 
 
-QUERIES = {f.__name__: f for f in (mask_emails, rules_order, rules_dialect, include_exclude, multiline_docs, multiline_cap, multiline_turns, multiline_idle, process_logs, journal, resume, advance, advance_cursors)}
+QUERIES = {f.__name__: f for f in (mask_emails, rules_order, rules_dialect, include_exclude, multiline_docs, multiline_cap, multiline_turns, multiline_idle, process_logs, journal, journal_fields, journal_units, resume, advance, advance_cursors)}
 
 _L = "SELECT doc_id AS source_id, CAST(unnest(range(len(ls))) AS BIGINT) AS \"offset\", unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)"
 _M = f"SELECT source_id, \"offset\", line AS message FROM ({_L})"
@@ -152,6 +182,11 @@ ORACLES = {
                coalesce(['emergency', 'alert', 'critical', 'error', 'warning', 'notice', 'info'][event_id % 9 + 1], 'info') AS status, event_id AS timestamp,
                coalesce(ident, unit, 'init') AS service, coalesce(ident, unit, 'init') AS ddsource
         FROM e WHERE event_id % 9 <> 7 AND unit IS DISTINCT FROM 'u1.service'""",
+    "journal_fields": "WITH v AS (SELECT [" + ", ".join("'" + t.replace("'", "''") + "'" for _, t in VALUES) + f"] AS vs) SELECT 'c' || event_id AS \"cursor\", event_id AS realtime, vs[event_id % {len(VALUES)} + 1] AS d, event_id::VARCHAR AS n, CAST(2 AS INTEGER) AS fields FROM events, v WHERE event_id % 7 > 0",
+    "journal_units": """
+        WITH e AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'u' || event_id % 3 END AS u, CASE WHEN event_id % 5 > 0 THEN 's' || event_id % 4 END AS s, CASE WHEN event_id % 7 > 0 THEN (event_id % 6)::VARCHAR END AS p FROM events)
+        SELECT event_id, u IS NOT NULL AS d_all_users, u IS NULL AND s IS NOT NULL AS d_all_units, CASE WHEN u IS NOT NULL THEN u IN ('u1', 'u2') ELSE coalesce(s = 's1', false) END AS d_both, true AS d_match, p IS NULL AS d_empty,
+               coalesce(s IN ('s1', 's2'), false) AS i_units, coalesce(u = 'u0', false) AS i_users, coalesce(s = 's1' AND p IN ('1', '2'), false) OR coalesce(u = 'u1', false) AS i_both, coalesce(p IN ('1', '4') AND s = 's0', false) AS i_fields, true AS i_all FROM e""",
     "resume": f"""SELECT source_id, ("offset" + 1) * 10 AS "offset", line FROM (SELECT *, max(("offset" + 1) * 10) OVER (PARTITION BY source_id) AS size FROM ({_L}))
         WHERE ("offset" + 1) * 10 > CASE source_id % 4 WHEN 0 THEN size WHEN 1 THEN CASE WHEN size < 20 THEN 0 ELSE 20 END WHEN 2 THEN 0 ELSE 0 END""",
     "advance": f"""

@@ -56,6 +56,15 @@ def event_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", statsd.parse_event(line).alias("e")).select("doc_id", "e.msg_title", "e.msg_text", "e.priority", F.array_join("e.tags", ",").alias("tags"))
 
 
+STAMPS = ["|d:100|d:x", "|d: 7 ", "|d:+5", "|d:9223372036854775808|k:z", "|d:-3|d:4|d:", "", "|d:1_0|p:low", "|d:100|d:200"]
+
+
+def event_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with several times, and ones that are no whole numbers: the last that is one counts."""
+    e = table(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*map(F.lit, STAMPS)), (F.col("event_id") % len(STAMPS) + 1).cast("int")).alias("rest"))
+    return e.select("event_id", statsd.parse_event(F.concat(F.lit("_e{1,2}:t|xx"), "rest")).alias("e")).select("event_id", "e.timestamp", "e.aggregation_key", "e.priority")
+
+
 def hist_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = in_spark(spark, sf_dir, SAMPLES).withColumn("type", F.lit("histogram"))
     return _shape(flush.flush_histogram(flush.prepare(s, DAY), DAY), F.array_join(F.array_sort("tags"), ",").alias("tags"))
@@ -91,7 +100,7 @@ def run_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flush.run_total(in_spark(spark, sf_dir, SERIES)).select("key", F.round("total", 6).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (flush_gauge_counter, statsd_packed, statsd_routing, service_checks, event_bytes, hist_expand, set_distinct, flush_all, flush_series, non_finite, run_total)}
+QUERIES = {f.__name__: f for f in (flush_gauge_counter, statsd_packed, statsd_routing, service_checks, event_bytes, event_stamps, hist_expand, set_distinct, flush_all, flush_series, non_finite, run_total)}
 
 _S = in_duck(SAMPLES)
 _P = f"SELECT *, CAST((floor(epoch(ts) / {DAY}) + 1) * {DAY} AS BIGINT) AS we, array_to_string(list_sort(tags), ',') AS tk FROM ({_S})"
@@ -118,6 +127,7 @@ ORACLES = {
     "event_bytes": """
         SELECT doc_id, replace(substr(t, 1, 20), '\\n', chr(10)) AS msg_title, replace(substr(t, 21), '\\n', chr(10)) AS msg_text, 'low' AS priority, 'lang:' || lang AS tags
         FROM (SELECT *, replace(text, chr(10), '\\n') AS t FROM documents)""",
+    "event_stamps": "SELECT event_id, CAST([100, 0, 5, 0, 4, 0, 0, 200][event_id % 8 + 1] AS BIGINT) AS timestamp, CASE WHEN event_id % 8 = 3 THEN 'z' ELSE '' END AS aggregation_key, CASE WHEN event_id % 8 = 6 THEN 'low' ELSE '' END AS priority FROM events",
     "hist_expand": "WITH p AS (SELECT * REPLACE ('histogram' AS type) FROM (" + _P + "))" + _HIST.format(p="", day=DAY) + " SELECT host, we AS ts, metric, type, round(value, 9) AS value, tk AS tags FROM h",
     "set_distinct": f"SELECT host, we AS ts, name AS metric, 'gauge' AS type, round(count(DISTINCT member)::DOUBLE, 6) AS value FROM ({_P}) GROUP BY host, we, name, tk",
     "flush_series": "WITH a AS (" + _P + "), p AS (SELECT * FROM a WHERE type = 'histogram')" + _HIST.format(p="", day=DAY) + f""",

@@ -13,17 +13,23 @@ RECORD = (
 )
 
 
-def read_log_lines(spark: SparkSession, path: str, keep_blank: bool = False) -> DataFrame:
+def read_log_lines(spark: SparkSession, path: str, keep_blank: bool = False, rotated: bool = False, cap: int = 262_144) -> DataFrame:
     """`(source_id, offset, line)`, offset being the byte just past the line's newline.
 
+    A last line without a newline is held back until it has one, so that an offset never lies in the middle of a line. Only one
+    of over `cap` bytes, and that of a file that was `rotated` away, is given as it is; its offset is the file's size.
+
     The running size is taken in two steps, per read block and then inside it, so that a large file is spread.
     """
-    raw = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("source_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"))
+    raw = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("source_id"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("whole"), F.monotonically_increasing_id().alias("seq"))
     sized = raw.withColumn("size", F.octet_length("value") + 1)
     blocks = sized.groupBy("source_id", "block").agg(F.sum("size").alias("total"))
     before = blocks.select("source_id", "block", (F.sum("total").over(Window.partitionBy("source_id").orderBy("block")) - F.col("total")).alias("before"))
     inside = F.sum("size").over(Window.partitionBy("source_id", "block").orderBy("seq"))
-    lines = sized.withColumn("inside", inside).join(before, ["source_id", "block"]).select("source_id", (F.col("before") + F.col("inside")).alias("offset"), F.regexp_replace("value", r"\r+\z", "").alias("line"))
+    placed = sized.withColumn("inside", inside).join(before, ["source_id", "block"]).withColumn("end", F.col("before") + F.col("inside"))
+    given = placed.filter((F.col("end") <= F.col("whole")) | F.lit(rotated) | (F.col("size") - 1 > cap))
+    open_end = F.col("end") > F.col("whole")
+    lines = given.select("source_id", F.least("end", "whole").alias("offset"), F.when(open_end, F.col("value")).otherwise(F.regexp_replace("value", r"\r+\z", "")).alias("line"))
     return lines if keep_blank else lines.filter("line <> ''")
 
 

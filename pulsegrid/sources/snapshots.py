@@ -33,18 +33,23 @@ def kv_snapshot(df: DataFrame, content: str = "content") -> DataFrame:
 
 
 def column_snapshot(df: DataFrame, layout: str, content: str = "content") -> DataFrame:
-    """Lines of a fixed layout to wide counters; the entity is the first word (third for disks), without a colon."""
+    """Lines of a fixed layout to wide counters; the entity is the first word (third for disks), without a colon.
+
+    A word that is no number counts as 0 for CPUs, interfaces and loads; a disk's line with one goes."""
     least, names, skip = LAYOUTS[layout]
     keys = [c for c in df.columns if c != content]
     rows = _lines(df, content).filter(~F.col("text").rlike(skip)).withColumn("f", F.split(F.trim(F.regexp_replace("text", r"^(\s*\S+?):\s*", "$1 ")), r"\s+")).filter(F.size("f") >= least)
-    return rows.select(*keys, "pos", F.get("f", F.lit(2 if layout == "diskstats" else 0)).alias("entity"), *[F.get("f", F.lit(k)).try_cast("double").alias(n) for n, k in names.items()])
+    word = {n: F.get("f", F.lit(k)) for n, k in names.items()}
+    value = {n: F.when(w.isNotNull(), F.coalesce(to_double(w), F.lit(0.0))) if layout in ("cpu", "netdev", "loadavg") else to_double(w) for n, w in word.items()}
+    out = rows.select(*keys, "pos", F.get("f", F.lit(2 if layout == "diskstats" else 0)).alias("entity"), *[v.alias(n) for n, v in value.items()])
+    return out.dropna(subset=list(names)) if layout == "diskstats" else out
 
 
 def mount_snapshot(df: DataFrame, content: str = "content") -> DataFrame:
-    """Mount table lines."""
+    """Mount table lines; devices and mounts may hold escapes."""
     keys = [c for c in df.columns if c != content]
     rows = _lines(df, content).withColumn("f", F.split(F.trim("text"), r"\s+")).filter(F.size("f") >= 3)
-    return rows.select(*keys, "pos", F.get("f", F.lit(0)).alias("device"), unescape_octal(F.get("f", F.lit(1))).alias("mount"), F.get("f", F.lit(2)).alias("fstype"))
+    return rows.select(*keys, "pos", unescape_octal(F.get("f", F.lit(0))).alias("device"), unescape_octal(F.get("f", F.lit(1))).alias("mount"), F.get("f", F.lit(2)).alias("fstype"))
 
 
 def pid_stat(line: Column) -> Column:
@@ -63,6 +68,24 @@ def token_snapshot(df: DataFrame, content: str = "content") -> DataFrame:
     return rows.groupBy(*keys, "key").agg(F.max_by("value", "pos").alias("value"))
 
 
+#: What follows each of these words on the first line of an interface's status.
+INTERFACE_STATUS = {"device": "device", "maxtu": "mtu", "pktin": "pktin", "pktout": "pktout", "errin": "errin", "errout": "errout"}
+
+
+def interface_status(df: DataFrame, content: str = "content") -> DataFrame:
+    """`key value` words of a status' first line to columns: each known key takes the word behind it, wherever it stands; of
+    equal keys the last counts. Missing numbers, and words that are none, are 0; a status without a device goes."""
+    keys = [c for c in df.columns if c != content]
+    words = df.select(*keys, F.split(F.trim(F.regexp_replace(F.substring_index(content, "\n", 1), r"\s+", " ")), " ").alias("f"))
+
+    def after(token: str) -> Column:
+        found = F.filter(F.transform("f", lambda x, i: F.when(x == token, F.get("f", i + 1))), lambda v: v.isNotNull())
+        return F.get(found, F.size(found) - 1)
+
+    out = words.select(*keys, *[(after(k) if k == "device" else F.coalesce(to_double(after(k)), F.lit(0.0))).alias(n) for k, n in INTERFACE_STATUS.items()])
+    return out.filter("device <> ''")
+
+
 def graph_bins(df: DataFrame, content: str = "content") -> DataFrame:
     """Lines of `nsamp=.. max=..` tokens to `(pos, nsamp, max)`, 32-bit values unwrapped; lines without a max go. A13
     takes a counter's present value from them."""

@@ -26,6 +26,12 @@ def _last(fields: Column, prefix: str) -> Column:
     return F.substring(F.get(found, F.size(found) - 1), len(prefix) + 1, 1 << 30)
 
 
+def _whole_numbers(fields: Column, prefix: str) -> Column:
+    """The numbers behind `prefix`; what isn't wholly one, or beyond 64 bits, is left out."""
+    rest = lambda x: F.substring(x, len(prefix) + 1, 1 << 30)
+    return F.filter(F.transform(F.filter(fields, lambda x: x.startswith(prefix)), lambda x: F.when(rest(x).rlike(r"\A[+-]?[0-9]+\z"), rest(x).try_cast("long"))), lambda v: v.isNotNull())
+
+
 def _tags(fields: Column) -> Column:
     t = _last(fields, "#")
     return F.when(t.isNull() | (t == ""), F.array().cast(_NONE)).otherwise(F.split(t, ","))
@@ -75,7 +81,7 @@ def parse_check(line: Column) -> Column:
     at = F.array_position(F.transform(opts, lambda x: x.startswith("m:")), F.lit(True))
     before = F.when(at > 0, F.slice(opts, F.lit(1), (at - 1).cast("int"))).otherwise(opts)
     message = F.when(at > 0, F.substring(F.array_join(F.slice(opts, F.greatest(at, F.lit(1)).cast("int"), F.greatest(F.size(opts), F.lit(1))), "|"), 3, 1 << 30)).otherwise("")
-    stamps = F.filter(F.transform(F.filter(before, lambda x: x.startswith("d:")), lambda x: F.when(F.substring(x, 3, 99).rlike(r"^[+-]?\d+$"), F.substring(x, 3, 99).try_cast("long"))), lambda v: v.isNotNull())
+    stamps = _whole_numbers(before, "d:")
     ok = line.startswith("_sc|") & (F.size(f) > 2) & (F.get(f, F.lit(1)) != "") & status.rlike(r"^[+-]?0*[0-3]$") & ~status.rlike("^-0*[1-3]")
     return F.when(ok, F.struct(F.get(f, F.lit(1)).alias("check"), F.coalesce(_last(before, "h:"), F.lit("")).alias("host_name"), F.coalesce(F.get(stamps, F.size(stamps) - 1), F.lit(0)).alias("timestamp"), status.try_cast("int").alias("status"), message.alias("message"), _tags(before).alias("tags")))
 
@@ -92,7 +98,8 @@ def parse_event(line: Column) -> Column:
     plain = lambda b: F.replace(utf8_text(b), F.lit("\\n"), F.lit("\n"))
     ok = (size > 0) & (tl > 0) & (el >= 0) & (F.octet_length(title) == tl) & (bar == F.encode(F.lit("|"), "UTF-8")) & (F.octet_length(text) == el)
     get = lambda p: F.coalesce(_last(opts, p), F.lit(""))
-    return F.when(ok, F.struct(plain(title).alias("msg_title"), plain(text).alias("msg_text"), F.coalesce(_last(opts, "d:").try_cast("long"), F.lit(0)).alias("timestamp"), get("p:").alias("priority"), get("t:").alias("alert_type"), get("h:").alias("host"), _tags(opts).alias("tags"), get("k:").alias("aggregation_key"), get("s:").alias("source_type_name")))
+    stamps = _whole_numbers(opts, "d:")
+    return F.when(ok, F.struct(plain(title).alias("msg_title"), plain(text).alias("msg_text"), F.coalesce(F.get(stamps, F.size(stamps) - 1), F.lit(0)).alias("timestamp"), get("p:").alias("priority"), get("t:").alias("alert_type"), get("h:").alias("host"), _tags(opts).alias("tags"), get("k:").alias("aggregation_key"), get("s:").alias("source_type_name")))
 
 
 def quarantine(df: DataFrame, line: str = "line") -> DataFrame:
