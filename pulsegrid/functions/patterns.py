@@ -23,6 +23,7 @@ PERL = {"d": "09", "s": "\t\n\f\r  ", "w": "09AZ__az"}
 CATEGORIES = "L Lu Ll Lt Lm Lo M Mn Mc Me N Nd Nl No P Pc Pd Ps Pe Pi Pf Po S Sm Sc Sk So Z Zs Zl Zp Cc Cf Cs Co".split()
 OTHER, NOT_OTHER = r"\p{Cc}\p{Cf}\p{Cs}\p{Co}", r"\p{L}\p{M}\p{N}\p{P}\p{S}\p{Z}\p{Cn}"
 ESCAPES = {"a": "\a", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v"}
+_JAVA_NAME = re.compile("[A-Za-z][A-Za-z0-9]*")
 _WORD = "[0-9A-Za-z_]"
 _BREAK = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 _NO_BREAK = rf"(?:(?<={_WORD})(?={_WORD})|(?<!{_WORD})(?!{_WORD}))"
@@ -258,7 +259,7 @@ class Reader:
             self.at = m.end()
             self.count += 1
             self.names[m[1]] = self.count
-            return "(", outside
+            return f"(?<{m[1]}>" if _JAVA_NAME.fullmatch(m[1]) else "(", outside
         m = re.compile(r"([imsU]*)(-[imsU]+)?([:)])").match(self.text, self.at)
         if not m:
             raise BadPattern("unknown group")
@@ -343,7 +344,7 @@ def compiled(pattern: str) -> Compiled:
     """Read a pattern; BadPattern if the dialect refuses it."""
     reader = Reader(pattern)
     part = reader.read()
-    return Compiled(f"(?:{part.java})", reader.count, reader.names, part.empty, part.needs)
+    return Compiled(part.java, reader.count, reader.names, part.empty, part.needs)
 
 
 def to_java(pattern: str) -> str | None:
@@ -375,6 +376,10 @@ def replacement(text: str, pattern: str) -> str:
             out.append(r"\$")
             after_group = False
             continue
+        if name in known.names and _JAVA_NAME.fullmatch(name):
+            out.append(f"${{{name}}}")
+            after_group = False
+            continue
         number = int(name) if re.fullmatch("0|[1-9][0-9]{0,7}", name) else known.names.get(name, -1)
         if 0 <= number <= known.groups:
             out.append(f"${number}")
