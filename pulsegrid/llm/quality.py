@@ -76,15 +76,15 @@ NUMBERS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 KEYS = ["k1", "k2", "t1", "t2"]
 
 
-def judge(df: DataFrame, max_ratio: float = 0.4, min_docs: int = 20, min_left: float = 0.2, doc_id: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
+def judge(df: DataFrame, max_ratio: float = 0.1, min_docs: int = 3, min_left: float = 0.8, doc_id: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
     """Judge every document; returns doc_id, the counts, n_common_words, base_failed and kept, a row for each row, with
     the row's key (k1, k2), `full_key` of doc_id, host and text, and the keys of its common lines (hit).
 
     base_failed: fewer than 50 words, or over half of the words in 3-word windows that occur twice or more.
     Lines are normalised (lower case A-Z, one space between words) and hashed; for each host the distinct documents
     (exact copies of a text are one document) with a line are counted. Lines in more than `max_ratio` of the
-    host's documents, and more than `min_docs` of them, are common; a document left with less than
-    `min_left` of its words without them is depleted. kept: neither base_failed nor depleted.
+    host's documents, and at least `min_docs` of them (fewer say nothing about a host), are common; a document left with
+    less than `min_left` of its words without them is depleted. kept: neither base_failed nor depleted.
 
     Null text has no words and fails; a null host is ''. Lines without a word are not counted. Repeated rows
     are judged alike; null doc_ids are carried; other columns are not read. An empty table gives an empty table.
@@ -95,13 +95,13 @@ def judge(df: DataFrame, max_ratio: float = 0.4, min_docs: int = 20, min_left: f
     counts = texts.groupBy("host", "k").agg(F.count("*").alias("n"))  # the null key counts the host's documents
     docs = counts.filter("k is null").select("host", F.col("n").alias("docs"))
     common = (
-        counts.filter(F.col("k").isNotNull() & (F.col("n") > min_docs)).join(docs, "host").filter(F.col("n") > F.lit(max_ratio) * F.col("docs"))
+        counts.filter(F.col("k").isNotNull() & (F.col("n") >= min_docs)).join(docs, "host").filter(F.col("n") > F.lit(max_ratio) * F.col("docs"))
         .groupBy("host").agg(F.collect_list("k").alias("common"))
     )
     hit = F.filter("lines", lambda x: F.array_contains("common", F.struct(x["a"].alias("a"), x["b"].alias("b"))))
     n_common = F.when(F.col("common").isNull(), F.lit(0)).otherwise(F.aggregate(hit, F.lit(0).cast("long"), lambda s, x: s + x["words"])).cast("long")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    judged = join_per_key(rows, common, "host", F.col("t1"), "left").withColumn("n_common_words", n_common).withColumn("base_failed", failed)
+    judged = join_per_key(rows, common, "host", F.col("k1"), "left").withColumn("n_common_words", n_common).withColumn("base_failed", failed)
     judged = judged.withColumn("hit", F.when(F.col("common").isNull(), F.array().cast("array<struct<a: bigint, b: bigint>>")).otherwise(F.transform(hit, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))))
     left = F.col("n_words") - F.col("n_common_words")
     return judged.select("doc_id", *NUMBERS, "n_common_words", "base_failed", (~F.col("base_failed") & (left >= F.lit(min_left) * F.col("n_words"))).alias("kept"), "k1", "k2", "hit")

@@ -13,7 +13,7 @@ from .common import WORD
 
 MAX_RATIO, MIN_PAGES = 0.1, 3
 SHARDS, TABLE_SIZE = 16, 2039
-MAX_LINE_RATIO, MIN_LINE_DOCS, MIN_LEFT = 0.4, 20, 0.2
+MAX_LINE_RATIO, MIN_LINE_DOCS, MIN_LEFT = 0.1, 3, 0.8
 MAX_EPOCHS = 2.0
 
 
@@ -177,7 +177,7 @@ ORACLES: dict[str, str] = {
         dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lw WHERE n > 0 GROUP BY r),
         hosts AS (SELECT host, count(DISTINCT t) AS docs FROM d GROUP BY host),
         freq AS (SELECT lw.host, norm, count(DISTINCT d.t) AS n FROM lw JOIN d USING (r) WHERE n > 0 GROUP BY lw.host, norm),
-        common AS (SELECT freq.host, norm FROM freq JOIN hosts USING (host) WHERE n > {MIN_LINE_DOCS} AND n > {MAX_LINE_RATIO}::DOUBLE * docs),
+        common AS (SELECT freq.host, norm FROM freq JOIN hosts USING (host) WHERE n >= {MIN_LINE_DOCS} AND n > {MAX_LINE_RATIO}::DOUBLE * docs),
         hit AS (SELECT r, sum(n) AS n FROM lw JOIN common USING (host, norm) GROUP BY r),
         m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
                      CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
