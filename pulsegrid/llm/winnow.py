@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -75,11 +77,12 @@ def _key(doc_id: str, text: str) -> Column:
     return F.struct(F.col(doc_id).isNotNull().alias("has"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("tie"))
 
 
-def _bucket(key: Column, bounds: list[tuple], kind: str) -> Column:
-    """How many of the sorted `bounds` are at most `key`, by binary search."""
+def _bucket(key: Column, bounds: list[str], kind: str) -> Column:
+    """How many of the sorted `bounds`, keys as JSON, are at most `key`, by binary search. They are one constant of the plan,
+    however many they are."""
     if not bounds:
         return F.lit(0)
-    held = F.array(*[F.struct(F.lit(has).alias("has"), F.lit(i).cast(kind).alias("id"), F.lit(tie).cast("long").alias("tie")) for has, i, tie in bounds])
+    held = F.from_json(F.lit(f"[{','.join(bounds)}]"), f"array<struct<has: boolean, id: {kind}, tie: bigint>>")
 
     def step(s: Column, _: Column) -> Column:
         mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
@@ -103,7 +106,8 @@ def with_next(df: DataFrame, doc_id: str, text: str, add) -> DataFrame:
     keyed = df.withColumn("_key", _key(doc_id, text))
     keys = keyed.select("_key")
     every = max(1, keys.count() // (SAMPLE * buckets))
-    sample = sorted({tuple(r[0]) for r in keys.filter(F.pmod(F.xxhash64("_key"), F.lit(every)) == 0).distinct().collect()})
+    sample = keys.filter(F.pmod(F.xxhash64("_key"), F.lit(every)) == 0).distinct()
+    sample = [r[0] for r in sample.orderBy("_key").select(F.to_json("_key")).collect()]
     bounds = sample[SAMPLE // 2 :: max(1, -(-len(sample) // buckets))]
     keyed = keyed.withColumn("_bucket", _bucket(F.col("_key"), bounds, kind))
     firsts = sorted(tuple(r) for r in keyed.groupBy("_bucket").agg(F.max("_key").alias("k")).select("_bucket", "k.has", "k.id", "k.tie").collect())
