@@ -62,15 +62,17 @@ def plan(df: DataFrame, max_epochs: float | None = 2.0, entropy: float | None =
     places in them, and `place`, from 1, is its place in its source's permutation.
 
     A null source is a source of its own (''). Null and empty texts have no tokens and take no budget; a source
-    without tokens has weight 0 and one copy of each row. Repeated rows are rows. Ties in the permutation go by
-    tokens, then text. Input columns n_tokens, weight, epochs, copies, place are replaced, all others pass, whatever their names. An empty table
+    without tokens has weight 0 and one copy of each row. Repeated rows are rows. Rows without a doc_id are permuted by their
+    texts. Ties in the permutation go by tokens, then text; a block that is hot, as very many rows have one doc_id, is
+    first cut by a hash of the whole row, so that its rows stand in order of that. Input columns n_tokens, weight, epochs, copies, place are replaced, all others pass, whatever their names. An empty table
     gives an empty table. Hot sources are cut into blocks of the permutation, summed before any order is taken.
     """
     out = [c for c in df.columns if c not in ("n_tokens", "weight", "epochs", "copies", "place")]
     df, names = numbered(df)
     cols = [names[c] for c in out]
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(names[doc_id]).cast("string"), F.lit(""))))
-    rows = df.select(*cols, words_in(names[text]).alias("n_tokens"), F.coalesce(F.col(names[source]), F.lit("")).alias("s"), order.alias("o"), F.xxhash64(names[text]).alias("t"))
+    row = F.xxhash64(F.lit(5), *names.values())
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(names[doc_id]).cast("string"), F.concat(F.lit("text "), F.xxhash64(names[text]).cast("string")))))
+    rows = df.select(*cols, words_in(names[text]).alias("n_tokens"), F.coalesce(F.col(names[source]), F.lit("")).alias("s"), order.alias("o"), F.xxhash64(names[text]).alias("t"), row.alias("u"))
     totals = cut(rows.groupBy("s").agg(F.sum("n_tokens").alias("total"), F.count("*").alias("rows")))
     whole = totals.agg(F.sum("total")).first()[0] or 0
     hot = hot_keys(totals, "s", "rows")
@@ -85,16 +87,24 @@ def plan(df: DataFrame, max_epochs: float | None = 2.0, entropy: float | None =
         F.ceil(F.col("rows") / F.lit(BLOCK)).alias("blocks"),
     )
     part = F.floor(F.conv(F.substring("o", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) * F.col("blocks")).alias("b")
-    dealt = join_per_key(rows, weights, "s", F.col("o"), hot=hot).select("*", part)
-    sums = join_per_key(rows.select("s", "o", "n_tokens"), weights.select("s", "blocks"), "s", F.col("o"), hot=hot).select("s", "n_tokens", part).groupBy("s", "b").agg(F.sum("n_tokens").alias("sum"), F.count("*").alias("n"))
-    earlier = Window.partitionBy("s").orderBy("b")
-    before = sums.select("s", "b", (F.sum("sum").over(earlier) - F.col("sum")).alias("tokens_before"), (F.sum("n").over(earlier) - F.col("n")).alias("rows_before"))
-    inside = Window.partitionBy("s", "b").orderBy("o", "n_tokens", "t")
+    light = join_per_key(rows.select("s", "o", "u", "n_tokens"), weights.select("s", "blocks"), "s", F.col("u"), hot=hot).select("s", "u", "n_tokens", part)
+    sizes = light.groupBy("s", "b").agg(F.count("*").alias("n")).withColumn("sb", F.struct("s", "b"))
+    tied = cut(hot_keys(cut(sizes), "sb").join(sizes.filter(F.col("n") > 2 * BLOCK).select("sb"), "sb"))  # blocks have BLOCK rows where ids differ
+
+    def cut_tied(x: DataFrame) -> DataFrame:
+        ways = F.coalesce(F.col("ways"), F.lit(1))
+        return x.join(F.broadcast(tied.select("sb.s", "sb.b", "ways")), ["s", "b"], "left").withColumn("c", F.pmod("u", ways).cast("int")).drop("ways", "u")
+
+    dealt = cut_tied(join_per_key(rows, weights, "s", F.col("u"), hot=hot).select("*", part))
+    sums = cut_tied(light).groupBy("s", "b", "c").agg(F.sum("n_tokens").alias("sum"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("s").orderBy("b", "c")
+    before = sums.select("s", "b", "c", (F.sum("sum").over(earlier) - F.col("sum")).alias("tokens_before"), (F.sum("n").over(earlier) - F.col("n")).alias("rows_before"))
+    inside = Window.partitionBy("s", "b", "c").orderBy("o", "n_tokens", "t")
     ranked = dealt.withColumns({"upto": F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "rank": F.row_number().over(inside)})
     full = F.floor("epochs")
     rest = F.floor(F.round((F.col("epochs") - full) * F.col("total"), 6))
     one_more = (F.col("epochs") > full) & (F.col("tokens_before") + F.col("upto") <= rest)
-    return ranked.join(before, ["s", "b"]).select(
+    return ranked.join(before, ["s", "b", "c"]).select(
         *(F.col(names[c]).alias(c) for c in out), "n_tokens", "weight", "epochs",
         (full + F.when(one_more, 1).otherwise(0)).cast("long").alias("copies"), (F.col("rows_before") + F.col("rank")).alias("place"))
 
