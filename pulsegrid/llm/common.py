@@ -62,10 +62,10 @@ def hot_keys(sizes: DataFrame, key: str, n: str = "n") -> DataFrame:
 
 def join_per_key(rows: DataFrame, small: DataFrame, key: str, by: Column, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
     """Join `small`, a few bounded rows for each key, to `rows`, whose keys may be very hot. Keys are counted (or given as
-    `hot`); the rows of hot ones are spread by `by` over parts, and each part gets a copy of the key's rows in `small`.
-    `rows` must be cheap to count by key."""
+    `hot`); the rows of hot ones are spread by `by`, and, as rows may be equal in it, by the partition they come from, over
+    parts, and each part gets a copy of the key's rows in `small`. `rows` must be cheap to count by key."""
     hot = hot_keys(cut(rows.groupBy(key).agg(F.count("*").alias("n"))), key) if hot is None else hot
     ways = F.coalesce(F.col("ways"), F.lit(1))
-    spread = rows.join(F.broadcast(hot), key, "left").withColumn("salt", F.pmod(F.xxhash64(by), ways).cast("int")).drop("ways")
+    spread = rows.join(F.broadcast(hot), key, "left").withColumn("salt", F.pmod(F.xxhash64(by, F.spark_partition_id()), ways).cast("int")).drop("ways")
     copies = small.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), ways - 1))).drop("ways")
     return spread.join(copies, [key, "salt"], how).drop("salt")

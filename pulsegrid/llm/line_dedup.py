@@ -50,7 +50,7 @@ def dedup_lines(df: DataFrame, host: str = "source", text: str = "text", max_rat
     (df, names), out = numbered(df), [c for c in df.columns if c not in ("n_lines", "n_dropped")]
     host, text = names[host], names[text]
     bad = boilerplate_lines(df, host, text, max_ratio, min_pages, distinct)
-    joined = join_per_key(df.withColumn("_host", F.coalesce(F.col(host), F.lit(""))), bad, "_host", F.col(text), "left")
+    joined = join_per_key(df.withColumn("_host", F.coalesce(F.col(host), F.lit(""))), bad, "_host", F.xxhash64(*names.values()), "left")
     lines = F.split(F.col(text), "\n", -1)
     kept = F.when(F.col("_bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_bad"), _key(x)), F.lit(False))))
     joined = joined.withColumn("_kept", kept).withColumn("_all", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
