@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..functions.columns import canonical_tags, effective_value, finite
 from ..functions.patterns import to_java
 from ..operators.logs import CAP, Rule, apply_rules
 
 
+#: The state store that ST4 and ST5 need: `spark.sql.streaming.stateStore.providerClass` of the session that starts them.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def stream_metrics(samples: DataFrame, interval: int = 15, watermark: str = "1 minute") -> DataFrame:
     """ST1: the flush of gauges, counters, histograms and sets over event time, in append mode.
 
@@ -39,132 +44,149 @@ def stream_metrics(samples: DataFrame, interval: int = 15, watermark: str = "1 m
     return two.select("host", F.unix_timestamp("w2.end").alias("window_end"), "name", F.col("first.tags").alias("tags"), F.inline(rows)).select("host", "window_end", F.concat("name", "suffix").alias("metric"), F.col("kind").alias("type"), "tags", "value")
 
 
-def _by_order(frames: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
-    return pd.concat(list(frames)).sort_values(order, kind="stable")
+class _Messages(StatefulProcessor):
+    """The open lines of a source, as a list, and a timer that closes them."""
+
+    def __init__(self, place: str, timeout_ms: int, cap: int):
+        self.place, self.timeout_ms, self.cap = place, timeout_ms, cap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", f"offset {self.place}, us long, line string")
+
+    def _made(self, source, groups: list[list[tuple]]) -> pd.DataFrame:
+        rows = [(source, g[-1][0], g[-1][1], "\n".join(x[2] or "" for x in g)) for g in groups]
+        return pd.DataFrame(rows, columns=["source_id", "offset", "us", "message"]).astype({"us": "Int64"})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values("offset", kind="stable")
+        group, done = [tuple(x) for x in self.open.get()], []
+        size = sum(len((x[2] or "").encode()) + 1 for x in group)
+        us = [None if x is None or x != x else int(x) for x in new["us"].tolist()]
+        for at, when, line, start in zip(new["offset"].tolist(), us, new["line"].tolist(), new["start"].tolist()):
+            if start and group:
+                done.append(group)
+                group, size = [], 0
+            group.append((int(at), when, line))
+            size += len((line or "").encode()) + 1
+            if size > self.cap:
+                done.append(group)
+                group, size = [], 0
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if group:
+            self.open.put(group)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
+        else:
+            self.open.clear()
+        if done:
+            yield self._made(key[0], done)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        group = [tuple(x) for x in self.open.get()]
+        self.open.clear()
+        if group:
+            yield self._made(key[0], [group])
+
+    def close(self) -> None:
+        pass
 
 
 def stream_multiline(lines: DataFrame, pattern: str, timeout_ms: int = 1000, cap: int = CAP) -> DataFrame:
-    """ST4: multi-line assembly with state by source: open lines, their size, and the last one's place and time.
+    """ST4: multi-line assembly with a state by source: its open lines, gone as soon as their message is.
 
-    A start line, the size cap or an idle time without lines closes a group; the idle time runs on the clock. Which lines
-    are starts is told in SQL, by the same pattern as in the batch form.
+    A start line, the size cap or an idle time without lines closes a group; the idle time runs on the clock, as a timer of
+    the source. Which lines are starts is told in SQL, by the same pattern as in the batch form. Null lines are empty.
     """
-    marked = lines.select("source_id", "offset", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "line", F.col("line").rlike(r"\A(?:" + (to_java(pattern) or "") + ")").alias("start"))
+    start = F.coalesce(F.col("line").rlike(r"\A(?:" + (to_java(pattern) or "") + ")"), F.lit(False))
+    marked = lines.select("source_id", "offset", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "line", start.alias("start"))
     kinds = {c: lines.schema[c].dataType.simpleString() for c in ("source_id", "offset")}
     out = f"source_id {kinds['source_id']}, offset {kinds['offset']}, us long, message string"
+    made = marked.groupBy("source_id").transformWithStateInPandas(_Messages(kinds["offset"], timeout_ms, cap), out, "Append", "ProcessingTime")
+    return made.select("source_id", "offset", F.timestamp_micros("us").alias("ts"), "message")
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, size, offset, us = state.get if state.exists else ([], 0, 0, None)
-        held, done = list(held), []
-
-        def close() -> None:
-            nonlocal held, size
-            if held:
-                done.append((key[0], offset, us, "\n".join(held)))
-            held, size = [], 0
 
-        if state.hasTimedOut:
-            close()
-            state.remove()
-        else:
-            rows = _by_order(frames, "offset")
-            for at, when, line, start in zip(rows["offset"].tolist(), rows["us"].tolist(), rows["line"].tolist(), rows["start"].tolist()):
-                if start:
-                    close()
-                held.append(line)
-                size += len(line.encode()) + 1
-                offset, us = int(at), None if when is None or when != when else int(when)
-                if size > cap:
-                    close()
-            state.update((held, size, offset, us))
-            state.setTimeoutDuration(timeout_ms)
-        if done:
-            yield pd.DataFrame(done, columns=["source_id", "offset", "us", "message"]).astype({"us": "Int64"})
+#: Milliseconds after which the state of a host without news is dropped.
+GONE_MS = 3_600_000
 
-    kept = f"held array<string>, size long, offset {kinds['offset']}, us long"
-    return marked.groupBy("source_id").applyInPandasWithState(run, out, kept, "append", GroupStateTimeout.ProcessingTimeTimeout).select("source_id", "offset", F.timestamp_micros("us").alias("ts"), "message")
 
+class _Snapshots(StatefulProcessor):
+    """Rows of the last two snapshots of a host, so that rows of the last one that come in a later batch still find the one
+    before. Entities that are in neither are dropped at once, hosts without news when their rows expire."""
 
-class _Snapshots:
-    """The last two snapshots of a host, so that rows of the last one that come in a later batch still find the one before."""
+    def __init__(self, cols: Sequence[str], rates: Callable[[pd.DataFrame], pd.DataFrame], gone_ms: int, pin: Callable[[pd.DataFrame], pd.DataFrame] = lambda rows: rows):
+        self.cols, self.rates, self.gone_ms, self.pin = list(cols), rates, gone_ms, pin
 
-    def __init__(self, state: GroupState, width: int):
-        self.width = width
-        self.times, *rest = state.get if state.exists else ([], [], [], [], [])
-        self.times = list(self.times)
-        split = lambda names, values: {n: list(values[k * width : (k + 1) * width]) for k, n in enumerate(names)}
-        self.before, self.now = split(*rest[:2]), split(*rest[2:])
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rows = handle.getListState("rows", "us long, entity string, " + ", ".join(f"`{c}` double" for c in self.cols), ttlDurationMs=self.gone_ms)
 
-    def take(self, us: int) -> bool:
-        """Turn to the snapshot of this time; False for one that is older than the last."""
-        if self.times and us < self.times[-1]:
-            return False
-        if not self.times or us > self.times[-1]:
-            self.times = [*self.times[-1:], us]
-            self.before, self.now = self.now, {}
-        return True
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        names = ["us", "entity", *self.cols]
+        held = pd.DataFrame([tuple(x) for x in self.rows.get()], columns=names)
+        new = pd.concat(list(rows))[names]
+        if len(held):
+            new = new[new["us"] >= held["us"].max()]
+        both = pd.concat([x.assign(new=k) for k, x in enumerate((held, new)) if len(x)], ignore_index=True)
+        both = self.pin(both.drop_duplicates(["us", "entity"], keep="last").sort_values("us", kind="stable"))
+        times = both["us"].drop_duplicates()
+        before = dict(zip(times.tolist()[1:], times.tolist()))
+        now = both[both["new"] == 1].assign(before=lambda x: x["us"].map(before).fillna(-1).astype("int64"))
+        pairs = now.merge(both.drop(columns="new").rename(columns={"us": "before"}), how="left", on=["entity", "before"], suffixes=("", "_old"))
+        pairs["seconds"] = (pairs["us"] - pairs["before"]) / 1e6
+        self.rows.put(list(both.loc[both["us"].isin(times.tolist()[-2:]), names].astype({"us": "int64"}).itertuples(index=False, name=None)))
+        made = self.rates(pairs)
+        if len(made):
+            made.insert(0, "host", key[0])
+            yield made
 
-    @property
-    def seconds(self) -> float:
-        return (self.times[1] - self.times[0]) / 1e6 if len(self.times) == 2 else 0.0
+    def close(self) -> None:
+        pass
 
-    def save(self, state: GroupState) -> None:
-        flat = lambda d: (list(d), [v for n in d for v in d[n]])
-        state.update((self.times, *flat(self.before), *flat(self.now)))
 
-
-_SNAPSHOTS = "times array<long>, names1 array<string>, vals1 array<double>, names2 array<string>, vals2 array<double>"
-
-
-def _by_snapshot(frames: Iterator[pd.DataFrame], cols: Sequence[str]) -> Iterator[tuple[int, str, list[float]]]:
-    rows = _by_order(frames, "us")
-    return zip(rows["us"].tolist(), rows["entity"].tolist(), rows[list(cols)].to_numpy(float).tolist())
-
-
-def stream_counter_rate(snapshots: DataFrame, entity: str, ts: str, cols: Sequence[str], policy: str = "skip") -> DataFrame:
+def stream_counter_rate(snapshots: DataFrame, entity: str, ts: str, cols: Sequence[str], policy: str = "skip", gone_ms: int = GONE_MS) -> DataFrame:
     """ST5: rates of a stream of counter snapshots; the state of a host is its last two snapshots, so a snapshot may come in
-    parts. Rows of a snapshot older than the last one are late and give nothing."""
+    parts; it expires `gone_ms` after the host's last news. Rows of a snapshot older than the last one are late and give
+    nothing; of equal entities in a snapshot the last counts."""
     rows = snapshots.select("host", F.col(entity).cast("string").alias("entity"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), *[F.col(c).cast("double").alias(c) for c in cols])
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, done = _Snapshots(state, len(cols)), []
-        for us, name, values in _by_snapshot(frames, cols):
-            if held.take(us):
-                for c, new, old in zip(cols, values, held.before.get(name, [])):
-                    if new >= old or policy == "clamp":
-                        done.append((key[0], name, us, c, max(new - old, 0.0) / held.seconds))
-                held.now[name] = values
-        held.save(state)
-        if done:
-            yield pd.DataFrame(done, columns=["host", "entity", "us", "counter", "rate"])
+    def rates(pairs: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for c in cols:
+            delta = pairs[c] - pairs[f"{c}_old"]
+            made = pd.DataFrame({"entity": pairs["entity"], "us": pairs["us"], "counter": c, "rate": delta.clip(lower=0.0) / pairs["seconds"]})
+            parts.append(made[(delta >= 0) | (delta.notna() & (policy == "clamp"))])
+        return pd.concat(parts)
 
-    made = rows.groupBy("host").applyInPandasWithState(run, "host string, entity string, us long, counter string, rate double", _SNAPSHOTS, "append", GroupStateTimeout.NoTimeout)
+    made = rows.groupBy("host").transformWithStateInPandas(_Snapshots(cols, rates, gone_ms), "host string, entity string, us long, counter string, rate double", "Append", "ProcessingTime")
     return made.select("host", F.col("entity").alias(entity), F.timestamp_micros("us").alias("ts"), "counter", "rate")
 
 
-def stream_proc_rates(procs: DataFrame, ts: str = "snap_ts", slack_ms: int = 2000, counters: Sequence[str] = ("read_count", "write_count", "read_bytes", "write_bytes")) -> DataFrame:
+def stream_proc_rates(procs: DataFrame, ts: str = "snap_ts", slack_ms: int = 2000, counters: Sequence[str] = ("read_count", "write_count", "read_bytes", "write_bytes"), gone_ms: int = GONE_MS) -> DataFrame:
     """ST5, W11, W12 on a stream: the create time that each process keeps, CPU percentages and I/O rates, 0 where it is new
-    or a counter went back. A host's state is its last two snapshots."""
+    or a counter went back. The state is as in `stream_counter_rate`; processes that have ended leave it."""
     cols = ["create_time", "user_time", "system_time", *counters]
-    names = ["user_pct", "system_pct", *(f"{c}_s" for c in counters)]
+    names = {"user_time": "user_pct", "system_time": "system_pct"} | {c: f"{c}_s" for c in counters}
     rows = procs.select("host", F.col("pid").cast("string").alias("entity"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), *[F.col(c).cast("double").alias(c) for c in cols])
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, done = _Snapshots(state, len(cols)), []
-        for us, pid, (created, *values) in _by_snapshot(frames, cols):
-            if held.take(us):
-                old = held.before.get(pid)
-                if old and abs(old[0] - created) < slack_ms:
-                    created = old[0]
-                same = old is not None and old[0] == created
-                deltas = [max(n - o, 0.0) / held.seconds if same else 0.0 for n, o in zip(values, old[1:] if old else values)]
-                done.append((key[0], int(pid), us, int(created), 100 * deltas[0], 100 * deltas[1], *deltas[2:]))
-                held.now[pid] = [created, *values]
-        held.save(state)
-        if done:
-            yield pd.DataFrame(done, columns=["host", "pid", "us", "pinned", *names])
-
-    made = rows.groupBy("host").applyInPandasWithState(run, "host string, pid long, us long, pinned long, " + ", ".join(f"{n} double" for n in names), _SNAPSHOTS, "append", GroupStateTimeout.NoTimeout)
+    def pin(both: pd.DataFrame) -> pd.DataFrame:
+        """The kept create times, snapshot by snapshot; rows of the state have theirs already, and keep them."""
+        last, parts = pd.Series(dtype="float64"), []
+        for _, now in both.groupby("us"):
+            old = now["entity"].map(last)
+            now = now.assign(create_time=old.where((old - now["create_time"]).abs() < slack_ms, now["create_time"]))
+            last = now.set_index("entity")["create_time"]
+            parts.append(now)
+        return pd.concat(parts)
+
+    def rates(pairs: pd.DataFrame) -> pd.DataFrame:
+        same = pairs["create_time_old"] == pairs["create_time"]
+        out = pd.DataFrame({"pid": pairs["entity"].astype("int64"), "us": pairs["us"], "pinned": pairs["create_time"].astype("int64")})
+        for c, name in names.items():
+            rate = (pairs[c] - pairs[f"{c}_old"]).clip(lower=0.0) / pairs["seconds"]
+            out[name] = (100 * rate if name.endswith("_pct") else rate).where(same & rate.notna(), 0.0)
+        return out
+
+    made = rows.groupBy("host").transformWithStateInPandas(_Snapshots(cols, rates, gone_ms, pin), "host string, pid long, us long, pinned long, " + ", ".join(f"{n} double" for n in names.values()), "Append", "ProcessingTime")
     return made.withColumn("total_pct", F.col("user_pct") + F.col("system_pct")).withColumn(ts, F.timestamp_micros("us")).drop("us")
 
 
@@ -181,14 +203,17 @@ def drain(stream: DataFrame, folder: str) -> DataFrame:
     """ST3: run a stream over all that is there now, with its checkpoint in `folder`, and return what it has written.
 
     Batches without data, which a state with a clock asks for without end, are switched off for it; windows that only a
-    later sample closes stay open.
+    later sample closes stay open. State is kept where timers and expiry are possible.
     """
-    conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
-    was = conf.get(name)
-    conf.set(name, "false")
+    conf = stream.sparkSession.conf
+    wanted = {"spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.streaming.stateStore.providerClass": STATE_STORE}
+    was = {k: conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        conf.set(k, v)
     try:
         query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     finally:
-        conf.set(name, was)
+        for k, v in was.items():
+            conf.set(k, v)
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
