@@ -111,9 +111,26 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(told)
 
 
-QUERIES = {f.__name__: f for f in (log_lines, log_lines_open, capped_lines, records, payloads, uploads_read, proc_stats, fan_out, sources)}
+def _pull(target: dict):
+    """A source for the query below: nations whose key is divisible by five fail, after their first row."""
+    yield "nation.key", target["n_nationkey"], [f"name:{target['n_name']}"]
+    if target["n_nationkey"] % 5 == 0:
+        raise RuntimeError(f"refused {target['n_nationkey']}")
+    yield "nation.region", target["n_regionkey"], []
+
+
+def sources_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source that SQL reads from a table of targets."""
+    sinks.register_source(spark, "pull_nations", _pull, ["n_nationkey", "n_name"])
+    rows = spark.sql("SELECT * FROM pull_nations(TABLE(SELECT * FROM {targets}))", targets=table(spark, sf_dir, "nation"))
+    return rows.select("source", "metric", "value", F.array_join("tags", ",").alias("tags"), "error")
+
+
+QUERIES = {f.__name__: f for f in (log_lines, log_lines_open, capped_lines, records, payloads, uploads_read, proc_stats, fan_out, sources, sources_sql)}
 
 ORACLES = {
+    "sources_sql": """SELECT 'pull_nations' AS source, 'nation.key' AS metric, n_nationkey::DOUBLE AS value, 'name:' || n_name AS tags, NULL AS error FROM nation
+        UNION ALL SELECT 'pull_nations', 'nation.region', n_regionkey, '', NULL FROM nation WHERE n_nationkey % 5 > 0 UNION ALL SELECT 'pull_nations', NULL, NULL, NULL, 'RuntimeError: refused ' || n_nationkey FROM nation WHERE n_nationkey % 5 = 0""",
     "log_lines": r"""
         WITH l AS (SELECT source, doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM (SELECT *, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
         o AS (SELECT source, line, CAST(sum(strlen(line) + 1 + CASE WHEN pos % 3 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY doc_id, pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "offset" FROM l)

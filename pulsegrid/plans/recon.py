@@ -174,6 +174,17 @@ def pack_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("host", "payload", "url", F.get_json_object("body", "$.apiKey").alias("key"), F.coalesce(n, F.lit(0)).cast("long").alias("n_api"), F.get_json_object("body", "$.internalHostname").alias("name"))
 
 
+def pack_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole payloads of checks and events, empty fields left out."""
+    k = F.col("o_orderkey")
+    c = table(spark, sf_dir, "orders").select(F.when(k % 9 > 0, F.col("o_orderpriority")).otherwise("").alias("check"), (F.col("o_custkey") % 7).cast("string").alias("host_name"), (k * 100).alias("timestamp"), (k % 4).cast("int").alias("status"), F.when(k % 3 == 0, F.concat(F.lit('say "'), k, F.lit('"'))).when(k % 3 == 1, "").alias("message"), F.when(k % 2 == 0, F.array(F.lit("a:b"), F.lit("c"))).alias("tags"))
+    checks = sinks.pack_checks(c, max_rows=3).select(F.concat(F.lit("checks "), "host_name").alias("of"), "payload", "body")
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 5).cast("string").alias("host"), F.when(e % 4 > 0, F.col("event_type")).otherwise("").alias("source_type_name"), (e * 50 - 50).alias("timestamp"), F.col("event_type").alias("msg_title"), F.lit("x").alias("msg_text"), F.when(e % 3 == 0, "low").otherwise("").alias("priority"), F.lit("").alias("alert_type"), F.when(e % 5 == 0, F.concat(F.lit("g"), e)).alias("aggregation_key"), F.when(e % 2 == 0, F.array(F.lit("a:b"))).otherwise(F.array().cast("array<string>")).alias("tags"))
+    to = table(spark, sf_dir, "region").filter("r_regionkey < 2").select(F.concat(F.lit("u"), "r_regionkey").alias("url"), F.concat(F.lit("k"), "r_regionkey").alias("key"))
+    return checks.unionByName(sinks.pack_events(rows, to, 4).select(F.concat_ws(" ", F.lit("events"), "host", "url").alias("of"), "payload", "body"))
+
+
 def destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select(F.concat(F.lit("u"), "n_regionkey").alias("url"), F.when(F.col("n_nationkey") % 5 == 0, " ").otherwise(F.concat(F.lit("k"), F.col("n_nationkey") % 2)).alias("key"))
     return sinks.destinations(n.filter("url = 'u3' and key = 'k1'"), n)
@@ -187,7 +198,7 @@ def dead_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag(done, "delivered").unionByName(tag(dead, "dead")).unionByName(tag(again, "retry"))
 
 
-QUERIES = {f.__name__: f for f in (compare_series, compare_logs, subset, tolerance, facts, processes, process_names, uploads, parity_report, verify, presence, first_of_kind, pack_series, pack_logs, pack_checks, pack_events, destinations, dead_letter)}
+QUERIES = {f.__name__: f for f in (compare_series, compare_logs, subset, tolerance, facts, processes, process_names, uploads, parity_report, verify, presence, first_of_kind, pack_series, pack_logs, pack_checks, pack_events, pack_bodies, destinations, dead_letter)}
 
 _A = in_duck(SERIES)
 _B = "SELECT * REPLACE (CASE metric WHEN 'part.4' THEN value + 1 ELSE value END AS value, CASE metric WHEN 'part.5' THEN 'gauge' ELSE type END AS type, CASE metric WHEN 'part.9' THEN 'part.99' ELSE metric END AS metric) FROM (" + _A + ")"
@@ -261,6 +272,15 @@ ORACLES = {
     "pack_checks": "SELECT host_name, CAST((k - 1) // 200 AS BIGINT) AS payload, count(*) AS rows, min(o_orderpriority) AS first FROM (SELECT (o_custkey % 50)::VARCHAR AS host_name, o_orderpriority, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderpriority, o_orderkey) AS k FROM orders) GROUP BY ALL",
     "pack_events": """WITH r AS (SELECT DISTINCT 'https://' || (r_regionkey % 3) AS url, 'k' || (r_regionkey % 2) AS key FROM region WHERE r_regionkey <> 4)
         SELECT host, CAST((k - 1) // 300 AS BIGINT) AS payload, url, key, count(*) FILTER (event_id % 4 = 0) AS n_api, host::VARCHAR AS name FROM (SELECT *, user_id % 9 AS host, row_number() OVER (PARTITION BY user_id % 9 ORDER BY event_id) AS k FROM events), r GROUP BY ALL""",
+    "pack_bodies": """
+        WITH c AS (SELECT *, (o_custkey % 7)::VARCHAR AS host, CASE WHEN o_orderkey % 9 > 0 THEN o_orderpriority ELSE '' END AS chk FROM orders),
+        cn AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY chk, o_orderkey) - 1 AS k FROM c),
+        cb AS (SELECT 'checks ' || host AS "of", k // 3 AS payload, '[' || string_agg('{"check":"' || chk || '","host_name":"' || host || '","timestamp":' || o_orderkey * 100 || ',"status":' || o_orderkey % 4 || CASE WHEN o_orderkey % 3 = 0 THEN ',"message":"say \\"' || o_orderkey || '\\""' ELSE '' END || ',"tags":' || CASE WHEN o_orderkey % 2 = 0 THEN '["a:b","c"]' ELSE '[]' END || '}', ',' ORDER BY k) || ']' AS body FROM cn GROUP BY host, k // 3),
+        e AS (SELECT *, (user_id % 5)::VARCHAR AS host, CASE WHEN event_id % 4 > 0 THEN event_type ELSE 'api' END AS src, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) - 1 AS k FROM events),
+        s AS (SELECT host, k // 4 AS payload, src, '"' || src || '":[' || string_agg('{"msg_title":"' || event_type || '","msg_text":"x"' || CASE WHEN event_id <> 1 THEN ',"timestamp":' || event_id * 50 - 50 ELSE '' END || CASE WHEN event_id % 3 = 0 THEN ',"priority":"low"' ELSE '' END || ',"host":"' || host || '"' || CASE WHEN event_id % 2 = 0 THEN ',"tags":["a:b"]' ELSE '' END || CASE WHEN event_id % 5 = 0 THEN ',"aggregation_key":"g' || event_id || '"' ELSE '' END || CASE WHEN event_id % 4 > 0 THEN ',"source_type_name":"' || event_type || '"' ELSE '' END || '}', ',' ORDER BY k) || ']' AS part FROM e GROUP BY host, k // 4, src),
+        eb AS (SELECT host, payload, string_agg(part, ',' ORDER BY src) AS parts FROM s GROUP BY host, payload)
+        SELECT "of", CAST(payload AS BIGINT) AS payload, body FROM cb
+        UNION ALL SELECT 'events ' || host || ' u' || d, payload, '{"apiKey":"k' || d || '","events":{' || parts || '},"internalHostname":"' || host || '"}' FROM eb, range(2) t(d)""",
     "destinations": """SELECT url, key, CAST(rank AS INTEGER) AS rank, CAST(row_number() OVER (ORDER BY rank, url, key) AS INTEGER) AS pos FROM (SELECT DISTINCT 'u' || n_regionkey AS url, 'k' || (n_nationkey % 2) AS key, CASE WHEN n_regionkey = 3 AND n_nationkey % 2 = 1 THEN 0 ELSE 1 END AS rank FROM nation WHERE n_nationkey % 5 > 0)""",
     "dead_letter": "SELECT CAST(c AS INTEGER) AS http_status, count(*) AS n, CASE WHEN c < 300 THEN 'delivered' WHEN c IN (400, 403, 413) THEN 'dead' ELSE 'retry' END AS fate FROM (SELECT [200, 202, 400, 403, 413, 429, 500][o_orderkey % 7 + 1] AS c FROM orders) GROUP BY c",
 }
