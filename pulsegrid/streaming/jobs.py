@@ -2,36 +2,61 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming.listener import QueryIdleEvent, QueryProgressEvent, QueryStartedEvent, QueryTerminatedEvent
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..functions.columns import canonical_tags, effective_value, finite
 from ..functions.patterns import to_java
-from ..operators.logs import CAP, Rule, apply_rules
+from ..operators.flush import finish
+from ..operators.logs import CAP, Rule, apply_rules, with_defaults
 
 
 #: The state store that ST4 and ST5 need: `spark.sql.streaming.stateStore.providerClass` of the session that starts them.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_metrics(samples: DataFrame, interval: int = 15, watermark: str = "1 minute") -> DataFrame:
+#: Binary logarithm of the registers of a distinct count; its standard error is 1.04 / sqrt(registers), 1.6 %.
+REGISTERS = 12
+
+
+def bucket_value(v: Column, relative_error: float) -> Column:
+    """The value that stands for all in v's bucket. Buckets grow by the factor (1 + e) / (1 - e), so that it is within the relative
+    error e of each of them; 0 stands for itself. Sums over buckets merge, and a range of values has few."""
+    growth = (1 + relative_error) / (1 - relative_error)
+    at = F.ceil(F.log(F.abs(v)) / F.lit(math.log(growth)))
+    return F.when(v == 0, v).otherwise(F.signum(v) * F.pow(F.lit(growth), at) * F.lit(2 / (growth + 1)))
+
+
+def stream_metrics(samples: DataFrame, interval: int = 15, watermark: str = "1 minute", relative_error: float | None = None) -> DataFrame:
     """ST1: the flush of gauges, counters, histograms and sets over event time, in append mode.
 
     A context's samples are pre-summed by value, then by context; late rows beyond the watermark are dropped by Spark
     and counted in the query's progress (ST2). Closed windows only; the last open ones need a closing event (ST3).
+
+    The exact form holds each distinct value and member of a context. With a `relative_error` its state is bounded: medians
+    and 95th percentiles are taken over buckets and are within that error, distinct members are counted by a sketch of
+    2**REGISTERS registers. Counts, averages, maxima, gauges and rates stay exact.
     """
+    sketch = relative_error is not None
     ev = effective_value(F.col("type"), F.col("value"), F.col("sample_rate"))
     p = samples.filter("type <> 'distribution'").withColumn("_e", ev).withColumns({"v": F.col("_e.value"), "w": F.col("_e.weight"), "tag_key": canonical_tags(F.col("tags"))}).filter((F.col("type") == "set") | (finite(F.col("v")) & finite(F.col("w"))))
     keys = ["host", "name", "type", "tag_key"]
-    cell = F.when(F.col("type").isin("histogram", "timing"), F.col("v"))
-    one = p.withWatermark("ts", watermark).groupBy(F.window("ts", f"{max(interval, 1)} seconds").alias("win"), *keys, cell.alias("cell"), F.when(F.col("type") == "set", F.col("member")).alias("item")).agg(
-        F.sum("w").alias("w"), F.sum("v").alias("sum"), F.max(F.struct("ts", "seq", "v")).alias("last"), F.min(F.struct("ts", "seq", "tags")).alias("first"))
-    two = one.groupBy(F.window(F.window_time("win"), f"{max(interval, 1)} seconds").alias("w2"), *keys).agg(F.sum("sum").alias("sum"), F.max("last").alias("last"), F.min("first").alias("first"), F.count("item").alias("members"), F.array_sort(F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("cell", "w")))).alias("cells"))
+    held = bucket_value(F.col("v"), relative_error) if sketch else F.col("v")
+    cell = F.when(F.col("type").isin("histogram", "timing"), held)
+    is_set = F.col("type") == "set"
+    item = F.lit(None).cast("string") if sketch else F.when(is_set, F.col("member"))
+    extra = [F.sum(F.col("v") * F.col("w")).alias("vw"), F.max("v").alias("top"), F.hll_sketch_agg(F.when(is_set, F.col("member")), REGISTERS).alias("hll")] if sketch else []
+    one = p.withWatermark("ts", watermark).groupBy(F.window("ts", f"{max(interval, 1)} seconds").alias("win"), *keys, cell.alias("cell"), item.alias("item")).agg(
+        F.sum("w").alias("w"), F.sum("v").alias("sum"), F.max(F.struct("ts", "seq", "v")).alias("last"), F.min(F.struct("ts", "seq", "tags")).alias("first"), *extra)
+    merged = [F.sum("vw").alias("vw"), F.max("top").alias("top"), F.hll_union_agg("hll").alias("hll")] if sketch else []
+    two = one.groupBy(F.window(F.window_time("win"), f"{max(interval, 1)} seconds").alias("w2"), *keys).agg(F.sum("sum").alias("sum"), F.max("last").alias("last"), F.min("first").alias("first"), F.count("item").alias("members"), F.array_sort(F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("cell", "w")))).alias("cells"), *merged)
     total = F.aggregate("cells", F.lit(0.0), lambda a, x: a + x["w"])
 
     def rank(target):
@@ -39,8 +64,11 @@ def stream_metrics(samples: DataFrame, interval: int = 15, watermark: str = "1 m
         return F.coalesce(seen, F.element_at("cells", -1)["cell"])
 
     item = lambda suffix, kind, v: F.struct(F.lit(suffix).alias("suffix"), F.lit(kind).alias("kind"), v.cast("double").alias("value"))
-    hist = F.array(item(".count", "rate", total / max(interval, 1)), item(".avg", "gauge", F.aggregate("cells", F.lit(0.0), lambda a, x: a + x["cell"] * x["w"]) / total), item(".median", "gauge", rank((total - 1) / 2)), item(".max", "gauge", F.try_element_at("cells", F.lit(-1))["cell"]), item(".95percentile", "gauge", rank((95 * total - 1) / 100)))
-    rows = F.when(F.col("type") == "gauge", F.array(item("", "gauge", F.col("last.v")))).when(F.col("type") == "counter", F.array(item("", "rate", F.col("sum") / max(interval, 1)))).when(F.col("type") == "set", F.array(item("", "gauge", F.col("members")))).otherwise(hist)
+    weighted = F.col("vw") if sketch else F.aggregate("cells", F.lit(0.0), lambda a, x: a + x["cell"] * x["w"])
+    top = F.col("top") if sketch else F.try_element_at("cells", F.lit(-1))["cell"]
+    members = F.hll_sketch_estimate("hll") if sketch else F.col("members")
+    hist = F.array(item(".count", "rate", total / max(interval, 1)), item(".avg", "gauge", weighted / total), item(".median", "gauge", rank((total - 1) / 2)), item(".max", "gauge", top), item(".95percentile", "gauge", rank((95 * total - 1) / 100)))
+    rows = F.when(F.col("type") == "gauge", F.array(item("", "gauge", F.col("last.v")))).when(F.col("type") == "counter", F.array(item("", "rate", F.col("sum") / max(interval, 1)))).when(F.col("type") == "set", F.array(item("", "gauge", members))).otherwise(hist)
     return two.select("host", F.unix_timestamp("w2.end").alias("window_end"), "name", F.col("first.tags").alias("tags"), F.inline(rows)).select("host", "window_end", F.concat("name", "suffix").alias("metric"), F.col("kind").alias("type"), "tags", "value")
 
 
@@ -190,14 +218,60 @@ def stream_proc_rates(procs: DataFrame, ts: str = "snap_ts", slack_ms: int = 200
     return made.withColumn("total_pct", F.col("user_pct") + F.col("system_pct")).withColumn(ts, F.timestamp_micros("us")).drop("us")
 
 
-def stream_logs(lines: DataFrame, rules: Sequence[Rule], service: str = "", source: str = "", timeout_ms: int = 1000) -> DataFrame:
-    """ST6: L2 on a line stream: the last multi_line rule assembles, the others apply in order. The query's checkpoint is the
-    registry of read positions."""
+def stream_series(samples: DataFrame, interval: int = 15, watermark: str = "1 minute", host: str = "", global_tags: Sequence[str] = (), relative_error: float | None = None) -> DataFrame:
+    """ST1 with F5-F7: the flush on a stream as series rows, with default fields, global tags and devices."""
+    return finish(stream_metrics(samples, interval, watermark, relative_error), interval, host, global_tags)
+
+
+def stream_logs(lines: DataFrame, rules: Sequence[Rule], service: str = "", source: str = "", timeout_ms: int = 1000, host: str = "", tags: Sequence[str] = (), global_tags: Sequence[str] = ()) -> DataFrame:
+    """ST6: L2 on a line stream: the last multi_line rule assembles, the others apply in order; host, tags and global tags as
+    F5 and F6 have them. The query's checkpoint is the registry of read positions; sinks.deliver_once keeps one of what was
+    delivered."""
     multi = [r for r in rules if r.type == "multi_line" and to_java(r.pattern)]
     rows = stream_multiline(lines, multi[-1].pattern, timeout_ms) if multi else lines.select("source_id", "offset", "ts", F.col("line").alias("message"))
     kept = apply_rules(rows, [r for r in rules if r.type != "multi_line"])
-    return kept.select("message", F.lit("info").alias("status"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), F.lit(service).alias("service"), F.lit(source).alias("ddsource"), "source_id", "offset")
+    rows = kept.select("message", F.lit("info").alias("status"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), F.lit("").alias("hostname"), F.lit(service).alias("service"), F.lit(source).alias("ddsource"), F.lit(",".join(tags)).alias("ddtags"), "source_id", "offset")
+    return with_defaults(rows, host, global_tags)
+
+
+class BatchCounts(StreamingQueryListener):
+    """ST2, ST7: a row for each batch of the streams of a session: what came in, what was too late for a watermark, and what
+    `counted` observed. Add it with `spark.streams.addListener`."""
+
+    def __init__(self) -> None:
+        self.rows: dict[tuple[str, int], tuple[int, int, dict[str, int]]] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event: QueryStartedEvent) -> None:
+        pass
 
+    def onQueryProgress(self, event: QueryProgressEvent) -> None:
+        p = event.progress
+        seen = {f"{name}.{k}": int(v or 0) for name, row in p.observedMetrics.items() for k, v in row.asDict().items()}
+        self.rows[str(p.runId), p.batchId] = (p.numInputRows, sum(s.numRowsDroppedByWatermark for s in p.stateOperators), seen)
+
+    def onQueryIdle(self, event: QueryIdleEvent) -> None:
+        pass
+
+    def onQueryTerminated(self, event: QueryTerminatedEvent) -> None:
+        self.ended.add(str(event.runId))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """`(run, batch_id, input_rows, late_rows, counts)`. Late rows are counted behind a partial aggregation, where a batch's late
+        samples of one context and window are one."""
+        rows = [(run, batch, *values) for (run, batch), values in sorted(self.rows.items())]
+        return spark.createDataFrame(rows, "run string, batch_id long, input_rows long, late_rows long, counts map<string,long>")
+
+
+def counted(df: DataFrame, name: str, **conditions: Column) -> DataFrame:
+    """`df`, of which each batch tells its rows and those that meet each condition."""
+    return df.observe(name, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(k) for k, c in conditions.items()])
+
+
+def deliver(stream: DataFrame, folder: str, send: Callable[[DataFrame, int], None]) -> None:
+    """ST6: give all that a stream has now to `send`, batch by batch, with the checkpoint in `folder`. A failure of `send` ends it;
+    the next call goes on with the batch that failed, which has the same number and the same rows."""
+    run_all(stream, folder, lambda writer: writer.foreachBatch(send))
 
 def drain(stream: DataFrame, folder: str) -> DataFrame:
     """ST3: run a stream over all that is there now, with its checkpoint in `folder`, and return what it has written.
@@ -205,15 +279,22 @@ def drain(stream: DataFrame, folder: str) -> DataFrame:
     Batches without data, which a state with a clock asks for without end, are switched off for it; windows that only a
     later sample closes stay open. State is kept where timers and expiry are possible.
     """
+    run_all(stream, folder)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def run_all(stream: DataFrame, folder: str, sink: Callable[[DataStreamWriter], DataStreamWriter] | None = None) -> StreamingQuery:
+    """Run a stream over all that is there now, into `sink`, by default Parquet in `folder`, and return the ended query."""
+    sink = sink or (lambda writer: writer.format("parquet").option("path", f"{folder}/out"))
     conf = stream.sparkSession.conf
     wanted = {"spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.streaming.stateStore.providerClass": STATE_STORE}
     was = {k: conf.get(k) for k in wanted}
     for k, v in wanted.items():
         conf.set(k, v)
     try:
-        query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        query = sink(stream.writeStream).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     finally:
         for k, v in was.items():
             conf.set(k, v)
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+    return query

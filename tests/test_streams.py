@@ -75,3 +75,33 @@ def test_counter_rates_of_a_snapshot_in_parts(spark, tmp_path):
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
         out = jobs.drain(jobs.stream_counter_rate(stream, "dev", "ts", ["n"], policy), f"{tmp_path}/{policy}")
         assert {(r.dev, (r.ts - ZERO).seconds, r.rate) for r in out.collect()} == want
+
+
+def test_bounded_state_keeps_its_error_bounds(spark, tmp_path):
+    """One hot context with 40,000 distinct values and members: quantiles within 1 %, members within five standard errors, few state rows."""
+    from pyspark.sql import functions as F
+
+    from pulsegrid.operators import flush
+
+    n = 40_000
+    base = spark.range(n).selectExpr("'h' AS host", "timestamp_seconds(1704067200 + id % 15) AS ts", "id AS seq", "array('env:x') AS tags", "cast(1.0 / (1 + id % 3) AS double) AS sample_rate")
+    v = F.pow(F.lit(1.0003), "seq") * F.when(F.col("seq") % 2 == 0, -1.0).otherwise(1.0)
+    s = base.select("host", "ts", "seq", F.lit("lat").alias("name"), F.lit("histogram").alias("type"), v.alias("value"), F.lit(None).cast("string").alias("member"), "tags", "sample_rate")
+    s = s.unionByName(s.withColumns({"name": F.lit("users"), "type": F.lit("set"), "member": F.concat(F.lit("u"), F.col("seq") % 30_000)}))
+    end = s.limit(1).withColumns({"ts": F.to_timestamp(F.lit("2100-01-01")), "name": F.lit("end"), "type": F.lit("gauge")})
+    s.coalesce(1).write.parquet(f"{tmp_path}/in")
+    end.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    time.sleep(1)
+    end.withColumn("ts", F.to_timestamp(F.lit("2100-02-01"))).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = jobs.run_all(jobs.stream_series(stream, 15, "0 seconds", "h", ["team:x"], relative_error=0.01), str(tmp_path))
+    rows = max(p["stateOperators"][k]["numRowsTotal"] for p in query.recentProgress for k in range(len(p["stateOperators"])))
+    assert rows < 3_000  # the exact form holds 70,000
+    got = {r.metric: r for r in spark.read.parquet(f"{tmp_path}/out").filter("metric <> 'end'").collect()}
+    exact = {r.metric: r.value for r in flush.flush_metrics(s, 15).collect()}
+    assert got.keys() == exact.keys() and got["lat.avg"].tags == ["env:x", "team:x"] and got["users"].interval == 15
+    for k in ("lat.median", "lat.95percentile"):
+        assert abs(got[k].value - exact[k]) <= 0.01 * abs(exact[k])
+    for k in ("lat.count", "lat.avg", "lat.max"):
+        assert abs(got[k].value - exact[k]) <= 1e-9 * (1 + abs(exact[k]))
+    assert abs(got["users"].value - 30_000) <= 30_000 * 5 * 1.04 / 2**6
