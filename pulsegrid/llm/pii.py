@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -22,6 +23,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _HEX = re.compile(r"[0-9a-f]{32,64}")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+#: Of so many secrets one is no seed, but left to the contexts to find, by the checksum of its text.
+HELD_OUT = 10
 _EDGE = ".,;:!?()[]{}<>\"'"
 
 
@@ -143,7 +146,7 @@ def _found(df: DataFrame, doc_id: str, text: str) -> DataFrame:
                 counts.append([sum(k == i for _, k, _ in spans) for i in range(len(KINDS))])
                 base.append(as_text(spans))
                 sha.append(hashlib.sha256(as_text([x for x in spans if x[1] < 4]).encode()).hexdigest())
-                both = [(s, e, k) for s, k, e in spans] + [(s, e, -1) for s, e in candidates(text, spans)]
+                both = [(s, e, -2 if k == 4 and zlib.crc32(text[s:e].encode()) % HELD_OUT == 0 else k) for s, k, e in spans] + [(s, e, -1) for s, e in candidates(text, spans)]
                 around = Context(text) if both else None
                 spots.append([{"start": s, "end": e, "kind": k, "instance": text[s:e].lower(), "patterns": around.patterns(s, e)} for s, e, k in both])
             numbers = [pa.array(c, pa.int64()) for c in zip(*counts)] if counts else [pa.array([], pa.int64())] * len(KINDS)
@@ -153,7 +156,7 @@ def _found(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def extract(df: DataFrame, rounds: int = 3, min_seeds: int = 3, min_confidence: float = 0.75, min_score: float = 0.75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Personal data of every text: doc_id, n_email, n_ip, n_card, n_phone, n_secret, base_sha256, spans, n_found, n_spans.
+    """Personal data of every text: doc_id, n_email, n_ip, n_card, n_phone, n_secret, base_sha256, spans, n_found, n_spans, n_held_out, n_confirmed.
 
     The fixed patterns' matches are kept as they are and seed the method, as do secrets (words of 32, 40 or 64
     hexadecimal digits), which are spans too but not part of base_sha256. Their contexts are lexical patterns; in
@@ -162,6 +165,9 @@ def extract(df: DataFrame, rounds: int = 3, min_seeds: int = 3, min_confidence:
     over its patterns of at least `min_confidence`; instances of at least `min_score` become known. The tokens of
     known instances are added to `spans` under the kind of their best score (n_found counts them, n_spans all).
 
+    One secret in HELD_OUT is no seed, nor an instance by which patterns are scored. It stays a span, as its shape is enough for that; n_held_out counts these, and
+    n_confirmed those that the contexts find by themselves, so that every run tells the method's recall on its own data.
+
     Positions are code points, ends exclusive. Null text is empty; repeated rows give equal rows, and copies of a
     passage are one instance; ties between kinds go to the first listed. Null doc_ids are carried, other columns are
     not read. An empty table gives an empty table. Patterns and instances stay distributed tables throughout.
@@ -170,10 +176,10 @@ def extract(df: DataFrame, rounds: int = 3, min_seeds: int = 3, min_confidence:
     spots = rows.select("row", F.explode("spots").alias("x")).select("row", "x.*")
     edges = cut(spots.select("instance", "kind", F.explode("patterns").alias("pattern")).distinct())
     known = edges.filter("kind >= 0").select("instance", "kind").distinct()
-    size = edges.groupBy("pattern").agg(F.countDistinct("instance").alias("instances"))
+    size = edges.filter("kind <> -2").groupBy("pattern").agg(F.countDistinct("instance").alias("instances"))
     unknown = edges.filter("kind < 0").select("instance", "pattern")
     won = None
-    pairs = edges.select("instance", "pattern").distinct()
+    pairs = edges.filter("kind <> -2").select("instance", "pattern").distinct()
     for _ in range(rounds):
         scored = (
             join_per_key(pairs, known, "instance", F.col("pattern")).groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= min_seeds)
@@ -184,18 +190,18 @@ def extract(df: DataFrame, rounds: int = 3, min_seeds: int = 3, min_confidence:
         won = cut(best.select("instance", (-F.col("b.k")).cast("int").alias("kind")))
         known = edges.filter("kind >= 0").select("instance", "kind").distinct().unionByName(won)
     names = F.array(*map(F.lit, KINDS))
-    added = (
-        join_per_key(spots.filter("kind < 0").select("row", "start", "end", "instance"), won, "instance", F.col("row"))
-        .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("added"))
-    )
+    met = join_per_key(spots.filter("kind < 0").select("row", "start", "end", "instance", F.col("kind").alias("was")), won, "instance", F.col("row"))
+    beyond = F.sort_array(F.collect_list(F.when(F.col("was") == -1, F.struct("start", "kind", "end"))))
+    added = met.groupBy("row").agg(F.nullif(beyond, F.array().cast("array<struct<start: bigint, kind: int, end: bigint>>")).alias("added"), F.count_if((F.col("was") == -2) & (F.col("kind") == 4)).alias("confirmed"))
 
     def item(x):
-        return F.struct(x["start"].alias("start"), x["kind"].cast("int").alias("kind"), x["end"].alias("end"))
+        return F.struct(x["start"].alias("start"), F.when(x["kind"] == -2, 4).otherwise(x["kind"]).cast("int").alias("kind"), x["end"].alias("end"))
 
-    both = F.sort_array(F.concat(F.transform(F.filter("spots", lambda x: x["kind"] >= 0), item), F.transform("added", item)))
+    both = F.sort_array(F.concat(F.transform(F.filter("spots", lambda x: x["kind"] != -1), item), F.transform("added", item)))
     joined = F.array_join(F.transform(both, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
     return rows.join(added, "row", "left").select(
         "doc_id", *(f"n_{k}" for k in KINDS), "base_sha256",
         F.when(F.col("added").isNull(), F.col("base")).otherwise(joined).alias("spans"), F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_found"),
         (sum(F.col(f"n_{k}") for k in KINDS) + F.coalesce(F.size("added"), F.lit(0))).cast("long").alias("n_spans"),
+        F.size(F.filter("spots", lambda x: x["kind"] == -2)).cast("long").alias("n_held_out"), F.coalesce("confirmed", F.lit(0)).alias("n_confirmed"),
     )

@@ -75,3 +75,12 @@ def test_ids_of_any_type_keep_their_order(spark, monkeypatch, kind, ids):
     value = {r.text: r.doc_id for r in out}
     falls = sum((value[a] is None and value[b] is not None) or (value[a] is not None and value[b] is not None and value[a] < value[b]) for a, b in zip(seen, seen[1:] + seen[:1]))
     assert falls == 1
+
+
+def test_contexts_find_the_secrets_that_are_no_seeds(spark):
+    """On a given table: the pattern in front of the seeds finds at least nine of ten of the secrets that are held out."""
+    from pulsegrid.llm.queries import QUERIES
+
+    got = QUERIES["op5_pii"](spark, "/root/testdata/sf0.1").agg(F.sum("n_secret"), F.sum("n_held_out"), F.sum("n_confirmed")).first()
+    print(got)
+    assert got[1] >= 10 and got[2] >= 0.9 * got[1] and got[0] > 5 * got[1]
