@@ -210,4 +210,35 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(20 + length(role) + length(esc)) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op11_periodic_runs": r"""
+        WITH t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+        d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, hex(encode(doc_id::VARCHAR)) AS hx FROM documents),
+        h AS (SELECT r, doc_id, ws, len(ws) AS n, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(hx) // 2), lambda i: ('0x' || substr(hx, 2 * i + 1, 2))::BIGINT)), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) AS h FROM d, t),
+        a AS (SELECT *, h // 10 AS g, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM h),
+        p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+        e AS (SELECT r, doc_id, n, list_transform(range(n), lambda i: ws[CASE WHEN a IS NULL OR i < a THEN i ELSE a + (i - a) % p END + 1]) AS ws FROM p),
+        g AS (SELECT r, n, unnest(range(n - 4)) AS i, unnest(list_transform(range(n - 4), lambda i: array_to_string(ws[i + 1 : i + 5], ' '))) AS gram FROM e WHERE n >= 6),
+        m AS (SELECT x.r, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.r = y.r AND x.gram = y.gram AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+        s AS (SELECT r, q, min(i) AS start, count(*) + 4 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM m) GROUP BY r, q, island HAVING count(*) + 4 + q >= greatest(6, 4 * q)),
+        u AS (SELECT r, start, length, min(q) AS period FROM s GROUP BY ALL),
+        l AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs, arg_max({'s': start, 'l': length, 'p': period}, {'l': length, 's': -start, 'p': -period}) AS best FROM u GROUP BY r),
+        w AS (SELECT r, unnest(range(n)) AS i, unnest(ws) AS word FROM e),
+        gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM u),
+        k AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM w ANTI JOIN gone USING (r, i) GROUP BY r)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_words, coalesce(n_runs, 0) AS n_runs, CAST(best.s AS BIGINT) AS start, CAST(best.l AS BIGINT) AS length, CAST(best.p AS BIGINT) AS period, CAST(1000 * best.l // best.p AS BIGINT) AS exponent_milli,
+               sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM e LEFT JOIN l USING (r) LEFT JOIN k USING (r)""",
+    "op12_spelling_variants": """
+        WITH RECURSIVE t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+        w AS (SELECT doc_id, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS x FROM documents) WHERE length(x) >= 6 GROUP BY ALL),
+        b AS (SELECT *, hex(encode(doc_id || ':' || w)) AS hx FROM w),
+        h AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(hx) // 2), lambda i: ('0x' || substr(hx, 2 * i + 1, 2))::BIGINT)), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) AS h FROM b, t),
+        m AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
+        v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM m WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+        d AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM v, range(1, (SELECT max(length(word)) + 1 FROM v)) r(i) WHERE i <= length(word)),
+        p AS (SELECT a.word, b.word AS near FROM d a JOIN d b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+          UNION SELECT d.word, v.word FROM d JOIN v ON d.less = v.word UNION SELECT v.word, d.word FROM d JOIN v ON d.less = v.word),
+        g AS (SELECT p.word, count(*) AS n_near, arg_min(near, {'n': -v.n, 'w': near}) AS near, max(v.n) AS near_n FROM p JOIN v ON v.word = p.near GROUP BY p.word),
+        f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * v.n THEN near END AS form, CASE WHEN near_n >= 5 * v.n THEN near_n END AS form_n FROM v LEFT JOIN g USING (word)),
+        r AS (SELECT word, word AS root, form AS onward FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON f.word = r.onward)
+        SELECT word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, root FROM r WHERE onward IS NULL) USING (word)""",
 }
