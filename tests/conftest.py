@@ -33,10 +33,12 @@ def same_rows(df, sql, sf_dir):
     """Does the result equal that of the SQL, whatever the order of rows?"""
     from collections import Counter
 
+    import pandas as pd
+
     got, want = df.toPandas(), duck(sf_dir).sql(sql).df()
     assert sorted(got.columns) == sorted(want.columns)
 
     def rows(x):
-        return Counter(tuple(None if v is None or v != v else v for v in r) for r in x[sorted(x.columns)].astype(object).itertuples(index=False))
+        return Counter(tuple(None if v is None or v is pd.NA or v != v else v for v in r) for r in x[sorted(x.columns)].astype(object).itertuples(index=False))
 
     assert rows(got) == rows(want)
