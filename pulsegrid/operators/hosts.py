@@ -147,10 +147,11 @@ def threads_per_pid(lines: DataFrame) -> DataFrame:
 
 
 def cpu_topology(rows: DataFrame) -> DataFrame:
-    """Cores (distinct physical and core ids, else processors), processors, first known vendor, model, family and MHz."""
+    """Cores (distinct physical and core ids, else processors), processors, first known vendor, model, family and MHz. Of
+    rows with the same `pos` the one that is read first is the first."""
     known = F.when(F.col("core_id").isNotNull(), F.struct("physical_id", "core_id"))
-    first = lambda c, ok: F.min_by(c, F.when(ok, F.col("pos")))
-    out = rows.groupBy("host").agg(F.count_distinct(known).alias("c"), F.count("*").alias("logical"), *[first(c, F.col(c) != "").alias(c) for c in ("vendor", "model", "family")], first("mhz", F.col("mhz") > 0).alias("mhz"))
+    first = lambda c, ok: F.min_by(c, F.when(ok, F.struct("pos", "_read")))
+    out = rows.withColumn("_read", F.monotonically_increasing_id()).groupBy("host").agg(F.count_distinct(known).alias("c"), F.count("*").alias("logical"), *[first(c, F.col(c) != "").alias(c) for c in ("vendor", "model", "family")], first("mhz", F.col("mhz") > 0).alias("mhz"))
     return out.withColumn("cores", F.when(F.col("c") > 0, F.col("c")).otherwise(F.col("logical"))).drop("c")
 
 
