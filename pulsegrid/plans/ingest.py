@@ -34,10 +34,11 @@ def log_lines_open(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts cut to pieces: they join to the text, none is too long, and there are as many as the cuts."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("line"))
-    pieces = files.cap_lines(d, CAP).groupBy("doc_id", "text").agg(F.array_sort(F.collect_list(F.struct("piece", "line"))).alias("ps"), F.max(F.octet_length("line")).alias("longest"), F.count("*").alias("n"))
-    return pieces.select("doc_id", (F.array_join(F.transform("ps", lambda p: p["line"]), "") == F.col("text")).alias("whole"), (F.col("longest") <= CAP).alias("fits"), "n")
+    """Whole texts cut to pieces: they join to the text, by its digest, none is too long, and there are as many as the cuts. The
+    text itself does not travel with its pieces."""
+    d = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.sha2("text", 256).alias("digest"), F.col("text").alias("line"))
+    pieces = files.cap_lines(d, CAP).groupBy("doc_id", "digest").agg(F.array_sort(F.collect_list(F.struct("piece", "line"))).alias("ps"), F.max(F.octet_length("line")).alias("longest"), F.count("*").alias("n"))
+    return pieces.select("doc_id", (F.sha2(F.array_join(F.transform("ps", lambda p: p["line"]), ""), 256) == F.col("digest")).alias("whole"), (F.col("longest") <= CAP).alias("fits"), "n")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,15 +39,17 @@ def cap_lines(df: DataFrame, cap: int = 262_144, col: str = "line") -> DataFrame
     Cuts are three bytes closer than `cap` and move back to where a character begins, so that every piece is text of its
     own and none depends on another.
     """
-    raw, step = F.encode(F.col(col), "UTF-8"), cap - 3
+    step = cap - 3
     begins = F.sequence(F.lit(0), F.greatest((F.octet_length(col) - 1), F.lit(0)), F.lit(step))
+    bound = lambda value, use: F.flatten(F.transform(F.array(value), use))  # noqa: E731 - `value` is worked out once
 
-    def back(at: Column) -> Column:
+    def back(raw: Column, at: Column) -> Column:
         inner = lambda x: F.conv(F.hex(F.substring(raw, x + 1, F.lit(1))), 16, 10).cast("int").between(0x80, 0xBF)
         return F.when(~inner(at), at).when(~inner(at - 1), at - 1).when(~inner(at - 2), at - 2).otherwise(at - 3)
 
-    cuts = F.transform(begins, lambda at: F.when(at == 0, at).otherwise(back(at)))
-    pieces = F.transform(cuts, lambda at, k: F.substring(raw, at + 1, F.coalesce(F.get(cuts, k + 1), F.octet_length(col)) - at).cast("string"))
+    cuts = lambda raw: F.transform(begins, lambda at: F.when(at == 0, at).otherwise(back(raw, at)))
+    piece = lambda raw, cuts: F.transform(cuts, lambda at, k: F.substring(raw, at + 1, F.coalesce(F.get(cuts, k + 1), F.octet_length(raw)) - at).cast("string"))
+    pieces = bound(F.encode(F.col(col), "UTF-8"), lambda raw: bound(cuts(raw), lambda c: piece(raw, c)))
     rest = [c for c in df.columns if c != col]
     return df.select(*rest, F.posexplode(F.when(F.octet_length(col) > cap, pieces).otherwise(F.array(col))).alias("piece", col))
 

@@ -1,6 +1,8 @@
 """Results that must not depend on a table's size or on how it is dealt."""
 
+
 from pulsegrid.operators import hosts
+from pulsegrid.plans import ingest
 
 
 def test_cpu_topology_takes_the_first_of_equal_places(spark):
@@ -8,3 +10,15 @@ def test_cpu_topology_takes_the_first_of_equal_places(spark):
     rows = [("h", 5, None, None, "v0", "m0", "f0", 9.0), ("h", 1, None, None, "v1", "", "f1", 0.0), ("h", 1, None, None, "v2", "m2", "f2", 2.0), ("h", 1, None, None, "v3", "m3", "f3", 3.0)]
     got = hosts.cpu_topology(spark.createDataFrame(rows, schema).coalesce(1)).first()
     assert (got.vendor, got.model, got.family, got.mhz, got.logical, got.cores) == ("v1", "m2", "f1", 2.0, 4, 4)
+
+
+def test_the_whole_text_does_not_travel_with_each_piece(spark, tmp_path):
+    """A text of 200 pieces: what is shuffled is about the text, not 200 times it."""
+    text = "".join(f"é{i * i} " for i in range(14_000))
+    spark.createDataFrame([(i, text + str(i)) for i in range(20)] + [(20, "short"), (21, None)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    out = ingest.capped_lines(spark, str(tmp_path))
+    rows = {r.doc_id: r for r in out.collect()}
+    assert rows.keys() == set(range(21)) and all(r.whole and r.fits for r in rows.values()) and rows[20].n == 1 and rows[0].n > 200
+    scan = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    exploded = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in x]
+    assert exploded and all("text#" not in x.split("], ")[-1] for x in exploded) and scan.count() == 22
