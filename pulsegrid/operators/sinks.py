@@ -158,7 +158,7 @@ def deliver_once(ledger: str, send: Callable[[DataFrame, int], None]) -> Callabl
         note = spark.range(1).select(F.lit(batch_id).cast("long").alias("batch_id"))
         if {"source_id", "offset"} <= set(batch.columns):
             far = batch.groupBy(F.col("source_id").cast("string").alias("source_id")).agg(F.max("offset").cast("long").alias("offset"))
-            note = note.join(far, F.lit(True), "left")
+            note = note.unionByName(far.withColumn("batch_id", F.lit(batch_id).cast("long")), allowMissingColumns=True)
         note.write.mode("overwrite").json(f"{ledger}/batch={batch_id}")
 
     return deliver

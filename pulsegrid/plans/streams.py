@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
@@ -23,14 +23,24 @@ from .recipes import COUNTERS, PROCS, SAMPLES, in_spark, scratch, table
 DAY, HELD = 86400, 3
 
 
-def _as_stream(df: DataFrame, folder: str, *order: str, last: Sequence[DataFrame] = ()) -> DataFrame:
-    """Write a table as files, one for each range of `order`, one after the other, then those of `last`, and read them as a
-    stream, a file a batch."""
-    df.repartitionByRange(HELD, *order).withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(f"{folder}/parts")
-    parts = df.sparkSession.read.parquet(f"{folder}/parts")
-    for part in (*(parts.filter(F.col("part") == k).drop("part") for k in range(HELD)), *last):
-        part.select(df.columns).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+def _as_stream(df: DataFrame, folder: str, *order: str, last: Sequence[DataFrame] = ()) -> Iterator[DataFrame]:
+    """Write a table as files, HELD ranges of `order`, one after the other, then those of `last`, and give a stream of them after
+    each: what is run on it then takes one range as a batch. Each range is written by many tasks."""
+    spark = df.sparkSession
+    each = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // HELD)
+    part = F.least(F.floor(F.spark_partition_id() / each), F.lit(HELD - 1))
+    df.repartitionByRange(HELD * each, *order).withColumn("part", part).write.partitionBy("part").parquet(f"{folder}/parts")
+    parts = spark.read.schema(df.withColumn("part", F.lit(0)).schema).parquet(f"{folder}/parts")
+    for rows in (*(parts.filter(F.col("part") == k).drop("part") for k in range(HELD)), *last):
+        rows.select(df.columns).write.mode("append").parquet(f"{folder}/in")
+        yield spark.readStream.schema(df.schema).parquet(f"{folder}/in")
+
+
+def _drained(job: Callable[[DataFrame], DataFrame], df: DataFrame, folder: str, *order: str, last: Sequence[DataFrame] = ()) -> DataFrame:
+    """What `job` writes for the ranges of `df`, run on one after the other with one checkpoint."""
+    for stream in _as_stream(df, folder, *order, last=last):
+        made = jobs.drain(job(stream), folder)
+    return made
 
 
 def stream_metrics_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +48,7 @@ def stream_metrics_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark)
     s = in_spark(spark, sf_dir, SAMPLES)
     late = lambda days: s.filter("seq = 1").limit(1).withColumns({"ts": F.to_timestamp(F.lit(f"2100-01-{days}")), "name": F.lit("end"), "type": F.lit("gauge")})
-    rows = jobs.drain(jobs.stream_metrics(_as_stream(s, out, "ts", last=[late(10), late(20), late(30)]), DAY, "0 seconds"), out).filter("metric <> 'end'")
+    rows = _drained(lambda x: jobs.stream_metrics(x, DAY, "0 seconds"), s, out, "ts", "seq", last=[late(10), late(20), late(30)]).filter("metric <> 'end'")
     return rows.select("host", F.col("window_end").alias("ts"), "metric", "type", F.round("value", 9).alias("value"), F.array_join(F.array_sort("tags"), ",").alias("tags"))
 
 
@@ -50,7 +60,7 @@ def _closing(s: DataFrame) -> list[DataFrame]:
 def stream_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flush on a stream with global tags, intervals and devices."""
     out, s = scratch(spark), in_spark(spark, sf_dir, SAMPLES)
-    rows = jobs.drain(jobs.stream_series(_as_stream(s, out, "ts", last=_closing(s)), DAY, "0 seconds", global_tags=["team:x"]), out).filter("metric <> 'end'")
+    rows = _drained(lambda x: jobs.stream_series(x, DAY, "0 seconds", global_tags=["team:x"]), s, out, "ts", "seq", last=_closing(s)).filter("metric <> 'end'")
     return rows.select("metric", "type", "interval", F.array_join("tags", ",").alias("tags"), "host", "device", "ts", F.round("value", 9).alias("value"))
 
 
@@ -59,7 +69,7 @@ def stream_metrics_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     all others equal?"""
     out, s = scratch(spark), in_spark(spark, sf_dir, SAMPLES)
     s = s.withColumn("name", F.when(F.col("type") == "set", F.concat("name", F.lit("_members"))).otherwise(F.col("name")))
-    near = jobs.drain(jobs.stream_series(_as_stream(s, out, "ts", last=_closing(s)), DAY, "0 seconds", relative_error=0.01), out).filter("metric <> 'end'")
+    near = _drained(lambda x: jobs.stream_series(x, DAY, "0 seconds", relative_error=0.01), s, out, "ts", "seq", last=_closing(s)).filter("metric <> 'end'")
     keys = ["host", "ts", "metric", "type", "device"]
     exact = flush.flush_metrics(s, DAY).select(*keys, F.col("value").alias("exact"))
     off = F.abs(F.col("value") - F.col("exact"))
@@ -76,17 +86,19 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = rows.limit(1).withColumns({"ts": F.to_timestamp(F.lit("2100-01-10")), "line": F.lit("end:1|g")})
     late = table(spark, sf_dir, "nation").select(F.lit("h0").alias("host"), F.to_timestamp(F.lit("1999-01-01")).alias("ts"), F.col("n_nationkey").cast("long").alias("seq"), F.concat(F.lit("late"), "n_nationkey", F.lit(":1|c")).alias("line"))
     kinds = {kind: (F.col("kind") == kind) & F.col("malformed") for kind in ("metric", "check", "event")}
-    lines = jobs.counted(statsd.quarantine(_as_stream(rows, out, "ts", last=[end, late])), "lines", **kinds).filter("not malformed and kind = 'metric'").drop("kind", "malformed")
     counts = jobs.BatchCounts()
     spark.streams.addListener(counts)
     try:
-        query = jobs.run_all(jobs.stream_metrics(statsd.parse_samples(lines), DAY, "0 seconds"), out)
+        runs = []
+        for stream in _as_stream(rows, out, "ts", "seq", last=[end, late]):
+            lines = jobs.counted(statsd.quarantine(stream), "lines", **kinds).filter("not malformed and kind = 'metric'").drop("kind", "malformed")
+            runs.append(str(jobs.run_all(jobs.stream_metrics(statsd.parse_samples(lines), DAY, "0 seconds"), out).runId))
         until = time.time() + 60
-        while str(query.runId) not in counts.ended and time.time() < until:
+        while not counts.ended.issuperset(runs) and time.time() < until:
             time.sleep(0.1)
     finally:
         spark.streams.removeListener(counts)
-    got = counts.table(spark).filter(F.col("run") == str(query.runId))
+    got = counts.table(spark).filter(F.col("run").isin(runs))
     of = lambda name: F.sum(F.coalesce(F.try_element_at("counts", F.lit(f"lines.{name}")), F.lit(0))).alias(name)
     return got.agg(F.sum("input_rows").alias("input_rows"), F.sum("late_rows").alias("late_rows"), of("rows"), of("metric"), of("check"), of("event"))
 
@@ -96,7 +108,6 @@ def stream_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     one: none is lost or doubled, and the ledger has the furthest place of each source."""
     out = scratch(spark)
     rules = [Rule("mask_sequences", MAIL, "[mail]"), Rule("exclude_at_match", "^[A-C]")]
-    stream = jobs.stream_logs(_as_stream(_lines(spark, sf_dir), out, "offset"), rules, "web", "app", host="h1", tags=["env:prod"], global_tags=["team:x"])
     faults = {(0, "sent"), (1, "noted")}
     replace = sinks.replace_batch(f"{out}/sent")
 
@@ -115,12 +126,14 @@ def stream_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
         once(batch, batch_id)
         stop(batch_id, "noted")
 
-    for _ in range(3):
-        try:
-            jobs.deliver(stream, out, whole)
-            break
-        except StreamingQueryException:
-            continue
+    for stream in _as_stream(_lines(spark, sf_dir), out, "offset", "source_id"):
+        logs = jobs.stream_logs(stream, rules, "web", "app", host="h1", tags=["env:prod"], global_tags=["team:x"])
+        for _ in range(3):
+            try:
+                jobs.deliver(logs, out, whole)
+                break
+            except StreamingQueryException:
+                continue
     far = sinks.registry_of(spark, f"{out}/ledger").select(F.col("source_id").cast("long").alias("source_id"), F.col("offset").alias("far"))
     rows = spark.read.parquet(f"{out}/sent").select("source_id", "offset", "message", "status", "hostname", "service", "ddsource", "ddtags")
     return rows.join(far, "source_id", "left")
@@ -136,7 +149,7 @@ def stream_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark)
     lines = _lines(spark, sf_dir)
     ends = lines.groupBy("source_id").agg(F.lit(10**9).cast("long").alias("offset"), F.lit(None).cast("timestamp").alias("ts"), F.lit("A").alias("line"))
-    made = jobs.drain(jobs.stream_multiline(_as_stream(lines.unionByName(ends), out, "offset"), "[A-M]", 3_600_000), out)
+    made = _drained(lambda x: jobs.stream_multiline(x, "[A-M]", 3_600_000), lines.unionByName(ends), out, "offset", "source_id")
     return made.select("source_id", "offset", "message")
 
 
@@ -146,7 +159,7 @@ def stream_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _lines(spark, sf_dir)
     ends = lines.groupBy("source_id").agg(F.lit(10**9).cast("long").alias("offset"), F.lit(None).cast("timestamp").alias("ts"), F.lit("A").alias("line"))
     rules = [Rule("multi_line", "[A-M]"), Rule("mask_sequences", MAIL, "[mail]"), Rule("exclude_at_match", "^[A-C]")]
-    made = jobs.drain(jobs.stream_logs(_as_stream(lines.unionByName(ends), out, "offset"), rules, "web", "app", 3_600_000), out)
+    made = _drained(lambda x: jobs.stream_logs(x, rules, "web", "app", 3_600_000), lines.unionByName(ends), out, "offset", "source_id")
     return made.select("source_id", "offset", "message", "status", "service", "ddsource")
 
 
@@ -154,13 +167,13 @@ def stream_counter_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Disk counters on a stream whose batches end inside a snapshot."""
     out = scratch(spark)
     c = in_spark(spark, sf_dir, COUNTERS).select("host", "device", "ts", "reads", "writes")
-    made = jobs.drain(jobs.stream_counter_rate(_as_stream(c, out, "ts", "device"), "device", "ts", ["reads", "writes"]), out)
+    made = _drained(lambda x: jobs.stream_counter_rate(x, "device", "ts", ["reads", "writes"]), c, out, "ts", "device")
     return made.select("host", "device", F.unix_micros("ts").alias("ts"), "counter", F.round("rate", 9).alias("rate"))
 
 
 def stream_proc_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark)
-    made = jobs.drain(jobs.stream_proc_rates(_as_stream(running_totals(in_spark(spark, sf_dir, PROCS)), out, "snap_ts", "pid")), out)
+    made = _drained(jobs.stream_proc_rates, running_totals(in_spark(spark, sf_dir, PROCS)), out, "snap_ts", "pid")
     return made.select("host", "pid", F.unix_micros("snap_ts").alias("ts"), "pinned", *[F.round(c, 9).alias(c) for c in ("user_pct", "system_pct", "total_pct", "read_count_s", "write_bytes_s")])
 
 

@@ -2,7 +2,7 @@
 
 
 from pulsegrid.operators import hosts
-from pulsegrid.plans import ingest
+from pulsegrid.plans import ingest, streams
 
 
 def test_cpu_topology_takes_the_first_of_equal_places(spark):
@@ -22,3 +22,13 @@ def test_the_whole_text_does_not_travel_with_each_piece(spark, tmp_path):
     scan = spark.read.parquet(f"{tmp_path}/documents.parquet")
     exploded = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in x]
     assert exploded and all("text#" not in x.split("], ")[-1] for x in exploded) and scan.count() == 22
+
+
+def test_a_batch_is_written_by_many_tasks(spark, tmp_path):
+    df = spark.range(30_000).selectExpr("id AS k", "repeat('x', 50) AS t")
+    ends = [0]
+    for stream in streams._as_stream(df, str(tmp_path), "k"):
+        assert stream.isStreaming
+        ends.append(spark.read.parquet(f"{tmp_path}/in").agg({"k": "max"}).first()[0])
+    assert len(list((tmp_path / "parts" / "part=0").glob("*.parquet"))) > 1 and ends == sorted(ends) and ends[-1] == 29_999
+    assert spark.read.parquet(f"{tmp_path}/in").count() == 30_000
