@@ -72,66 +72,82 @@ def stream_metrics(samples: DataFrame, interval: int = 15, watermark: str = "1 m
     return two.select("host", F.unix_timestamp("w2.end").alias("window_end"), "name", F.col("first.tags").alias("tags"), F.inline(rows)).select("host", "window_end", F.concat("name", "suffix").alias("metric"), F.col("kind").alias("type"), "tags", "value")
 
 
+#: Groups that the sources of a stream are dealt into; a group's batch is one call, and its state one list.
+DEALT = 1024
+
+
 class _Messages(StatefulProcessor):
-    """The open lines of a source, as a list, and a timer that closes them."""
+    """The open messages of a group of sources, as a list, and a timer that closes those whose time is up first."""
 
     def __init__(self, place: str, timeout_ms: int, cap: int):
         self.place, self.timeout_ms, self.cap = place, timeout_ms, cap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", f"offset {self.place}, us long, line string")
+        self.open = handle.getListState("open", f"source_id string, offset {self.place}, us long, message string, size long, until long")
+
+    def _keep(self, held: list[tuple]) -> None:
+        if held:
+            self.open.put(held)
+            self.handle.registerTimer(min(x[-1] for x in held))
+        else:
+            self.open.clear()
 
-    def _made(self, source, groups: list[list[tuple]]) -> pd.DataFrame:
-        rows = [(source, g[-1][0], g[-1][1], "\n".join(x[2] or "" for x in g)) for g in groups]
+    def _made(self, rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=["source_id", "offset", "us", "message"]).astype({"us": "Int64"})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows)).sort_values("offset", kind="stable")
-        group, done = [tuple(x) for x in self.open.get()], []
-        size = sum(len((x[2] or "").encode()) + 1 for x in group)
+        until = timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms
+        # of each source: last offset and time, lines, bytes, and until when it waits
+        held = {x[0]: [x[1], x[2], [x[3]], x[4], x[5]] for x in map(tuple, self.open.get())}
+        done = []
         us = [None if x is None or x != x else int(x) for x in new["us"].tolist()]
-        for at, when, line, start in zip(new["offset"].tolist(), us, new["line"].tolist(), new["start"].tolist()):
-            if start and group:
-                done.append(group)
-                group, size = [], 0
-            group.append((int(at), when, line))
-            size += len((line or "").encode()) + 1
-            if size > self.cap:
-                done.append(group)
-                group, size = [], 0
+        for source, at, when, line, size, start in zip(new["source_id"].tolist(), new["offset"].tolist(), us, new["line"].tolist(), new["size"].tolist(), new["start"].tolist()):
+            group = held.get(source)
+            if group and start:
+                done.append((source, group[0], group[1], "\n".join(group[2])))
+                group = None
+            if not group:
+                group = held[source] = [at, when, [], 0, until]
+            group[0], group[1], group[4] = int(at), when, until
+            group[2].append(line)
+            group[3] += size
+            if group[3] > self.cap:
+                done.append((source, group[0], group[1], "\n".join(group[2])))
+                del held[source]
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if group:
-            self.open.put(group)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
-        else:
-            self.open.clear()
+        self._keep([(source, x[0], x[1], "\n".join(x[2]), int(x[3]), x[4]) for source, x in held.items()])
         if done:
-            yield self._made(key[0], done)
+            yield self._made(done)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        group = [tuple(x) for x in self.open.get()]
-        self.open.clear()
-        if group:
-            yield self._made(key[0], [group])
+        held, now = [tuple(x) for x in self.open.get()], timerValues.getCurrentProcessingTimeInMs()
+        self._keep([x for x in held if x[-1] > now])
+        if done := [x[:4] for x in held if x[-1] <= now]:
+            yield self._made(done)
 
     def close(self) -> None:
         pass
 
 
-def stream_multiline(lines: DataFrame, pattern: str, timeout_ms: int = 1000, cap: int = CAP) -> DataFrame:
-    """ST4: multi-line assembly with a state by source: its open lines, gone as soon as their message is.
+def stream_multiline(lines: DataFrame, pattern: str, timeout_ms: int = 1000, cap: int = CAP, dealt: int = DEALT) -> DataFrame:
+    """ST4: multi-line assembly with a state by source: its open message, gone as soon as it is closed.
+
+    A start line, the size cap or an idle time without lines closes a group; the idle time runs on the clock, for each source
+    by itself. Which lines are starts is told in SQL, by the same pattern as in the batch form. Null lines are empty.
 
-    A start line, the size cap or an idle time without lines closes a group; the idle time runs on the clock, as a timer of
-    the source. Which lines are starts is told in SQL, by the same pattern as in the batch form. Null lines are empty.
+    Sources are `dealt` into groups, each of which is called once a batch: a call for each source would cost more than its
+    lines. A stream that is started again must have the same number.
     """
     start = F.coalesce(F.col("line").rlike(r"\A(?:" + (to_java(pattern) or "") + ")"), F.lit(False))
-    marked = lines.select("source_id", "offset", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "line", start.alias("start"))
+    line = F.coalesce("line", F.lit(""))
+    marked = lines.select(F.pmod(F.xxhash64("source_id"), F.lit(dealt)).cast("int").alias("dealt"), F.col("source_id").cast("string").alias("source_id"), "offset", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), line.alias("line"), (F.octet_length(line) + 1).alias("size"), start.alias("start"))
     kinds = {c: lines.schema[c].dataType.simpleString() for c in ("source_id", "offset")}
-    out = f"source_id {kinds['source_id']}, offset {kinds['offset']}, us long, message string"
-    made = marked.groupBy("source_id").transformWithStateInPandas(_Messages(kinds["offset"], timeout_ms, cap), out, "Append", "ProcessingTime")
-    return made.select("source_id", "offset", F.timestamp_micros("us").alias("ts"), "message")
+    out = f"source_id string, offset {kinds['offset']}, us long, message string"
+    made = marked.groupBy("dealt").transformWithStateInPandas(_Messages(kinds["offset"], timeout_ms, cap), out, "Append", "ProcessingTime")
+    return made.select(F.col("source_id").cast(kinds["source_id"]).alias("source_id"), "offset", F.timestamp_micros("us").alias("ts"), "message")
 
 
 #: Milliseconds after which the state of a host without news is dropped.

@@ -3,6 +3,7 @@
 
 from pulsegrid.operators import hosts
 from pulsegrid.plans import ingest, streams
+from pulsegrid.streaming import jobs
 
 
 def test_cpu_topology_takes_the_first_of_equal_places(spark):
@@ -24,6 +25,18 @@ def test_the_whole_text_does_not_travel_with_each_piece(spark, tmp_path):
     assert exploded and all("text#" not in x.split("], ")[-1] for x in exploded) and scan.count() == 22
 
 
+def test_sources_of_a_stream_are_dealt_into_groups(spark, tmp_path):
+    schema = "source_id long, offset long, ts timestamp, line string"
+    for k in range(3):
+        rows = [(s if s else None, 2 * k + j, None, line) for s in range(300) for j, line in enumerate(("A" + "x" * (s % 7), "more"))]
+        spark.createDataFrame(rows, schema).repartition(3).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        query = jobs.run_all(jobs.stream_multiline(stream, "A", 3_600_000, dealt=4), str(tmp_path))
+    got = {(r.source_id, r.offset, r.message) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {(s if s else None, 2 * k + 1, "A" + "x" * (s % 7) + "\nmore") for s in range(300) for k in range(2)}
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] < 30  # not one for each source
+
+
 def test_a_batch_is_written_by_many_tasks(spark, tmp_path):
     df = spark.range(30_000).selectExpr("id AS k", "repeat('x', 50) AS t")
     ends = [0]
