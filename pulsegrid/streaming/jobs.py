@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
@@ -154,31 +156,42 @@ def stream_multiline(lines: DataFrame, pattern: str, timeout_ms: int = 1000, cap
 GONE_MS = 3_600_000
 
 
+#: Parts that the entities of a host are dealt into, each with a state of its own.
+PARTS = 64
+
+
 class _Snapshots(StatefulProcessor):
-    """Rows of the last two snapshots of a host, so that rows of the last one that come in a later batch still find the one
-    before. Entities that are in neither are dropped at once, hosts without news when their rows expire."""
+    """Rows of the last two snapshots of a part of a host, so that rows of the last one that come in a later batch still find the
+    one before. Entities that are in neither are dropped at once, hosts without news when their rows expire. A row with `mark`
+    stands for the time of a snapshot, which may have no other row in this part."""
 
     def __init__(self, cols: Sequence[str], rates: Callable[[pd.DataFrame], pd.DataFrame], gone_ms: int, pin: Callable[[pd.DataFrame], pd.DataFrame] = lambda rows: rows):
         self.cols, self.rates, self.gone_ms, self.pin = list(cols), rates, gone_ms, pin
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rows = handle.getListState("rows", "us long, entity string, " + ", ".join(f"`{c}` double" for c in self.cols), ttlDurationMs=self.gone_ms)
+        self.rows = handle.getListState("rows", "us long, entity string, mark boolean, " + ", ".join(f"`{c}` double" for c in self.cols), ttlDurationMs=self.gone_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        names = ["us", "entity", *self.cols]
+        names = ["us", "entity", "mark", *self.cols]
         held = pd.DataFrame([tuple(x) for x in self.rows.get()], columns=names)
         new = pd.concat(list(rows))[names]
         if len(held):
             new = new[new["us"] >= held["us"].max()]
+        if not len(new):
+            return
         both = pd.concat([x.assign(new=k) for k, x in enumerate((held, new)) if len(x)], ignore_index=True)
-        both = self.pin(both.drop_duplicates(["us", "entity"], keep="last").sort_values("us", kind="stable"))
+        both = both.astype({"mark": bool}).drop_duplicates(["us", "entity", "mark"], keep="last").sort_values("us", kind="stable")
         times = both["us"].drop_duplicates()
-        before = dict(zip(times.tolist()[1:], times.tolist()))
-        now = both[both["new"] == 1].assign(before=lambda x: x["us"].map(before).fillna(-1).astype("int64"))
-        pairs = now.merge(both.drop(columns="new").rename(columns={"us": "before"}), how="left", on=["entity", "before"], suffixes=("", "_old"))
-        pairs["seconds"] = (pairs["us"] - pairs["before"]) / 1e6
-        self.rows.put(list(both.loc[both["us"].isin(times.tolist()[-2:]), names].astype({"us": "int64"}).itertuples(index=False, name=None)))
-        made = self.rates(pairs)
+        last = both["us"].isin(times.tolist()[-2:]) & both["mark"]
+        marks = both.loc[last, names]
+        both = both[~both["mark"]].assign(at=lambda x: x["us"].map(dict(zip(times.tolist(), range(len(times))))))
+        both = self.pin(both)
+        now = both[both["new"] == 1]
+        pairs = now.merge(both.drop(columns=["new", "mark"]).assign(at=both["at"] + 1), how="left", on=["entity", "at"], suffixes=("", "_old"))
+        pairs["seconds"] = (pairs["us"] - pairs["us_old"]) / 1e6
+        kept = pd.concat([marks, both.loc[both["at"] >= len(times) - 2, names]]).astype({"us": "int64"})
+        self.rows.put([(*x[:2], bool(x[2]), *x[3:]) for x in kept.itertuples(index=False, name=None)])
+        made = self.rates(pairs) if len(pairs) else pairs
         if len(made):
             made.insert(0, "host", key[0])
             yield made
@@ -187,10 +200,34 @@ class _Snapshots(StatefulProcessor):
         pass
 
 
-def stream_counter_rate(snapshots: DataFrame, entity: str, ts: str, cols: Sequence[str], policy: str = "skip", gone_ms: int = GONE_MS) -> DataFrame:
+def _with_marks(rows: DataFrame, parts: int) -> DataFrame:
+    """`rows` with `part`, that of the entity, and a marked row in each part of a host for each of its times. A task holds the times
+    that it has met."""
+    dealt = rows.filter("us is not null").select("host", F.pmod(F.xxhash64("entity"), F.lit(parts)).cast("int").alias("part"), F.lit(False).alias("mark"), *[c for c in rows.columns if c != "host"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[tuple] = set()
+        for b in batches:
+            yield b
+            pairs = pa.table({"host": b.column("host"), "us": b.column("us")}).group_by(["host", "us"]).aggregate([]).to_pylist()
+            news = [x for x in map(tuple, map(dict.values, pairs)) if x not in met]
+            met.update(news)
+            for at in range(0, len(news), 100):
+                some = [(*x, True) for x in news[at : at + 100]]
+                cols = {n: pa.array(c, b.schema.field(n).type).take(pa.array(np.repeat(np.arange(len(some)), parts))) for n, c in zip(("host", "us", "mark"), zip(*some))}
+                cols["part"] = pa.array(np.tile(np.arange(parts, dtype=np.int32), len(some)))
+                yield pa.RecordBatch.from_arrays([cols.get(f.name, pa.nulls(parts * len(some), f.type)) for f in b.schema], schema=b.schema)
+
+    return dealt.mapInArrow(run, dealt.schema)
+
+
+def stream_counter_rate(snapshots: DataFrame, entity: str, ts: str, cols: Sequence[str], policy: str = "skip", gone_ms: int = GONE_MS, parts: int = PARTS) -> DataFrame:
     """ST5: rates of a stream of counter snapshots; the state of a host is its last two snapshots, so a snapshot may come in
     parts; it expires `gone_ms` after the host's last news. Rows of a snapshot older than the last one are late and give
-    nothing; of equal entities in a snapshot the last counts."""
+    nothing, as rows without a time; of equal entities in a snapshot the last counts.
+
+    The entities of a host are dealt into `parts`, so that neither its state nor its batch is one task's; the times of its
+    snapshots go to all of them. A stream that is started again must have the same number."""
     rows = snapshots.select("host", F.col(entity).cast("string").alias("entity"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), *[F.col(c).cast("double").alias(c) for c in cols])
 
     def rates(pairs: pd.DataFrame) -> pd.DataFrame:
@@ -201,26 +238,27 @@ def stream_counter_rate(snapshots: DataFrame, entity: str, ts: str, cols: Sequen
             parts.append(made[(delta >= 0) | (delta.notna() & (policy == "clamp"))])
         return pd.concat(parts)
 
-    made = rows.groupBy("host").transformWithStateInPandas(_Snapshots(cols, rates, gone_ms), "host string, entity string, us long, counter string, rate double", "Append", "ProcessingTime")
+    made = _with_marks(rows, parts).groupBy("host", "part").transformWithStateInPandas(_Snapshots(cols, rates, gone_ms), "host string, entity string, us long, counter string, rate double", "Append", "ProcessingTime")
     return made.select("host", F.col("entity").alias(entity), F.timestamp_micros("us").alias("ts"), "counter", "rate")
 
 
-def stream_proc_rates(procs: DataFrame, ts: str = "snap_ts", slack_ms: int = 2000, counters: Sequence[str] = ("read_count", "write_count", "read_bytes", "write_bytes"), gone_ms: int = GONE_MS) -> DataFrame:
+def stream_proc_rates(procs: DataFrame, ts: str = "snap_ts", slack_ms: int = 2000, counters: Sequence[str] = ("read_count", "write_count", "read_bytes", "write_bytes"), gone_ms: int = GONE_MS, parts: int = PARTS) -> DataFrame:
     """ST5, W11, W12 on a stream: the create time that each process keeps, CPU percentages and I/O rates, 0 where it is new
-    or a counter went back. The state is as in `stream_counter_rate`; processes that have ended leave it."""
+    or a counter went back. State and parts are as in `stream_counter_rate`; processes that have ended leave it."""
     cols = ["create_time", "user_time", "system_time", *counters]
     names = {"user_time": "user_pct", "system_time": "system_pct"} | {c: f"{c}_s" for c in counters}
     rows = procs.select("host", F.col("pid").cast("string").alias("entity"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), *[F.col(c).cast("double").alias(c) for c in cols])
 
     def pin(both: pd.DataFrame) -> pd.DataFrame:
         """The kept create times, snapshot by snapshot; rows of the state have theirs already, and keep them."""
-        last, parts = pd.Series(dtype="float64"), []
-        for _, now in both.groupby("us"):
-            old = now["entity"].map(last)
-            now = now.assign(create_time=old.where((old - now["create_time"]).abs() < slack_ms, now["create_time"]))
-            last = now.set_index("entity")["create_time"]
-            parts.append(now)
-        return pd.concat(parts)
+        last: dict[str, tuple[int, float]] = {}
+        kept = []
+        for at, entity, made in zip(both["at"].tolist(), both["entity"].tolist(), both["create_time"].tolist()):
+            before, was = last.get(entity, (-2, made))
+            made = was if before == at - 1 and abs(was - made) < slack_ms else made
+            last[entity] = (at, made)
+            kept.append(made)
+        return both.assign(create_time=kept)
 
     def rates(pairs: pd.DataFrame) -> pd.DataFrame:
         same = pairs["create_time_old"] == pairs["create_time"]
@@ -230,7 +268,7 @@ def stream_proc_rates(procs: DataFrame, ts: str = "snap_ts", slack_ms: int = 200
             out[name] = (100 * rate if name.endswith("_pct") else rate).where(same & rate.notna(), 0.0)
         return out
 
-    made = rows.groupBy("host").transformWithStateInPandas(_Snapshots(cols, rates, gone_ms, pin), "host string, pid long, us long, pinned long, " + ", ".join(f"{n} double" for n in names.values()), "Append", "ProcessingTime")
+    made = _with_marks(rows, parts).groupBy("host", "part").transformWithStateInPandas(_Snapshots(cols, rates, gone_ms, pin), "host string, pid long, us long, pinned long, " + ", ".join(f"{n} double" for n in names.values()), "Append", "ProcessingTime")
     return made.withColumn("total_pct", F.col("user_pct") + F.col("system_pct")).withColumn(ts, F.timestamp_micros("us")).drop("us")
 
 

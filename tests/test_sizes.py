@@ -1,5 +1,6 @@
 """Results that must not depend on a table's size or on how it is dealt."""
 
+from datetime import datetime, timedelta
 
 from pulsegrid.operators import hosts
 from pulsegrid.plans import ingest, streams
@@ -37,6 +38,16 @@ def test_sources_of_a_stream_are_dealt_into_groups(spark, tmp_path):
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] < 30  # not one for each source
 
 
+def test_entities_of_a_host_are_dealt_into_parts(spark, tmp_path):
+    """Most parts have no row at time 10; yet an entity that is not there begins anew at 20."""
+    schema = "host string, dev string, ts timestamp, n double"
+    at = lambda t: datetime(2024, 1, 1) + timedelta(seconds=t)
+    for t, devs in ((0, range(50)), (10, (7,)), (20, range(50))):
+        spark.createDataFrame([("h", f"d{d}", at(t), float(d * t)) for d in devs], schema).repartition(2).write.mode("append").parquet(f"{tmp_path}/in")
+        made = jobs.drain(jobs.stream_counter_rate(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "dev", "ts", ["n"], parts=8), str(tmp_path))
+    assert {(r.dev, r.ts, r.rate) for r in made.collect()} == {("d7", at(10), 7.0), ("d7", at(20), 7.0)}
+
+
 def test_a_batch_is_written_by_many_tasks(spark, tmp_path):
     df = spark.range(30_000).selectExpr("id AS k", "repeat('x', 50) AS t")
     ends = [0]
