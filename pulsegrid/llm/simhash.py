@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -206,10 +206,10 @@ def _cells(nodes: DataFrame, whole: bool) -> DataFrame:
     return nodes.select(*cols).mapInArrow(run, ", ".join(f"{c} long" for c in ["cell", *(cols if whole else [])]))
 
 
-def _chosen(cell: np.ndarray, n: np.ndarray, fps: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates among rows sorted by cell: pairs of a cell whose sizes allow `similarity` and that differ in at most
-    WIDE_BITS bits; of them each row's NEAREST nearest and a minimum spanning forest."""
-    left, right, far = [], [], []
+def _near(cell: np.ndarray, n: np.ndarray, fps: np.ndarray, similarity: float, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All candidates among rows sorted by cell, with their differing bits: pairs of a cell whose sizes allow `similarity` and that
+    differ in at most WIDE_BITS bits. With `root`, only pairs of different roots."""
+    left, right, far = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     at, d = np.arange(len(cell)), 0
     while True:
         d += 1
@@ -217,15 +217,22 @@ def _chosen(cell: np.ndarray, n: np.ndarray, fps: np.ndarray, similarity: float)
         at = at[cell[at] == cell[at + d]]
         if not len(at):
             break
-        m = at[np.minimum(n[at], n[at + d]) >= similarity * np.maximum(n[at], n[at + d]) - 1e-9]
+        m = at if root is None else at[root[at] != root[at + d]]
+        m = m[np.minimum(n[m], n[m + d]) >= similarity * np.maximum(n[m], n[m + d]) - 1e-9]
         apart = np.bitwise_count(fps[m] ^ fps[m + d]).sum(axis=1, dtype=np.int64)
         near = apart <= WIDE_BITS
         left.append(m[near])
         right.append(m[near] + d)
         far.append(apart[near])
-    if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
     a, b, far = map(np.concatenate, (left, right, far))
+    return a, b, far
+
+
+def _chosen(cell: np.ndarray, n: np.ndarray, fps: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the candidates of `_near` each row's NEAREST nearest and a minimum spanning forest; and the rows that have others."""
+    a, b, far = _near(cell, n, fps, similarity)
+    if not len(a):
+        return a, b, a
     order = np.lexsort((b, a, far))
     a, b = a[order], b[order]
     ends, pair = np.concatenate((a, b)), np.tile(np.arange(len(a)), 2)
@@ -250,36 +257,61 @@ def _chosen(cell: np.ndarray, n: np.ndarray, fps: np.ndarray, similarity: float)
             to = to[to]
         label = to[label]
     take = np.unique(np.concatenate(take))
-    return a[take], b[take]
+    others = np.delete(np.arange(len(a)), take)
+    return a[take], b[take], np.unique(np.concatenate((a[others], b[others])))
 
 
 def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
-    """`(a, b)`, a < b: pairs of nodes that share an index list and are near by their fingerprints. A list too long for
-    one task is cut into blocks, and every pair of blocks is a task of its own."""
+    """`(a, b, cell, lo, hi)`: pairs a < b of nodes that share an index list and are near by their fingerprints, cell being null; and,
+    b being null, nodes that have more such pairs in a list than were chosen of it. A list too long for one task is cut into
+    blocks, and every pair of blocks is a task of its own."""
     long = _cells(nodes, False).groupBy("cell").agg(F.count("*").alias("c")).filter(F.col("c") > WIDE_BLOCK).select("cell", F.ceil(F.col("c") / WIDE_BLOCK).cast("int").alias("g"))
     grid = _cells(nodes, True).join(F.broadcast(long), "cell", "left").withColumn("g", F.coalesce("g", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
     dealt = grid.withColumn("c", F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda x: F.struct(F.least(x, F.col("b")).alias("lo"), F.greatest(x, F.col("b")).alias("hi")))))
     dealt = dealt.select("cell", F.col("c.lo").cast("long").alias("lo"), F.col("c.hi").cast("long").alias("hi"), "node", "n", *_W)
     dealt = dealt.repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi", "node")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(cols: list[np.ndarray]) -> pa.RecordBatch:
-            new = np.concatenate(([True], (np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)))
-            a, b = _chosen(np.cumsum(new), cols[4], np.stack(cols[5:], axis=1).view(np.uint64), similarity)
-            return pa.RecordBatch.from_arrays([pa.array(cols[3][a]), pa.array(cols[3][b])], names=["a", "b"])
+    def found(cols: list[np.ndarray], new: np.ndarray) -> pa.RecordBatch:
+        a, b, more = _chosen(np.cumsum(new), cols[4], np.stack(cols[5:], axis=1).view(np.uint64), similarity)
+        none = lambda n: pa.nulls(n, pa.int64())
+        out = [np.concatenate((cols[3][a], cols[3][more])), pa.concat_arrays([pa.array(cols[3][b]), none(len(more))]), *(pa.concat_arrays([none(len(a)), pa.array(c[more])]) for c in cols[:3])]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["a", "b", "cell", "lo", "hi"])
 
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            cols = [np.asarray(c) for c in batch.columns]
-            held = cols if held is None else [np.concatenate(p) for p in zip(held, cols)]
-            same = np.flatnonzero(np.logical_and.reduce([c == c[-1] for c in held[:3]]))[0]
-            if same:
-                yield found([c[:same] for c in held])
-                held = [c[same:] for c in held]
-        if held is not None:
-            yield found(held)
+    return dealt.mapInArrow(lambda batches: _by_list(batches, found), "a long, b long, cell long, lo long, hi long").distinct()
+
+
+def _by_list(batches: Iterator[pa.RecordBatch], found: Callable[[list[np.ndarray], np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What `found` makes of whole lists, of rows sorted by their first three columns, and of where a list begins."""
+
+    def lists(cols: list[np.ndarray]) -> pa.RecordBatch:
+        return found(cols, np.concatenate(([True], (np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0))))
+
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        cols = [np.asarray(c) for c in batch.columns]
+        held = cols if held is None else [np.concatenate(p) for p in zip(held, cols)]
+        same = np.flatnonzero(np.logical_and.reduce([c == c[-1] for c in held[:3]]))[0]
+        if same:
+            yield lists([c[:same] for c in held])
+            held = [c[same:] for c in held]
+    if held is not None:
+        yield lists(held)
+
+
+def _rest(more: DataFrame, nodes: DataFrame, reach: DataFrame, similarity: float) -> DataFrame:
+    """`(a, b)`, a < b: all pairs of the nodes in `more` of a list, chosen or not, that are near by their fingerprints and are not yet
+    joined by `reach`. Lists whose nodes are all joined are left out before any pair is made."""
+    at = ["cell", "lo", "hi"]
+    rooted = more.join(reach, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_lists = rooted.groupBy(*at).agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select(*at)
+    dealt = rooted.join(open_lists, at, "left_semi").join(nodes.select("node", "n", *_W), "node").select(*at, "node", "root", "n", *_W)
+    dealt = dealt.repartition(*at).sortWithinPartitions(*at, "node")
+
+    def found(cols: list[np.ndarray], new: np.ndarray) -> pa.RecordBatch:
+        a, b, _ = _near(np.cumsum(new), cols[5], np.stack(cols[6:], axis=1).view(np.uint64), similarity, cols[4])
+        return pa.RecordBatch.from_arrays([pa.array(cols[3][a]), pa.array(cols[3][b])], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(lambda batches: _by_list(batches, found), "a long, b long").distinct()
 
 
 def similar(df: DataFrame, cols: list[str], words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -288,7 +320,8 @@ def similar(df: DataFrame, cols: list[str], words: int = 5, similarity: float =
     Texts are sets of shingles of `words` words. Two texts link if the Jaccard similarity of their sets, counted in
     full, is at least `similarity`; groups are what links join. Pairs to be counted come from SimHash fingerprints
     of WIDE * 64 bits, indexed under keys of KEY_BITS bits: so some links may be missed, but none is wrong. In a list
-    that holds many near copies each text gives its nearest ones and a spanning forest, not all pairs. Texts with
+    that holds many near copies each text first gives its nearest ones and a spanning forest; then all other pairs of a list
+    whose texts these have not joined are counted, too, so that no candidate is lost. Texts with
     one set (all without words, too) are one node. Null doc_ids and repeated rows are rows like others.
     Also returns `id`, the doc_id. An empty table gives an empty table.
     """
@@ -296,8 +329,8 @@ def similar(df: DataFrame, cols: list[str], words: int = 5, similarity: float =
     keyed = df.select(k1.alias("k1"), k2.alias("k2"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     rows = cut(_nodes(keyed, words))
     nodes = rows.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first("n").alias("n"), *[F.first(w).alias(w) for w in _W])
-    pairs = cut(candidates(nodes.filter("n > 0"), similarity))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "k.k1", "k.k2"), "node")
+    found = cut(candidates(nodes.filter("n > 0"), similarity))
+    pairs = found.filter("b is not null").select("a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -306,10 +339,20 @@ def similar(df: DataFrame, cols: list[str], words: int = 5, similarity: float =
                 sets = [np.unique(shingles(t.as_py(), words)).view(np.int64) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
 
-    texts = keyed.join(wanted, ["k1", "k2"]).dropDuplicates(["node"]).select("node", "text")
-    sets = cut(texts.mapInArrow(run, "node long, s array<long>"))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    linked = both.select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb")).alias("t")).filter(F.col("i") >= F.lit(similarity) * (F.col("t") - F.col("i")) - F.lit(1e-9))
-    reach = components(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of `pairs` that link, counted in full, as edges."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "k.k1", "k.k2"), "node")
+        texts = keyed.join(wanted, ["k1", "k2"]).dropDuplicates(["node"]).select("node", "text")
+        sets = cut(texts.mapInArrow(run, "node long, s array<long>"))
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        sized = both.select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb")).alias("t")).filter(F.col("i") >= F.lit(similarity) * (F.col("t") - F.col("i")) - F.lit(1e-9))
+        return sized.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+    links = cut(linked(pairs))
+    reach = components(links)
+    more = found.filter("b is null").select(F.col("a").alias("node"), "cell", "lo", "hi")
+    rest = cut(_rest(more, nodes, reach, similarity).join(pairs, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        reach = components(links.union(linked(rest)))
     return rows.select("k1", "k2", "id", "node").join(reach, "node", "left").select("k1", "k2", "id", F.coalesce("root", "node").alias("root"))
