@@ -7,10 +7,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, full_key, join_per_key
+from .common import cut, full_key, hot_keys, join_per_key
 from .components import components
 
 #: Distinct fingerprints that one task compares at a time; larger buckets are cut into a grid of such blocks.
@@ -206,9 +206,9 @@ def _cells(nodes: DataFrame, whole: bool) -> DataFrame:
     return nodes.select(*cols).mapInArrow(run, ", ".join(f"{c} long" for c in ["cell", *(cols if whole else [])]))
 
 
-def _near(cell: np.ndarray, n: np.ndarray, fps: np.ndarray, similarity: float, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _near(cell: np.ndarray, n: np.ndarray, fps: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All candidates among rows sorted by cell, with their differing bits: pairs of a cell whose sizes allow `similarity` and that
-    differ in at most WIDE_BITS bits. With `root`, only pairs of different roots."""
+    differ in at most WIDE_BITS bits."""
     left, right, far = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     at, d = np.arange(len(cell)), 0
     while True:
@@ -217,8 +217,7 @@ def _near(cell: np.ndarray, n: np.ndarray, fps: np.ndarray, similarity: float, r
         at = at[cell[at] == cell[at + d]]
         if not len(at):
             break
-        m = at if root is None else at[root[at] != root[at + d]]
-        m = m[np.minimum(n[m], n[m + d]) >= similarity * np.maximum(n[m], n[m + d]) - 1e-9]
+        m = at[np.minimum(n[at], n[at + d]) >= similarity * np.maximum(n[at], n[at + d]) - 1e-9]
         apart = np.bitwise_count(fps[m] ^ fps[m + d]).sum(axis=1, dtype=np.int64)
         near = apart <= WIDE_BITS
         left.append(m[near])
@@ -262,9 +261,9 @@ def _chosen(cell: np.ndarray, n: np.ndarray, fps: np.ndarray, similarity: float)
 
 
 def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
-    """`(a, b, cell, lo, hi)`: pairs a < b of nodes that share an index list and are near by their fingerprints, cell being null; and,
-    b being null, nodes that have more such pairs in a list than were chosen of it. A list too long for one task is cut into
-    blocks, and every pair of blocks is a task of its own."""
+    """`(a, b)`: pairs a < b of nodes that share an index list and are near by their fingerprints; and, b being null, nodes that
+    have more such pairs in a list than were chosen of it. A list too long for one task is cut into blocks, and every pair of
+    blocks is a task of its own."""
     long = _cells(nodes, False).groupBy("cell").agg(F.count("*").alias("c")).filter(F.col("c") > WIDE_BLOCK).select("cell", F.ceil(F.col("c") / WIDE_BLOCK).cast("int").alias("g"))
     grid = _cells(nodes, True).join(F.broadcast(long), "cell", "left").withColumn("g", F.coalesce("g", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
     dealt = grid.withColumn("c", F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda x: F.struct(F.least(x, F.col("b")).alias("lo"), F.greatest(x, F.col("b")).alias("hi")))))
@@ -273,11 +272,10 @@ def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
 
     def found(cols: list[np.ndarray], new: np.ndarray) -> pa.RecordBatch:
         a, b, more = _chosen(np.cumsum(new), cols[4], np.stack(cols[5:], axis=1).view(np.uint64), similarity)
-        none = lambda n: pa.nulls(n, pa.int64())
-        out = [np.concatenate((cols[3][a], cols[3][more])), pa.concat_arrays([pa.array(cols[3][b]), none(len(more))]), *(pa.concat_arrays([none(len(a)), pa.array(c[more])]) for c in cols[:3])]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["a", "b", "cell", "lo", "hi"])
+        out = [np.concatenate((cols[3][a], cols[3][more])), pa.concat_arrays([pa.array(cols[3][b]), pa.nulls(len(more), pa.int64())])]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["a", "b"])
 
-    return dealt.mapInArrow(lambda batches: _by_list(batches, found), "a long, b long, cell long, lo long, hi long").distinct()
+    return dealt.mapInArrow(lambda batches: _by_list(batches, found), "a long, b long").distinct()
 
 
 def _by_list(batches: Iterator[pa.RecordBatch], found: Callable[[list[np.ndarray], np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,20 +296,56 @@ def _by_list(batches: Iterator[pa.RecordBatch], found: Callable[[list[np.ndarray
         yield lists(held)
 
 
-def _rest(more: DataFrame, nodes: DataFrame, reach: DataFrame, similarity: float) -> DataFrame:
-    """`(a, b)`, a < b: all pairs of the nodes in `more` of a list, chosen or not, that are near by their fingerprints and are not yet
-    joined by `reach`. Lists whose nodes are all joined are left out before any pair is made."""
-    at = ["cell", "lo", "hi"]
-    rooted = more.join(reach, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_lists = rooted.groupBy(*at).agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select(*at)
-    dealt = rooted.join(open_lists, at, "left_semi").join(nodes.select("node", "n", *_W), "node").select(*at, "node", "root", "n", *_W)
-    dealt = dealt.repartition(*at).sortWithinPartitions(*at, "node")
-
-    def found(cols: list[np.ndarray], new: np.ndarray) -> pa.RecordBatch:
-        a, b, _ = _near(np.cumsum(new), cols[5], np.stack(cols[6:], axis=1).view(np.uint64), similarity, cols[4])
-        return pa.RecordBatch.from_arrays([pa.array(cols[3][a]), pa.array(cols[3][b])], names=["a", "b"])
+def _differences(held: DataFrame, hot: DataFrame, similarity: float) -> DataFrame:
+    """`(node, family, n, d, e)` for `(node, family, size, s)`: n is the size of the set s, d holds in what s differs from the
+    shingles that over half of its family's sets have, and e is what the node adds to what a pair needs.
 
-    return dealt.mapInArrow(lambda batches: _by_list(batches, found), "a long, b long").distinct()
+    Whatever shingles a family is compared with, those in which two of its sets differ are those that are in one d only. So
+    two sets link if and only if their d share at least e + e shingles.
+    """
+    often = held.select("family", "size", F.explode("s").alias("h")).groupBy("family", "size", "h").agg(F.count("*").alias("c")).filter("2 * c > size")
+    often = often.groupBy("family").agg(F.collect_list("h").alias("often"))
+    many = F.coalesce("often", F.array().cast("array<long>"))
+    d = F.concat(F.array_except("s", many), F.array_except(many, "s"))
+    rows = join_per_key(held, often, "family", F.col("node"), "left", hot).select("node", "family", F.size("s").alias("n"), d.alias("d"))
+    return rows.withColumn("e", (F.size("d") - F.lit((1 - similarity) / (1 + similarity)) * F.col("n")) / 2)
+
+
+def _sure(rows: DataFrame, hot: DataFrame, similarity: float) -> DataFrame:
+    """`(src, dst)`: edges that join all pairs of a family that link even if their d share nothing. Each node of such a pair
+    links to the node with the family's least e, too."""
+    sized = rows.select("node", "family", "n", "e", F.size("d").alias("m"))
+    hub = sized.groupBy("family").agg(F.min(F.struct("e", "node", "n", "m")).alias("hub"))
+    both = join_per_key(sized, hub, "family", F.col("node"), hot=hot).filter("node <> hub.node").withColumn("t", F.col("n") + F.col("hub.n"))
+    i = (F.col("t") - F.col("m") - F.col("hub.m")) / 2
+    return both.filter(i >= F.lit(similarity) * (F.col("t") - i) - F.lit(1e-9)).select(F.col("node").alias("src"), F.col("hub.node").alias("dst"))
+
+
+def _rest(rows: DataFrame, hot: DataFrame, reach: DataFrame, similarity: float) -> DataFrame:
+    """`(a, b)`, a < b: pairs of a family that are not yet joined by `reach`, all that link among them.
+
+    Shingles of the d are put in one order, the rarest in the family first. Two d that share k shingles share one among the
+    first len - k + 1 of both. Shingles that one group alone has are left out, as no pair needs them. A node is dealt under the
+    first shingles that the least e of another group's nodes asks for, as the one with the lesser e of a pair under fewer still.
+    """
+    need = lambda e: F.greatest(F.ceil(e - F.lit(1e-6)), F.lit(1))
+    rooted = cut(rows.join(reach, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    groups = rooted.groupBy("family", "root").agg(F.min("e").alias("e"))
+    least = groups.groupBy("family").agg(F.min(F.struct("e", "root")).alias("x"), F.count("*").alias("c")).filter("c > 1").select("family", "x")
+    least = join_per_key(groups, least, "family", F.col("root"), hot=hot).filter("root <> x.root").groupBy("family").agg(F.first("x").alias("x"), F.min("e").alias("y"))
+    other = F.when(F.col("root") == F.col("x.root"), F.col("y")).otherwise(F.col("x.e"))
+    longest = F.lit((1 - similarity) / (1 + similarity) / similarity) * F.col("n")  # a d holds 2 e + this many shingles at most, if its set is not too long for a link
+    apart = cut(join_per_key(rooted, least, "family", F.col("node"), hot=hot).withColumn("least", F.greatest(other, F.col("e") - longest)).select("node", "family", "root", "e", "least", "d"))
+    each = apart.select("node", "family", "root", "e", "least", F.explode("d").alias("h")).select("node", "root", "e", "least", F.struct("family", "h").alias("key"))
+    shared = cut(each.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key", "c"))
+    each = join_per_key(each, shared, "key", F.col("node"), hot=hot_keys(shared, "key", "c"))
+    own = Window.partitionBy("node")
+    each = each.withColumn("pos", F.row_number().over(own.orderBy("c", "key"))).withColumn("m", F.count("*").over(own))
+    dealt = cut(each.filter(F.col("pos") <= F.col("m") - need(F.col("e") + F.col("least")) + 1).select("key", "node", "root", "e", "pos", "m"))
+    p = dealt.filter(F.col("pos") <= F.col("m") - need(2 * F.col("e")) + 1).alias("p")
+    k = need(F.col("p.e") + F.col("q.e"))
+    both = p.join(dealt.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.struct("p.e", "p.node") < F.struct("q.e", "q.node")) & (F.col("p.root") != F.col("q.root")) & (F.col("p.pos") <= F.col("p.m") - k + 1) & (F.col("q.pos") <= F.col("q.m") - k + 1))
+    return both.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
 
 
 def similar(df: DataFrame, cols: list[str], words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -320,8 +354,9 @@ def similar(df: DataFrame, cols: list[str], words: int = 5, similarity: float =
     Texts are sets of shingles of `words` words. Two texts link if the Jaccard similarity of their sets, counted in
     full, is at least `similarity`; groups are what links join. Pairs to be counted come from SimHash fingerprints
     of WIDE * 64 bits, indexed under keys of KEY_BITS bits: so some links may be missed, but none is wrong. In a list
-    that holds many near copies each text first gives its nearest ones and a spanning forest; then all other pairs of a list
-    whose texts these have not joined are counted, too, so that no candidate is lost. Texts with
+    that holds many near copies each text first gives its nearest ones and a spanning forest, which keep together all that
+    candidates join, a family. Where a text has more candidates than these, the links of its family are found from what its sets
+    differ in, without counting all pairs, so that no candidate is lost. Texts with
     one set (all without words, too) are one node. Null doc_ids and repeated rows are rows like others.
     Also returns `id`, the doc_id. An empty table gives an empty table.
     """
@@ -339,20 +374,30 @@ def similar(df: DataFrame, cols: list[str], words: int = 5, similarity: float =
                 sets = [np.unique(shingles(t.as_py(), words)).view(np.int64) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
 
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "k.k1", "k.k2"), "node")
+    texts = keyed.join(wanted, ["k1", "k2"]).dropDuplicates(["node"]).select("node", "text")
+    sets = cut(texts.mapInArrow(run, "node long, s array<long>"))
+
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of `pairs` that link, counted in full, as edges."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "k.k1", "k.k2"), "node")
-        texts = keyed.join(wanted, ["k1", "k2"]).dropDuplicates(["node"]).select("node", "text")
-        sets = cut(texts.mapInArrow(run, "node long, s array<long>"))
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
         shared = F.size(F.array_intersect("sa", "sb"))
         sized = both.select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb")).alias("t")).filter(F.col("i") >= F.lit(similarity) * (F.col("t") - F.col("i")) - F.lit(1e-9))
         return sized.select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
     links = cut(linked(pairs))
-    reach = components(links)
-    more = found.filter("b is null").select(F.col("a").alias("node"), "cell", "lo", "hi")
-    rest = cut(_rest(more, nodes, reach, similarity).join(pairs, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        reach = components(links.union(linked(rest)))
+    more = found.filter("b is null").select(F.col("a").alias("node"))
+    if more.isEmpty():
+        reach = components(links)
+    else:
+        held = more.join(components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("root", "family"), "node")
+        sizes = cut(held.groupBy("family").agg(F.count("*").alias("size")))
+        hot = cut(hot_keys(sizes, "family", "size"))
+        held = join_per_key(held, sizes, "family", F.col("node"), hot=hot).join(sets, "node")
+        differ = cut(_differences(cut(held), hot, similarity))
+        links = cut(links.union(_sure(differ, hot, similarity)))
+        reach = components(links)
+        rest = cut(_rest(differ, hot, reach, similarity).join(pairs, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            reach = components(links.union(linked(rest)))
     return rows.select("k1", "k2", "id", "node").join(reach, "node", "left").select("k1", "k2", "id", F.coalesce("root", "node").alias("root"))
