@@ -152,8 +152,8 @@ def near_duplicates(df: DataFrame, words: int = 4, bits: int = 4, doc_id: str =
 
 
 #: For `similar`: 64-bit words of a wide fingerprint, bits of an index key, deals of all bits into keys, differing bits of
-#: a candidate pair, candidates a list gives a node besides a spanning forest, and nodes in one block of a long list.
-WIDE, KEY_BITS, DEALS, WIDE_BITS, NEAREST, WIDE_BLOCK = 4, 16, 4, 64, 2, 1000
+#: a candidate pair, candidates a node from which on nodes of a list are crowded, and nodes in one block of a long list.
+WIDE, KEY_BITS, DEALS, WIDE_BITS, CROWD, WIDE_BLOCK = 4, 16, 4, 64, 2, 1000
 
 
 def _again(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -228,16 +228,13 @@ def _near(cell: np.ndarray, n: np.ndarray, fps: np.ndarray, similarity: float) -
 
 
 def _chosen(cell: np.ndarray, n: np.ndarray, fps: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the candidates of `_near` each row's NEAREST nearest and a minimum spanning forest; and the rows that have others."""
+    """Candidates of `_near`: all where what they join has CROWD a row or fewer, else a spanning tree; and a row of each such crowd."""
     a, b, far = _near(cell, n, fps, similarity)
     if not len(a):
         return a, b, a
     order = np.lexsort((b, a, far))
     a, b = a[order], b[order]
-    ends, pair = np.concatenate((a, b)), np.tile(np.arange(len(a)), 2)
-    by = np.lexsort((pair, ends))
-    first = np.searchsorted(ends[by], ends[by])
-    take = [pair[by][np.arange(len(by)) - first < NEAREST]]
+    take = []
     label, left = np.arange(len(cell)), np.arange(len(a))
     while len(left := left[label[a[left]] != label[b[left]]]):  # the nearest pair out of every part, until none is left
         x, y = label[a[left]], label[b[left]]
@@ -255,15 +252,15 @@ def _chosen(cell: np.ndarray, n: np.ndarray, fps: np.ndarray, similarity: float)
         while (to != to[to]).any():
             to = to[to]
         label = to[label]
-    take = np.unique(np.concatenate(take))
-    others = np.delete(np.arange(len(a)), take)
-    return a[take], b[take], np.unique(np.concatenate((a[others], b[others])))
+    crowd = np.bincount(label[a], minlength=len(cell)) > CROWD * np.bincount(label, minlength=len(cell))
+    take = np.unique(np.concatenate([*take, np.flatnonzero(~crowd[label[a]])]))
+    return a[take], b[take], np.flatnonzero(crowd)
 
 
 def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
-    """`(a, b)`: pairs a < b of nodes that share an index list and are near by their fingerprints; and, b being null, nodes that
-    have more such pairs in a list than were chosen of it. A list too long for one task is cut into blocks, and every pair of
-    blocks is a task of its own."""
+    """`(a, b)`: pairs a < b of nodes that share an index list and are near by their fingerprints, or, of a crowd of such nodes,
+    as many as keep it together, and, b being null, one of its nodes. A list too long for one task is cut into blocks, and every
+    pair of blocks is a task of its own."""
     long = _cells(nodes, False).groupBy("cell").agg(F.count("*").alias("c")).filter(F.col("c") > WIDE_BLOCK).select("cell", F.ceil(F.col("c") / WIDE_BLOCK).cast("int").alias("g"))
     grid = _cells(nodes, True).join(F.broadcast(long), "cell", "left").withColumn("g", F.coalesce("g", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
     dealt = grid.withColumn("c", F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda x: F.struct(F.least(x, F.col("b")).alias("lo"), F.greatest(x, F.col("b")).alias("hi")))))
@@ -353,10 +350,9 @@ def similar(df: DataFrame, cols: list[str], words: int = 5, similarity: float =
 
     Texts are sets of shingles of `words` words. Two texts link if the Jaccard similarity of their sets, counted in
     full, is at least `similarity`; groups are what links join. Pairs to be counted come from SimHash fingerprints
-    of WIDE * 64 bits, indexed under keys of KEY_BITS bits: so some links may be missed, but none is wrong. In a list
-    that holds many near copies each text first gives its nearest ones and a spanning forest, which keep together all that
-    candidates join, a family. Where a text has more candidates than these, the links of its family are found from what its sets
-    differ in, without counting all pairs, so that no candidate is lost. Texts with
+    of WIDE * 64 bits, indexed under keys of KEY_BITS bits: so some links may be missed, but none is wrong. What candidates
+    join is a family. Where a list holds a crowd of near copies, only a spanning tree of its candidates is made, and all links of
+    its family are found from what its sets differ in, without counting all pairs, so that no candidate is lost. Texts with
     one set (all without words, too) are one node. Null doc_ids and repeated rows are rows like others.
     Also returns `id`, the doc_id. An empty table gives an empty table.
     """
@@ -390,10 +386,11 @@ def similar(df: DataFrame, cols: list[str], words: int = 5, similarity: float =
     if more.isEmpty():
         reach = components(links)
     else:
-        held = more.join(components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("root", "family"), "node")
-        sizes = cut(held.groupBy("family").agg(F.count("*").alias("size")))
+        family = components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("root", "family")
+        crowded = more.distinct().join(family, "node").select("family").distinct()
+        sizes = cut(family.groupBy("family").agg(F.count("*").alias("size")).join(crowded, "family"))
         hot = cut(hot_keys(sizes, "family", "size"))
-        held = join_per_key(held, sizes, "family", F.col("node"), hot=hot).join(sets, "node")
+        held = join_per_key(family, sizes, "family", F.col("node"), hot=hot).join(sets, "node")
         differ = cut(_differences(cut(held), hot, similarity))
         links = cut(links.union(_sure(differ, hot, similarity)))
         reach = components(links)

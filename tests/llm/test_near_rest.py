@@ -66,12 +66,12 @@ def _grouped(spark, monkeypatch, texts):
 
 
 def test_pairs_of_near_copies_do_not_grow_with_the_square(spark, monkeypatch):
-    """Half of these 500 texts link to few others or to none: 125,000 pairs, of which hardly any need be counted."""
+    """Many of these 500 texts link to none: 125,000 pairs, of which hardly any need be counted."""
     r = random.Random(2)
     texts = _copies(r, 500, lambda r: min(14, int(r.expovariate(0.25))))
     groups, made = _grouped(spark, monkeypatch, texts)
     assert groups == _roots(texts) and len(groups) > 100
-    assert len(made) == 2 and made[1] < 2 * len(texts)
+    assert len(made) == 2 and made[0] < 40 * len(texts) and made[1] < 2 * len(texts)
 
 
 def test_links_by_shared_edits_are_found(spark, monkeypatch):
